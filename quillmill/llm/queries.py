@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import ann, decontaminate, html_text, line_dedup, mixing, quality, token_counts, token_files, warc
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_token_files": token_files.op3_token_files,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_nearest": ann.op6_nearest,
+    "op8_warc_zip": warc.op8_warc_zip,
     "op9_mix_sources": mixing.op9_mix_sources,
+    "op10_token_counts": token_counts.op10_token_counts,
 }
 
-ORACLE_SQL = {"op2_line_dedup": line_dedup.OP2_SQL}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.OP2_SQL, "op8_warc_zip": warc.OP8_SQL}
