@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, html_text, line_dedup, mixing, quality, token_counts, token_files, warc
+from . import ann, decontaminate, html_text, line_dedup, mixing, ngram_join, quality, token_counts, token_files, warc
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_html_text": html_text.op5_html_text,
     "op6_nearest": ann.op6_nearest,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_warc_zip": warc.op8_warc_zip,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_token_counts": token_counts.op10_token_counts,
