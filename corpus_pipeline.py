@@ -1,11 +1,73 @@
-"""The training-data pipeline (filled in below as its operators come)."""
+"""From raw documents to token files: quality, near duplicates, decontamination, mixing, tokens.
 
-STAGES: list = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Rows with a null doc_id pass the first stage alone: later stages know documents by their ids. Empty and null texts are
+scored like any other; no words can be taken of them, so they end at the mix. Empty tables give empty results; further
+columns pass through to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillmill.llm import decontaminate, mixing, ngram_join, quality, token_files
+from quillmill.llm.scratch import written
+
+#: Documents that score below are rejected.
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the quality classifier scores below LEAST_QUALITY."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, keep=True).where(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each near-duplicate class; rows that repeat it count as one."""
+    kept = ngram_join.near_duplicates(docs).where("representative").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def without_benchmarks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a benchmark item stands."""
+    found = decontaminate.contaminated_regions(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def mixed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as the mix takes its words, to the nearest whole number (0, 1 or 2 times)."""
+    sizes, _, pieces = mixing.mix(docs)
+    taken = pieces.groupBy("rid").agg(F.sum("words").alias("taken"))
+    times = sizes.where("size > 0").join(taken, "rid").groupBy("doc_id").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("times")).where("times > 0")
+    return docs.join(times, "doc_id").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+
+
+def token_output(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the mix as token files and returns what they hold of each document."""
+    return token_files.encode_and_read(spark, docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", without_benchmarks),
+    ("mixing sources to target weights", mixed),
+    ("token-ID output", token_output),
+]
+
+#: Scores, component search and tokens are beyond SQL; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark, sf_dir: str) -> DataFrame:
+    """All stages over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, "stage")
     return docs

@@ -256,7 +256,7 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
     many = rest.groupBy("block").agg(F.count("*").alias("rest"))
     chunks = rest.join(many, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("rest") / part_size))).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
     targets = marked.join(many, "block").withColumn("chunk", F.explode(F.expr(f"sequence(0L, cast(ceil(rest / {part_size}) as long) - 1)")))
-    columns = ["block", "part", "chunk", "doc_id", "root", "tokens"]
+    columns = [F.col(c).alias(c) for c in ("block", "part", "chunk", "doc_id", "root", "tokens")]  # new names: both come from one table
 
     def across(probes: pa.Table, part: pa.Table) -> pa.Table:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -272,7 +272,7 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=out) if pairs else out.empty_table()
 
     keys = ["block", "part", "chunk"]
-    last = chunks.select(columns).groupBy(*keys).cogroup(targets.select(columns).groupBy(*keys)).applyInArrow(across, "a long, b long")
+    last = chunks.select(*columns).groupBy(*keys).cogroup(targets.select(*columns).groupBy(*keys)).applyInArrow(across, "a long, b long")
     return components(edges.union(last)).select(F.col("node").alias("doc_id"), "root").union(local.where("doc_id = root").select("doc_id", "root")).groupBy("doc_id").agg(F.min("root").alias("root"))
 
 

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 #: Words of a passage.
@@ -158,8 +159,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_passages:
     Of these, in that order, as many as have ``most_passages`` passages together (each with its whole text; the first
     always). That bounds what the driver holds. Null labels are left out; where no label is left the result is None.
     """
-    from pyspark.sql.types import StructType
-
     chosen = labels.where(f"quality is not null and doc_id is not null and not {HELD_OUT}").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # at most ``sample`` rows of two numbers: safe to broadcast
     rows = docs.where(f"not {HELD_OUT}").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
@@ -181,27 +180,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_passages:
     return fit(x, np.array([r["n"] for r in some]), np.array([float(r["quality"] > 0) for r in some]))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score of docs (doc_id, text), over whole texts.
+def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
+    """doc_id, score of docs (doc_id, text), over whole texts; with ``keep``, all columns of docs and score.
 
     Null and empty texts have the score of an empty passage. Without a model (no labels) every score is 0.5. Null and
-    repeated ids keep their rows. Further columns are ignored; an empty table gives no rows.
+    repeated ids keep their rows; an empty table gives no rows. Without ``keep``, further columns are ignored; with it,
+    a column named score is replaced.
     """
 
+    def scores(texts: list[str]) -> np.ndarray:
+        k, out = 0, []
+        while k < len(texts):
+            some, n = [], 0
+            while k < len(texts) and (not some or n + len(texts[k]) < 500_000):
+                some.append(texts[k])
+                n += len(texts[k])
+                k += 1
+            out.append(model.score(*passages(some)) if model else np.full(len(some), 0.5))
+        return np.concatenate(out) if out else np.zeros(0)
+
     def run(parts):
         for batch in parts:
-            k, texts = 0, [x or "" for x in batch.column(1).to_pylist()]
-            scores = []
-            while k < len(texts):
-                some, n = [], 0
-                while k < len(texts) and (not some or n + len(texts[k]) < 500_000):
-                    some.append(texts[k])
-                    n += len(texts[k])
-                    k += 1
-                scores.append(model.score(*passages(some)) if model else np.full(len(some), 0.5))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+            at = batch.schema.get_field_index("text")
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                found = pa.array(scores([x or "" for x in some.column(at).to_pylist()]), pa.float64())
+                columns = [some.column(c) for c in range(some.num_columns)] if keep else [some.column(0)]
+                yield pa.RecordBatch.from_arrays([*columns, found], [*(some.schema.names if keep else ["doc_id"]), "score"])
+
+    rows = docs.drop("score") if keep else docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    schema = StructType([*(rows.schema.fields if keep else [rows.schema["doc_id"]]), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def op1_quality(spark, sf_dir: str, threshold: float = 0.3) -> DataFrame:
