@@ -2,13 +2,15 @@
 
 The tokenizer cuts a text into words before it merges bytes, and words do not act upon each other: the ids of a text
 are those of its words, one after the other. So a text is cut here by the same pattern, and only words that this worker
-has not met go through the library. Texts beyond Latin letters, or with rare control characters, go through it whole.
+has not met go through the library's model. Texts beyond Latin letters, or with rare control characters, go through it whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
@@ -18,8 +20,26 @@ NUMBER = "0-9²³¹¼-¾"
 SPACE = "\\t-\\r \\x85\\xa0"
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PLAIN = re.compile("[\\x00-\\x1b\\x20-ɏ]*")
-#: Words kept by a worker; beyond, it begins anew. Bounds its memory to some 100 MB.
-MOST_WORDS = 300_000
+#: Words kept by a worker; beyond, the first half of them stays, which holds the frequent ones. Some 150 MB.
+MOST_WORDS = 700_000
+
+
+def _alphabet() -> dict[int, str]:
+    """The sign that byte-level models write for each byte: itself where it is printable, else the next from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class _Words(dict):
+    """What a word is encoded to; found by ``encode`` when the word is met first."""
+
+    def __init__(self, encode) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: str):
+        value = self[word] = self.encode(word)
+        return value
 
 
 class Encoder:
@@ -30,42 +50,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.signs = self.tokenizer.model, _alphabet()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = np.dtype(self.dtype).char
         self.offsets = offsets
-        self.words: dict = {}
+        self.words = _Words(self._spans_of if offsets else self._ids_of)
+
+    def _tokens(self, word: str) -> list:
+        return self.model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.signs))
+
+    def _ids_of(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self._tokens(word)]).tobytes()
 
-    def _encoded(self, texts: list[str]) -> list:
-        if not self.offsets:
-            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        pairs = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        return [(len(x), x[:, 0].tobytes(), x[:, 1].tobytes()) for x in pairs]
+    def _spans_of(self, word: str) -> tuple[int, bytes, bytes]:
+        """Number of tokens, their first characters and the ones after their last; a part of a character counts whole."""
+        ends = np.cumsum([len(t.value) for t in self._tokens(word)], dtype=np.int32)
+        starts = np.concatenate([np.zeros(1, np.int32), ends[:-1]])
+        if not word.isascii():
+            char = np.repeat(np.arange(len(word), dtype=np.int32), [len(c.encode("utf-8", "surrogatepass")) for c in word])
+            starts, ends = char[starts], char[ends - 1] + 1
+        return len(ends), starts.tobytes(), ends.tobytes()
 
-    def _cut(self, texts: list[str]) -> list[list[str] | None]:
-        """The words of each text, all of them known to self.words; None for a text to be encoded whole."""
-        cut = [WORD.findall(x) if PLAIN.fullmatch(x) else None for x in texts]
+    def _cut(self, text: str) -> list[str] | None:
+        """The words of a text; None for a text to be encoded whole."""
         if len(self.words) > MOST_WORDS:
-            self.words = {}
-        new = set().union(*(x for x in cut if x)) - self.words.keys()
-        if new:
-            new = list(new)
-            self.words.update(zip(new, self._encoded(new)))
-        return cut
+            first = dict(islice(self.words.items(), MOST_WORDS // 2))
+            self.words.clear()
+            self.words.update(first)
+        return WORD.findall(text) if PLAIN.fullmatch(text) else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.dtype."""
-        get = None
         out = []
-        for text, words in zip(texts, self._cut(texts)):
-            get = get or self.words.__getitem__
-            out.append(self._encoded([text])[0] if words is None else b"".join(map(get, words)))
+        for text in texts:
+            words = self._cut(text)
+            if words is None:
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+            else:
+                out.append(b"".join(map(self.words.__getitem__, words)))
         return out
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The first character of each token, and the one after its last."""
-        words = self._cut([text])[0]
+        words = self._cut(text)
         if words is None:
-            _, starts, ends = self._encoded([text])[0]
-            return np.frombuffer(starts, np.int32), np.frombuffer(ends, np.int32)
+            pairs = np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int32).reshape(-1, 2)
+            return pairs[:, 0], pairs[:, 1]
         found = list(map(self.words.__getitem__, words))
         to = np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), dtype=np.int32)
         base = np.repeat(np.concatenate([np.zeros(1, np.int32), to])[:-1], np.fromiter((x[0] for x in found), np.int32, len(found)))
