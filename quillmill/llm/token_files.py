@@ -165,7 +165,8 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
     # one row for each file: a window over all of them is small, whatever the files hold
     before = F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     files = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("base"), "n_tokens")
-    return files.repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of partitions that is asked for stays as it is: a task for each file, however small the rows are
+    return files.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class _Ids:

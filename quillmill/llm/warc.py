@@ -84,18 +84,18 @@ class _Package:
         self.index.append(json.dumps({"page_id": page_id, "offset": self.size, "length": len(packed)}))
         self.size += len(packed)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.data.close()
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as index:
             index.write("".join(x + "\n" for x in self.index).encode())
         self.zip.close()
         self.sink.close()
         self.fs.move(self.own, self.path)
-        return self.name, len(self.index)
+        return self.name, len(self.index), self.size
 
 
 def write_packages(pages: DataFrame, path: str, min_bytes: int = 100, most_bytes: int = 256 << 20, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Writes a record for each of pages (page_id, url, html) below ``path``; returns (file, n_records).
+    """Writes a record for each of pages (page_id, url, html) below ``path``; returns (file, n_records, bytes).
 
     A null html is an empty payload, a null url an empty one. Of equal payloads of at least ``min_bytes``, that with the
     smallest page_id is a response and the others revisit it; rows that repeat that page_id are responses too, as are
@@ -106,7 +106,7 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 100, most_bytes
 
     def write(parts):
         part, n, out = TaskContext.get().partitionId(), 0, None
-        done = lambda p: pa.RecordBatch.from_pylist([dict(zip(("file", "n_records"), p.close()))])
+        done = lambda p: pa.RecordBatch.from_pylist([dict(zip(("file", "n_records", "bytes"), p.close()))])
         for batch in parts:
             for k in range(0, batch.num_rows, 100):
                 for row in batch.slice(k, 100).to_pylist():
@@ -119,7 +119,7 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 100, most_bytes
         if out is not None:
             yield done(out)
 
-    return written(known.mapInArrow(write, "file string, n_records long"), "warc-files")
+    return written(known.mapInArrow(write, "file string, n_records long, bytes long"), "warc-files")
 
 
 def _at(file, offset: int, n: int) -> bytes:
@@ -208,8 +208,12 @@ def read_records(files: DataFrame, path: str, chunk_bytes: int = 16 << 20) -> Da
                 columns = [c.split()[0] for c in RECORDS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.string() if c in ("payload_digest", "record_type") else pa.int64()) for c in columns], columns)
 
-    located = files.select("file").repartition("file").mapInArrow(locate, "file string, chunk long, offset long, length long")
-    return located.repartition("file", "chunk").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
+    # numbers of partitions that are asked for stay as they are, however small the rows: a task for each package, and for
+    # each of the stretches to read
+    n_files, n_bytes = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = n_files + n_bytes // chunk_bytes
+    located = files.select("file").repartition(max(1, n_files)).mapInArrow(locate, "file string, chunk long, offset long, length long")
+    return located.repartition(max(1, tasks), "file", "chunk").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
 
 def op8_warc_zip(spark, sf_dir: str) -> DataFrame:
