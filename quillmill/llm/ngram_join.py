@@ -5,7 +5,9 @@
 2. N-grams get one global order: by the sketch's count, rare ones first, then by hash. Two sets of similarity t or more
    share a token among the first (1 - t) n + 1 of each; sets that share one are chained into blocks. Rare tokens come
    first, so a passage that many documents hold ties none of them together, unless most of the text is that passage.
-3. Each block's sets go into a prefix tree, which links them exactly. Blocks above a size are split into parts; parts
+   A first round of prefixes finds which tokens are shared at all; a second sketch, of these alone, puts them last.
+3. Within a block, prefixes by exact counts leave groups of candidates; each group's sets go into a prefix tree, which
+   links them exactly. Blocks above a size are split into parts; parts
    are joined within, then through representatives, then whatever is not in a block's largest class meets all parts.
 """
 
@@ -124,29 +126,41 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(CHUNK, np.int64)
         for cells in table["cells"]:
             total += np.frombuffer(zlib.decompress(cells.as_py()), "<u2")
-        classes = np.ceil(np.log2(np.maximum(total, 1) + 1)).astype(np.uint8)
-        return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([classes.tobytes()], pa.binary())})
+        return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
 
     both = written(docs.select("doc_id", "text").mapInArrow(first_pass, "doc_id long, size long, digest binary, half long, chunk int, cells binary"), "ngram-profile")
-    classes = np.zeros(2 << CELLS, np.uint8)
-    # 2 * 2^CELLS bytes at most, whatever the input
-    for chunk, part in both.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, classes binary").collect():
-        classes[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.uint8)
-    return both.where("chunk is null").select("doc_id", "size", "digest", "half"), classes.reshape(2, -1)
+    classes = _collected(both.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, classes binary"))
+    return both.where("chunk is null").select("doc_id", "size", "digest", "half"), classes
 
 
-def ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set in the global order: count class, then hash, as ascending tokens (57 bits of the hash stay)."""
+def ordered(grams: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """The set as ascending tokens in the global order: 57 bits of the hash below the class of its count."""
     first, second = _cells(grams)
-    rare = np.minimum(classes[0][first], classes[1][second]).astype(np.uint64)
+    rare = np.minimum(tables[0][0][first], tables[0][1][second]).astype(np.uint64)
     return np.sort(rare << np.uint64(57) | grams >> np.uint64(7))
 
 
-def blocks_of(docs: DataFrame, classes, n: int, percent: int) -> DataFrame:
-    """(half, block): sets by the first 64 bits of their digests, of which some share a token of their prefixes."""
+def _prefix(tokens: np.ndarray, percent: int, tables: list[np.ndarray]) -> np.ndarray:
+    """The tokens of which sets of the similarity share one: (1 - t) n + 1 of them, the rarest.
+
+    The last table rules: where there is one after the first, it counts the shared tokens of the prefixes so far.
+    """
+    if len(tables) > 1:
+        low, high = _token_cells(tokens)
+        tokens = tokens[np.argsort(np.minimum(tables[-1][0][low], tables[-1][1][high]), kind="stable")]
+    return tokens[: len(tokens) - -(-percent * len(tokens) // 100) + 1]
+
+
+def _token_cells(tokens: np.ndarray) -> list[np.ndarray]:
+    mask = np.uint64((1 << CELLS) - 1)
+    return [(tokens & mask).astype(np.int64), (tokens >> np.uint64(CELLS) & mask).astype(np.int64)]
+
+
+def prefix_rows(docs: DataFrame, tables, n: int, percent: int) -> DataFrame:
+    """(token, half) of the prefixes of all sets; half: the first 64 bits of a set's digest."""
 
     def prefixes(parts):
-        table, seen = classes.value, set()
+        known, seen = tables.value, set()
         for batch in parts:
             for _, texts in _groups(batch):
                 tokens, halves, lengths = [], [], []
@@ -154,15 +168,44 @@ def blocks_of(docs: DataFrame, classes, n: int, percent: int) -> DataFrame:
                     half = digest(grams)[:8]
                     if len(grams) and half not in seen:
                         seen.add(half)
-                        # sets of similarity t share ceil(t n) tokens at least
-                        tokens.append(ordered(grams, table)[: len(grams) - -(-percent * len(grams) // 100) + 1])
+                        tokens.append(_prefix(ordered(grams, known), percent, known))
                         halves.append(half)
                         lengths.append(len(tokens[-1]))
                 if tokens:
                     half = np.repeat(np.frombuffer(b"".join(halves), "<i8"), lengths)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(half)], ["token", "half"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(prefixes, "token long, half long")
+    return docs.select("doc_id", "text").mapInArrow(prefixes, "token long, half long")
+
+
+def shared_table(rows: DataFrame) -> np.ndarray:
+    """Classes of the numbers of prefixes that share a token: a sketch of the shared tokens alone, far fewer than all."""
+    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    cells = F.explode(F.array(F.col("token").bitwiseAND((1 << CELLS) - 1), F.shiftrightunsigned("token", CELLS).bitwiseAND((1 << CELLS) - 1) + (1 << CELLS)))
+    counts = shared.select(cells.alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("cell", 16).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        total[table["cell"].to_numpy() % CHUNK] = table["n"].to_numpy()
+        return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
+
+    return _collected(counts.groupBy("chunk").applyInArrow(pack, "chunk int, classes binary"))
+
+
+def _class(total: np.ndarray) -> np.ndarray:
+    return np.ceil(np.log2(total + 1)).astype(np.uint8)
+
+
+def _collected(parts: DataFrame) -> np.ndarray:
+    """A table of two rows of cells, from its chunks: 2 * 2^CELLS bytes at most, whatever the input."""
+    classes = np.zeros(2 << CELLS, np.uint8)
+    for chunk, part in parts.collect():
+        classes[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.uint8)
+    return classes.reshape(2, -1)
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """(half, block): sets of which some share a token of their prefixes, and whatever such sets chain together."""
     centre = F.min("half").over(W.partitionBy("token"))
     edges = rows.withColumn("centre", centre).where("half <> centre").select(F.col("half").alias("a"), F.col("centre").alias("b")).distinct()
     return components(edges).select(F.col("node").alias("half"), F.col("root").alias("block"))
@@ -171,11 +214,40 @@ def blocks_of(docs: DataFrame, classes, n: int, percent: int) -> DataFrame:
 SETS = "block long, part int, parts int, doc_id long, tokens binary"
 
 
+def _candidates(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """Groups of sets, as their numbers, outside of which no two are similar: prefixes by exact counts among these sets."""
+    tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.lexsort((tokens, counts[inverse], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = order[place < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)]
+    kept = kept[counts[inverse[kept]] > 1]
+    kept = kept[np.lexsort((owner[kept], inverse[kept]))]
+    links = Links(len(sets))
+    same = inverse[kept][1:] == inverse[kept][:-1]
+    for a, b in set(zip(owner[kept][:-1][same].tolist(), owner[kept][1:][same].tolist())):
+        links.join(a, b)
+    roots = np.array([links.root(k) for k in range(len(sets))])
+    order = np.argsort(roots, kind="stable")
+    return [g for g in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(g) > 1]
+
+
+def _join_block(sets: list[np.ndarray], percent: int) -> Links:
+    """The classes of the sets of a block, from a prefix tree for each of its groups of candidates."""
+    links = Links(len(sets))
+    for group in _candidates(sets, percent) if len(sets) > 2 else [np.arange(len(sets))]:
+        inner = join([sets[k] for k in group], percent)
+        for k, i in enumerate(group):
+            links.join(int(i), int(group[inner.root(k)]))
+    return links
+
+
 def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 4096, refine: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and representative of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
@@ -190,15 +262,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     known, counts = profile(docs, n)
-    classes = spark.sparkContext.broadcast(counts)
+    some, tables = docs.where("doc_id is not null"), [counts]
+    for _ in range(refine):
+        tables.append(shared_table(prefix_rows(some, spark.sparkContext.broadcast(tables), n, percent)))
+    tables = spark.sparkContext.broadcast(tables)
     sets = known.where("size > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("half").alias("half"))
-    blocks = blocks_of(docs.where("doc_id is not null"), classes, n, percent)
+    blocks = blocks_of(prefix_rows(some, tables, n, percent))
     placed = written(sets.join(blocks, "half").select("block", "rep", "digest"), "ngram-blocks")
     sizes = placed.groupBy("block").agg(F.count("*").alias("n"))
     members = placed.join(sizes.where("n > 1"), "block").withColumn("parts", F.ceil(F.col("n") / part_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
     def tokens(parts):
-        table = classes.value
+        table = tables.value
         schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
         for batch in parts:
             for first, texts in _groups(batch):
@@ -229,7 +304,7 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
         cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             some = table.slice(lo, hi - lo)
-            ids, links = some["doc_id"].to_pylist(), join(_sets(some), percent)
+            ids, links = some["doc_id"].to_pylist(), _join_block(_sets(some), percent)
             out += [(some["block"][0].as_py(), i, ids[links.root(k)]) for k, i in enumerate(ids)]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["block", "doc_id", "root"])
 
@@ -266,9 +341,14 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
         links, first = Links(len(ids)), {}
         for k, root in enumerate(part["root"].to_pylist() + probes["root"].to_pylist()):
             links.join(k, first.setdefault(root, k))
-        tree, pairs = build(_sets(part)), []
-        for k, x in enumerate(_sets(probes), part.num_rows):
-            pairs += [(ids[k], ids[j]) for j in probe(tree, x, k, links, None, percent)]
+        sets, pairs, n = _sets(part) + _sets(probes), [], part.num_rows
+        for group in _candidates(sets, percent):
+            stored, asking = group[group < n], group[group >= n]
+            if not len(stored) or not len(asking):
+                continue
+            tree = build([sets[k] for k in stored], stored.tolist())
+            for k in asking.tolist():
+                pairs += [(ids[k], ids[j]) for j in probe(tree, sets[k], k, links, None, percent)]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=out) if pairs else out.empty_table()
 
     keys = ["block", "part", "chunk"]

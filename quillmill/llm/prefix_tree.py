@@ -45,8 +45,12 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def build(sets: list[np.ndarray]) -> _Node:
-    """The tree of ascending arrays of unsigned 64-bit tokens; runs of tokens without a branch are one node."""
+def build(sets: list[np.ndarray], names: list[int] | None = None) -> _Node:
+    """The tree of ascending arrays of unsigned 64-bit tokens; runs of tokens without a branch are one node.
+
+    names: the sets' numbers in the leaves, else their places.
+    """
+    names = names or list(range(len(sets)))
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * len(sets) + 1000))  # a level for each set at most
     order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
     shared = [0] + [_shared(sets[a], sets[b]) for a, b in zip(order, order[1:])]
@@ -55,7 +59,7 @@ def build(sets: list[np.ndarray]) -> _Node:
     def node(lo: int, hi: int, depth: int) -> _Node:
         if hi - lo == 1:
             s = sets[order[lo]]
-            return _Node(s[depth:], len(s), len(s), len(s), order[lo])
+            return _Node(s[depth:], len(s), len(s), len(s), names[order[lo]])
         to = min(shared[lo + 1 : hi])
         return _Node(sets[order[lo]][depth:to], to, min(sizes[lo:hi]), max(sizes[lo:hi]), -1)
 
