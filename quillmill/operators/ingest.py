@@ -45,7 +45,8 @@ def import_lines(lines: DataFrame, state: DataFrame | None = None) -> dict[str,
     """sessions, events, warnings of lines (path, line_no, value): parse, normalise, name, pair, cut into turns, classify."""
     objects, broken = T.split_valid(lines)
     events, odd = N.normalize(objects)
-    events, unnamed = N.assign_sessions(events)
+    # every frame below reads the normalised events: parse the JSON once; what an executor loses is computed again
+    events, unnamed = N.assign_sessions(events.persist())
     warnings = broken.unionByName(odd).unionByName(unnamed)
     pairs = pairing.pairing_warnings(pairing.calls_of(events)).select("path", "line_no", "code", F.col("call_id").alias("raw_excerpt"))
     warnings = warnings.unionByName(pairs)

@@ -148,6 +148,7 @@ def build_chunks(sessions: DataFrame, events: DataFrame, per_session: int = 12,
     if per_session < 1:
         raise ValueError("per_session must be 1 at least")
     turns = turn_chunks(events).withColumn("turn_index", F.col("turn_index").cast("long"))
-    first = cap_chunks(session_chunks(sessions, events).unionByName(turns), per_session)
+    # read twice below, and a plan of this size is better not planned twice
+    first = cap_chunks(session_chunks(sessions, events).unionByName(turns), per_session).persist()
     cited = first.select(F.explode("evidence_event_ids").alias("event_id"))
     return trim_chunks(cap_chunks(first.unionByName(evidence_chunks(events, cited)), per_session), max_chars)
