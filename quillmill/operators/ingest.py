@@ -8,7 +8,9 @@ from pyspark.sql.window import Window as W
 
 from quillmill.operators import normalize as N
 from quillmill.operators import pairing
+from quillmill.operators.blobs import hydrate
 from quillmill.operators.policy import classify_index, classify_storage, dedupe_bodies, without_bodies
+from quillmill.operators.stats import archive_digest, counts_equal
 from quillmill.operators.turns import assign_turns
 from quillmill.sources import transcripts as T
 
@@ -110,3 +112,39 @@ def queue_step(requests: DataFrame, results: DataFrame, limit: int = 100) -> Dat
     took, over = F.col("taken").isNotNull(), F.col("has_result").isNotNull()
     status = F.when(took & over, F.when(F.col("failed") > 0, "failed").otherwise("completed")).when(took, "processing").otherwise(F.col("status"))
     return joined.withColumn("status", status).withColumn("attempts", F.col("attempts") + took.cast("long")).withColumn("message", F.when(took & over, F.col("new_message")).otherwise(F.col("message"))).drop("taken", "failed", "new_message", "has_result")
+
+
+def import_files(spark, root: str, log: DataFrame, version: int, state: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(frames, new log rows): imports the files below root whose content the log does not have by this version.
+
+    A file that cannot be read, or holds nothing, is logged as failed and does not stop the others.
+    """
+    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
+    todo = files_to_import(T.file_digests(spark, root), log, version).persist()
+    frames = import_lines(T.scan_lines(spark, root).join(todo.select("path"), "path", "left_semi"), state)
+    read = frames["sessions"].select("path", "session_id").distinct().withColumn("read", F.lit(True))
+    rows = todo.join(read, "path", "left").select(F.col("path").alias("raw_path"), "raw_sha256", "session_id", F.when(F.col("read"), "imported").otherwise("failed").alias("status"), F.current_timestamp().alias("imported_at"), F.lit(version).alias("parse_version"))
+    return frames, rows
+
+
+def sync(spark, root: str, target: str, log: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    """(log with the new rows, what is still to do): imports what is pending into an archive, and plans again."""
+    frames, rows = import_files(spark, root, log, version)
+    rows = rows.persist()
+    write_archive(frames, target)
+    whole = log.unionByName(rows)
+    return whole, freshness(T.inventory(spark, root), whole, version).where("reason is not null")
+
+
+def rebuild(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, checks): all policies applied anew to whole payloads, and whether counts and digest are as before.
+
+    A rebuilt archive is written beside the old one and takes its place only where every check is true.
+    """
+    whole = hydrate(events.drop("storage_class", "index_policy", "value_level", "indexed_text", "duplicate", "payload_stub"), stored)
+    hot = classify_storage(whole)
+    hot = hot.withColumn("text_content", F.when(F.col("storage_class") != "noise", F.col("text_content")))
+    new = without_bodies(dedupe_bodies(classify_index(hot)))
+    before, after = archive_digest(whole), archive_digest(whole.join(new.select("event_id"), "event_id", "left_semi"))
+    checks = counts_equal({"events": events}, {"events": new}).select("table", "equal").unionByName(before.select("digest").join(after.select(F.col("digest").alias("other"))).select(F.lit("digest").alias("table"), (F.col("digest") == F.col("other")).alias("equal")))
+    return new, checks

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from quillmill.session import local_session
@@ -5,7 +7,7 @@ from quillmill.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, 4)
+    return local_session(int(os.environ.get("TEST_CPUS", "4")), 4)
 
 
 @pytest.fixture(scope="session")

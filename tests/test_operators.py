@@ -89,7 +89,7 @@ def test_privacy(spark):
     redacted = docs.select(privacy.redacted(F.col("text")).alias("t")).first().t
     assert "sk_ABC" not in redacted and "example.org" not in redacted and "[REDACTED:api_key]" in redacted
     by_span = {r.id: r.text for r in privacy.redact_spans(docs, spans, "id", "text").collect()}
-    assert by_span[1] == "key [REDACTED:api_key] and [REDACTED:api_key]\" mail [REDACTED:email] in [REDACTED:posix_abs_path] and [REDACTED:windows_abs_path][REDACTED:private_key]" or "sk_ABC" not in by_span[1]
+    assert "sk_ABC" not in by_span[1] and "example.org" not in by_span[1] and by_span[1].startswith("key [REDACTED:api_key] and [REDACTED:")
     assert by_span[2] == "nothing" and by_span[3] is None
 
 
@@ -196,11 +196,10 @@ def test_exports(spark, tmp_path):
 def test_titles(spark):
     data = [("  # Fix  it # ",), ("x://threads/1",), ("01234567-89ab-cdef-0123-456789abcdef",), ("w" * 60,), (None,)]
     got = [r.t for r in spark.createDataFrame(data, "v string").select(browse.friendly_title(F.col("v")).alias("t")).collect()]
-    assert got == ["Fix  it".replace("  ", " "), "", "", "w" * 57 + "…", ""]
+    assert got == ["Fix it", "", "", "w" * 57 + "…", ""]
 
 
 def test_paths_are_hidden(spark):
     df = spark.createDataFrame([("/home/me", "posix_abs_path", "/home/me/x")], "raw_path string, kind string, excerpt string")
     assert browse.hide_paths(df).first().asDict() == {"kind": "posix_abs_path", "excerpt": None}
-    assert privacy.hide_known_paths is not None
     assert df.select(privacy.hide_known_paths(F.lit("a C:\\x\\y b C:/x/y"), ["C:\\x", "C:\\x\\y"]).alias("t")).first().t == "a [path] b [path]"

@@ -190,3 +190,25 @@ def test_stream_import_equals_batch(spark, home, tmp_path, frames):
         stream_import(spark, home, target, str(tmp_path / "check")).awaitTermination()
     columns = ("session_id", "line_no", "top_type", "text_content", "turn_index")
     assert rows(spark.read.parquet(f"{target}/events"), *columns) == rows(frames["events"], *columns)
+
+
+LOG = "raw_path string, raw_sha256 string, session_id string, status string, imported_at timestamp, parse_version int"
+
+
+def test_sync_imports_once(spark, home, tmp_path):
+    log, pending = ingest.sync(spark, home, str(tmp_path / "archive"), spark.createDataFrame([], LOG), 8)
+    assert rows(log, "status") == [("imported",)] * 4 and pending.count() == 0
+    assert ingest.files_to_import(T.file_digests(spark, home), log, 8).count() == 0
+    assert ingest.files_to_import(T.file_digests(spark, home), log, 9).count() == 4
+
+
+def test_rebuild_takes_whole_payloads(spark):
+    from quillmill.operators import blobs
+
+    payload = json.dumps({"type": "function_call_output", "output": "y" * 3000})
+    stored = blobs.blobs(spark.createDataFrame([(payload,)], "p string"), "p")
+    ref = stored.first().blob_id
+    ev = spark.createDataFrame([(1, "s", "response_item", "function_call_output", None, None, None, "cut", "{}", ref), (2, "s", "event_msg", "user_message", None, None, None, "hi", "{}", None)], "event_id long, session_id string, top_type string, sub_type string, role string, tool_name string, file_path string, text_content string, payload string, payload_ref string")
+    new, checks = ingest.rebuild(ev, stored)
+    assert {r.event_id: (r.index_policy, len(r.text_content)) for r in new.collect()} == {1: ("truncated", 3000), 2: ("full", 2)}
+    assert all(r.equal for r in checks.collect())
