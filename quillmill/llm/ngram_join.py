@@ -26,8 +26,8 @@ from .graph import components
 from .prefix_tree import Links, build, join, probe
 from .scratch import written
 
-#: Cells of each of the sketch's two rows, as a power of two. The whole sketch is 2 * 2^21 bytes as broadcast.
-CELLS = 21
+#: Cells of each of a table's two rows, as powers of two: of all n-grams, and of what is shared. A byte each as broadcast.
+CELLS, SHARED_CELLS = 20, 22
 CHUNK = 1 << 16
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -129,7 +129,7 @@ def profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
         return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
 
     both = written(docs.select("doc_id", "text").mapInArrow(first_pass, "doc_id long, size long, digest binary, half long, chunk int, cells binary"), "ngram-profile")
-    classes = _collected(both.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, classes binary"))
+    classes = _collected(both.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, classes binary"), CELLS)
     return both.where("chunk is null").select("doc_id", "size", "digest", "half"), classes
 
 
@@ -152,8 +152,8 @@ def _prefix(tokens: np.ndarray, percent: int, tables: list[np.ndarray]) -> np.nd
 
 
 def _token_cells(tokens: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << CELLS) - 1)
-    return [(tokens & mask).astype(np.int64), (tokens >> np.uint64(CELLS) & mask).astype(np.int64)]
+    mask = np.uint64((1 << SHARED_CELLS) - 1)
+    return [(tokens & mask).astype(np.int64), (tokens >> np.uint64(SHARED_CELLS) & mask).astype(np.int64)]
 
 
 def prefix_rows(docs: DataFrame, tables, n: int, percent: int) -> DataFrame:
@@ -180,25 +180,30 @@ def prefix_rows(docs: DataFrame, tables, n: int, percent: int) -> DataFrame:
 
 def shared_table(rows: DataFrame) -> np.ndarray:
     """Classes of the numbers of prefixes that share a token: a sketch of the shared tokens alone, far fewer than all."""
-    shared = rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    cells = F.explode(F.array(F.col("token").bitwiseAND((1 << CELLS) - 1), F.shiftrightunsigned("token", CELLS).bitwiseAND((1 << CELLS) - 1) + (1 << CELLS)))
-    counts = shared.select(cells.alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("cell", 16).cast("int"))
+    return _table(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token")
+
+
+def _table(df: DataFrame, column: str) -> np.ndarray:
+    """Two rows of cells, each with the class of the sum of n over the values of a column that meet there."""
+    mask = (1 << SHARED_CELLS) - 1
+    cells = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, SHARED_CELLS).bitwiseAND(mask) + (1 << SHARED_CELLS)))
+    counts = df.select(cells.alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("cell", 16).cast("int"))
 
     def pack(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         total[table["cell"].to_numpy() % CHUNK] = table["n"].to_numpy()
         return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
 
-    return _collected(counts.groupBy("chunk").applyInArrow(pack, "chunk int, classes binary"))
+    return _collected(counts.groupBy("chunk").applyInArrow(pack, "chunk int, classes binary"), SHARED_CELLS)
 
 
 def _class(total: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(total + 1)).astype(np.uint8)
 
 
-def _collected(parts: DataFrame) -> np.ndarray:
-    """A table of two rows of cells, from its chunks: 2 * 2^CELLS bytes at most, whatever the input."""
-    classes = np.zeros(2 << CELLS, np.uint8)
+def _collected(parts: DataFrame, cells: int) -> np.ndarray:
+    """A table of two rows of 2^cells cells, from its chunks: a byte for each cell, whatever the input."""
+    classes = np.zeros(2 << cells, np.uint8)
     for chunk, part in parts.collect():
         classes[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.uint8)
     return classes.reshape(2, -1)
@@ -211,9 +216,6 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("half"), F.col("root").alias("block"))
 
 
-SETS = "block long, part int, parts int, doc_id long, tokens binary"
-
-
 def _candidates(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Groups of sets, as their numbers, outside of which no two are similar: prefixes by exact counts among these sets."""
     tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
@@ -268,27 +270,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     tables = spark.sparkContext.broadcast(tables)
     sets = known.where("size > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("half").alias("half"))
     blocks = blocks_of(prefix_rows(some, tables, n, percent))
-    placed = written(sets.join(blocks, "half").select("block", "rep", "digest"), "ngram-blocks")
+    placed = written(sets.join(blocks, "half").select("block", "rep", "digest", "half"), "ngram-blocks")
     sizes = placed.groupBy("block").agg(F.count("*").alias("n"))
     members = placed.join(sizes.where("n > 1"), "block").withColumn("parts", F.ceil(F.col("n") / part_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
+    # which sets are in a block, for a pass over the texts that ships no text: a false hit is shipped in vain and joins nothing
+    inside = spark.sparkContext.broadcast(_table(members.select("half", F.lit(1).alias("n")), "half"))
+
     def tokens(parts):
-        table = tables.value
-        schema = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("tokens", pa.binary())])
+        known, wanted, seen = tables.value, inside.value, set()
+        schema = pa.schema([("digest", pa.binary()), ("tokens", pa.binary())])
         for batch in parts:
-            for first, texts in _groups(batch):
-                grams = ngrams(texts, n)
-                right = [k for k, (g, d) in enumerate(zip(grams, batch.column(4).slice(first, len(texts)).to_pylist())) if len(g) and digest(g) == d]
-                rows = batch.slice(first, len(texts)).take(pa.array(right, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in range(4)), pa.array([ordered(grams[k], table).tobytes() for k in right], pa.binary())], schema=schema)
-
-    texts = members.join(docs, members["rep"] == docs["doc_id"]).select("block", "part", "parts", "doc_id", "digest", "text")
-    held = written(texts.mapInArrow(tokens, SETS), "ngram-sets")
+            for _, texts in _groups(batch):
+                rows = []
+                for grams in ngrams(texts, n):
+                    key = digest(grams)
+                    low, high = _token_cells(np.frombuffer(key[:8], "<u8"))
+                    if len(grams) and wanted[0][low[0]] and wanted[1][high[0]] and key not in seen:
+                        seen.add(key)
+                        rows.append((key, ordered(grams, known).tobytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], schema=schema)
+
+    shipped = some.select("doc_id", "text").mapInArrow(tokens, "digest binary, tokens binary")
+    held = shipped.join(members, "digest").dropDuplicates(["digest"]).select("block", "part", "parts", F.col("rep").alias("doc_id"), "tokens")
+    held = written(held, "ngram-sets")
     roots = _classes(spark, held, percent, part_size)
     found = sets.join(roots, sets["rep"] == roots["doc_id"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return (
         known.join(found, "digest", "left")
-        .withColumn("component_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+        .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
         .select("doc_id", F.col("size").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("representative"))
     )
 
