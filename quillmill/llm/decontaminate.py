@@ -7,7 +7,6 @@ of diagonals; bands that reach the bound are aligned.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,13 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-SPACES = re.compile(r"\s+")
 REGIONS = "doc_id long, item_id long, start long, end long, distance int"
 
 
 def normalised(text: str | None) -> str:
     """Lower case, each run of white space one space, none at the ends. Spans count characters of this text."""
-    return SPACES.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 def gram_hashes(flat: np.ndarray, q: int) -> np.ndarray:
@@ -47,6 +45,10 @@ def gram_hashes(flat: np.ndarray, q: int) -> np.ndarray:
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Fewest edits of the item against any stretch of the text, within the diagonals low to high: (edits, start, end)."""
+    if len(item) <= len(text):  # no edit at all: the first characters say where
+        for d in np.flatnonzero(text[: len(text) - len(item) + 1] == item[0]):
+            if low <= d <= high and (text[d : d + len(item)] == item).all():
+                return 0, int(d), int(d) + len(item)
     diagonals = np.arange(low, high + 1)
     far = 1 << 20
     row = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
@@ -138,13 +140,19 @@ class Items:
         if not len(at):
             return []
         text = np.searchsorted(borders, at, "right") - 1
+        # an item that shares too few grams with a whole text shares too few with any band of it
+        pair = text * len(self.texts) + item
+        enough = np.bincount(pair, minlength=1)[pair] >= self.bound[item]
+        at, item, place, text = at[enough], item[enough], place[enough], text[enough]
+        if not len(at):
+            return []
         diagonal = at - place
         width = 2 * self.edits[item] + 16
         band = diagonal // width
         # bands overlap: a run of diagonals as wide as the edits lies whole in one band of either series
         second = (diagonal + width // 2) // width
-        found = set()
-        for series, b in ((0, band), (1, second)):
+        found, aligned = set(), set()
+        for b in (band, second):
             order = np.lexsort((b, item, text))
             key = np.stack([text[order], item[order], b[order]])
             new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
@@ -159,6 +167,9 @@ class Items:
                 low, high = int(diagonal[some].min()) - k, int(diagonal[some].max()) + k
                 begin = max(int(borders[t]), low - k)
                 end = min(int(borders[t + 1]), high + len(self.texts[i]) + k)
+                if (t, i, low, high) in aligned:  # the bands of both series hold it
+                    continue
+                aligned.add((t, i, low, high))
                 edits, start, stop = align(self.texts[i], flat[begin:end], low - begin, high - begin)
                 if edits <= k:
                     found.add((t, i, begin + start - int(borders[t]), begin + stop - int(borders[t]), edits))

@@ -23,19 +23,17 @@ def attribute(starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, n_chars:
     for the section of its first character (rule "first"), of its last one ("last"), or for the one that holds most of
     it, the earlier at a tie ("most"). Tokens that hold only a part of a character count where that character is.
     """
-    if not len(starts):
-        return np.zeros(len(begins), np.int64), 0
-    first = np.searchsorted(begins, starts, "right") - 1
-    last = np.searchsorted(begins, np.maximum(ends - 1, starts), "right") - 1
-    crossing = np.flatnonzero(first != last)
-    owner = last if rule == "last" else first
-    if rule == "most" and len(crossing):
-        owner = first.copy()
+    before = np.searchsorted(starts, begins[1:], "left")  # tokens that begin before each boundary
+    counts = np.diff(np.concatenate([[0], before, [len(starts)]]))
+    crossing = {int(t) for t, b in zip(before - 1, begins[1:]) if t >= 0 and ends[t] > b}
+    if rule != "first":
         borders = np.append(begins, n_chars)
         for t in crossing:
-            held = [min(ends[t], borders[s + 1]) - max(starts[t], borders[s]) for s in range(first[t], last[t] + 1)]
-            owner[t] = first[t] + int(np.argmax(held))
-    return np.bincount(owner, minlength=len(begins)), len(crossing)
+            first, last = (int(np.searchsorted(begins, c, "right")) - 1 for c in (starts[t], ends[t] - 1))
+            held = [min(ends[t], borders[s + 1]) - max(starts[t], borders[s]) for s in range(first, last + 1)]
+            counts[first] -= 1
+            counts[last if rule == "last" else first + int(np.argmax(held))] += 1
+    return counts, len(crossing)
 
 
 def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections=sections_of_lines) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 
@@ -64,12 +64,12 @@ class Encoder:
 
     def _spans_of(self, word: str) -> tuple[int, bytes, bytes]:
         """Number of tokens, their first characters and the ones after their last; a part of a character counts whole."""
-        ends = np.cumsum([len(t.value) for t in self._tokens(word)], dtype=np.int32)
-        starts = np.concatenate([np.zeros(1, np.int32), ends[:-1]])
+        ends = list(accumulate(len(t.value) for t in self._tokens(word)))
+        starts = [0, *ends[:-1]]
         if not word.isascii():
-            char = np.repeat(np.arange(len(word), dtype=np.int32), [len(c.encode("utf-8", "surrogatepass")) for c in word])
-            starts, ends = char[starts], char[ends - 1] + 1
-        return len(ends), starts.tobytes(), ends.tobytes()
+            char = [k for k, c in enumerate(word) for _ in c.encode("utf-8", "surrogatepass")]
+            starts, ends = [char[b] for b in starts], [char[b - 1] + 1 for b in ends]
+        return len(ends), array("i", starts).tobytes(), array("i", ends).tobytes()
 
     def _cut(self, text: str) -> list[str] | None:
         """The words of a text; None for a text to be encoded whole."""
