@@ -5,7 +5,7 @@
 2. N-grams get one global order: by the sketch's count, rare ones first, then by hash. Two sets of similarity t or more
    share a token among the first (1 - t) n + 1 of each; sets that share one are chained into blocks. Rare tokens come
    first, so a passage that many documents hold ties none of them together, unless most of the text is that passage.
-   A first round of prefixes finds which tokens are shared at all; a second sketch, of these alone, puts them last.
+   Rounds of prefixes find which tokens are shared at all; a sketch of these alone, after each round, puts them last.
 3. Within a block, prefixes by exact counts leave groups of candidates; each group's sets go into a prefix tree, which
    links them exactly. Blocks above a size are split into parts; parts
    are joined within, then through representatives, then whatever is not in a block's largest class meets all parts.
@@ -143,11 +143,13 @@ def ordered(grams: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
 def _prefix(tokens: np.ndarray, percent: int, tables: list[np.ndarray]) -> np.ndarray:
     """The tokens of which sets of the similarity share one: (1 - t) n + 1 of them, the rarest.
 
-    The last table rules: where there is one after the first, it counts the shared tokens of the prefixes so far.
+    Tables after the first count the tokens that prefixes shared, round by round; a token's largest count rules, so that
+    what one round has put last stays there in the next.
     """
     if len(tables) > 1:
         low, high = _token_cells(tokens)
-        tokens = tokens[np.argsort(np.minimum(tables[-1][0][low], tables[-1][1][high]), kind="stable")]
+        shared = np.max([np.minimum(t[0][low], t[1][high]) for t in tables[1:]], axis=0)
+        tokens = tokens[np.argsort(shared, kind="stable")]
     return tokens[: len(tokens) - -(-percent * len(tokens) // 100) + 1]
 
 
@@ -249,7 +251,7 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 4096, refine: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 4096, refine: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and representative of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
