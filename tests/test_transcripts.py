@@ -62,8 +62,13 @@ def home(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def frames(spark, home):
-    return {name: df.cache() for name, df in ingest.import_lines(T.scan_lines(spark, home)).items()}
+def frames(spark, home, tmp_path_factory):
+    """Written and read again, as an archive is."""
+    root, out = tmp_path_factory.mktemp("frames"), {}
+    for name, df in ingest.import_lines(T.scan_lines(spark, home)).items():
+        df.write.parquet(str(root / name))
+        out[name] = spark.read.parquet(str(root / name))
+    return out
 
 
 def rows(df, *columns):
