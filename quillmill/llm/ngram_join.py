@@ -221,9 +221,11 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 def _candidates(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     """Groups of sets, as their numbers, outside of which no two are similar: prefixes by exact counts among these sets."""
     tokens, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    order = np.lexsort((tokens, counts[inverse], owner))
+    inverse, counts = inverse.astype(np.int32), counts.astype(np.int32)
+    del tokens
+    order = np.lexsort((inverse, counts[inverse], owner))
     place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = order[place < np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)]
     kept = kept[counts[inverse[kept]] > 1]
@@ -251,7 +253,7 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 4096, refine: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 1024, refine: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and representative of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
@@ -322,7 +324,7 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["block", "doc_id", "root"])
 
     n = held.count()
-    bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, n // 1024))))
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, n // 256))))
     local = held.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(within, "block long, doc_id long, root long")
     local = written(local, "ngram-local")
     large = held.where("parts > 1")
