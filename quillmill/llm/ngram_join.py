@@ -7,8 +7,9 @@
    first, so a passage that many documents hold ties none of them together, unless most of the text is that passage.
    Rounds of prefixes find which tokens are shared at all; a sketch of these alone, after each round, puts them last.
 3. Within a block, prefixes by exact counts leave groups of candidates; each group's sets go into a prefix tree, which
-   links them exactly. Blocks above a size are split into parts; parts
-   are joined within, then through representatives, then whatever is not in a block's largest class meets all parts.
+   links them exactly. Blocks above a size are first taken apart by exact counts of their own, over all their sets; what
+   is above the size still is split into parts. Parts are joined within, then through representatives, then whatever is
+   not in a block's largest class meets all parts.
 """
 
 from __future__ import annotations
@@ -253,7 +254,7 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 1024, refine: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, refine: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id and representative of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
@@ -308,6 +309,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     )
 
 
+def _split_exactly(large: DataFrame, percent: int, part_size: int) -> DataFrame:
+    """Sets of large blocks in the blocks that exact counts leave: prefixes again, by how many sets of a block hold a
+    token. What was chained by passages alone falls apart; sets that share no prefix token with another are gone."""
+
+    def unpack(parts):
+        for batch in parts:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                sets = [np.frombuffer(x, "<i8") for x in some.column(2).to_pylist()]
+                sizes = [len(x) for x in sets]
+                repeated = [np.repeat(some.column(c).to_numpy(), sizes) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*repeated, np.concatenate(sets))], ["block", "doc_id", "token"])
+
+    rows = large.select("block", "doc_id", "tokens").mapInArrow(unpack, "block long, doc_id long, token long")
+    counts = rows.groupBy("block", "token").agg(F.count("*").alias("n"))
+    by_set = W.partitionBy("doc_id")
+    counted = rows.join(counts, ["block", "token"]).withColumn("place", F.row_number().over(by_set.orderBy("n", "token"))).withColumn("size", F.count("*").over(by_set))
+    kept = counted.where(f"n > 1 and place <= size - ceil({percent} * size / 100) + 1")
+    edges = kept.withColumn("centre", F.min("doc_id").over(W.partitionBy("block", "token"))).where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
+    blocks = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
+    sizes = blocks.groupBy("block").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
+    placed = blocks.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    return placed.join(large.select("doc_id", "tokens"), "doc_id").select("block", "part", "parts", "doc_id", "tokens")
+
+
 def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
     """doc_id, root (the smallest doc_id of its class) of the sets of all blocks."""
 
@@ -323,6 +349,8 @@ def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
             out += [(some["block"][0].as_py(), i, ids[links.root(k)]) for k, i in enumerate(ids)]
         return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["block", "doc_id", "root"])
 
+    if not held.where("parts > 1").isEmpty():
+        held = written(held.where("parts = 1").unionByName(_split_exactly(held.where("parts > 1"), percent, part_size)), "ngram-sets")
     n = held.count()
     bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, n // 256))))
     local = held.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(within, "block long, doc_id long, root long")
