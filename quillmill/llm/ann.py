@@ -3,7 +3,8 @@
 Vectors are cut into pairs of components, each pair coded by one of 16 centroids. Codes and centroids are chosen for the
 score-aware loss: of a vector's residual, the part along the vector counts ``eta`` times as much as the rest, since it
 alone moves the inner products with queries that the vector is near to. A query's scores are sums of table entries;
-the best of each block of candidates are then scored exactly, in double precision, on the original vectors.
+the best of each block of candidates are then scored exactly, in double precision, on the original vectors, and so is
+every other one that the bound of its residual does not rule out: the k nearest are exact.
 """
 
 from __future__ import annotations
@@ -87,6 +88,11 @@ class Quantiser:
         codes = np.pad(codes, ((0, 0), (0, self.pairs % 2))).astype(np.uint8)
         return codes[:, ::2] | codes[:, 1::2] << 4
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        pairs = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)[:, : self.pairs]
+        return self.centroids[np.arange(self.pairs), pairs].reshape(len(codes), -1)[:, : self.dim]
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """For each query and byte of a code, the scores of the byte's 256 values: sums of two four-bit tables."""
         q, _ = self._cut(queries)
@@ -96,24 +102,51 @@ class Quantiser:
 
 
 def scan(quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int):
-    """The k best of a block for each query: (query_id, vec_id, score) arrays. ids ascend."""
+    """The k best of a block for each query, exactly: (query_id, vec_id, score) arrays. ids ascend.
+
+    The ``rerank`` best by table scan give a score that k vectors reach at least; every other vector whose score can
+    reach it, by the table's sum and the bound of its residual, is scored too. The residual's part along the decoded
+    vector scales the sum; the rest of it meets the part of the query across the decoded vector alone.
+    """
     columns = np.ascontiguousarray(codes.T)
+    full = vectors.astype(np.float64)
+    decoded = quantiser.decode(codes)
+    norm = np.linalg.norm(decoded, axis=1)
+    square = np.where(norm > 0, norm, 1.0) ** 2
+    gain = np.where(norm > 0, (full * decoded).sum(1) / square, 1.0)
+    across = np.linalg.norm(full - gain[:, None] * decoded, axis=1)
+    lengths, length = np.linalg.norm(queries.astype(np.float64), axis=1), np.linalg.norm(full, axis=1)
     for lo in range(0, len(queries), 64):
-        q, q_ids = queries[lo : lo + 64], query_ids[lo : lo + 64]
+        q, q_ids, q_norm = queries[lo : lo + 64].astype(np.float64), query_ids[lo : lo + 64], lengths[lo : lo + 64]
         tables = quantiser.tables(q)
         about = np.zeros((len(q), len(ids)), np.float32)
         for s, column in enumerate(columns):
             about += tables[:, s].take(column, axis=1)
+        reach = np.full(len(q), -np.inf)
         for i in range(len(q)):
             row = about[i]
             if len(row) > rerank + 1:
                 border = np.partition(row, -(rerank + 1))[-(rerank + 1)]
                 above, ties = np.flatnonzero(row > border), np.flatnonzero(row == border)
-                some = np.concatenate([above, ties[: rerank + 1 - len(above)]])  # equal vectors tie: the smaller ids stay
+                some = np.concatenate([above, ties[: rerank + 1 - len(above)]])
             else:
                 some = np.arange(len(row))
             some = some[ids[some] != q_ids[i]]
-            exact = (vectors[some].astype(np.float64) * q[i].astype(np.float64)).sum(1)
+            if len(some) >= k:
+                reach[i] = np.partition((full[some] * q[i]).sum(1), -k)[-k]
+        # rounding: of sums in single precision, of products in double; "not below" lets what is not a number pass
+        slack = (len(columns) + 8) * 2.0**-23 * q_norm[:, None]
+        error = slack * norm + len(columns) * 2.0**-148
+        along = np.maximum(np.abs(about) - error, 0) / np.sqrt(square)
+        most = about * gain + np.sqrt(np.maximum(q_norm[:, None] ** 2 - along**2, 0)) * across + error * np.abs(gain) + slack * length
+        can = ~(most < reach[:, None]) | ~np.isfinite(about)
+        rows = np.flatnonzero(can.any(0))
+        fine = 1e-12 * q_norm[:, None] * length[rows]
+        can = can[:, rows] & ~(q @ full[rows].T < reach[:, None] - fine)
+        for i in range(len(q)):
+            some = rows[can[i]]
+            some = some[ids[some] != q_ids[i]]
+            exact = (full[some] * q[i]).sum(1)
             best = np.lexsort((ids[some], -exact))[:k]
             yield np.full(len(best), q_ids[i]), ids[some[best]], exact[best]
 
@@ -123,7 +156,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
 
     Every row is indexed; the quantiser is fitted on the ``sample`` vectors that come first by a hash of vec_id. Rows
     are dealt by hash into blocks of some ``block`` candidates and ``query_block`` queries; each pair of blocks gives
-    each query's k best of it, found among ``rerank`` by table scan, and the best of all blocks are returned.
+    each query's k best of it, and the best of all blocks are returned. ``rerank`` candidates by table scan set the score
+    that others must be able to reach; it decides cost alone, never a result.
 
     Ties go to the smaller vec_id; a query's own vec_id is no candidate of its. Rows with a null id, and vectors that
     are null, empty, zero, hold null or non-finite components, or have another length than most, take no part. Rows

@@ -159,6 +159,26 @@ def test_nearest(spark):
     assert hits / (20 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["unrelated", "clusters", "near copies", "copies"])
+def test_a_whole_block_is_exact(kind):
+    """At the block and rerank of production: recall is 1 whatever the codes of close vectors are."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(8192, 64))
+    if kind == "clusters":
+        x = rng.normal(size=(10, 64))[rng.integers(0, 10, len(x))] + 0.3 * x
+    elif kind != "unrelated":  # a third of the rows
+        x[: len(x) // 3] = rng.normal(size=64) + (0.02 if kind == "near copies" else 0) * x[: len(x) // 3]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), 64)
+    fitted = ann.Quantiser(64).fit(x.astype(float))
+    found = list(ann.scan(fitted, ids, x, fitted.encode(x.astype(float)), asked, x[asked].astype(float), 20, 128))
+    assert len(found) == len(asked)
+    for q, (q_ids, near, scores) in zip(asked, found):
+        exact = (x.astype(np.float64) * x[q]).sum(1)
+        want = [i for i in np.lexsort((ids, -exact)) if i != q][:20]
+        assert set(q_ids) == {q} and near.tolist() == want and scores.tolist() == exact[want].tolist()
+
+
 def test_nearest_of_few(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(few, few.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
