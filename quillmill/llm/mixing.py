@@ -19,6 +19,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 CELLS = 4096
 #: Slots ranked, and documents summed up, by one task at most (about).
 CHUNK = 8192
+#: Slot numbers from one point to the next: room for slots that are added behind it.
+BESIDE = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -27,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], cap: float) -> DataFrame:
-    """One row per source: index, size, documents and target.
+    """One row per source: index, size, documents, target, and the end of what the mix takes: the target in whole words.
 
     The whole mix is ``share`` times all sizes, dealt by weight; no target is above ``cap`` times its source's size,
     and what is above goes to the others by weight. That is a water level: sources in order of cap / weight are
@@ -50,12 +52,18 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], c
         .withColumn("block", F.greatest(F.lit(1), F.least(F.lit(4096), F.floor(F.sum("target").over(everywhere) / (2000 * F.count("*").over(everywhere))))).cast("long"))
         .withColumn("to", F.sum("target").over(W.orderBy("sid")))
         .withColumn("total", F.sum("target").over(everywhere))
-        .select("source", "sid", "source_size", "n_docs", "target", "block", (F.col("to") - F.col("target")).alias("lo"), F.col("to").alias("hi"), "total")
+        .withColumn("end", F.least(F.round("target"), F.floor(F.col("source_size") * F.lit(float(cap)))).cast("long"))
+        .select("source", "sid", "source_size", "n_docs", "target", "block", "end", (F.col("to") - F.col("target")).alias("lo"), F.col("to").alias("hi"), "total")
     )
 
 
 def schedule(sources: DataFrame) -> DataFrame:
-    """The slots in the order of the mix: slot, sid and rank (which of its source's blocks the slot takes)."""
+    """The slots in the order of the mix: slot, sid and rank (which of its source's blocks the slot takes).
+
+    Each source has as many slots as blocks up to its end. Where more points fall into its interval, the last of them
+    take nothing; where fewer do, slots are added at even distances, counted from a place of the source's own, behind
+    the points' slots there. Slots ascend, with gaps.
+    """
     spark = sources.sparkSession
     n_slots, n_sources = sources.agg(F.max(F.ceil(F.col("total") / F.col("block"))), F.count("*")).first()
     cell = lambda x: F.floor(x * CELLS)
@@ -64,18 +72,25 @@ def schedule(sources: DataFrame) -> DataFrame:
     spans = sources.where("hi > lo").select("sid", lo.alias("lo"), F.when(F.col("hi") >= F.col("total"), F.lit(2.0)).otherwise(hi).alias("hi"), F.explode(F.sequence(cell(lo), F.least(cell(hi), F.lit(CELLS - 1)))).alias("cell"))
     point = F.col("id") * F.lit(GOLDEN)
     points = spark.range(int(n_slots or 0)).select(F.col("id").alias("slot"), (point - F.floor(point)).alias("point"))
-    slots = points.withColumn("cell", cell(F.col("point"))).join(spans, "cell").where("point >= lo and point < hi").select("slot", "sid", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    hit = points.withColumn("cell", cell(F.col("point"))).join(spans, "cell").where("point >= lo and point < hi").select((F.col("slot") * BESIDE).alias("slot"), "sid")
+    blocks = sources.select("sid", F.ceil(F.col("end") / F.col("block")).alias("blocks")).where("blocks > 0")
+    missing = blocks.join(hit.groupBy("sid").agg(F.count("*").alias("hits")), "sid", "left").withColumn("missing", F.col("blocks") - F.coalesce("hits", F.lit(0))).where("missing > 0")
+    place = F.col("sid") * F.lit(GOLDEN) + (F.col("k") + F.lit(0.5)) / F.col("missing")
+    added = missing.withColumn("k", F.explode(F.expr("sequence(0L, missing - 1)"))).select("sid", "k", F.floor((place - F.floor(place)) * F.lit(int(n_slots or 0))).alias("beside"))
+    added = added.select((F.col("beside") * BESIDE + F.row_number().over(W.partitionBy("beside").orderBy("sid", "k"))).alias("slot"), "sid")
+    slots = hit.unionByName(added).withColumn("chunk", F.floor(F.col("slot") / (CHUNK * BESIDE)))
     chunks = slots.groupBy("sid", "chunk").agg(F.count("*").alias("n"))
     starts = chunks.select("sid", "chunk", (F.sum("n").over(W.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("from"))
     inside = F.row_number().over(W.partitionBy("sid", "chunk").orderBy("slot")) - 1
-    return slots.withColumn("inside", inside).join(starts, ["sid", "chunk"]).select("slot", "sid", (F.col("from") + F.col("inside")).alias("rank"))
+    ranked = slots.withColumn("inside", inside).join(starts, ["sid", "chunk"]).select("slot", "sid", (F.col("from") + F.col("inside")).alias("rank"))
+    return ranked.join(blocks, "sid").where("rank < blocks").select("slot", "sid", "rank")
 
 
 def positions(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Each document's start within its source's words, the documents shuffled by a hash of their ids."""
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     docs = (
-        sizes.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "block", "n_docs"), F.col("source").eqNullSafe(F.col("s")))
+        sizes.join(sources.select(F.col("source").alias("s"), "sid", "source_size", "block", "end", "n_docs"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("at", hashed)
         .withColumn("buckets", F.ceil(F.col("n_docs") / CHUNK))
         .withColumn("bucket", F.least(F.floor((F.col("at") / F.lit(2.0**64) + F.lit(0.5)) * F.col("buckets")), F.col("buckets") - 1))
@@ -83,16 +98,16 @@ def positions(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     sums = docs.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     starts = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("from"))
     inside = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("at", "doc_id", "size", "rid").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    return docs.withColumn("inside", inside).join(starts, ["sid", "bucket"]).select("rid", "sid", "size", "source_size", "block", (F.col("from") + F.col("inside")).alias("start"))
+    return docs.withColumn("inside", inside).join(starts, ["sid", "bucket"]).select("rid", "sid", "size", "source_size", "block", "end", (F.col("from") + F.col("inside")).alias("start"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), cap: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Mixes documents (doc_id, source, text); returns (sizes, sources, pieces).
 
     pieces is the mix: ordered by slot and start, each row says that the mix takes ``words`` words of document ``rid``
-    from word ``start`` of its source's shuffled words. A source whose slots ask for more words than it has begins
-    again, up to ``cap`` times. Blocks have equal numbers of words: 4,096, or less where the whole mix is small, so that
-    every source gets hundreds of slots.
+    from word ``start`` of its source's shuffled words. A source whose target is more words than it has begins again, up
+    to ``cap`` times. Blocks have equal numbers of words: 4,096, or less where the whole mix is small, but for the last
+    of each source, which ends at the target: every source gives its target in whole words, however small it is.
 
     A null or empty text has size 0 and gives no piece. A null source is a source of its own, after all others. Null
     and repeated ids are allowed: rows are told apart by ``rid``, which is no part of the order but between rows that
@@ -101,8 +116,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("rid", F.monotonically_increasing_id()), "mix-sizes")
     sources = written(source_targets(sizes, share, weights, cap), "mix-sources")
     slots = schedule(sources)
-    asked = slots.groupBy("sid").agg(F.count("*").alias("slots"))
-    placed = positions(sizes, sources, seed).where("size > 0").join(asked, "sid").withColumn("end", F.least(F.col("slots") * F.col("block"), F.floor(F.col("source_size") * F.lit(float(cap))).cast("long")))
+    placed = positions(sizes, sources, seed).where("size > 0 and end > 0")
     rounds = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("end") - 1) / F.col("source_size")).cast("int"))))
     first = F.col("start") + F.col("turn") * F.col("source_size")
     spans = rounds.select("rid", "sid", "block", first.alias("lo"), F.least(first + F.col("size"), F.col("end")).alias("hi")).where("lo < hi")

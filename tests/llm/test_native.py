@@ -94,6 +94,23 @@ def test_blocks_are_equal_and_slots_interleave(spark):
     assert 1 in first and 0 in first
 
 
+def test_small_sources_meet_their_targets(spark):
+    """Sources of a thousandth of the average and less, beside large ones."""
+    lengths = {"a": [2000] * 400, "b": [1], "c": [50] * 5, "d": [3, 4], "e": [2000] * 400, "f": [700] * 3, "g": [9], None: [30, 31]}
+    rows = [(1000 * k + i, s, "w " * n) for k, (s, all_) in enumerate(lengths.items()) for i, n in enumerate(all_)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sizes, sources, pieces = mixing.mix(docs)
+    want = plain_targets({s: sum(x) for s, x in lengths.items()})
+    taken = {r.source: r.n for r in pieces.join(sources, "sid").groupBy("source").agg(F.sum("words").alias("n")).collect()}
+    assert taken == {s: math.floor(t + 0.5) for s, t in want.items()}
+    slots = sorted({(r.slot, r.sid, r["rank"]) for r in pieces.collect()})
+    assert len({x[0] for x in slots}) == len(slots)  # a slot is one source's
+    for sid in {x[1] for x in slots}:
+        assert [x[2] for x in slots if x[1] == sid] == list(range(sum(x[1] == sid for x in slots)))
+    small = [k / len(slots) for k, x in enumerate(slots) if x[1] not in (0, 4)]
+    assert min(small) < 0.5 < max(small)  # not all at one end of the mix
+
+
 def test_mixing_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert mixing.op9_mix_sources(spark, str(tmp_path)).count() == 0
