@@ -156,12 +156,30 @@ def fit(x: np.ndarray, n: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_passages: int = 40_000) -> Model | None:
     """Fits on the ``sample`` labelled documents that come first by a hash of doc_id, none of them held out.
 
-    Of these, in that order, as many as have ``most_passages`` passages together (each with its whole text; the first
-    always). That bounds what the driver holds. Null labels are left out; where no label is left the result is None.
+    Of these, as many as have ``most_passages`` passages together (each with its whole text; the first always): in that
+    order those of a hundredth of that at most, then longer ones, the shortest first. So no long text takes the place of
+    many. Where that leaves documents out, and room for one of a hundredth or more, further labelled documents in the order
+    stand in for those left out. All that bounds what the driver holds. Null labels are left out; where no label
+    is left the result is None.
     """
-    chosen = labels.where(f"quality is not null and doc_id is not null and not {HELD_OUT}").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    # at most ``sample`` rows of two numbers: safe to broadcast
-    rows = docs.where(f"not {HELD_OUT}").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    in_order = labels.where(f"quality is not null and doc_id is not null and not {HELD_OUT}").select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+    candidates = sample
+    while True:
+        some, left_out = _sampled(docs, in_order.limit(candidates), most_passages, None if candidates == sample else sample)
+        full = not left_out or len(some) >= sample or sum(r["n"] for r in some) > most_passages - most_passages // 100
+        if full or in_order.limit(candidates + 1).count() <= candidates:
+            break
+        candidates *= 4
+    if not some:
+        return None
+    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in some]).astype(float)
+    return fit(x, np.array([r["n"] for r in some]), np.array([float(r["quality"] > 0) for r in some]))
+
+
+def _sampled(docs: DataFrame, chosen: DataFrame, most_passages: int, most_rows: int | None) -> tuple[list, bool]:
+    """Rows quality, n (passages) and x (their features) of the chosen documents that fit; and whether any did not."""
+    # without ``most_rows`` at most as many rows of two numbers as train's ``sample``: safe to broadcast
+    rows = docs.where(f"not {HELD_OUT}").select("doc_id", "text").join(chosen if most_rows else F.broadcast(chosen), "doc_id")
 
     def encode(parts):
         for batch in parts:
@@ -171,13 +189,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_passages:
                     yield pa.RecordBatch.from_pylist([{"doc_id": row["doc_id"], "quality": row["quality"], "n": int(n[0]), "x": x.astype("<f4").tobytes()}], pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("n", pa.int32()), ("x", pa.binary())]))
 
     schema = StructType.fromDDL("doc_id long, quality int, n int, x binary")
-    encoded = rows.selectExpr("cast(doc_id as long) doc_id", "text", "cast(quality as int) quality").mapInArrow(encode, schema).orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
-    total = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "quality"))
-    some = [r for r in encoded.withColumn("upto", total).where(f"upto <= {most_passages} or upto = n").select("quality", "n", "x").collect()]
-    if not some:
-        return None
-    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, N_FEATURES) for r in some]).astype(float)
-    return fit(x, np.array([r["n"] for r in some]), np.array([float(r["quality"] > 0) for r in some]))
+    encoded = rows.selectExpr("cast(doc_id as long) doc_id", "text", "cast(quality as int) quality").mapInArrow(encode, schema)
+    by_length = W.orderBy(F.greatest("n", F.lit(most_passages // 100)), F.xxhash64("doc_id"), "doc_id", "quality")
+    ranked = encoded.withColumn("upto", F.sum("n").over(by_length.rowsBetween(W.unboundedPreceding, 0))).withColumn("place", F.row_number().over(by_length))
+    fits = f"(upto <= {most_passages} or place = 1)" + (f" and place <= {most_rows}" if most_rows else "")
+    # the first that does not fit says that some were left out
+    found = ranked.withColumn("fits", F.expr(fits)).withColumn("before", F.coalesce(F.lag("fits").over(by_length), F.lit(True))).where("fits or before")
+    found = found.select("quality", "n", F.when(F.col("fits"), F.col("x")).alias("x"), "fits").collect()
+    return [r for r in found if r["fits"]], not all(r["fits"] for r in found)
 
 
 def score(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:

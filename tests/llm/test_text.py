@@ -129,6 +129,16 @@ def test_quality_learns_and_keeps_all_rows(spark):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == 405
 
 
+def test_long_labelled_documents_leave_the_sample_its_size(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda x, n, y: fitted.append(sorted(n.tolist())))
+    for long in (lambda i: i % 50 == 0, lambda i: i % 10 > 0, lambda i: True):
+        docs = spark.createDataFrame([(i, " ".join(["word"] * (64 * (300 + i) if long(i) else 64))) for i in range(500)], "doc_id long, text string")
+        quality.train(docs, docs.select("doc_id", F.lit(1).alias("quality")), sample=30, most_passages=1000)
+    assert fitted[0] == [1] * 30 and fitted[1][:30] == [1] * 30
+    assert len(fitted[2]) >= 2 and sum(fitted[2]) <= 1000  # where all are long, as many as fit
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int")) is None
