@@ -5,26 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import new_path, removed, written_at
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root (the smallest node that it reaches) of all nodes of edges (a, b), of any order.
 
     Each round links every node's neighbours to the smallest of them (first those above the node, then all), until no
-    edge changes. Rounds grow with the logarithm of the number of nodes. Each is written to the shared folder. Nodes
-    with many neighbours meet their minimum, one row, by a join that Spark splits by itself.
+    edge changes. Rounds grow with the logarithm of the number of nodes. Each is written to the shared folder, and
+    deleted when the next one is. Nodes with many neighbours meet their minimum, one row, by a join that Spark splits
+    by itself.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark, paths = edges.sparkSession, []
+
+    def kept(df: DataFrame) -> DataFrame:
+        paths.append(new_path(spark, "edges"))
+        out = written_at(df, paths[-1])
+        removed(spark, *paths[:-1])
+        del paths[:-1]
+        return out
+
+    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     n, total = None, None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "edges")
+        large = kept(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = written(small.where("a <> b").distinct(), "edges")
+        edges = kept(small.where("a <> b").distinct())
         # a star for each component, and so no more change: each node has one edge, and no centre has any
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (now[0], now[1]) == (n, total):

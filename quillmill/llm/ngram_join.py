@@ -1,24 +1,25 @@
 """Near-duplicate documents: an exact Jaccard join of word n-gram sets over prefix trees.
 
-1. One pass hashes each document's distinct n-grams, digests the set, and counts all n-grams in a sketch of fixed size.
-   Documents with equal sets are one class from here on.
-2. N-grams get one global order: by the sketch's count, rare ones first, then by hash. Two sets of similarity t or more
-   share a token among the first (1 - t) n + 1 of each; sets that share one are chained into blocks. Rare tokens come
-   first, so a passage that many documents hold ties none of them together, unless most of the text is that passage.
-   Rounds of prefixes find which tokens are shared at all; a sketch of these alone, after each round, puts them last.
+1. One pass cuts the documents into chunks, hashes each document's distinct n-grams, digests the set, and sends every
+   chunk's n-grams, as sorted gaps of some two bytes, to buckets of hashes. A bucket sees all chunks: it answers each
+   with the class of the count of every n-gram. Documents with equal sets are one class from here on.
+2. A set linked to another at similarity t shares t n of its n-grams with it. So a set with fewer n-grams that other
+   documents hold is out at once: most are. The others get one global order, by class of count, rare ones first, then
+   by hash: two linked sets share a token among the first (1 - t) n + 1 of each. Sets that do are chained into blocks.
+   A passage that many documents hold stands last in all of them and ties none together, unless most of the text is
+   that passage.
 3. Within a block, prefixes by exact counts leave groups of candidates; each group's sets go into a prefix tree, which
-   links them exactly. Blocks above a size are first taken apart by exact counts of their own, over all their sets; what
-   is above the size still is split into parts. Parts are joined within, then through representatives, then whatever is
-   not in a block's largest class meets all parts.
+   links them exactly. Blocks above a size are joined in parts: each within, then through representatives of their
+   classes; then whatever is not in its block's largest class meets the parts with which it shares a token.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -27,9 +28,15 @@ from .graph import components
 from .prefix_tree import Links, build, join, probe
 from .scratch import written
 
-#: Cells of each of a table's two rows, as powers of two: of all n-grams, and of what is shared. A byte each as broadcast.
-CELLS, SHARED_CELLS = 20, 22
-CHUNK = 1 << 16
+#: Bits of a hash, below those that name its bucket, that tell n-grams apart when they are counted. Two n-grams that
+#: agree in them count as one: such an error (under 1 %) can put a set among the candidates, never take one out.
+KEPT = 28
+#: Bytes of text for each bucket of hashes, as a power of two: some two million n-grams.
+BUCKET_BYTES = 24
+#: Characters of text in a chunk, a longer text being one of its own.
+CHUNK_CHARS = 1 << 21
+#: Documents that share an n-gram meet under one of them by as many at once, as a power of two.
+STAR = 12
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256)
@@ -44,10 +51,20 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def ngrams(texts: list[str], n: int) -> list[np.ndarray]:
-    """The distinct hashes of the word n-grams of each text, ascending. Fewer words than n: one hash of them all."""
+def ngrams(texts: list[bytes], n: int, most: int = 1 << 19) -> list[np.ndarray]:
+    """The distinct hashes of the word n-grams of each text (UTF-8), ascending. Fewer words than n: one hash of them all."""
+    out, k = [], 0
+    while k < len(texts):
+        first, size = k, 0
+        while k < len(texts) and (k == first or size + len(texts[k]) <= most):
+            size += len(texts[k])
+            k += 1
+        out += _ngrams(texts[first:k], n)
+    return out
+
+
+def _ngrams(raw: list[bytes], n: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
-        raw = [x.encode("utf-8", "surrogatepass") for x in texts]
         data = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
         if not len(data):
             return []
@@ -82,141 +99,136 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _cells(grams: np.ndarray) -> list[np.ndarray]:
-    """The cell of each hash in either row of the sketch."""
-    with np.errstate(over="ignore"):
-        return [(grams >> np.uint64(64 - CELLS)).astype(np.int64), ((grams * NEXT) >> np.uint64(64 - CELLS)).astype(np.int64)]
+def _packed(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True)
 
 
-def _groups(batch: pa.RecordBatch, most: int = 400_000):
-    """Rows of a batch (ids and whatever else, the text last) in bounded groups: (first row, texts)."""
-    column = batch.column(batch.num_columns - 1)
-    k = 0
+def _unpacked(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
+
+
+def _chunks(batch: pa.RecordBatch):
+    """Rows (doc_id, text) of a batch in bounded runs: (first row, texts as bytes)."""
+    column, k = batch.column(1), 0
     while k < batch.num_rows:
         some, n, first = [], 0, k
-        while k < batch.num_rows and (not some or n < most):
+        while k < batch.num_rows and (not some or n < CHUNK_CHARS):
             text = column[k].as_py() or ""
-            some.append(text)
+            some.append(text.encode("utf-8", "surrogatepass"))
             n += len(text)
             k += 1
         yield first, some
 
 
-def profile(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, size, digest, half of the digest) of each document, and the classes of counts of the sketch: (2, cells) small integers."""
-
-    def first_pass(parts):
-        counts = np.zeros((2, 1 << CELLS), np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("half", pa.int64()), ("chunk", pa.int32()), ("cells", pa.binary())])
-        for batch in parts:
-            for first, texts in _groups(batch):
-                sets = ngrams(texts, n)
-                rows = pa.array([len(s) for s in sets], pa.int64())
-                flat = np.concatenate(sets)
-                for row, cells in zip(counts, _cells(flat)):
-                    np.add.at(row, cells, 1)
-                digests = [digest(s) for s in sets]
-                half = pa.array(np.frombuffer(b"".join(x[:8] for x in digests), "<i8"))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), rows, pa.array([x if len(s) else None for x, s in zip(digests, sets)], pa.binary()), half, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
-        for chunk, cells in enumerate(counts.reshape(-1, CHUNK)):
-            if cells.any():
-                packed = zlib.compress(np.minimum(cells, 65535).astype("<u2").tobytes(), 1)
-                yield pa.RecordBatch.from_pylist([{"doc_id": None, "size": None, "digest": None, "half": None, "chunk": chunk, "cells": packed}], schema=schema)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        for cells in table["cells"]:
-            total += np.frombuffer(zlib.decompress(cells.as_py()), "<u2")
-        return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
-
-    both = written(docs.select("doc_id", "text").mapInArrow(first_pass, "doc_id long, size long, digest binary, half long, chunk int, cells binary"), "ngram-profile")
-    classes = _collected(both.where("chunk is not null").select("chunk", "cells").groupBy("chunk").applyInArrow(add, "chunk int, classes binary"), CELLS)
-    return both.where("chunk is null").select("doc_id", "size", "digest", "half"), classes
-
-
-def ordered(grams: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-    """The set as ascending tokens in the global order: 57 bits of the hash below the class of its count."""
-    first, second = _cells(grams)
-    rare = np.minimum(tables[0][0][first], tables[0][1][second]).astype(np.uint64)
-    return np.sort(rare << np.uint64(57) | grams >> np.uint64(7))
-
-
-def _prefix(tokens: np.ndarray, percent: int, tables: list[np.ndarray]) -> np.ndarray:
-    """The tokens of which sets of the similarity share one: (1 - t) n + 1 of them, the rarest.
-
-    Tables after the first count the tokens that prefixes shared, round by round; a token's largest count rules, so that
-    what one round has put last stays there in the next.
-    """
-    if len(tables) > 1:
-        low, high = _token_cells(tokens)
-        shared = np.max([np.minimum(t[0][low], t[1][high]) for t in tables[1:]], axis=0)
-        tokens = tokens[np.argsort(shared, kind="stable")]
-    return tokens[: len(tokens) - -(-percent * len(tokens) // 100) + 1]
+def _keys(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n-grams of a chunk: the distinct hashes as they are counted, ascending; the place of each n-gram among
+    them; and the counts."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return np.unique(flat >> np.uint64(64 - bits - KEPT), return_inverse=True, return_counts=True)
 
 
-def _token_cells(tokens: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << SHARED_CELLS) - 1)
-    return [(tokens & mask).astype(np.int64), (tokens >> np.uint64(SHARED_CELLS) & mask).astype(np.int64)]
+PROFILE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def prefix_rows(docs: DataFrame, tables, n: int, percent: int) -> DataFrame:
-    """(token, half) of the prefixes of all sets; half: the first 64 bits of a set's digest."""
+def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """Three kinds of rows: a document's set (bucket -2: doc_id, size, digest, chunk), a chunk's texts (bucket -1: one of
+    each distinct set; n bytes of lengths and texts), and a chunk's n-grams in a bucket of hashes (n of them)."""
 
-    def prefixes(parts):
-        known, seen = tables.value, set()
+    def rows(parts):
+        chunk = TaskContext.get().partitionId() << 32
         for batch in parts:
-            for _, texts in _groups(batch):
-                tokens, halves, lengths = [], [], []
-                for grams in ngrams(texts, n):
-                    half = digest(grams)[:8]
-                    if len(grams) and half not in seen:
-                        seen.add(half)
-                        tokens.append(_prefix(ordered(grams, known), percent, known))
-                        halves.append(half)
-                        lengths.append(len(tokens[-1]))
-                if tokens:
-                    half = np.repeat(np.frombuffer(b"".join(halves), "<i8"), lengths)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(half)], ["token", "half"])
-
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "token long, half long")
-
-
-def shared_table(rows: DataFrame) -> np.ndarray:
-    """Classes of the numbers of prefixes that share a token: a sketch of the shared tokens alone, far fewer than all."""
-    return _table(rows.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token")
-
-
-def _table(df: DataFrame, column: str) -> np.ndarray:
-    """Two rows of cells, each with the class of the sum of n over the values of a column that meet there."""
-    mask = (1 << SHARED_CELLS) - 1
-    cells = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, SHARED_CELLS).bitwiseAND(mask) + (1 << SHARED_CELLS)))
-    counts = df.select(cells.alias("cell"), "n").groupBy("cell").agg(F.sum("n").alias("n")).withColumn("chunk", F.shiftright("cell", 16).cast("int"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
-        total[table["cell"].to_numpy() % CHUNK] = table["n"].to_numpy()
-        return pa.table({"chunk": table["chunk"][:1], "classes": pa.array([_class(total).tobytes()], pa.binary())})
-
-    return _collected(counts.groupBy("chunk").applyInArrow(pack, "chunk int, classes binary"), SHARED_CELLS)
-
-
-def _class(total: np.ndarray) -> np.ndarray:
-    return np.ceil(np.log2(total + 1)).astype(np.uint8)
-
+            for first, texts in _chunks(batch):
+                ids = batch.column(0).slice(first, len(texts))
+                sets = ngrams(texts, n)
+                digests = [digest(s) if len(s) else None for s in sets]
+                m = len(sets)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array([-2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=PROFILE)
+                once = list({d: k for k, (d, i) in enumerate(zip(digests, ids.is_valid().to_pylist())) if d is not None and i}.values())
+                if once:
+                    whole = np.array([len(once), *(len(texts[k]) for k in once)], "<u4").tobytes() + b"".join(texts[k] for k in once)
+                    keys, _, counts = _keys([sets[k] for k in once], bits)
+                    place = np.flatnonzero(np.diff(keys >> np.uint64(KEPT), prepend=np.uint64(2**63)))
+                    buckets, sizes, data = [-1], [len(whole)], [_packed(whole)]
+                    for lo, hi in zip(place, np.append(place[1:], len(keys))):
+                        buckets.append(int(keys[lo] >> np.uint64(KEPT)))
+                        sizes.append(int(hi - lo))
+                        data.append(_bucket_data(keys[lo:hi] & np.uint64((1 << KEPT) - 1), counts[lo:hi]))
+                    m = len(data)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], schema=PROFILE)
+                chunk += 1
+
+    return written(docs.mapInArrow(rows, "doc_id long, size long, digest binary, chunk long, bucket int, n long, data binary"), "ngram-profile")
+
+
+def _bucket_data(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as gaps, byte by byte of lower to higher order, and their counts."""
+    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u4")
+    return _packed(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes() + np.minimum(counts, 65535).astype("<u2").tobytes())
+
+
+def count_classes(table: pa.Table) -> pa.Table:
+    """chunk, bucket, n, classes: of each of a chunk's n-grams in this bucket, the class of its count in all chunks: 0 for
+    one, k for more than 2^(k-1) and up to 2^k."""
+    sizes = table["n"].to_pylist()
+    keys, counts = [], []
+    for data, size in zip(table["data"], sizes):
+        raw = _unpacked(data.as_py(), 6 * size)
+        keys.append(np.cumsum(np.ascontiguousarray(np.frombuffer(raw[: 4 * size], np.uint8).reshape(4, size).T).view("<u4").ravel(), dtype=np.uint32))
+        counts.append(np.frombuffer(raw[4 * size :], "<u2"))
+    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts))
+    classes = np.ceil(np.log2(total)).astype(np.uint8)[place]
+    ends = np.cumsum(sizes)
+    out = [_packed(classes[e - s : e].tobytes()) for e, s in zip(ends, sizes)]
+    return pa.table([table["chunk"], table["bucket"], table["n"], pa.array(out, pa.binary())], names=["chunk", "bucket", "n", "classes"])
+
+
+def possible_sets(rows: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """digest, chunk, size, tokens (in the global order), prefix of the sets that may be linked: those with enough n-grams
+    that other documents hold. prefix: the tokens of which linked sets share one, without those that no other has."""
+
+    def choose(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        out = pa.schema([("digest", pa.binary()), ("chunk", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+        if not texts.num_rows:
+            return out.empty_table()
+        whole = _unpacked(texts["data"][0].as_py(), texts["n"][0].as_py())
+        m = int(np.frombuffer(whole, "<u4", 1)[0])
+        ends = np.cumsum(np.frombuffer(whole, "<u4", m, 4), dtype=np.int64) + 4 * (m + 1)
+        sets = ngrams([whole[lo:hi] for lo, hi in zip([4 * (m + 1), *ends[:-1]], ends)], n)
+        answers = answers.sort_by("bucket")
+        classes = np.frombuffer(b"".join(_unpacked(d.as_py(), size) for d, size in zip(answers["classes"], answers["n"].to_pylist())), np.uint8)
+        classes = classes[_keys(sets, bits)[1]].astype(np.uint64)
+        found, at = [], 0
+        for s in sets:
+            own = classes[at : at + len(s)]
+            at += len(s)
+            need = -(-percent * len(s) // 100)
+            if np.count_nonzero(own) >= need:
+                tokens = np.sort(own << np.uint64(57) | s >> np.uint64(7))
+                first = tokens[: len(s) - need + 1]
+                found.append((digest(s), len(s), tokens.tobytes(), first[first >= np.uint64(1 << 57)].view(np.int64)))
+        if not found:
+            return out.empty_table()
+        digests, sizes, tokens, prefix = zip(*found)
+        return pa.table([pa.array(digests, pa.binary()), pa.array([texts["chunk"][0].as_py()] * len(found), pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))], schema=out)
 
-def _collected(parts: DataFrame, cells: int) -> np.ndarray:
-    """A table of two rows of 2^cells cells, from its chunks: a byte for each cell, whatever the input."""
-    classes = np.zeros(2 << cells, np.uint8)
-    for chunk, part in parts.collect():
-        classes[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(part, np.uint8)
-    return classes.reshape(2, -1)
+    counted = rows.where("bucket >= 0").select("chunk", "bucket", "n", "data").groupBy("bucket").applyInArrow(count_classes, "chunk long, bucket int, n long, classes binary")
+    texts = rows.where("bucket = -1").select("chunk", "n", "data")
+    return texts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(choose, "digest binary, chunk long, size long, tokens binary, prefix array<long>")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """(half, block): sets of which some share a token of their prefixes, and whatever such sets chain together."""
-    centre = F.min("half").over(W.partitionBy("token"))
-    edges = rows.withColumn("centre", centre).where("half <> centre").select(F.col("half").alias("a"), F.col("centre").alias("b")).distinct()
-    return components(edges).select(F.col("node").alias("half"), F.col("root").alias("block"))
+    """(half, block) of rows (token, half): sets of which some share a token, and whatever such sets chain together.
+
+    A token's class, in its upper bits, says how many have it at most: those of a token with many are dealt into stars
+    of 2^STAR, and the stars' centres meet.
+    """
+    most = F.shiftrightunsigned("token", 57)
+    dealt = rows.withColumn("star", F.when(most > STAR, F.pmod(F.xxhash64("half"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, 57) as int) - {STAR})"))).otherwise(F.lit(0)))
+    stars = dealt.withColumn("centre", F.min("half").over(W.partitionBy("token", "star")))
+    edges = stars.where("half <> centre").select(F.col("half").alias("a"), F.col("centre").alias("b")).distinct()
+    centres = stars.where(most > STAR).select("token", F.col("centre").alias("a")).distinct().withColumn("b", F.min("a").over(W.partitionBy("token")))
+    return components(edges.union(centres.where("a <> b").select("a", "b"))).select(F.col("node").alias("half"), F.col("root").alias("block"))
 
 
 def _candidates(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
@@ -254,149 +266,122 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, refine: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id and representative of docs (doc_id, text), over whole texts.
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, part_tokens: int = 4_000_000) -> DataFrame:
+    """doc_id, n_shingles, component_id, representative and class of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
     runs of ``n`` words; a text of fewer words is one such run. Sets link at Jaccard similarity percent / 100 or more;
     component_id is the smallest doc_id that links reach, the document's own included. representative: component_id
-    equals doc_id.
+    equals doc_id. set: a digest of the document's set; class: a digest that names its component.
 
-    Null, empty and blank texts have no set, link with nothing, and are components of their own. Rows with a null
-    doc_id count for nothing and get a null component_id. Rows that repeat a doc_id are linked to whatever one of them
-    links to. Further columns are ignored; an empty table gives no rows.
+    Null, empty and blank texts have no set, link with nothing, and are components of their own (set and class null).
+    Rows with a null doc_id count for nothing and get a null component_id and class. Of rows that share a doc_id, each
+    belongs to the component of its own text. Further columns are ignored; an empty table gives no rows.
+    part_size, part_tokens: sets and their n-grams that one task joins at once; a longer set has a part of its own.
     """
-    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    known, counts = profile(docs, n)
-    some, tables = docs.where("doc_id is not null"), [counts]
-    for _ in range(refine):
-        tables.append(shared_table(prefix_rows(some, spark.sparkContext.broadcast(tables), n, percent)))
-    tables = spark.sparkContext.broadcast(tables)
-    sets = known.where("size > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("half").alias("half"))
-    blocks = blocks_of(prefix_rows(some, tables, n, percent))
-    placed = written(sets.join(blocks, "half").select("block", "rep", "digest", "half"), "ngram-blocks")
-    sizes = placed.groupBy("block").agg(F.count("*").alias("n"))
-    members = placed.join(sizes.where("n > 1"), "block").withColumn("parts", F.ceil(F.col("n") / part_size).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-
-    # which sets are in a block, for a pass over the texts that ships no text: a false hit is shipped in vain and joins nothing
-    inside = spark.sparkContext.broadcast(_table(members.select("half", F.lit(1).alias("n")), "half"))
-
-    def tokens(parts):
-        known, wanted, seen = tables.value, inside.value, set()
-        schema = pa.schema([("digest", pa.binary()), ("tokens", pa.binary())])
-        for batch in parts:
-            for _, texts in _groups(batch):
-                rows = []
-                for grams in ngrams(texts, n):
-                    key = digest(grams)
-                    low, high = _token_cells(np.frombuffer(key[:8], "<u8"))
-                    if len(grams) and wanted[0][low[0]] and wanted[1][high[0]] and key not in seen:
-                        seen.add(key)
-                        rows.append((key, ordered(grams, known).tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows)], schema=schema)
-
-    shipped = some.select("doc_id", "text").mapInArrow(tokens, "digest binary, tokens binary")
-    held = shipped.join(members, "digest").dropDuplicates(["digest"]).select("block", "part", "parts", F.col("rep").alias("doc_id"), "tokens")
-    held = written(held, "ngram-sets")
-    roots = _classes(spark, held, percent, part_size)
-    found = sets.join(roots, sets["rep"] == roots["doc_id"], "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
-    return (
-        known.join(found, "digest", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-        .select("doc_id", F.col("size").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("representative"))
-    )
-
-
-def _split_exactly(large: DataFrame, percent: int, part_size: int) -> DataFrame:
-    """Sets of large blocks in the blocks that exact counts leave: prefixes again, by how many sets of a block hold a
-    token. What was chained by passages alone falls apart; sets that share no prefix token with another are gone."""
-
-    def unpack(parts):
-        for batch in parts:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                sets = [np.frombuffer(x, "<i8") for x in some.column(2).to_pylist()]
-                sizes = [len(x) for x in sets]
-                repeated = [np.repeat(some.column(c).to_numpy(), sizes) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*repeated, np.concatenate(sets))], ["block", "doc_id", "token"])
-
-    rows = large.select("block", "doc_id", "tokens").mapInArrow(unpack, "block long, doc_id long, token long")
-    counts = rows.groupBy("block", "token").agg(F.count("*").alias("n"))
-    by_set = W.partitionBy("doc_id")
-    counted = rows.join(counts, ["block", "token"]).withColumn("place", F.row_number().over(by_set.orderBy("n", "token"))).withColumn("size", F.count("*").over(by_set))
-    kept = counted.where(f"n > 1 and place <= size - ceil({percent} * size / 100) + 1")
-    edges = kept.withColumn("centre", F.min("doc_id").over(W.partitionBy("block", "token"))).where("doc_id <> centre").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
-    blocks = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-    sizes = blocks.groupBy("block").agg(F.ceil(F.count("*") / part_size).cast("int").alias("parts"))
-    placed = blocks.join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    return placed.join(large.select("doc_id", "tokens"), "doc_id").select("block", "part", "parts", "doc_id", "tokens")
-
-
-def _classes(spark, held: DataFrame, percent: int, part_size: int) -> DataFrame:
-    """doc_id, root (the smallest doc_id of its class) of the sets of all blocks."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(0, (size >> BUCKET_BYTES).bit_length())
+    rows = profile(docs, n, bits)
+    known = rows.where("bucket = -2").select("doc_id", "size", "digest", "chunk")
+    named = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
+    # of a set that many chunks hold, one row
+    possible = possible_sets(rows, n, percent, bits).join(named.select("digest", "chunk", "rep"), ["digest", "chunk"])
+    possible = written(possible.withColumn("half", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")), "ngram-sets")
+    blocks = blocks_of(possible.select(F.explode("prefix").alias("token"), "half"))
+    placed = written(possible.join(blocks, "half").select("block", "digest", "rep", "size", "tokens", "prefix"), "ngram-blocks")
+    sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
+    parts = F.greatest(F.ceil(F.col("n") / part_size), F.ceil(F.col("all") / part_tokens)).cast("int")
+    held = placed.join(sizes.where("n > 1").select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    classes = _classes(held, percent, part_size)
+
+    # the smallest doc_id of each class; a class may hold any share of all rows
+    salt = F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int")
+    joined = classes.join(placed.select("digest", "rep"), "digest").withColumn("salt", salt)
+    least = joined.groupBy("root").agg(F.min("rep").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    linked = joined.join(least, ["root", "salt"]).select("digest", "root", "component_id")
+    found = named.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "digest").alias("class"), "copies")
+    found = written(found, "ngram-found")
+    # sets of more than a thousandth of all documents are a thousand at most: the documents that hold them stay where they are
+    often = (found.agg(F.sum("copies")).first()[0] or 0) // 1000
+    hot = F.broadcast(found.where(F.col("copies") > often).select("digest", F.col("component_id").alias("hot_id"), F.col("class").alias("hot_class")))
+    near = known.join(hot, "digest", "left")
+    plain = F.col("hot_id").isNull() & F.col("digest").isNotNull()
+    rest = near.where(plain).join(found.where(F.col("copies") <= often), "digest", "left").select("doc_id", "size", "digest", "component_id", "class")
+    there = near.where(~plain).select("doc_id", "size", "digest", F.col("hot_id").alias("component_id"), F.col("hot_class").alias("class"))
+    mine = F.col("doc_id").isNotNull()
+    component = F.when(mine, F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return rest.union(there).select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("representative"), F.col("digest").alias("set"), F.when(mine, F.col("class")).alias("class"))
+
+
+def _classes(held: DataFrame, percent: int, part_size: int) -> DataFrame:
+    """digest, root (the smallest digest of its class) of the sets of all blocks."""
 
     def within(table: pa.Table) -> pa.Table:
-        """Joins each block's part in a bundle of small ones, or a part of a large one."""
+        """Joins each block in a bundle of small ones, or a part of a large one."""
         out = []
-        table = table.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        table = table.sort_by([("block", "ascending"), ("digest", "ascending")])
         block = table["block"].to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             some = table.slice(lo, hi - lo)
-            ids, links = some["doc_id"].to_pylist(), _join_block(_sets(some), percent)
+            ids, links = some["digest"].to_pylist(), _join_block(_sets(some), percent)
             out += [(some["block"][0].as_py(), i, ids[links.root(k)]) for k, i in enumerate(ids)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["block", "doc_id", "root"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "digest", "root"])
 
-    if not held.where("parts > 1").isEmpty():
-        held = written(held.where("parts = 1").unionByName(_split_exactly(held.where("parts > 1"), percent, part_size)), "ngram-sets")
-    n = held.count()
-    bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, n // 256))))
-    local = held.withColumn("bundle", bundle).groupBy("bundle").applyInArrow(within, "block long, doc_id long, root long")
+    schema = "block long, digest binary, root binary"
+    total = held.agg(F.sum("size")).first()[0] or 0
+    bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, total // 500_000))))
+    local = held.withColumn("bundle", bundle).select("bundle", "block", "digest", "tokens").groupBy("bundle").applyInArrow(within, schema)
     local = written(local, "ngram-local")
     large = held.where("parts > 1")
     if large.isEmpty():
-        return local.groupBy("doc_id").agg(F.min("root").alias("root"))
+        return local.select("digest", "root")
 
     # parts meet through their classes' roots, in groups of bounded size
-    heads = local.where("doc_id = root").select("doc_id").join(large, "doc_id")
-    per_block = heads.groupBy("block").agg(F.count("*").alias("heads"))
-    group = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("heads") / part_size))
-    met = heads.join(per_block, "block").withColumn("group", group).groupBy("block", "group").applyInArrow(within, "block long, doc_id long, root long")
-    edges = written(local.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).union(met.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))), "ngram-links")
-    so_far = written(components(edges).select(F.col("node").alias("doc_id"), "root"), "ngram-classes")
-
-    # what is not in the largest class of its block meets every part of the block
-    marked = large.join(so_far, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    heads = local.where("digest = root").select("digest").join(large, "digest")
+    per_block = heads.groupBy("block").agg(F.count("*").alias("heads"), F.sum("size").alias("all"))
+    groups = F.greatest(F.ceil(F.col("heads") / part_size), F.ceil(F.col("all") / (part_size * 2000)))
+    met = heads.join(per_block, "block").withColumn("group", F.pmod(F.xxhash64("digest", F.lit(1)), groups)).select("block", "group", "digest", "tokens").groupBy("block", "group").applyInArrow(within, schema)
+    ends = [F.col("digest").alias("a"), F.col("root").alias("b")]
+    edges = written(local.select(*ends).union(met.select(*ends)), "ngram-links")
+    so_far = components(edges).select(F.col("node").alias("digest"), "root")
+
+    # what is not in the largest class of its block meets the parts in which a set shares a token of its prefix
+    marked = written(large.join(so_far, "digest", "left").withColumn("root", F.coalesce("root", "digest")), "ngram-classes")
     largest = marked.groupBy("block", "root").agg(F.count("*").alias("n")).groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     rest = marked.join(largest, "block").where("root <> largest").drop("largest")
-    many = rest.groupBy("block").agg(F.count("*").alias("rest"))
-    chunks = rest.join(many, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("rest") / part_size))).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-    targets = marked.join(many, "block").withColumn("chunk", F.explode(F.expr(f"sequence(0L, cast(ceil(rest / {part_size}) as long) - 1)")))
-    columns = [F.col(c).alias(c) for c in ("block", "part", "chunk", "doc_id", "root", "tokens")]  # new names: both come from one table
+    there = marked.select("block", "part", F.explode("prefix").alias("token")).distinct()
+    meets = rest.select("block", "digest", F.explode("prefix").alias("token")).join(there, ["block", "token"]).select("block", "part", "digest").distinct()
+    meets = written(meets, "ngram-meets")
+    chunks = F.ceil(F.col("n") / part_size)
+    per_part = meets.groupBy("block", "part").agg(F.count("*").alias("n")).select("block", "part", chunks.alias("chunks"))
+    columns = ["block", "part", "chunk", "digest", "root", "tokens"]
+    asking = meets.join(per_part, ["block", "part"]).withColumn("chunk", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("chunks"))).join(rest.select("digest", "root", "tokens"), "digest").select(*columns)
+    targets = marked.join(per_part, ["block", "part"]).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(*[F.col(c).alias(c) for c in columns])
 
     def across(probes: pa.Table, part: pa.Table) -> pa.Table:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        out = pa.schema([("a", pa.binary()), ("b", pa.binary())])
         if not probes.num_rows or not part.num_rows:
             return out.empty_table()
-        ids = part["doc_id"].to_pylist() + probes["doc_id"].to_pylist()
+        ids = part["digest"].to_pylist() + probes["digest"].to_pylist()
         links, first = Links(len(ids)), {}
         for k, root in enumerate(part["root"].to_pylist() + probes["root"].to_pylist()):
             links.join(k, first.setdefault(root, k))
         sets, pairs, n = _sets(part) + _sets(probes), [], part.num_rows
         for group in _candidates(sets, percent):
-            stored, asking = group[group < n], group[group >= n]
-            if not len(stored) or not len(asking):
+            stored, asked = group[group < n], group[group >= n]
+            if not len(stored) or not len(asked):
                 continue
             tree = build([sets[k] for k in stored], stored.tolist())
-            for k in asking.tolist():
+            for k in asked.tolist():
                 pairs += [(ids[k], ids[j]) for j in probe(tree, sets[k], k, links, None, percent)]
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=out) if pairs else out.empty_table()
+        return pa.table([pa.array(c, pa.binary()) for c in zip(*pairs)], schema=out) if pairs else out.empty_table()
 
     keys = ["block", "part", "chunk"]
-    last = chunks.select(*columns).groupBy(*keys).cogroup(targets.select(*columns).groupBy(*keys)).applyInArrow(across, "a long, b long")
-    return components(edges.union(last)).select(F.col("node").alias("doc_id"), "root").union(local.where("doc_id = root").select("doc_id", "root")).groupBy("doc_id").agg(F.min("root").alias("root"))
+    last = asking.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInArrow(across, "a binary, b binary")
+    joined = components(edges.union(last)).select(F.col("node").alias("digest"), "root")
+    return joined.union(local.where("digest = root").select("digest", "root")).groupBy("digest").agg(F.min("root").alias("root"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
