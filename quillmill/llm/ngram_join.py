@@ -16,9 +16,11 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,15 +28,15 @@ from pyspark.sql.window import Window as W
 
 from .graph import components
 from .prefix_tree import Links, build, join, probe
-from .scratch import written
+from .scratch import new_path, removed, written, written_at
 
 #: Bits of a hash, below those that name its bucket, that tell n-grams apart when they are counted. Two n-grams that
 #: agree in them count as one: such an error (under 1 %) can put a set among the candidates, never take one out.
 KEPT = 28
 #: Bytes of text for each bucket of hashes, as a power of two: some two million n-grams.
 BUCKET_BYTES = 24
-#: Characters of text in a chunk, a longer text being one of its own.
-CHUNK_CHARS = 1 << 21
+#: Bytes of text in a chunk, a longer text being one of its own.
+CHUNK_BYTES = 1 << 21
 #: Documents that share an n-gram meet under one of them by as many at once, as a power of two.
 STAR = 12
 BLANK = np.zeros(256, bool)
@@ -51,45 +53,61 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def ngrams(texts: list[bytes], n: int, most: int = 1 << 19) -> list[np.ndarray]:
-    """The distinct hashes of the word n-grams of each text (UTF-8), ascending. Fewer words than n: one hash of them all."""
-    out, k = [], 0
-    while k < len(texts):
-        first, size = k, 0
-        while k < len(texts) and (k == first or size + len(texts[k]) <= most):
-            size += len(texts[k])
-            k += 1
-        out += _ngrams(texts[first:k], n)
-    return out
+#: Bytes whose words are hashed at once, a longer word being one run of its own.
+RUN = 1 << 18
 
 
-def _ngrams(raw: list[bytes], n: int) -> list[np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of STEP, and of its inverse modulo 2^64."""
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their hashes; data ends with a blank. A word is a polynomial of its bytes, which a
+    difference of running sums gives."""
+    begins, hashes, lo = [], [], 0
+    while lo < len(data):
+        hi = min(lo + RUN, len(data))
+        while not BLANK[data[hi - 1]]:
+            more = np.flatnonzero(BLANK[data[hi : hi + RUN]])
+            hi = hi + int(more[0]) + 1 if len(more) else min(hi + RUN, len(data))
+        some = data[lo:hi]
+        blank = BLANK[some]
+        borders = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # begins and ends by turns; the run ends with a blank
+        if not blank[0]:
+            borders = np.concatenate([[0], borders])
+        if len(borders):
+            power, inverse = _powers(max(RUN, 1 << (len(some) - 1).bit_length()))
+            total = np.cumsum(BYTES[some] * power[: len(some)])
+            first, last = borders[::2], borders[1::2]
+            sums = total[last - 1] - np.where(first > 0, total[first - 1], np.uint64(0))
+            begins.append(first + lo)
+            hashes.append(_mixed(sums * inverse[first]))
+        lo = hi
+    return (np.concatenate(begins), np.concatenate(hashes)) if begins else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def ngrams(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """The distinct hashes of the word n-grams of each text (UTF-8), ascending. Fewer words than n: one hash of them all."""
+    if not texts:
+        return []
     with np.errstate(over="ignore"):
-        data = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
-        if not len(data):
-            return []
-        blank = BLANK[data]
-        starts = ~blank
-        starts[1:] &= blank[:-1]
-        begin = np.flatnonzero(starts)
-        borders = np.searchsorted(begin, np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])]))
-        if len(begin):
-            place = np.arange(begin[0], len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data))))
-            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(place.max(), STEP)]))
-            part = BYTES[data[begin[0] :]] * power[place]
-            part[blank[begin[0] :]] = 0
-            words = _mixed(np.add.reduceat(part, begin - begin[0]))
-            grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
-            for j in range(n):
-                grams = grams * STEP + words[j : len(words) - n + 1 + j]
-            grams = _mixed(grams)
+        begin, words = _words(np.frombuffer(b"\n".join(texts) + b"\n", np.uint8))
+        borders = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in texts)])).tolist()
+        grams = np.zeros(max(0, len(words) - n + 1), np.uint64)
+        for j in range(n):
+            grams = grams * STEP + words[j : len(words) - n + 1 + j] if len(grams) else grams
+        grams = _mixed(grams)
         out = []
         for lo, hi in zip(borders[:-1], borders[1:]):
             if hi - lo >= n:
-                out.append(np.unique(grams[lo : hi - n + 1]))
+                some = np.sort(grams[lo : hi - n + 1])
+                out.append(some[np.concatenate([[True], some[1:] != some[:-1]])])
             else:
                 h = np.zeros(1, np.uint64)
-                for w in words[lo:hi] if hi > lo else ():
+                for w in words[lo:hi]:
                     h = h * STEP + w
                 out.append(_mixed(h + np.uint64(hi - lo)) if hi > lo else np.zeros(0, np.uint64))
         return out
@@ -99,8 +117,8 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
-def _packed(data: bytes) -> bytes:
-    return pa.compress(data, codec="zstd", asbytes=True)
+def _packed(data: bytes, level: int = 1) -> bytes:
+    return pa.Codec("zstd", level).compress(data, asbytes=True)
 
 
 def _unpacked(data: bytes, size: int) -> bytes:
@@ -109,29 +127,26 @@ def _unpacked(data: bytes, size: int) -> bytes:
 
 def _chunks(batch: pa.RecordBatch):
     """Rows (doc_id, text) of a batch in bounded runs: (first row, texts as bytes)."""
-    column, k = batch.column(1), 0
-    while k < batch.num_rows:
-        some, n, first = [], 0, k
-        while k < batch.num_rows and (not some or n < CHUNK_CHARS):
-            text = column[k].as_py() or ""
-            some.append(text.encode("utf-8", "surrogatepass"))
-            n += len(text)
-            k += 1
-        yield first, some
-
-
-def _keys(sets: list[np.ndarray], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all n-grams of a chunk: the distinct hashes as they are counted, ascending; the place of each n-gram among
-    them; and the counts."""
+    column = batch.column(1).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    before, first = np.cumsum(sizes) - sizes, 0
+    while first < batch.num_rows:
+        end = max(first + 1, int(np.searchsorted(before, before[first] + CHUNK_BYTES)))
+        yield first, [x or b"" for x in column.slice(first, end - first).to_pylist()]
+        first = end
+
+
+def _keys(sets: list[np.ndarray], bits: int, **more) -> tuple:
+    """Of all n-grams of a chunk the distinct hashes as they are counted, ascending, and what else numpy's unique tells."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    return np.unique(flat >> np.uint64(64 - bits - KEPT), return_inverse=True, return_counts=True)
+    return np.unique(flat >> np.uint64(64 - bits - KEPT), **more)
 
 
 PROFILE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
-def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """Three kinds of rows: a document's set (bucket -2: doc_id, size, digest, chunk), a chunk's texts (bucket -1: one of
+def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
+    """Three kinds of rows, written at a path: a document's set (bucket -2: doc_id, size, digest, chunk), a chunk's texts (bucket -1: one of
     each distinct set; n bytes of lengths and texts), and a chunk's n-grams in a bucket of hashes (n of them)."""
 
     def rows(parts):
@@ -146,9 +161,9 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 once = list({d: k for k, (d, i) in enumerate(zip(digests, ids.is_valid().to_pylist())) if d is not None and i}.values())
                 if once:
                     whole = np.array([len(once), *(len(texts[k]) for k in once)], "<u4").tobytes() + b"".join(texts[k] for k in once)
-                    keys, _, counts = _keys([sets[k] for k in once], bits)
+                    keys, counts = _keys([sets[k] for k in once], bits, return_counts=True)
                     place = np.flatnonzero(np.diff(keys >> np.uint64(KEPT), prepend=np.uint64(2**63)))
-                    buckets, sizes, data = [-1], [len(whole)], [_packed(whole)]
+                    buckets, sizes, data = [-1], [len(whole)], [_packed(whole, 3)]
                     for lo, hi in zip(place, np.append(place[1:], len(keys))):
                         buckets.append(int(keys[lo] >> np.uint64(KEPT)))
                         sizes.append(int(hi - lo))
@@ -157,7 +172,7 @@ def profile(docs: DataFrame, n: int, bits: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], schema=PROFILE)
                 chunk += 1
 
-    return written(docs.mapInArrow(rows, "doc_id long, size long, digest binary, chunk long, bucket int, n long, data binary"), "ngram-profile")
+    return written_at(docs.mapInArrow(rows, "doc_id long, size long, digest binary, chunk long, bucket int, n long, data binary"), path)
 
 
 def _bucket_data(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -197,7 +212,7 @@ def possible_sets(rows: DataFrame, n: int, percent: int, bits: int) -> DataFrame
         sets = ngrams([whole[lo:hi] for lo, hi in zip([4 * (m + 1), *ends[:-1]], ends)], n)
         answers = answers.sort_by("bucket")
         classes = np.frombuffer(b"".join(_unpacked(d.as_py(), size) for d, size in zip(answers["classes"], answers["n"].to_pylist())), np.uint8)
-        classes = classes[_keys(sets, bits)[1]].astype(np.uint64)
+        classes = classes[_keys(sets, bits, return_inverse=True)[1]].astype(np.uint64)
         found, at = [], 0
         for s in sets:
             own = classes[at : at + len(s)]
@@ -279,21 +294,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     belongs to the component of its own text. Further columns are ignored; an empty table gives no rows.
     part_size, part_tokens: sets and their n-grams that one task joins at once; a longer set has a part of its own.
     """
+    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size >> BUCKET_BYTES).bit_length())
-    rows = profile(docs, n, bits)
-    known = rows.where("bucket = -2").select("doc_id", "size", "digest", "chunk")
-    named = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
+    rows = profile(docs, n, bits, texts := new_path(spark, "ngram-profile"))
+    sets = written(possible_sets(rows, n, percent, bits), "ngram-sets")
+    known = written(rows.where("bucket = -2").select("doc_id", "size", "digest", "chunk"), "ngram-known")
+    removed(spark, texts)
+    half = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("half")
+    blocks = blocks_of(sets.select(F.explode("prefix").alias("token"), half))
     # of a set that many chunks hold, one row
-    possible = possible_sets(rows, n, percent, bits).join(named.select("digest", "chunk", "rep"), ["digest", "chunk"])
-    possible = written(possible.withColumn("half", F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long")), "ngram-sets")
-    blocks = blocks_of(possible.select(F.explode("prefix").alias("token"), "half"))
-    placed = written(possible.join(blocks, "half").select("block", "digest", "rep", "size", "tokens", "prefix"), "ngram-blocks")
+    named = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
+    placed = written(named.select("digest", "chunk", "rep", "size", half).join(blocks, "half").drop("half"), "ngram-blocks")
     sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
     parts = F.greatest(F.ceil(F.col("n") / part_size), F.ceil(F.col("all") / part_tokens)).cast("int")
-    held = placed.join(sizes.where("n > 1").select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    classes = _classes(held, percent, part_size)
+    members = written(placed.join(sizes.where("n > 1").select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "ngram-members")
+    classes = _classes(members, sets.drop("size"), percent, part_size)
 
     # the smallest doc_id of each class; a class may hold any share of all rows
     salt = F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int")
@@ -314,8 +331,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     return rest.union(there).select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("representative"), F.col("digest").alias("set"), F.when(mine, F.col("class")).alias("class"))
 
 
-def _classes(held: DataFrame, percent: int, part_size: int) -> DataFrame:
-    """digest, root (the smallest digest of its class) of the sets of all blocks."""
+def _classes(members: DataFrame, sets: DataFrame, percent: int, part_size: int) -> DataFrame:
+    """digest, root (the smallest digest of its class) of the members of all blocks."""
 
     def within(table: pa.Table) -> pa.Table:
         """Joins each block in a bundle of small ones, or a part of a large one."""
@@ -330,13 +347,14 @@ def _classes(held: DataFrame, percent: int, part_size: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "digest", "root"])
 
     schema = "block long, digest binary, root binary"
-    total = held.agg(F.sum("size")).first()[0] or 0
+    total = members.agg(F.sum("size")).first()[0] or 0
     bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, total // 500_000))))
-    local = held.withColumn("bundle", bundle).select("bundle", "block", "digest", "tokens").groupBy("bundle").applyInArrow(within, schema)
-    local = written(local, "ngram-local")
-    large = held.where("parts > 1")
+    dealt = members.select("digest", "chunk", "block", bundle.alias("bundle")).join(sets.select("digest", "chunk", "tokens"), ["digest", "chunk"])
+    local = written(dealt.select("bundle", "block", "digest", "tokens").groupBy("bundle").applyInArrow(within, schema), "ngram-local")
+    large = members.where("parts > 1")
     if large.isEmpty():
         return local.select("digest", "root")
+    large = written(large.join(sets, ["digest", "chunk"]).select("block", "parts", "part", "digest", "size", "tokens", "prefix"), "ngram-large")
 
     # parts meet through their classes' roots, in groups of bounded size
     heads = local.where("digest = root").select("digest").join(large, "digest")

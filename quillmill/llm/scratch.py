@@ -2,25 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, a fresh temporary one, on one machine alone."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all machines share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-quillmill-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+from quillmill.storage import new_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
