@@ -39,7 +39,9 @@ def attribute(starts: np.ndarray, ends: np.ndarray, begins: np.ndarray, n_chars:
 def section_tokens(docs: DataFrame, tokenizer: str, rule: str = "first", sections=sections_of_lines) -> DataFrame:
     """doc_id, n_chars, n_tokens, n_sections, n_crossing and section_tokens (one count for each section, in order).
 
-    The sum of section_tokens is n_tokens: each token counts once. A null or empty text is one empty section without
+    Each whole document is encoded once: word by word, each word that a worker has met before taken from its table (see
+    tokens), which gives the ids and offsets of the library's ``encode``. The sum of section_tokens is n_tokens: each
+    token counts once. A null or empty text is one empty section without
     tokens. Null and repeated ids keep their rows. Further columns are ignored; an empty table gives no rows.
     """
     if rule not in ("first", "last", "most"):

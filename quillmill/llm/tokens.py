@@ -2,7 +2,8 @@
 
 The tokenizer cuts a text into words before it merges bytes, and words do not act upon each other: the ids of a text
 are those of its words, one after the other. So a text is cut here by the same pattern, and only words that this worker
-has not met go through the library's model. Texts beyond Latin letters, or with rare control characters, go through it whole.
+has not met go through the library's model. Texts beyond Latin letters, with rare control characters, or with the
+string of a token that was added to the vocabulary, such as an end of text, go through the library whole, as it is loaded.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.signs = self.tokenizer.model, _alphabet()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.code = np.dtype(self.dtype).char
@@ -77,7 +78,7 @@ class Encoder:
             first = dict(islice(self.words.items(), MOST_WORDS // 2))
             self.words.clear()
             self.words.update(first)
-        return WORD.findall(text) if PLAIN.fullmatch(text) else None
+        return WORD.findall(text) if PLAIN.fullmatch(text) and not any(x in text for x in self.added) else None
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian integers of self.dtype."""
