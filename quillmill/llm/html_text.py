@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +16,27 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 NO_TEXT = frozenset("aside audio button canvas datalist dialog fieldset footer form head iframe menu nav noembed noframes noscript object option script select style svg template textarea title video".split())
 CLOSES_P = BLOCK - frozenset("body html head title option".split())
 CONTAINER = frozenset("article main".split())
+SECTION = frozenset("article body center dd div main section td".split())
 #: Words in class, id and role that mark what is no part of an article.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain pager pagination popup promo promos promotion recommended related respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar warning widget widgets".split()
 )
 HEADS = frozenset("header".split())
+UNENDED = re.compile(r"<[a-zA-Z/!?]")
 ANYTHING = re.compile(r"[a-z]+")
+#: A name such as "has-sidebar" tells of something else in the page.
+TELLS = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
+
+
+class Line(NamedTuple):
+    """A block of text: its characters outside of links and in all, the tags since the line before, where it stands."""
+
+    text: str
+    plain: int
+    chars: int
+    tags: int
+    region: int  # number of the container (article or main); 0: none
+    section: int  # number of the innermost element that groups blocks
 
 
 class _Lines(HTMLParser):
@@ -29,21 +45,25 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # (element, whether its text is left out)
+        self.sections = [0]  # numbers of the open sections
+        self.made = 0
+        self.links = 0  # open links
+        self.plain = self.chars = 0  # characters but white space of the line so far, outside of links and in all
         self.out = 0  # elements on the stack whose text is left out
         self.inside = 0  # containers on the stack
         self.region = 0  # number of the container; 0: none
         self.regions = 0
         self.parts: list[str] = []
         self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # (text, tags, region)
+        self.lines: list[Line] = []
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             self.parts = []
             if text:
-                self.lines.append((text, self.tags, self.region))
-                self.tags = 0
+                self.lines.append(Line(text, self.plain, self.chars, self.tags, self.region, self.sections[-1]))
+                self.tags = self.plain = self.chars = 0
 
     def _left_out(self, tag: str, attrs) -> bool:
         if tag in NO_TEXT:
@@ -58,7 +78,7 @@ class _Lines(HTMLParser):
             if name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                 return True
             if name in ("class", "id", "role") and value:
-                words = ANYTHING.findall(value.lower())
+                words = ANYTHING.findall(TELLS.sub("", value.lower()))
                 if not FURNITURE.isdisjoint(words) or not self.inside and not HEADS.isdisjoint(words):
                     # a container with a name such as "main-with-sidebar" stays
                     if tag not in CONTAINER or "comment" in words or "comments" in words:
@@ -68,6 +88,9 @@ class _Lines(HTMLParser):
     def _pop(self) -> None:
         tag, out = self.stack.pop()
         self.out -= out
+        self.links -= tag == "a"
+        if tag in SECTION:
+            self.sections.pop()
         if tag in CONTAINER and not out:
             self.inside -= 1
             if not self.inside:
@@ -96,8 +119,12 @@ class _Lines(HTMLParser):
             if self.inside == 1:
                 self.regions += 1
                 self.region = self.regions
+        if tag in SECTION:
+            self.made += 1
+            self.sections.append(self.made)
         self.stack.append((tag, out))
         self.out += out
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.tags += 1
@@ -125,6 +152,9 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.out:
             self.parts.append(data)
+            n = len("".join(data.split()))
+            self.chars += n
+            self.plain += n if not self.links else 0
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2, sigma: float = 1.0) -> np.ndarray:
@@ -149,28 +179,45 @@ def threshold(values: np.ndarray) -> float:
     return min(border, float(values.max()))
 
 
+def content_lines(lines: list[Line]) -> list[bool]:
+    """Which lines are the article's.
+
+    A line's ratio is its characters outside of links by its tags. Ratios are smoothed and split into two clusters. What
+    is judged is a run: consecutive lines of one container that are mostly links, or of one section that are not. A run is in the upper cluster if
+    the mean of its smoothed ratios is. Such runs are content; so are runs of low ratio, such as a title or a short
+    paragraph, that are no links and share a section or a container with one of them. Containers (article, main) with a
+    run in the upper cluster leave no content outside of them; those without are judged like the rest of the page.
+    """
+    if not lines:
+        return []
+    ratios = smoothed(np.array([x.plain / max(1, x.tags) for x in lines]))
+    border = threshold(ratios)
+    kinds = [(x.region, -1 if 2 * x.plain < x.chars else x.section, 2 * x.plain < x.chars) for x in lines]
+    starts = [k for k in range(len(lines)) if not k or kinds[k] != kinds[k - 1]]
+    means = np.add.reduceat(ratios, starts) / np.diff([*starts, len(lines)])
+    upper = np.repeat(means >= border, np.diff([*starts, len(lines)]))
+    if not upper.any():  # one long run may hold all high ratios, and low ones that outweigh them
+        upper = ratios >= border
+    regions = {x.region for x, up in zip(lines, upper) if up and x.region}
+    if regions:
+        return [x.region in regions and (bool(up) or not links) for x, up, (_, _, links) in zip(lines, upper, kinds)]
+    sections = {x.section for x, up in zip(lines, upper) if up}
+    return [bool(up) or not links and x.section in sections for x, up, (_, _, links) in zip(lines, upper, kinds)]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, one line each; empty if there is none.
 
-    Lines of text are the blocks outside of menus, headers, footers, asides, notices, adverts, forms, scripts and
-    comments, as their elements, classes, ids and roles say. Each line's ratio of characters to tags is smoothed, and
-    the ratios are split into two clusters. A region is a container (article or main; the rest of the page is one
-    region) and is content if a line of its is in the upper cluster; all lines of content regions stay. Where a page
-    has containers with text, its other lines are no content.
+    What elements, classes, ids and roles mark as menus, headers, footers, asides, notices, adverts, forms, scripts and
+    comments is left out; which of the other blocks stay, inside and outside of containers, is decided by content_lines.
     """
     parser = _Lines()
     parser.feed(html or "")
+    if UNENDED.match(parser.rawdata):  # a tag or comment that the page's end cuts off is no text
+        parser.rawdata = ""
     parser.close()
     parser.flush()
-    lines = parser.lines
-    if any(region for _, _, region in lines):
-        lines = [x for x in lines if x[2]]
-    if not lines:
-        return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
-    border = threshold(ratios)
-    content = {region for (_, _, region), ratio in zip(lines, ratios) if ratio >= border}
-    return "\n".join(text for text, _, region in lines if region in content)
+    return "\n".join(x.text for x, kept in zip(parser.lines, content_lines(parser.lines)) if kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
