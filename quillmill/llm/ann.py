@@ -151,13 +151,15 @@ def scan(quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray, codes: np.n
             yield np.full(len(best), q_ids[i]), ids[some[best]], exact[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 16_384, rerank: int = 128, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 16_384, rerank: int = 128, block: int | None = None, query_block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) to each of queries (same columns).
 
     Every row is indexed; the quantiser is fitted on the ``sample`` vectors that come first by a hash of vec_id. Rows
-    are dealt by hash into blocks of some ``block`` candidates and ``query_block`` queries; each pair of blocks gives
-    each query's k best of it, and the best of all blocks are returned. ``rerank`` candidates by table scan set the score
-    that others must be able to reach; it decides cost alone, never a result.
+    are dealt by hash into blocks of some ``block`` candidates and ``query_block`` queries (by default, 2^22 and 2^20
+    components: of 64 each, 65,536 vectors and 16,384 queries); each pair of blocks gives each query's k best of it, and
+    the best of all blocks are returned. Candidates are sent out once for each block of queries, queries once for each
+    block of candidates. ``rerank`` candidates by table scan set the score that others must be able to reach; it decides
+    cost alone, never a result.
 
     Ties go to the smaller vec_id; a query's own vec_id is no candidate of its. Rows with a null id, and vectors that
     are null, empty, zero, hold null or non-finite components, or have another length than most, take no part. Rows
@@ -186,7 +188,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
     asked = queries.where("vec_id is not null").where(valid("embedding")).where(F.size("embedding") == dim)
     asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     n_queries = asked.count()
-    blocks, query_blocks = -(-n // block), max(1, -(-n_queries // query_block))
+    cores = spark.sparkContext.defaultParallelism
+    # a table of few blocks is cut finer, so that all cores have some, into twice as many blocks as there are cores at most
+    blocks = max(-(-n // (block or max(1, (1 << 22) // dim))), 1 if block else min(-(-n // 4096), 2 * cores))
+    query_blocks = max(1, -(-n_queries // (query_block or max(1, (1 << 20) // dim))))
     of = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
     every = lambda n: F.explode(F.expr(f"sequence(0L, {n - 1}L)"))
     left = index.withColumn("b", of("vec_id", blocks)).withColumn("qb", every(query_blocks))
