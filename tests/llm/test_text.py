@@ -16,19 +16,18 @@ from quillmill.llm import html_text, quality, token_counts, token_files, warc
 from quillmill.llm.tokens import Encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", "a", " \n\n x  y\t", "naïve ²³ ½ don't I'll", "日本語 😀 é", "a\x1cb \x85 c\xa0", "one\ntwo\n\nthree\n" * 400, "x" * 20_000, "<|endoftext|>", "Ǆ ȸ ...!!! 12_3"]
+TEXTS = [None, "", "a", " \n\n x  y\t", "naïve ²³ ½ don't I'll", "日本語 😀 é", "a\x1cb \x85 c\xa0", "one\ntwo\n\nthree\n" * 400, "x" * 20_000, "<|endoftext|>", "see <|endoftext|>\n<|endoftext|> end", "Ǆ ȸ ...!!! 12_3"]
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_tokens_equal_the_library():
     encoder, spans, t, rng = Encoder(PATH), Encoder(PATH, True), library(), random.Random(1)
-    alphabet = "ab zé'sdmt ²½0_.,!\n\t\x85\xa0ß日́"
-    for text in [x or "" for x in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(400)]:
+    alphabet = [*"ab zé'sdmt ²½0_.,!\n\t\x85\xa0ß日́", *encoder.added, "<|endof", "text|>"]
+    assert "<|endoftext|>" in encoder.added and encoder.tokenizer.encode("a <|endoftext|> b").ids == np.frombuffer(encoder.ids(["a <|endoftext|> b"])[0], np.uint16).tolist()
+    for text in [x or "" for x in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(2000)]:
         e = t.encode(text, add_special_tokens=False)
         assert np.frombuffer(encoder.ids([text])[0], np.uint16).tolist() == e.ids
         assert list(zip(*(x.tolist() for x in spans.spans(text)))) == e.offsets
@@ -100,6 +99,78 @@ def test_pages_without_an_article():
     assert html_text.main_text(page) == ("Long text of the page. " * 20).strip() + "\nBe."
 
 
+PROSE = "The river ran under the old bridge and the people of the town came down to watch it, year after year. "
+
+
+@pytest.mark.parametrize("wrap", ["div", "article", "main"])
+def test_ratios_decide_where_names_tell_nothing(wrap):
+    """No class, id or role; the furniture stands in plain divs, inside the container or outside."""
+    menu = "<div><a href=/>Home</a></div><div><a href=/a>About us</a></div><div><a href=/t>Terms</a></div><div><a href=/c>Contact</a></div>"
+    body = f"<div><h1>On rivers</h1><p>{PROSE * 3}</p><p>Short.</p><p>{PROSE * 2}<a href=/x>more</a></p><ul><li>one thing<li>another thing</ul><p>{PROSE * 4}</p></div>"
+    related = "".join(f"<div><a href=/{k}>Something else to read {k}</a></div>" for k in range(8))
+    text = ["On rivers", (PROSE * 3).strip(), "Short.", PROSE * 2 + "more", "one thing", "another thing", (PROSE * 4).strip()]
+    want = "\n".join(text)
+    assert html_text.main_text(f"<body>{menu}<{wrap}>{body}</{wrap}>{related}</body>") == want
+    assert html_text.main_text(f"<body>{menu}<{wrap}>{body}{related}</{wrap}></body>") == want
+
+
+def test_a_wrapper_that_tells_of_a_sidebar_stays():
+    page = f"<body><div class='content has-sidebar'><div><p>{PROSE * 2}</p></div><div class=sidebar>See <p>{PROSE}</p></div></div></body>"
+    assert html_text.main_text(page) == (PROSE * 2).strip()
+
+
+def test_containers_of_links_alone_are_not_the_article():
+    cards = "".join(f"<article><a href=/{k}>Read about {k}</a></article>" for k in range(6))
+    assert html_text.main_text(f"<body>{cards}<div><h1>Title</h1><p>{PROSE * 4}</p><p>{PROSE * 3}</p></div></body>") == f"Title\n{(PROSE * 4).strip()}\n{(PROSE * 3).strip()}"
+
+
+def plain_content(lines):
+    """content_lines, step by step: means over windows, borders by trying all of them out from the mean on, runs one by one."""
+    weights = [np.exp(-0.5 * d * d) for d in range(3)]
+    ratios = [x.plain / max(1, x.tags) for x in lines]
+    smooth = []
+    for k in range(len(lines)):
+        near = [(weights[abs(j - k)], ratios[j]) for j in range(len(lines)) if abs(j - k) <= 2]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    border = sum(smooth) / len(smooth)
+    for _ in range(20):
+        low, high = [v for v in smooth if v < border], [v for v in smooth if v >= border]
+        if not low or not high:
+            break
+        border = (sum(low) / len(low) + sum(high) / len(high)) / 2
+    border = min(border, max(smooth))
+    runs = []
+    for k, x in enumerate(lines):
+        links = x.plain < x.chars - x.plain
+        kind = (x.region, None if links else x.section, links)
+        if not runs or runs[-1][0] != kind:
+            runs.append((kind, []))
+        runs[-1][1].append(k)
+    upper = {k for _, ks in runs if sum(smooth[k] for k in ks) / len(ks) >= border - 1e-9 for k in ks} or {k for k in range(len(lines)) if smooth[k] >= border - 1e-9}
+    regions = {lines[k].region for k in upper} - {0}
+    where = (lambda x: x.region in regions) if regions else (lambda x: x.section in {lines[k].section for k in upper})
+    return [where(x) and (k in upper or x.plain >= x.chars - x.plain) for k, x in enumerate(lines)]
+
+
+def test_content_against_a_plain_version():
+    rng = random.Random(8)
+    for _ in range(300):
+        lines, region, section = [], 0, 1
+        for _ in range(rng.randrange(1, 25)):
+            if rng.random() < 0.3:
+                region, section = rng.choice([0, 0, 1, 2]), section + rng.random().__round__()
+            chars = rng.choice([3, 12, 40, 300, 900])
+            lines.append(html_text.Line("x", rng.choice([0, chars, chars, chars // 2, chars // 3]), chars, rng.randrange(1, 6), region, section))
+        assert html_text.content_lines(lines) == plain_content(lines)
+
+
+def test_deep_and_unclosed_pages(spark):
+    deep = "<div>" * 20_000 + "<p>" + PROSE
+    pages = spark.createDataFrame([(1, "u", deep), (1, "u", deep), (2, "u", "<p>" + PROSE + "<b><i><a href='" )], "page_id long, url string, html string")
+    assert [r.text for r in html_text.extract(pages).orderBy("page_id").collect()] == [PROSE.strip()] * 3
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<script>x"), (None, "u", "<p>é &lt;b&gt;"), (5, "u", "<p>" + "w " * 100_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
