@@ -40,12 +40,29 @@ def test_line_dedup(spark, tmp_path):
 
 def test_line_dedup_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert line_dedup.keep_lines(empty, line_dedup.drop_bitmaps(empty)).count() == 0
+    assert line_dedup.keep_lines(empty, line_dedup.keep_bitmaps(empty)).count() == 0
+
+
+def test_bitmaps_are_sparse_and_columns_stay(spark):
+    lines = [f"own line {k} of a long document" for k in range(1000)]
+    for k in (0, 63, 64, 700, 999):
+        lines[k] = f"this line {k} is in three documents"
+    rows = [(i, "\n".join(lines if i == 1 else [lines[k] for k in (0, 63, 64, 700, 999)])) for i in (1, 2, 3)] + [(1, "one\ntwo"), (None, "\n".join(lines))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("n_dropped", "kept", "n_lines", "word", "bits")})
+    bitmaps = line_dedup.keep_bitmaps(docs)
+    one = bitmaps.where("doc_id = 1").first()
+    assert [w.word for w in one.kept] == [0, 1, 10, 15] and one.n_dropped == 5
+    assert [k for w in one.kept for k in range(w.word * 64, w.word * 64 + 64) if not w.bits >> (k % 64) & 1] == [0, 63, 64, 700, 999]
+    got = line_dedup.keep_lines(docs, bitmaps)
+    assert got.columns == ["doc_id", "text", "kept", "word", "bits", "n_lines", "n_dropped", "kept_text"]
+    texts = {(r.doc_id, r.n_lines): r.kept_text for r in got.collect()}
+    assert texts[1, 1000] == "\n".join(x for k, x in enumerate(lines) if k not in (0, 63, 64, 700, 999))
+    assert texts[None, 1000] == "\n".join(lines) and texts[1, 2] == "two" and texts[3, 5].count("\n") == 4
 
 
 def test_repeated_rows_count_once(spark):
     docs = spark.createDataFrame([(1, "a" * 25), (1, "a" * 25), (2, "a" * 25)], "doc_id long, text string")
-    assert line_dedup.drop_bitmaps(docs).count() == 0
+    assert line_dedup.keep_bitmaps(docs).count() == 0
 
 
 def plain_targets(sizes, share=1.5, weights=(5, 2, 1), cap=2.0):
