@@ -2,13 +2,13 @@
 
 A part of the data set is two Arrow IPC files, written by one task:
 
-* ``part-NNNNN.arrow``: batches of rows (ids: fixed_size_list<uint16 or uint32>[L], mask: fixed_size_list<bool>[L]).
+* ``part-NNNNN-<id>.arrow``: batches of rows (ids: fixed_size_list<uint16 or uint32>[L], mask: fixed_size_list<bool>[L]).
   The ids of the part's documents lie end to end; only the last sequence is padded (id 0, mask false). Row r holds the
   ids from r * L on; a memory map gives any batch without a copy.
-* ``part-NNNNN.docs.arrow``: (doc_id, offset, n_tokens) of each document, in the same order.
+* ``part-NNNNN-<id>.docs.arrow``: (doc_id, offset, n_tokens) of each document, in the same order.
 
-Parts are numbered in the order of doc_id. Files are written under a name of their own and then renamed, so that a task
-that is run again, or twice, leaves the same file.
+Parts are numbered in the order of doc_id. Each attempt of a task writes under an id of its own, and the manifest, which
+Spark commits, names the files that count: nothing is renamed, and what a lost attempt leaves is never read.
 """
 
 from __future__ import annotations
@@ -106,9 +106,8 @@ class _Part:
         self.fs, root = _open(path)
         self.fs.create_dir(root, recursive=True)
         self.part, self.itemsize = part, np.dtype(dtype).itemsize
-        self.names = [f"{root}/part-{part:05d}{x}.arrow" for x in ("", ".docs")]
-        self.own = "." + uuid.uuid4().hex
-        self.sinks = [self.fs.open_output_stream(x + self.own) for x in self.names]
+        self.file = f"part-{part:05d}-{uuid.uuid4().hex}"
+        self.sinks = [self.fs.open_output_stream(f"{root}/{self.file}{x}.arrow") for x in ("", ".docs")]
         self.sequences = _Sequences(self.sinks[0], dtype, length, rows)
         self.index = pa.ipc.new_file(self.sinks[1], DOCS)
         self.rows: list[tuple] = []
@@ -130,11 +129,9 @@ class _Part:
             self._flush()
         self.sequences.close()
         self.index.close()
-        for sink, name in zip(self.sinks, self.names):
+        for sink in self.sinks:
             sink.close()
-            self.fs.move(name + self.own, name)
-        file = self.names[0].rpartition("/")[2].removesuffix(".arrow")
-        return pa.RecordBatch.from_pydict({"part": pa.array([self.part], pa.int32()), "file": [file], "n_docs": pa.array([self.n_docs], pa.int64()), "n_tokens": pa.array([self.sequences.total], pa.int64())})
+        return pa.RecordBatch.from_pydict({"part": pa.array([self.part], pa.int32()), "file": [self.file], "n_docs": pa.array([self.n_docs], pa.int64()), "n_tokens": pa.array([self.sequences.total], pa.int64())})
 
 
 def _reader(fs, name: str):

@@ -66,13 +66,13 @@ def parse(raw: bytes) -> dict:
 
 
 class _Package:
-    """One package being written under a name of its own; renamed when it is whole."""
+    """One package being written, under a name of its attempt's own: the list of files, which Spark commits, says which count."""
 
     def __init__(self, path: str, name: str) -> None:
         self.fs, root = _open(path)
         self.fs.create_dir(root, recursive=True)
-        self.name, self.path, self.own = name, f"{root}/{name}", f"{root}/{name}.{uuid.uuid4().hex}"
-        self.sink = self.fs.open_output_stream(self.own)
+        self.name = f"{name}-{uuid.uuid4().hex}.wacz"
+        self.sink = self.fs.open_output_stream(f"{root}/{self.name}")
         self.zip = zipfile.ZipFile(self.sink, "w", zipfile.ZIP_STORED)
         self.data = self.zip.open(zipfile.ZipInfo(DATA), "w", force_zip64=True)
         self.index: list[str] = []
@@ -90,7 +90,6 @@ class _Package:
             index.write("".join(x + "\n" for x in self.index).encode())
         self.zip.close()
         self.sink.close()
-        self.fs.move(self.own, self.path)
         return self.name, len(self.index), self.size
 
 
@@ -111,7 +110,7 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 100, most_bytes
             for k in range(0, batch.num_rows, 100):
                 for row in batch.slice(k, 100).to_pylist():
                     if out is None:
-                        out, n = _Package(path, f"part-{part:05d}-{n:04d}.wacz"), n + 1
+                        out, n = _Package(path, f"part-{part:05d}-{n:04d}"), n + 1
                     out.add(row["page_id"], row["url"], record(row["page_id"], row["url"], row["payload"], row["refers_to"], date))
                     if out.size >= most_bytes:
                         yield done(out)
