@@ -180,6 +180,8 @@ def _sampled(docs: DataFrame, chosen: DataFrame, most_passages: int, most_rows:
     """Rows quality, n (passages) and x (their features) of the chosen documents that fit; and whether any did not."""
     # without ``most_rows`` at most as many rows of two numbers as train's ``sample``: safe to broadcast
     rows = docs.where(f"not {HELD_OUT}").select("doc_id", "text").join(chosen if most_rows else F.broadcast(chosen), "doc_id")
+    # of rows that repeat a chosen id one counts, however many there are
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def encode(parts):
         for batch in parts:
