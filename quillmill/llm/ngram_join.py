@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -117,6 +117,11 @@ def digest(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def text_key(text: Column) -> Column:
+    """A hash that tells the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.lit("text"), text).alias("text_key")
+
+
 def _packed(data: bytes, level: int = 1) -> bytes:
     return pa.Codec("zstd", level).compress(data, asbytes=True)
 
@@ -142,11 +147,11 @@ def _keys(sets: list[np.ndarray], bits: int, **more) -> tuple:
     return np.unique(flat >> np.uint64(64 - bits - KEPT), **more)
 
 
-PROFILE = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
+PROFILE = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
 
 def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
-    """Three kinds of rows, written at a path: a document's set (bucket -2: doc_id, size, digest, chunk), a chunk's texts (bucket -1: one of
+    """Three kinds of rows, written at a path: a document's set (bucket -2: doc_id, text_key, size, digest, chunk), a chunk's texts (bucket -1: one of
     each distinct set; n bytes of lengths and texts), and a chunk's n-grams in a bucket of hashes (n of them)."""
 
     def rows(parts):
@@ -157,7 +162,7 @@ def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
                 sets = ngrams(texts, n)
                 digests = [digest(s) if len(s) else None for s in sets]
                 m = len(sets)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array([-2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=PROFILE)
+                yield pa.RecordBatch.from_arrays([ids, batch.column(2).slice(first, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array([-2] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], schema=PROFILE)
                 once = list({d: k for k, (d, i) in enumerate(zip(digests, ids.is_valid().to_pylist())) if d is not None and i}.values())
                 if once:
                     whole = np.array([len(once), *(len(texts[k]) for k in once)], "<u4").tobytes() + b"".join(texts[k] for k in once)
@@ -169,10 +174,10 @@ def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
                         sizes.append(int(hi - lo))
                         data.append(_bucket_data(keys[lo:hi] & np.uint64((1 << KEPT) - 1), counts[lo:hi]))
                     m = len(data)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], schema=PROFILE)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([chunk] * m, pa.int64()), pa.array(buckets, pa.int32()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], schema=PROFILE)
                 chunk += 1
 
-    return written_at(docs.mapInArrow(rows, "doc_id long, size long, digest binary, chunk long, bucket int, n long, data binary"), path)
+    return written_at(docs.mapInArrow(rows, "doc_id long, text_key long, size long, digest binary, chunk long, bucket int, n long, data binary"), path)
 
 
 def _bucket_data(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -282,12 +287,12 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, part_tokens: int = 4_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id, representative and class of docs (doc_id, text), over whole texts.
+    """doc_id, n_shingles, component_id, representative, set, text_key and class of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
     runs of ``n`` words; a text of fewer words is one such run. Sets link at Jaccard similarity percent / 100 or more;
     component_id is the smallest doc_id that links reach, the document's own included. representative: component_id
-    equals doc_id. set: a digest of the document's set; class: a digest that names its component.
+    equals doc_id. set: a digest of the document's set; class: a digest that names its component; text_key: see there.
 
     Null, empty and blank texts have no set, link with nothing, and are components of their own (set and class null).
     Rows with a null doc_id count for nothing and get a null component_id and class. Of rows that share a doc_id, each
@@ -295,12 +300,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     part_size, part_tokens: sets and their n-grams that one task joins at once; a longer set has a part of its own.
     """
     spark = docs.sparkSession
-    docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size >> BUCKET_BYTES).bit_length())
     rows = profile(docs, n, bits, texts := new_path(spark, "ngram-profile"))
     sets = written(possible_sets(rows, n, percent, bits), "ngram-sets")
-    known = written(rows.where("bucket = -2").select("doc_id", "size", "digest", "chunk"), "ngram-known")
+    known = written(rows.where("bucket = -2").select("doc_id", "text_key", "size", "digest", "chunk"), "ngram-known")
     removed(spark, texts)
     half = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("half")
     blocks = blocks_of(sets.select(F.explode("prefix").alias("token"), half))
@@ -324,11 +329,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     hot = F.broadcast(found.where(F.col("copies") > often).select("digest", F.col("component_id").alias("hot_id"), F.col("class").alias("hot_class")))
     near = known.join(hot, "digest", "left")
     plain = F.col("hot_id").isNull() & F.col("digest").isNotNull()
-    rest = near.where(plain).join(found.where(F.col("copies") <= often), "digest", "left").select("doc_id", "size", "digest", "component_id", "class")
-    there = near.where(~plain).select("doc_id", "size", "digest", F.col("hot_id").alias("component_id"), F.col("hot_class").alias("class"))
+    rest = near.where(plain).join(found.where(F.col("copies") <= often), "digest", "left").select("doc_id", "text_key", "size", "digest", "component_id", "class")
+    there = near.where(~plain).select("doc_id", "text_key", "size", "digest", F.col("hot_id").alias("component_id"), F.col("hot_class").alias("class"))
     mine = F.col("doc_id").isNotNull()
     component = F.when(mine, F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return rest.union(there).select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("representative"), F.col("digest").alias("set"), F.when(mine, F.col("class")).alias("class"))
+    return rest.union(there).select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("representative"), F.col("digest").alias("set"), "text_key", F.when(mine, F.col("class")).alias("class"))
 
 
 def _classes(members: DataFrame, sets: DataFrame, percent: int, part_size: int) -> DataFrame:

@@ -185,6 +185,35 @@ def test_nearest_of_few(spark):
     assert ann.nearest(few.limit(0), few).count() == 0
 
 
+def test_rows_are_judged_by_their_texts(spark):
+    """Null ids, ids that repeat, further columns of clashing names."""
+    rng = random.Random(4)
+    a, b, c, item = prose(rng, 60), prose(rng, 60), prose(rng, 60), prose(rng, 25)
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "w"), (2, a, "z"), (None, a, "n"), (None, None, "m"), (3, "", "e"), (3, "", "e"), (4, f"{c} {item}", "k"), (4, c, "l"), (None, f"{item} {c}", "o")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({x: F.col("source") for x in ("score", "time", "times", "key", "row", "class", "set", "text_key", "found", "first")})
+    tags = lambda df: sorted(r.time for r in df.collect())
+    one = corpus_pipeline.one_of_each(spark, docs, None)
+    assert one.columns == docs.columns and tags(one) == sorted("xwnmeeklo")
+
+
+def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
+    rng = random.Random(6)
+    item = prose(rng, 25)
+    names = ["score", "time", "times", "key", "row", "found"]
+    rows = [(k % 3, prose(rng, 50), f"s{k % 2}") for k in range(12)] + [(7, f"{prose(rng, 9)} {item}", "s1"), (None, f"{item} {prose(rng, 9)}", "s1"), (7, prose(rng, 40), "s1"), (None, prose(rng, 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({x: F.concat(F.lit(x), F.coalesce("source", F.lit("-"))) for x in names})
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and all(r[x] == f"{x}{r.source or '-'}" for r in out.collect() for x in names)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    clean = corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path))
+    assert sorted(r.text for r in clean.collect()) == sorted(t for _, t, _ in rows if item not in t)
+    assert None in {r.doc_id for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()}
+    assert corpus_pipeline.token_output(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     rng = random.Random(9)
     item = prose(rng, 25)
