@@ -33,10 +33,11 @@ from .scratch import new_path, removed, written, written_at
 #: Bits of a hash, below those that name its bucket, that tell n-grams apart when they are counted. Two n-grams that
 #: agree in them count as one: such an error (under 1 %) can put a set among the candidates, never take one out.
 KEPT = 28
-#: Bytes of text for each bucket of hashes, as a power of two: some two million n-grams.
-BUCKET_BYTES = 24
-#: Bytes of text in a chunk, a longer text being one of its own.
-CHUNK_BYTES = 1 << 21
+#: Bytes of text for each bucket of hashes, as a power of two: some four million n-grams.
+BUCKET_BYTES = 25
+#: Bytes of text in a chunk, a longer text being one of its own: more where there are many buckets, so that a chunk has
+#: some hundreds of n-grams in each.
+CHUNK_BYTES, MORE_BYTES, MOST_BYTES = 1 << 21, 1 << 16, 1 << 24
 #: Documents that share an n-gram meet under one of them by as many at once, as a power of two.
 STAR = 12
 BLANK = np.zeros(256, bool)
@@ -130,13 +131,13 @@ def _unpacked(data: bytes, size: int) -> bytes:
     return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def _chunks(batch: pa.RecordBatch):
+def _chunks(batch: pa.RecordBatch, most: int):
     """Rows (doc_id, text) of a batch in bounded runs: (first row, texts as bytes)."""
     column = batch.column(1).cast(pa.binary())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     before, first = np.cumsum(sizes) - sizes, 0
     while first < batch.num_rows:
-        end = max(first + 1, int(np.searchsorted(before, before[first] + CHUNK_BYTES)))
+        end = max(first + 1, int(np.searchsorted(before, before[first] + most)))
         yield first, [x or b"" for x in column.slice(first, end - first).to_pylist()]
         first = end
 
@@ -155,9 +156,9 @@ def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
     each distinct set; n bytes of lengths and texts), and a chunk's n-grams in a bucket of hashes (n of them)."""
 
     def rows(parts):
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, most = TaskContext.get().partitionId() << 32, min(MOST_BYTES, max(CHUNK_BYTES, MORE_BYTES << bits))
         for batch in parts:
-            for first, texts in _chunks(batch):
+            for first, texts in _chunks(batch, most):
                 ids = batch.column(0).slice(first, len(texts))
                 sets = ngrams(texts, n)
                 digests = [digest(s) if len(s) else None for s in sets]
@@ -203,19 +204,21 @@ def count_classes(table: pa.Table) -> pa.Table:
     return pa.table([table["chunk"], table["bucket"], table["n"], pa.array(out, pa.binary())], names=["chunk", "bucket", "n", "classes"])
 
 
-def possible_sets(rows: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
-    """digest, chunk, size, tokens (in the global order), prefix of the sets that may be linked: those with enough n-grams
-    that other documents hold. prefix: the tokens of which linked sets share one, without those that no other has."""
+def possible_sets(rows: DataFrame, named: DataFrame, n: int, percent: int, bits: int) -> DataFrame:
+    """digest, tokens (in the global order), prefix of the sets that may be linked: those with enough n-grams that other
+    documents hold. prefix: the tokens of which linked sets share one, without those that no other has. Of a set that
+    several chunks hold, the chunk that ``named`` says gives the row."""
 
     def choose(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        out = pa.schema([("digest", pa.binary()), ("chunk", pa.int64()), ("size", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+        out = pa.schema([("digest", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
         if not texts.num_rows:
             return out.empty_table()
         whole = _unpacked(texts["data"][0].as_py(), texts["n"][0].as_py())
         m = int(np.frombuffer(whole, "<u4", 1)[0])
         ends = np.cumsum(np.frombuffer(whole, "<u4", m, 4), dtype=np.int64) + 4 * (m + 1)
         sets = ngrams([whole[lo:hi] for lo, hi in zip([4 * (m + 1), *ends[:-1]], ends)], n)
-        answers = answers.sort_by("bucket")
+        own_here = set(answers["digest"].drop_null().to_pylist())
+        answers = answers.filter(pc.is_null(answers["digest"])).sort_by("bucket")
         classes = np.frombuffer(b"".join(_unpacked(d.as_py(), size) for d, size in zip(answers["classes"], answers["n"].to_pylist())), np.uint8)
         classes = classes[_keys(sets, bits, return_inverse=True)[1]].astype(np.uint64)
         found, at = [], 0
@@ -223,18 +226,19 @@ def possible_sets(rows: DataFrame, n: int, percent: int, bits: int) -> DataFrame
             own = classes[at : at + len(s)]
             at += len(s)
             need = -(-percent * len(s) // 100)
-            if np.count_nonzero(own) >= need:
+            if np.count_nonzero(own) >= need and (key := digest(s)) in own_here:
                 tokens = np.sort(own << np.uint64(57) | s >> np.uint64(7))
                 first = tokens[: len(s) - need + 1]
-                found.append((digest(s), len(s), tokens.tobytes(), first[first >= np.uint64(1 << 57)].view(np.int64)))
+                found.append((key, tokens.tobytes(), first[first >= np.uint64(1 << 57)].view(np.int64)))
         if not found:
             return out.empty_table()
-        digests, sizes, tokens, prefix = zip(*found)
-        return pa.table([pa.array(digests, pa.binary()), pa.array([texts["chunk"][0].as_py()] * len(found), pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))], schema=out)
+        digests, tokens, prefix = zip(*found)
+        return pa.table([pa.array(digests, pa.binary()), pa.array(tokens, pa.binary()), pa.array(list(prefix), pa.list_(pa.int64()))], schema=out)
 
     counted = rows.where("bucket >= 0").select("chunk", "bucket", "n", "data").groupBy("bucket").applyInArrow(count_classes, "chunk long, bucket int, n long, classes binary")
     texts = rows.where("bucket = -1").select("chunk", "n", "data")
-    return texts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(choose, "digest binary, chunk long, size long, tokens binary, prefix array<long>")
+    answers = counted.withColumn("digest", F.lit(None).cast("binary")).unionByName(named.select("chunk", "digest"), allowMissingColumns=True)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(choose, "digest binary, tokens binary, prefix array<long>")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -304,18 +308,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (size >> BUCKET_BYTES).bit_length())
     rows = profile(docs, n, bits, texts := new_path(spark, "ngram-profile"))
-    sets = written(possible_sets(rows, n, percent, bits), "ngram-sets")
     known = written(rows.where("bucket = -2").select("doc_id", "text_key", "size", "digest", "chunk"), "ngram-known")
+    named = written(known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("chunk").alias("chunk"), F.count("*").alias("copies")), "ngram-named")
+    sets = written(possible_sets(rows, named, n, percent, bits), "ngram-sets")
     removed(spark, texts)
     half = F.conv(F.substring(F.hex("digest"), 1, 15), 16, 10).cast("long").alias("half")
     blocks = blocks_of(sets.select(F.explode("prefix").alias("token"), half))
-    # of a set that many chunks hold, one row
-    named = known.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("chunk").alias("chunk"), F.count("*").alias("copies"))
-    placed = written(named.select("digest", "chunk", "rep", "size", half).join(blocks, "half").drop("half"), "ngram-blocks")
+    placed = written(named.select("digest", "rep", "size", half).join(blocks, "half").drop("half"), "ngram-blocks")
     sizes = placed.groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("all"))
     parts = F.greatest(F.ceil(F.col("n") / part_size), F.ceil(F.col("all") / part_tokens)).cast("int")
     members = written(placed.join(sizes.where("n > 1").select("block", parts.alias("parts")), "block").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int")), "ngram-members")
-    classes = _classes(members, sets.drop("size"), percent, part_size)
+    classes = _classes(members, sets, percent, part_size)
 
     # the smallest doc_id of each class; a class may hold any share of all rows
     salt = F.pmod(F.xxhash64("digest"), F.lit(16)).cast("int")
@@ -354,12 +357,12 @@ def _classes(members: DataFrame, sets: DataFrame, percent: int, part_size: int)
     schema = "block long, digest binary, root binary"
     total = members.agg(F.sum("size")).first()[0] or 0
     bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, total // 500_000))))
-    dealt = members.select("digest", "chunk", "block", bundle.alias("bundle")).join(sets.select("digest", "chunk", "tokens"), ["digest", "chunk"])
+    dealt = members.select("digest", "block", bundle.alias("bundle")).join(sets.select("digest", "tokens"), "digest")
     local = written(dealt.select("bundle", "block", "digest", "tokens").groupBy("bundle").applyInArrow(within, schema), "ngram-local")
     large = members.where("parts > 1")
     if large.isEmpty():
         return local.select("digest", "root")
-    large = written(large.join(sets, ["digest", "chunk"]).select("block", "parts", "part", "digest", "size", "tokens", "prefix"), "ngram-large")
+    large = written(large.join(sets, "digest").select("block", "parts", "part", "digest", "size", "tokens", "prefix"), "ngram-large")
 
     # parts meet through their classes' roots, in groups of bounded size
     heads = local.where("digest = root").select("digest").join(large, "digest")
