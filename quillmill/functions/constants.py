@@ -46,19 +46,30 @@ LARGE_PAYLOAD_BYTES = 16 * 1024
 SCALAR_CHARS = 256
 
 PROBLEM_WORDS = ["error", "failed", "failure", "exception", "traceback", "失败", "错误"]
-FILE_PATTERN = r"(?:(?:[A-Za-z]:\\|/)?[A-Za-z0-9_.\- ]+[\\/])?[A-Za-z0-9_.\-]+\.(?:py|ts|tsx|js|jsx|md|json|toml|yaml|yml|sql|txt)"
-#: White space as Unicode's Latin part has it, spelled out, since engines differ on \s.
+#: Patterns as Python's re has them: \w, \s and \b know all of Unicode. functions.patterns spells them for Spark.
+FILE_PATTERN = r"(?:(?:[A-Za-z]:\\|/)?[\w.\- ]+[\\/])?[\w.\-]+\.(?:py|ts|tsx|js|jsx|md|json|toml|yaml|yml|sql|txt)"
+FILE_ENDINGS = ["py", "ts", "js", "md", "json", "toml", "yaml", "yml", "sql", "txt"]
+#: Runs of white space in titles and summaries: Unicode's Latin part.
 SPACES = r"[\x09-\x0D\x1C-\x20\x85\xA0]+"
 
-#: kind, severity, pattern, and the group that is the match.
+#: kind, severity, pattern.
 DETECTORS = [
-    ("private_key", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
-    ("api_key", "critical", r"\b(?:sk|pk|rk|tvly|ghp|github_pat)_[A-Za-z0-9_\-]{16,}\b", 0),
-    ("token_assignment", "high", r"""(?i)\b(?:api[_-]?key|token|secret|password)[\t\n\f\r ]*[:=][\t\n\f\r ]*['"]?[^'"\t\n\f\r ]{8,}""", 0),
-    ("email", "medium", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0),
-    ("windows_abs_path", "low", r"""\b[A-Za-z]:\\(?:[^\\/:*?"<>|\r\n]+\\?)+""", 0),
-    ("posix_abs_path", "low", r"""(?:^|[^A-Za-z0-9_.-])(/(?:Users|home|var|etc|tmp|opt|workspace|repo)/[^\t\n\f\r `'"]+)""", 1),
+    ("private_key", "critical", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("api_key", "critical", r"\b(?:sk|pk|rk|tvly|ghp|github_pat)_[A-Za-z0-9_\-]{16,}\b"),
+    ("token_assignment", "high", r"""(?i)\b(?:api[_-]?key|token|secret|password)\s*[:=]\s*['\"]?[^'\"\s]{8,}"""),
+    ("email", "medium", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("windows_abs_path", "low", r"""\b[A-Za-z]:\\(?:[^\\/:*?\"<>|\r\n]+\\?)+"""),
+    ("posix_abs_path", "low", r"""(?<![\w.-])/(?:Users|home|var|etc|tmp|opt|workspace|repo)/[^\s`'\"]+"""),
 ]
+#: Strings of which a text with a match holds one.
+DETECTOR_HINTS = {
+    "private_key": ["PRIVATE KEY-----"],
+    "api_key": ["sk_", "pk_", "rk_", "tvly_", "ghp_", "github_pat_"],
+    "token_assignment": [":", "="],
+    "email": ["@"],
+    "windows_abs_path": [":\\"],
+    "posix_abs_path": ["/Users/", "/home/", "/var/", "/etc/", "/tmp/", "/opt/", "/workspace/", "/repo/"],
+}
 
 EMBEDDING_TOKEN = r"[\p{L}\p{N}_.\-:/\\]+"
 TERM = r"[\p{L}\p{N}]+"

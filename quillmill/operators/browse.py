@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from quillmill.functions import constants as C
 from quillmill.functions.text import collapsed, trimmed
+from quillmill.operators import search
 
 
 def _newest() -> list[Column]:
@@ -68,9 +69,12 @@ def filter_events(events: DataFrame, include: list[str] | None = None, exclude:
 
 
 def last_turns(events: DataFrame, n: int) -> DataFrame:
-    """Events of the last n turns of each session; call it before any filter, since the last turn is that of all events."""
-    last = F.max("turn_index").over(W.partitionBy("session_id"))
-    return events.withColumn("last", last).where(F.col("turn_index") >= F.greatest(F.lit(0), F.col("last") - n + 1)).drop("last")
+    """Events of the last n turns of each session; call it before any filter, since the last turn is that of all events.
+
+    A row for each session says where to begin; events meet it without being sorted.
+    """
+    first = events.groupBy("session_id").agg(F.greatest(F.lit(0), F.max("turn_index") - n + 1).alias("first"))
+    return events.join(first, "session_id").where(F.col("turn_index") >= F.col("first")).drop("first")
 
 
 def trim_text(events: DataFrame, max_chars: int | None, max_tool_chars: int | None) -> DataFrame:
@@ -101,6 +105,12 @@ def overview(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("cwd").agg(F.count("*").alias("sessions"), F.min("session_id").alias("first_session"), F.max(F.coalesce("updated_at", "first_seen_at")).alias("latest"))
 
 
+def overview_hits(sessions: DataFrame, events: DataFrame, index, query: str, limit: int = 20, **filters) -> DataFrame:
+    """The overview's search leg: the best events for a query (as search takes it), with the project of their session."""
+    hits = search.search(events, index, sessions, query, limit, **filters)
+    return hits.join(sessions.select("session_id", "cwd"), "session_id", "left").orderBy(F.desc("score"), "event_id")
+
+
 def warning_detail(warnings: DataFrame, events: DataFrame) -> DataFrame:
     """Warnings by session and code, with the session's number of events."""
     counts = events.groupBy("session_id").agg(F.count("*").alias("event_count"))

@@ -10,11 +10,17 @@ from quillmill.functions import constants as C
 
 
 def keep_latest(history: DataFrame, n: int, time: str, tie: str) -> DataFrame:
-    """history with keep: whether a row is among the n latest of all. Only those n are ranked."""
+    """history with keep: whether a row is among the n latest of all. Only those n are ranked.
+
+    Of rows that agree in time and tie, as many are kept as there is room for, whichever.
+    """
     if n < 1:
         raise ValueError("keep must be 1 at least")
-    latest = history.orderBy(F.desc(time), F.desc(tie)).limit(n).select(tie, F.lit(True).alias("keep"))
-    return history.join(F.broadcast(latest), tie, "left").fillna(False, ["keep"])
+    latest = F.broadcast(history.orderBy(F.desc(time), F.desc(tie)).limit(n).groupBy(F.col(time).alias("k_time"), F.col(tie).alias("k_tie")).agg(F.count("*").alias("room")))
+    same = F.col(time).eqNullSafe(F.col("k_time")) & F.col(tie).eqNullSafe(F.col("k_tie"))
+    near = history.join(latest, same)
+    placed = near.withColumn("k_place", F.row_number().over(W.partitionBy("k_time", "k_tie").orderBy(F.lit(1)))).withColumn("keep", F.col("k_place") <= F.col("room"))
+    return placed.drop("k_time", "k_tie", "room", "k_place").unionByName(history.join(latest, same, "left_anti").withColumn("keep", F.lit(False)))
 
 
 def keep_latest_by(history: DataFrame, key: str, time: str, tie: str, limits: dict[str, int], default: int = 1) -> DataFrame:
@@ -34,14 +40,16 @@ def latest_covering(history: DataFrame, group: str, time: str, tie: str, profile
     return each.groupBy(group, F.col("t.tier").alias("tier")).agg(best.alias("best")).select(group, "tier", "best.*")
 
 
-def fingerprint(sessions: DataFrame, events: DataFrame, warnings: DataFrame, blobs: DataFrame) -> DataFrame:
-    """One row: what a snapshot remembers of an archive."""
+def fingerprint(sessions: DataFrame, events: DataFrame, warnings: DataFrame, blobs: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """One row: what a snapshot remembers of an archive; with an inventory (bytes, mtime), of its source files too."""
     parts = [
         sessions.agg(F.count("*").alias("sessions"), F.max("updated_at").alias("updated_at")),
         events.agg(F.count("*").alias("events")),
         warnings.agg(F.count("*").alias("warnings")),
         blobs.agg(F.count("*").alias("blobs"), F.coalesce(F.sum("original_bytes"), F.lit(0)).alias("original_bytes")),
     ]
+    if source is not None:
+        parts.append(source.agg(F.struct(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.max("mtime").alias("latest_mtime")).alias("source")))
     out = parts[0]
     for p in parts[1:]:
         out = out.join(F.broadcast(p))

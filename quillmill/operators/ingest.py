@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +14,7 @@ from quillmill.operators import pairing
 from quillmill.operators.blobs import hydrate
 from quillmill.operators.policy import classify_index, classify_storage, dedupe_bodies, without_bodies
 from quillmill.operators.stats import archive_digest, counts_equal
-from quillmill.operators.turns import assign_turns
+from quillmill.operators.turns import SETTINGS, assign_turns, roll_up_turns, with_settings
 from quillmill.sources import transcripts as T
 
 
@@ -43,25 +46,40 @@ def files_to_import(files: DataFrame, log: DataFrame, version: int) -> DataFrame
     return files.join(done, ["path", "raw_sha256"], "left_anti")
 
 
-def import_lines(lines: DataFrame, state: DataFrame | None = None) -> dict[str, DataFrame]:
-    """sessions, events, warnings of lines (path, line_no, value): parse, normalise, name, pair, cut into turns, classify."""
+def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, warnings) of lines (path, line_no, value), before sessions are known."""
     objects, broken = T.split_valid(lines)
     events, odd = N.normalize(objects)
-    # every frame below reads the normalised events: parse the JSON once; what an executor loses is computed again
-    events, unnamed = N.assign_sessions(events.persist())
-    warnings = broken.unionByName(odd).unionByName(unnamed)
+    return events, broken.unionByName(odd)
+
+
+def import_lines(lines: DataFrame, state: DataFrame | None = None, after: int = 0) -> dict[str, DataFrame]:
+    """sessions, turns, events, warnings of lines (path, line_no, value): parse, name, pair, cut into turns, classify.
+
+    Event ids come after ``after``. Where two files tell of one session, the last one has it.
+    """
+    return import_events(*parse_lines(lines), state, after)
+
+
+def import_events(events: DataFrame, broken: DataFrame, state: DataFrame | None = None, after: int = 0) -> dict[str, DataFrame]:
+    """The frames of parsed events, which several of them read."""
+    events, unnamed = N.assign_sessions(events)
+    warnings = broken.unionByName(unnamed)
     pairs = pairing.pairing_warnings(pairing.calls_of(events)).select("path", "line_no", "code", F.col("call_id").alias("raw_excerpt"))
     warnings = warnings.unionByName(pairs)
     sessions = N.roll_up_sessions(events, warnings)
     if state is not None:
         sessions = N.enrich(sessions, state)
+    sessions = N.last_files(sessions)
     names = sessions.select("path", F.col("session_id").alias("final"))
-    events = N.assign_event_ids(events.join(names, "path").withColumn("session_id", F.col("final")).drop("final"))
+    events = N.assign_event_ids(events.join(names, "path").withColumn("session_id", F.col("final")).drop("final"), after)
+    # a file without a single record has no session: its warnings stay under a null one
     warnings = warnings.join(names.withColumnRenamed("final", "session_id"), "path", "left")
     stored = classify_storage(assign_turns(events))
     # the storage policy acts first: noise comes to the index without a text
     hot = stored.withColumn("text_content", F.when(F.col("storage_class") != "noise", F.col("text_content")))
-    return {"sessions": sessions, "events": without_bodies(dedupe_bodies(classify_index(hot))), "warnings": warnings}
+    whole = without_bodies(dedupe_bodies(classify_index(hot)))
+    return {"sessions": sessions, "turns": roll_up_turns(with_settings(stored), SETTINGS), "events": whole, "warnings": warnings}
 
 
 def replace_sessions(target: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
@@ -69,11 +87,69 @@ def replace_sessions(target: DataFrame, new: DataFrame, key: str = "session_id")
     return target.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def _files(spark, path: str):
+    """The Hadoop path of a folder, and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _buckets(spark, path: str) -> list[str]:
+    """The names of a table's bucket folders."""
+    at, fs = _files(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith("bucket=")] if fs.exists(at) else []
+
+
+def read_archive(spark, path: str, name: str) -> DataFrame | None:
+    """A table of an archive; None if it is not there, or has no rows."""
+    return spark.read.parquet(f"{path}/{name}") if _buckets(spark, f"{path}/{name}") else None
+
+
+def last_event_id(spark, path: str) -> int:
+    """The largest event id of an archive; 0 if there is none."""
+    events = read_archive(spark, path, "events")
+    return 0 if events is None else events.agg(F.max("event_id")).first()[0] or 0
+
+
 def write_archive(frames: dict[str, DataFrame], path: str, buckets: int = 32) -> None:
-    """Writes tables by bucket of session; of an archive that is there, only the buckets with new sessions are rewritten."""
-    for name, df in frames.items():
-        out = df.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
-        out.repartition("bucket").sortWithinPartitions("bucket", "session_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/{name}")
+    """Writes tables by bucket of session. Of an archive that is there, the sessions in frames["sessions"] are replaced,
+    all others stay, and only the buckets with new sessions are rewritten.
+
+    New buckets, old rows included, are written beside the archive, and take the old ones' places when all tables are
+    written: a run that fails can be run again. frames["sessions"] names what is replaced, also where a table has no new
+    rows of it. Rows without a session (warnings of files without one) belong to their path.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    aside = f"{path}/_new-{uuid.uuid4().hex}"
+
+    def put(df: DataFrame, at: str) -> str:
+        df.repartition("bucket").sortWithinPartitions("bucket", "session_id").write.partitionBy("bucket").parquet(at)
+        return at
+
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
+    ready = {name: put(df.withColumn("bucket", bucket), f"{aside}/rows/{name}") for name, df in frames.items()}
+    new = {name: spark.read.schema(frames[name].schema.add("bucket", "integer")).parquet(at) for name, at in ready.items()}
+    gone = new["sessions"].select("session_id", "bucket").distinct() if "sessions" in new else None
+    touched = {}
+    for name, df in new.items():
+        replaced = df.select("session_id", "bucket").distinct() if gone is None else gone.union(df.select("session_id", "bucket")).distinct()
+        touched[name] = [r[0] for r in replaced.select("bucket").distinct().collect()]  # as many as there are buckets at most
+        old = read_archive(spark, path, name)
+        if old is not None:
+            kept = old.where(F.col("bucket").isin(touched[name])).join(replaced.select("session_id"), "session_id", "left_anti")
+            if "path" in df.columns:
+                kept = kept.join(df.where("session_id is null").select("path").distinct(), "path", "left_anti")
+            ready[name] = put(kept.unionByName(df, allowMissingColumns=True), f"{aside}/whole/{name}")
+    for name, at in ready.items():
+        here, fs = _files(spark, f"{path}/{name}")
+        fs.mkdirs(here)
+        written = _buckets(spark, at)
+        for folder in {*written, *(f"bucket={b}" for b in touched[name])}:
+            old, _ = _files(spark, f"{path}/{name}/{folder}")
+            fs.delete(old, True)
+            if folder in written and not fs.rename(_files(spark, f"{at}/{folder}")[0], old):
+                raise OSError(f"{at}/{folder} cannot be moved")
+    folder, fs = _files(spark, aside)
+    fs.delete(folder, True)
 
 
 def dedupe_requests(requests: DataFrame) -> DataFrame:
@@ -114,37 +190,57 @@ def queue_step(requests: DataFrame, results: DataFrame, limit: int = 100) -> Dat
     return joined.withColumn("status", status).withColumn("attempts", F.col("attempts") + took.cast("long")).withColumn("message", F.when(took & over, F.col("new_message")).otherwise(F.col("message"))).drop("taken", "failed", "new_message", "has_result")
 
 
-def import_files(spark, root: str, log: DataFrame, version: int, state: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(frames, new log rows): imports the files below root whose content the log does not have by this version.
+def import_files(spark, root: str, target: str, log: DataFrame, version: int, state: DataFrame | None = None) -> DataFrame:
+    """Imports the files below root that are pending into an archive; returns the new rows of the log.
 
-    A file that cannot be read, or holds nothing, is logged as failed and does not stop the others.
+    Only files that are new, changed since their import, or imported by another parser are read; of these, only those
+    whose content the log does not have by this version are imported: the others are logged again. A file that cannot
+    be read, or holds nothing, is logged as failed and does not stop the others. The list of pending files, and what the
+    log says of each, passes through the driver, as the listing of the folder does.
     """
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
-    todo = files_to_import(T.file_digests(spark, root), log, version).persist()
-    frames = import_lines(T.scan_lines(spark, root).join(todo.select("path"), "path", "left_semi"), state)
-    read = frames["sessions"].select("path", "session_id").distinct().withColumn("read", F.lit(True))
-    rows = todo.join(read, "path", "left").select(F.col("path").alias("raw_path"), "raw_sha256", "session_id", F.when(F.col("read"), "imported").otherwise("failed").alias("status"), F.current_timestamp().alias("imported_at"), F.lit(version).alias("parse_version"))
-    return frames, rows
-
-
-def sync(spark, root: str, target: str, log: DataFrame, version: int) -> tuple[DataFrame, DataFrame]:
+    pending = freshness(T.inventory(spark, root), log, version).where("reason is not null")
+    found = T.file_digests(spark, root, [r.uri for r in pending.select("uri").collect()])
+    new = files_to_import(found, log, version)
+    uris = {r.path: (r.uri, r.raw_sha256) for r in found.collect()}
+    todo = [r.path for r in new.select("path").collect()]
+    schema = "raw_path string, raw_sha256 string, session_id string, status string, imported_at timestamp, parse_version int"
+    now = datetime.datetime.now(datetime.timezone.utc)
+    sessions = {}
+    if todo:
+        events, broken = parse_lines(T.scan_lines(spark, root, [uris[p][0] for p in todo]))
+        events = events.persist()  # every frame reads the parsed events; what an executor loses is parsed again
+        try:
+            named = N.assign_sessions(events)[0].select("path", "session_id").distinct()
+            named = N.enrich(N.roll_up_sessions(N.assign_sessions(events)[0], broken), state).select("path", "session_id") if state is not None else named
+            sessions = {r.path: r.session_id for r in named.collect()}
+            write_archive(import_events(events, broken, state, last_event_id(spark, target)), target)
+        finally:
+            events.unpersist()
+    rows = [(p, sha, sessions.get(p), "imported" if p not in todo or p in sessions else "failed", now, version) for p, (_, sha) in uris.items()]
+    return spark.createDataFrame(rows, schema)
+
+
+def sync(spark, root: str, target: str, log: DataFrame, version: int, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(log with the new rows, what is still to do): imports what is pending into an archive, and plans again."""
-    frames, rows = import_files(spark, root, log, version)
-    rows = rows.persist()
-    write_archive(frames, target)
-    whole = log.unionByName(rows)
+    whole = log.unionByName(import_files(spark, root, target, log, version, state))
     return whole, freshness(T.inventory(spark, root), whole, version).where("reason is not null")
 
 
 def rebuild(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, checks): all policies applied anew to whole payloads, and whether counts and digest are as before.
+    """(events, checks): all policies applied anew to whole payloads, and whether counts and digest hold.
 
-    A rebuilt archive is written beside the old one and takes its place only where every check is true.
+    The digests are of the messages of the whole payloads, and of those of the rebuilt events. A rebuilt archive is
+    written beside the old one and takes its place only where every check is true.
     """
     whole = hydrate(events.drop("storage_class", "index_policy", "value_level", "indexed_text", "duplicate", "payload_stub"), stored)
     hot = classify_storage(whole)
     hot = hot.withColumn("text_content", F.when(F.col("storage_class") != "noise", F.col("text_content")))
     new = without_bodies(dedupe_bodies(classify_index(hot)))
-    before, after = archive_digest(whole), archive_digest(whole.join(new.select("event_id"), "event_id", "left_semi"))
-    checks = counts_equal({"events": events}, {"events": new}).select("table", "equal").unionByName(before.select("digest").join(after.select(F.col("digest").alias("other"))).select(F.lit("digest").alias("table"), (F.col("digest") == F.col("other")).alias("equal")))
-    return new, checks
+    return new, rebuild_checks(events, whole, new)
+
+
+def rebuild_checks(events: DataFrame, whole: DataFrame, new: DataFrame) -> DataFrame:
+    """table, equal: whether rebuilt events are as many as before, and say in their messages what the whole ones say."""
+    before, after = archive_digest(whole), archive_digest(new)
+    same = before.select("digest").join(after.select(F.col("digest").alias("other"))).select(F.lit("digest").alias("table"), (F.col("digest") == F.col("other")).alias("equal"))
+    return counts_equal({"events": events}, {"events": new}).select("table", "equal").unionByName(same)

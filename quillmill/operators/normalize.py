@@ -131,6 +131,12 @@ def roll_up_sessions(events: DataFrame, warnings: DataFrame) -> DataFrame:
     return base.join(counts, "path", "left").withColumn("archived", F.col("path").contains("/archived_sessions/")).fillna("unknown", ["source_kind"])
 
 
+def last_files(sessions: DataFrame) -> DataFrame:
+    """Sessions of which two files tell: the last file by (archived, path) has it."""
+    place = F.row_number().over(W.partitionBy("session_id").orderBy(F.desc(F.col("path").contains("/archived_sessions/")), F.desc("path")))
+    return sessions.withColumn("place", place).where("place = 1").drop("place")
+
+
 def enrich(sessions: DataFrame, state: DataFrame) -> DataFrame:
     """Sessions with what a side table says of their files: it names the session, and fills what is missing."""
     s = state.select(*[F.col(c).alias(f"s_{c}") for c in state.columns])
@@ -147,13 +153,17 @@ def enrich(sessions: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def assign_event_ids(events: DataFrame) -> DataFrame:
-    """events with event_id: the place of (archived, path, line_no). Files are counted, and only their counts summed up."""
+def assign_event_ids(events: DataFrame, after: int = 0) -> DataFrame:
+    """events with event_id: ``after`` plus the place of (archived, path, line_no).
+
+    Files are counted, and only their counts are summed up: one window over a row for each file, which serves for some
+    millions of files in one import.
+    """
     archived = F.col("path").contains("/archived_sessions/")
     counts = events.groupBy("path").agg(F.count("*").alias("n")).withColumn("archived", archived)
     starts = counts.select("path", F.coalesce(F.sum("n").over(W.orderBy("archived", "path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     place = F.row_number().over(W.partitionBy("path").orderBy("line_no"))
-    return events.withColumn("place", place).join(starts, "path").withColumn("event_id", F.col("start") + F.col("place")).drop("start", "place")
+    return events.withColumn("place", place).join(starts, "path").withColumn("event_id", F.lit(after).cast("long") + F.col("start") + F.col("place")).drop("start", "place")
 
 
 def repair_types(events: DataFrame, warnings: DataFrame, types: tuple[str, ...] = ("compacted", "world_state", "inter_agent_communication_metadata")) -> tuple[DataFrame, DataFrame]:

@@ -9,34 +9,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import constants as C
+from quillmill.functions.patterns import for_spark
 
 HIGH = ["high", "critical"]
 
 
+def _hinted(kind: str, text: Column) -> Column:
+    """Whether a text can hold a match at all: a search for fixed strings, which most texts end with."""
+    out = F.lit(False)
+    for hint in C.DETECTOR_HINTS[kind]:
+        out = out | text.contains(hint)
+    return out
+
+
 def scan(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, kind, severity, n (place among the text's matches of that kind), match, excerpt: one row for each match."""
-    found = [F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), group).alias("matches")) for kind, severity, pattern, group in C.DETECTORS]
+    t = F.coalesce(text, F.lit(""))
+    matches = lambda kind, pattern: F.when(_hinted(kind, t), F.regexp_extract_all(t, F.lit(for_spark(pattern)), 0))
+    found = [F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), matches(kind, pattern).alias("matches")) for kind, severity, pattern in C.DETECTORS]
     rows = df.select(key, F.explode(F.filter(F.array(*found), lambda x: F.size(x["matches"]) > 0)).alias("x")).select(key, "x.kind", "x.severity", F.posexplode("x.matches").alias("n", "match"))
     return rows.withColumn("excerpt", F.when(F.length("match") > 120, F.concat(F.substring("match", 1, 117), F.lit("..."))).otherwise(F.col("match")))
 
 
 def match_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, severity, start, end (characters, from 0) of each match. Only texts with a match leave the JVM."""
+    """key, kind, severity, n, match, start, end (characters, from 0) of each match. Only texts with a match leave the JVM."""
     any_match = F.lit(False)
-    for _, _, pattern, _ in C.DETECTORS:
-        any_match = any_match | F.col(text).rlike(pattern)
+    for kind, _, pattern in C.DETECTORS:
+        any_match = any_match | (_hinted(kind, F.col(text)) & F.col(text).rlike(for_spark(pattern)))
     rows = df.where(any_match).select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind_of_key = rows.schema["key"].dataType.simpleString()
-    detectors = [(kind, severity, re.compile(pattern, re.ASCII), group) for kind, severity, pattern, group in C.DETECTORS]
+    detectors = [(kind, severity, re.compile(pattern)) for kind, severity, pattern in C.DETECTORS]
+    names = ["key", "kind", "severity", "n", "match", "start", "end"]
 
     def spans(parts):
         for batch in parts:
-            out = [(k, kind, severity, m.start(group), m.end(group)) for k, text in zip(*(c.to_pylist() for c in batch.columns)) for kind, severity, pattern, group in detectors for m in pattern.finditer(text)]
+            out = [(k, kind, severity, n, m[0], m.start(), m.end()) for k, text in zip(*(c.to_pylist() for c in batch.columns)) for kind, severity, pattern in detectors for n, m in enumerate(pattern.finditer(text))]
             if out:
-                keys, kinds, severities, starts, ends = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(kinds), pa.array(severities), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["key", "kind", "severity", "start", "end"])
+                types = [batch.column(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.mapInArrow(spans, f"key {kind_of_key}, kind string, severity string, start int, end int").withColumnRenamed("key", key)
+    return rows.mapInArrow(spans, f"key {kind_of_key}, kind string, severity string, n int, match string, start int, end int").withColumnRenamed("key", key)
 
 
 def allowlisted(findings: DataFrame, rules: DataFrame) -> DataFrame:
@@ -62,15 +74,22 @@ def high_risk(findings: DataFrame, key: str) -> DataFrame:
 def redacted(text: Column) -> Column:
     """Text with each match as [REDACTED:kind]; where matches overlap, the more severe kind stays."""
     out = text
-    for kind, _, pattern, group in C.DETECTORS:
-        if kind == "token_assignment":
-            pattern = pattern.replace("[^'\"\\t\\n\\f\\r ]{8,}", "(?!\\[REDACTED:)[^'\"\\t\\n\\f\\r ]{8,}")
-        if group:  # the look-behind that the pattern spells out as a character stays
-            pattern = pattern.replace("(?:^|[^A-Za-z0-9_.-])(", "(?<![A-Za-z0-9_.-])(", 1)
-        out = F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")
+    for kind, _, pattern in C.DETECTORS:
+        pattern = for_spark(pattern)
+        if kind == "token_assignment":  # what is redacted already is no secret
+            place = pattern.rindex("[^")
+            pattern = f"{pattern[:place]}(?!\\[REDACTED:){pattern[place:]}"
+        out = F.when(_hinted(kind, out), F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")).otherwise(out)
     return out
 
 
+def redact(df: DataFrame, key: str, text: str, rules: DataFrame | None = None) -> DataFrame:
+    """df with its text redacted; with rules, matches that one of them allows stay. key: a row's own."""
+    if rules is None:
+        return df.withColumn(text, redacted(F.col(text)))
+    return redact_spans(df, effective(allowlisted(match_offsets(df, key, text), rules)), key, text)
+
+
 def redact_spans(df: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
     """df with its text redacted at spans (key, kind, severity, start, end), such as those that no rule allows.
 
@@ -89,18 +108,24 @@ def redact_spans(df: DataFrame, spans: DataFrame, key: str, text: str) -> DataFr
 
 
 def privacy_summary(findings: DataFrame) -> DataFrame:
-    """Counts by severity and kind, by severity, and in all (nulls), in one pass."""
-    return findings.rollup("severity", "kind").agg(F.count("*").alias("count"))
+    """Effective findings (count) and allowed ones by severity and kind, by severity, and in all (nulls), in one pass."""
+    allowed = F.col("allowlisted") if "allowlisted" in findings.columns else F.lit(False)
+    marked = findings.select("severity", "kind", allowed.alias("allowed"))
+    return marked.rollup("severity", "kind").agg(F.count_if(~F.col("allowed")).alias("count"), F.count_if("allowed").alias("allowlisted_count"))
 
 
 def gate(docs: DataFrame, findings: DataFrame, key: str, text: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    """(documents that pass, keys that are skipped): warn passes all, redact rewrites, fail drops what is high-risk."""
+    """(documents that pass, keys that are skipped): warn passes all, redact rewrites, fail drops what is high-risk.
+
+    findings: those of scan, with or without allowlisted; what a rule allows is neither redacted nor a reason to drop.
+    """
     risky = high_risk(findings, key)
     none = risky.limit(0)
     if mode == "warn":
         return docs, none
     if mode == "redact":
-        return docs.withColumn(text, redacted(F.col(text))), none
+        spans = match_offsets(docs, key, text).join(effective(findings).select(key, "kind", "n").distinct(), [key, "kind", "n"], "left_semi")
+        return redact_spans(docs, spans, key, text), none
     if mode == "fail":
         return docs.join(risky, key, "left_anti"), docs.select(key).join(risky, key, "left_semi")
     raise ValueError(f"no such mode: {mode}")

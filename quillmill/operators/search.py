@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,79 @@ def terms(text: Column) -> Column:
 
 
 def postings(events: DataFrame, fields: tuple[str, ...] = ("tool_name", "file_path", "indexed_text"), key: str = "event_id") -> DataFrame:
-    """term, key, field, tf, positions (ascending, from 0) of events: the inverted index."""
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields])).alias("x")
-    words = events.select(key, each).select(key, "x.field", F.posexplode("x.terms").alias("pos", "term"))
-    return words.groupBy("term", key, "field").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    """term, key, field, tf, positions (ascending, from 0), length (terms of the event, in all fields): the inverted index.
 
+    All postings of an event come from its row alone: no token is shuffled. ``key`` holds each event once.
+    """
+    listed = events.select(F.col(key).alias("key"), *[terms(F.col(f)).alias(f"f{k}") for k, f in enumerate(fields)])
+    kind = listed.schema["key"].dataType.simpleString()
+
+    def invert(parts):
+        for batch in parts:
+            lists = [batch.column(k + 1) for k in range(len(fields))]
+            sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+            length = np.sum(sizes, axis=0)
+            for name, column, size in zip(fields, lists, sizes):
+                words = column.flatten().dictionary_encode()
+                if not len(words):
+                    continue
+                row = np.repeat(np.arange(len(size)), size)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                order = np.argsort(row * len(words.dictionary) + code, kind="stable")
+                row, code, place = row[order], code[order], place[order]
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+                ends = np.append(first, len(row))
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), pa.array([name] * len(first)), pa.array(np.diff(ends), pa.int64()), positions, pa.array(length[row[first]], pa.int64())],
+                    ["term", "key", "field", "tf", "positions", "length"],
+                )
+
+    return listed.mapInArrow(invert, f"term string, key {kind}, field string, tf long, positions array<int>, length long").withColumnRenamed("key", key)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(events: DataFrame, path: str, buckets: int = 64, fields: tuple[str, ...] = ("tool_name", "file_path", "indexed_text"), key: str = "event_id") -> None:
+    """Writes the postings of events, and one row of totals, below ``path``: shuffled once, by bucket of term, and sorted
+    by term, so that a query reads its terms' buckets alone, and of these the row groups that hold the terms.
+
+    A frequent term may hold a large share of all postings: buckets are written in several files, dealt by key.
+    """
+    spark = events.sparkSession
+    rows = postings(events, fields, key).withColumn("bucket", _bucket(F.col("term"), buckets))
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    totals(spark.read.parquet(f"{path}/postings"), key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+class StoredIndex:
+    """What write_index has written; stands wherever an index of postings does."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.postings = spark.read.parquet(f"{path}/postings")
+        self.totals = spark.read.parquet(f"{path}/totals")
+        self.buckets = self.totals.first().buckets
 
-def write_index(index: DataFrame, name: str, buckets: int = 64) -> None:
-    """Saves postings as a table bucketed and sorted by term, so that a query reads its terms' buckets alone."""
-    index.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(name)
+    def of(self, wanted: list[str]) -> DataFrame:
+        """The postings of some terms: constants, from which Spark knows the folders to read."""
+        some = self.postings.where(F.col("bucket").isin([_bucket(F.lit(t), self.buckets) for t in wanted]) if wanted else F.lit(False))
+        return some.where(F.col("term").isin(list(wanted))).drop("bucket")
+
+
+def of_terms(index: DataFrame | StoredIndex, wanted: list[str]) -> DataFrame:
+    return index.of(list(wanted)) if isinstance(index, StoredIndex) else index.where(F.col("term").isin(list(wanted)))
 
 
 def document_lengths(index: DataFrame, key: str = "event_id") -> DataFrame:
-    return index.groupBy(key).agg(F.sum("tf").alias("length"))
+    return index.groupBy(key).agg(F.max("length").alias("length"))
+
+
+def totals(index: DataFrame, key: str = "event_id") -> DataFrame:
+    """One row: n, mean of the lengths of the events that hold a term."""
+    return document_lengths(index, key).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 
 def parse_query(text: str | None) -> tuple[str, list[str], list[str]]:
@@ -52,18 +114,18 @@ def parse_query(text: str | None) -> tuple[str, list[str], list[str]]:
     return ("any" if "OR" in parts else "all"), plain, unwanted
 
 
-def match_terms(index: DataFrame, wanted: list[str], every: bool = True, unwanted: list[str] = (), key: str = "event_id") -> DataFrame:
+def match_terms(index: DataFrame | StoredIndex, wanted: list[str], every: bool = True, unwanted: list[str] = (), key: str = "event_id") -> DataFrame:
     """Keys of events that hold all (or any) wanted terms, in any field, and none of the unwanted."""
-    found = index.where(F.col("term").isin(list(wanted))).groupBy(key).agg(F.count_distinct("term").alias("n"))
+    found = of_terms(index, wanted).groupBy(key).agg(F.count_distinct("term").alias("n"))
     out = (found.where(F.col("n") == len(set(wanted))) if every else found).select(key)
-    return out.join(index.where(F.col("term").isin(list(unwanted))).select(key), key, "left_anti") if unwanted else out
+    return out.join(of_terms(index, unwanted).select(key), key, "left_anti") if unwanted else out
 
 
-def match_phrase(index: DataFrame, phrase: list[str], key: str = "event_id") -> DataFrame:
+def match_phrase(index: DataFrame | StoredIndex, phrase: list[str], key: str = "event_id") -> DataFrame:
     """Keys of events that hold the terms one after the other, in one field: each position less its term's place in the
     phrase must be the same for all of them."""
     places = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for k, t in enumerate(phrase)])
-    wanted = index.where(F.col("term").isin(phrase)).withColumn("place", F.explode(places)).where("place.t = term")
+    wanted = of_terms(index, phrase).withColumn("place", F.explode(places)).where("place.t = term")
     starts = wanted.select(key, "field", "place.k", F.explode("positions").alias("pos")).select(key, "field", "k", (F.col("pos") - F.col("k")).alias("start"))
     return starts.groupBy(key, "field", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(phrase)).select(key).distinct()
 
@@ -73,20 +135,19 @@ def match_like(events: DataFrame, part: str, key: str = "event_id") -> DataFrame
     return events.where(F.lower("indexed_text").contains(part.lower())).select(key)
 
 
-def bm25(index: DataFrame, wanted: list[str], key: str = "event_id") -> DataFrame:
+def bm25(index: DataFrame | StoredIndex, wanted: list[str], key: str = "event_id") -> DataFrame:
     """key, score of every event that holds one of the terms: Okapi BM25, fields as one text, rounded to 6 places."""
-    lengths = document_lengths(index, key)
-    total = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = index.where(F.col("term").isin(list(wanted))).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+    total = index.totals.select("n", "mean") if isinstance(index, StoredIndex) else totals(index, key)
+    tf = of_terms(index, wanted).groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     # one row for each term, and one row of totals: as small as the query
-    scored = tf.join(F.broadcast(df), "term").join(lengths, key).join(F.broadcast(total))
+    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return scored.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def search(events: DataFrame, index: DataFrame, sessions: DataFrame, query: str, limit: int = 20, cwd: str | None = None, session_id: str | None = None, event_type: str | None = None, tool: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def search(events: DataFrame, index: DataFrame | StoredIndex, sessions: DataFrame, query: str, limit: int = 20, cwd: str | None = None, session_id: str | None = None, event_type: str | None = None, tool: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
     """event_id, session_id, score of the best matches: match, filter, rank, and only then whatever is wide."""
     kind, wanted, unwanted = parse_query(query)
     if kind == "blank" or not wanted:

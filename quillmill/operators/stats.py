@@ -52,7 +52,7 @@ def parse_health(events: DataFrame, warnings: DataFrame, high: float = 0.05, top
 
 
 def index_status(events: DataFrame, index: DataFrame) -> DataFrame:
-    """One row: searchable events, indexed ones, and those that are not indexed."""
+    """One row: searchable events, indexed ones, and those that are not indexed. index: postings, of any layout."""
     there = index.select("event_id").distinct()
     wanted = events.where("indexed_text is not null").select("event_id")
     return _beside([wanted.agg(F.count("*").alias("searchable")), there.agg(F.count("*").alias("indexed")), wanted.join(there, "event_id", "left_anti").agg(F.count("*").alias("not_indexed"))])
@@ -76,6 +76,16 @@ def audit_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "key", "full_outer").withColumn("is_new", F.col("before").isNull()).fillna(0, ["before", "after"]).withColumn("delta", F.col("after") - F.col("before"))
 
 
+def audit_regressions(before: DataFrame, after: DataFrame, codes_before: DataFrame, codes_after: DataFrame) -> DataFrame:
+    """One row on two audits (files, events, warnings, parseable_ratio) and their warning codes (key, count): the deltas
+    of the totals, and what got worse."""
+    fields = ["files", "events", "warnings", "parseable_ratio"]
+    both = _beside([before.select(*[F.col(f).alias(f"b_{f}") for f in fields]), after.select(*fields)])
+    new = audit_diff(codes_before, codes_after).where("is_new and delta > 0").agg(F.array_sort(F.collect_set("key")).alias("new_warning_codes"))
+    deltas = [(F.col(f) - F.col(f"b_{f}")).alias(f"{f}_delta") for f in fields]
+    return _beside([both, new]).select(*deltas, (F.col("warnings") > F.col("b_warnings")).alias("warnings_increased"), (F.col("parseable_ratio") < F.col("b_parseable_ratio")).alias("parseable_ratio_decreased"), "new_warning_codes")
+
+
 def audit_history(reports: DataFrame, fields: tuple[str, ...] = ("files", "events", "warnings")) -> DataFrame:
     """The last report and its differences to the one before; status not_enough_reports where there is none."""
     ranked = reports.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("generated_at")))).where("rank <= 2")

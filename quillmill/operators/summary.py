@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmill.functions import constants as C
+from quillmill.functions.patterns import for_spark
 from quillmill.functions.text import has_problem, shortened, trimmed
 
 def _is_user() -> Column:
@@ -48,7 +51,12 @@ def key_commands(events: DataFrame) -> DataFrame:
 
 def files_mentioned(events: DataFrame, limit: int = 20) -> DataFrame:
     """session_id, place, path, event_id: each path once, where it is mentioned first, the first of a session."""
-    paths = F.concat(F.when(F.coalesce("file_path", F.lit("")) != "", F.array("file_path")).otherwise(F.array().cast("array<string>")), F.regexp_extract_all(F.coalesce("text_content", F.lit("")), F.lit(C.FILE_PATTERN), 0))
+    text = F.coalesce("text_content", F.lit(""))
+    named = F.lit(False)
+    for ending in C.FILE_ENDINGS:  # most texts name no file: a search for fixed strings ends with them
+        named = named | text.contains("." + ending)
+    found = F.when(named, F.regexp_extract_all(text, F.lit(for_spark(C.FILE_PATTERN)), 0)).otherwise(F.array().cast("array<string>"))
+    paths = F.concat(F.when(F.coalesce("file_path", F.lit("")) != "", F.array("file_path")).otherwise(F.array().cast("array<string>")), found)
     each = events.select("session_id", "event_id", F.posexplode(paths).alias("pos", "path"))
     first = each.groupBy("session_id", "path").agg(F.min(F.struct("event_id", "pos")).alias("at"))
     return first.withColumn("place", F.row_number().over(W.partitionBy("session_id").orderBy("at"))).where(F.col("place") <= limit).select("session_id", "place", "path", F.col("at.event_id").alias("event_id"))
@@ -74,6 +82,29 @@ def coverage(items: DataFrame) -> DataFrame:
     return items.groupBy("session_id").agg(F.count("*").alias("total"), F.count("event_id").alias("with_evidence")).withColumn("ratio", F.round(F.when(F.col("total") > 0, F.col("with_evidence") / F.col("total")).otherwise(1.0), 6))
 
 
+def coverage_by_group(sessions: DataFrame, items: DataFrame) -> DataFrame:
+    """coverage of every session, with by_group and missing, of items (session_id, group, event_id).
+
+    by_group: group, total and with_evidence of each group, by name. missing: a sentence for each group that lacks some.
+    """
+    groups = items.groupBy("session_id", "group").agg(F.count("*").alias("total"), F.count("event_id").alias("with_evidence"))
+    lacks = F.col("total") - F.col("with_evidence")
+    sentence = F.when(lacks > 0, F.concat("group", F.lit(" has "), lacks.cast("string"), F.lit(" item(s) without evidence.")))
+    listed = groups.groupBy("session_id").agg(F.sum("total").alias("total"), F.sum("with_evidence").alias("with_evidence"), F.array_sort(F.collect_list(F.struct("group", "total", "with_evidence"))).alias("by_group"), F.array_sort(F.collect_list(sentence)).alias("missing"))
+    whole = sessions.select("session_id").join(listed, "session_id", "left").fillna(0, ["total", "with_evidence"])
+    ratio = F.round(F.when(F.col("total") > 0, F.col("with_evidence") / F.col("total")).otherwise(1.0), 6)
+    empty = F.from_json(F.lit("[]"), "array<struct<group:string,total:bigint,with_evidence:bigint>>")
+    return whole.select("session_id", "total", "with_evidence", ratio.alias("ratio"), F.coalesce("by_group", empty).alias("by_group"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def summary_items(events: DataFrame) -> DataFrame:
+    """session_id, group, event_id of all that a summary lists."""
+    parts = [("key_steps", key_steps(events)), ("files", files_mentioned(events)), ("problems", problem_events(events))]
+    if "payload" in events.columns:
+        parts.append(("key_commands", key_commands(events)))
+    return reduce(DataFrame.unionByName, [df.select("session_id", F.lit(name).alias("group"), "event_id") for name, df in parts])
+
+
 def _lines(df: DataFrame, column: str, name: str) -> DataFrame:
     line = F.concat(F.lit("- "), F.col(column), F.lit(" (evidence: "), F.col("event_id").cast("string"), F.lit(")"))
     order = [c for c in ("list", "place") if c in df.columns]

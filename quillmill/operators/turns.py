@@ -16,6 +16,15 @@ def assign_turns(events: DataFrame) -> DataFrame:
     return events.withColumn("opens", opens).withColumn("turn_index", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("opens")
 
 
+SETTINGS = ("model", "effort", "approval_policy")
+
+
+def with_settings(events: DataFrame, payload: str = "payload") -> DataFrame:
+    """events with the settings that a turn_context's payload names."""
+    context = F.col("top_type") == "turn_context"
+    return events.withColumns({name: F.when(context, F.get_json_object(payload, f"$.{name}")) for name in SETTINGS})
+
+
 def roll_up_turns(events: DataFrame, settings: tuple[str, ...] = ()) -> DataFrame:
     """One row for each turn: events, and of turn_context events the last non-empty value of each setting."""
     context = F.col("top_type") == "turn_context"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,16 +14,32 @@ from quillmill.functions import constants as C
 
 
 def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """key, vector: each token adds or takes one at a slot that its SHA-256 names; unit length, zero stays zero."""
-    tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(C.EMBEDDING_TOKEN), 0)).alias("token"))
-    # tokens repeat: hash each of a key's tokens once
-    counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n")).withColumn("hash", F.sha2("token", 256))
-    slot = (F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring("hash", 9, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = counted.groupBy(key, slot.alias("slot")).agg(F.sum(sign * F.col("n")).alias("v"))
-    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(0.0))
-    return df.select(key).join(packed, key, "left").select(key, F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(values).alias("vector"))
+    """key, vector: each token adds or takes one at a slot that its SHA-256 names; unit length, zero stays zero.
+
+    A row's vector comes from the row alone; of each batch of rows, every distinct token is hashed once.
+    """
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(C.EMBEDDING_TOKEN), 0)
+    listed = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    kind = listed.schema["key"].dataType.simpleString()
+
+    def hashed(parts):
+        for batch in parts:
+            words = batch.column(1).flatten().dictionary_encode()
+            sums = np.zeros((batch.num_rows, dim))
+            if len(words):
+                digests = [hashlib.sha256(w.encode("utf-8", "surrogatepass")).digest() for w in words.dictionary.to_pylist()]
+                slot = np.array([int.from_bytes(d[:4], "big") % dim for d in digests])
+                sign = np.array([1.0 if d[4] % 2 == 0 else -1.0 for d in digests])
+                code = words.indices.to_numpy(zero_copy_only=False)
+                size = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+                flat = np.repeat(np.arange(batch.num_rows), size) * dim + slot[code]
+                sums = np.bincount(flat, sign[code], batch.num_rows * dim).reshape(-1, dim)
+            norm = np.sqrt((sums**2).sum(1, keepdims=True))
+            vectors = sums / np.where(norm > 0, norm, 1.0)
+            ends = pa.array(np.arange(0, vectors.size + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], ["key", "vector"])
+
+    return listed.mapInArrow(hashed, f"key {kind}, vector array<double>").withColumnRenamed("key", key)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -45,16 +65,17 @@ def vector_status(vectors: DataFrame) -> DataFrame:
 def hybrid_rank(text_hits: DataFrame, vector_hits: DataFrame | None, query: str, cwd: str | None = None, k: int = 20, text_score: str = "reference") -> DataFrame:
     """Candidates of both legs by weighted score.
 
-    text_hits: id, rank (smaller is better), text, project; vector_hits: id, score, text, project; either has k rows at
-    most. A text hit's score is 1 / (1 + |rank|), divided by the largest on the page; with text_score "monotone" it is
+    text_hits: id, rank (smaller is better), text, project; vector_hits: id, score, text, project; the k best of either
+    take part. A text hit's score is 1 / (1 + |rank|), divided by the largest on the page; with text_score "monotone" it is
     |rank| by the largest instead, so that a better hit scores higher. Without vectors the result is the text leg alone.
     """
     page = W.partitionBy(F.lit(1))  # over a page of k rows
+    text_hits = text_hits.orderBy("rank", "id").limit(k)
     value = F.abs("rank") if text_score == "monotone" else 1 / (1 + F.abs("rank"))
     text = text_hits.withColumn("value", value).select(F.concat(F.lit("fts:"), F.col("id")).alias("id"), F.lit("fts").alias("source"), F.round(F.col("value") / F.max("value").over(page), 6).alias("fts_score"), F.lit(0.0).alias("vector_score"), "text", "project")
     both = text
     if vector_hits is not None:
-        both = text.unionByName(vector_hits.select(F.concat(F.lit("vector:"), F.col("id")).alias("id"), F.lit("vector").alias("source"), F.lit(0.0).alias("fts_score"), F.round("score", 6).alias("vector_score"), "text", "project"))
+        both = text.unionByName(vector_hits.orderBy(F.desc("score"), "id").limit(k).select(F.concat(F.lit("vector:"), F.col("id")).alias("id"), F.lit("vector").alias("source"), F.lit(0.0).alias("fts_score"), F.round("score", 6).alias("vector_score"), "text", "project"))
     same = F.lit(0.0) if cwd is None else F.when(F.col("project").eqNullSafe(F.lit(cwd)), 1.0).otherwise(0.0)
     hint = F.when(F.lower(F.coalesce("text", F.lit(""))).contains(query.lower()), 1.0).otherwise(0.0) if set(query) & set("./\\:") else F.lit(0.0)
     w = C.HYBRID_WEIGHTS
@@ -62,7 +83,21 @@ def hybrid_rank(text_hits: DataFrame, vector_hits: DataFrame | None, query: str,
     return both.withColumn("same_project", same).withColumn("exact_hint", hint).withColumn("score", F.round(F.least(F.lit(1.0), total), 6)).drop("text", "project").orderBy(F.desc("score"), "source", "id").limit(k)
 
 
-def agent_rank(hits: DataFrame) -> DataFrame:
-    """A page of text hits (event_id, score) as an agent sees it: id, and a score by place alone."""
-    place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "event_id"))  # over a page
-    return hits.withColumn("place", place).select(F.concat(F.lit("fts:event:"), F.col("event_id")).alias("result_id"), "event_id", F.round(1.0 / F.col("place"), 6).alias("score"))
+def agent_rank(hits: DataFrame, k: int = 20, mode: str = "text") -> DataFrame:
+    """The k best hits as an agent sees them: result_id, event_id, score.
+
+    mode "text": hits (event_id, score) get ``fts:event:<id>``, and a score by place alone. "vector": hits (chunk_id,
+    score) get ``vector:chunk:<id>`` and keep their score. "hybrid": hits (id, source, score) of hybrid_rank get either
+    and keep their score. event_id is null for a chunk.
+    """
+    if mode == "text":
+        place = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("score"), "event_id"))  # over a page
+        page = hits.orderBy(F.desc("score"), "event_id").limit(k).withColumn("place", place)
+        return page.select(F.concat(F.lit("fts:event:"), F.col("event_id")).alias("result_id"), "event_id", F.round(1.0 / F.col("place"), 6).alias("score"))
+    if mode == "vector":
+        return hits.orderBy(F.desc("score"), "chunk_id").limit(k).select(F.concat(F.lit("vector:chunk:"), F.col("chunk_id")).alias("result_id"), F.lit(None).cast("long").alias("event_id"), F.round("score", 6).alias("score"))
+    if mode == "hybrid":
+        fts, bare = F.col("source") == "fts", F.regexp_replace("id", "^[a-z]+:", "")
+        page = hits.orderBy(F.desc("score"), "source", "id").limit(k)
+        return page.select(F.concat(F.when(fts, "fts:event:").otherwise("vector:chunk:"), bare).alias("result_id"), F.when(fts, bare).try_cast("long").alias("event_id"), F.round("score", 6).alias("score"))
+    raise ValueError(f"no such mode: {mode}")

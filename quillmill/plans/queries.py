@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill import storage
 from quillmill.functions import constants as C
+from quillmill.functions.patterns import for_re2
 from quillmill.operators import blobs, browse, export, history, ingest, pairing, policy, privacy, search, stats, summary, turns, vectors
 from quillmill.plans import sql as S
 from quillmill.sources import tables as T
@@ -48,9 +50,14 @@ def _warnings(spark, d):
     return pairing.pairing_warnings(T.call_events(T.table(spark, d, "events"))).withColumn("session_id", F.col("path"))
 
 
+def _texts_to_index(spark, d):
+    return T.table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("indexed_text"))
+
+
 def _index(spark, d):
-    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("indexed_text"))
-    return search.postings(docs, ("indexed_text",))
+    """The index of all documents, written once in an application; a query reads its terms' buckets of it."""
+    path = storage.kept(spark, "index", f"{d}/documents.parquet", lambda p: search.write_index(_texts_to_index(spark, d), p, fields=("indexed_text",)))
+    return search.StoredIndex(spark, path)
 
 
 def _joined(column, sep=","):
@@ -77,12 +84,12 @@ def warning_summary(spark, d):
 
 
 def _wanted(spark, d):
-    """Every third conversation and some that are not there, in descending order."""
+    """The ids of all conversations, doubled: some are there and some are not; the largest first."""
     talk = T.table(spark, d, "conversations").select("conv_id").distinct()
-    return talk.where("conv_id % 3 = 0").select(F.concat(F.lit("conv-"), F.col("conv_id") * 2).alias("session_id"), (-F.col("conv_id")).alias("ordinal"))
+    return talk.select(F.concat(F.lit("conv-"), F.col("conv_id") * 2).alias("session_id"), (-F.col("conv_id")).alias("ordinal"))
 
 
-_WANTED = "want AS (SELECT DISTINCT 'conv-' || (conv_id * 2) AS session_id, -conv_id AS ordinal FROM conversations WHERE conv_id % 3 = 0)"
+_WANTED = "want AS (SELECT DISTINCT 'conv-' || (conv_id * 2) AS session_id, -conv_id AS ordinal FROM conversations)"
 
 
 @_query(f"WITH {S.CHAT}, {_WANTED} SELECT w.session_id, w.ordinal, s.cwd, s.updated_at, s.session_id IS NOT NULL AS found FROM want w LEFT JOIN sess s USING (session_id)")
@@ -95,6 +102,11 @@ def selected_sessions(spark, d):
     return browse.select_sessions(_chat(spark, d)[0], _wanted(spark, d), "proj-3")
 
 
+@_query(f"WITH {S.CHAT}, {_WANTED} SELECT event_id, session_id, sub_type FROM chat WHERE session_id IN (SELECT session_id FROM want)")
+def wanted_events(spark, d):
+    return browse.get_events(_chat(spark, d)[1], _wanted(spark, d)).select("event_id", "session_id", "sub_type")
+
+
 @_query(f"WITH {S.CHAT} SELECT * FROM sess WHERE cwd = 'proj-3'")
 def project_sessions(spark, d):
     return browse.project_sessions(_chat(spark, d)[0], "proj-3")
@@ -130,6 +142,14 @@ def overview(spark, d):
     return browse.overview(_chat(spark, d)[0])
 
 
+@_query(f"WITH {S.POSTINGS}, {S.bm25(TERMS)} SELECT event_id, lang AS session_id, 'lang-' || lang AS cwd, score FROM scored JOIN documents ON doc_id = event_id WHERE event_id IN (SELECT event_id FROM hit GROUP BY event_id HAVING count(*) = {len(TERMS)}) ORDER BY score DESC, event_id LIMIT 20")
+def overview_search(spark, d):
+    """The overview's search leg over all documents."""
+    events = T.document_events(T.table(spark, d, "documents"))
+    sessions = events.select("session_id", F.concat(F.lit("lang-"), "session_id").alias("cwd")).distinct()
+    return browse.overview_hits(sessions, events, _index(spark, d), " ".join(TERMS)).select("event_id", "session_id", "cwd", "score")
+
+
 @_query(f"WITH {S.CALLS} SELECT w.path AS session_id, code, count(*) AS warning_count, min(w.line_no) AS first_line, any_value(c.n) AS event_count FROM warn w JOIN (SELECT path, count(*) AS n FROM calls GROUP BY path) c USING (path) GROUP BY ALL")
 def warning_detail(spark, d):
     calls = T.call_events(T.table(spark, d, "events")).withColumn("session_id", F.col("path"))
@@ -156,6 +176,17 @@ def turn_rollup(spark, d):
     return turns.roll_up_turns(_chat(spark, d)[1])
 
 
+_SETTINGS = "st AS (SELECT *, CASE WHEN top_type = 'turn_context' THEN 'm' || (line_no % 3) END AS model, CASE WHEN top_type = 'turn_context' AND line_no % 2 = 0 THEN 'high' END AS effort FROM chat)"
+
+
+@_query(f"WITH {S.CHAT}, {_SETTINGS} SELECT session_id, turn_index, count(*) AS event_count, min(event_id) AS first_event_id, max(event_id) AS last_event_id, arg_max(model, event_id) AS model, arg_max(effort, event_id) AS effort, CAST(NULL AS VARCHAR) AS approval_policy FROM st GROUP BY session_id, turn_index")
+def turn_settings(spark, d):
+    """Turns with the settings of the system's messages, whose payloads name a model and, on even lines, an effort."""
+    events = _chat(spark, d)[1]
+    payload = F.to_json(F.struct(F.concat(F.lit("m"), (F.col("line_no") % 3).cast("string")).alias("model"), F.when(F.col("line_no") % 2 == 0, "high").otherwise("").alias("effort")))
+    return turns.roll_up_turns(turns.with_settings(events.withColumn("payload", payload)), turns.SETTINGS)
+
+
 # ---- statistics ----
 
 
@@ -200,6 +231,19 @@ def audit_diff(spark, d):
     return stats.audit_diff(side(0), side(1))
 
 
+_TOTALS = "tt AS (SELECT doc_id % 2 AS side, count(*) AS files, sum(n_chars) AS events, count(*) FILTER (WHERE lang = 'de') AS warnings, round(count(*) FILTER (WHERE lang = 'en')::DOUBLE / count(*), 6) AS parseable_ratio FROM documents GROUP BY 1)"
+
+
+@_query(f"WITH {_SIDES}, {_TOTALS} SELECT CAST(a.files - b.files AS BIGINT) AS files_delta, CAST(a.events - b.events AS BIGINT) AS events_delta, CAST(a.warnings - b.warnings AS BIGINT) AS warnings_delta, round(a.parseable_ratio - b.parseable_ratio, 6) AS parseable_ratio_delta, a.warnings > b.warnings AS warnings_increased, a.parseable_ratio < b.parseable_ratio AS parseable_ratio_decreased, coalesce((SELECT string_agg(key, ',' ORDER BY key) FROM counters WHERE before = 0 AND after > 0), '') AS new_warning_codes FROM tt a, tt b WHERE a.side = 1 AND b.side = 0")
+def audit_regressions(spark, d):
+    """The documents with odd ids as a later audit of those with even ones."""
+    docs = T.table(spark, d, "documents")
+    side = lambda k: docs.where(F.col("doc_id") % 2 == k).agg(F.count("*").alias("files"), F.sum("n_chars").alias("events"), F.count_if(F.col("lang") == "de").alias("warnings"), F.round(F.count_if(F.col("lang") == "en") / F.count("*"), 6).alias("parseable_ratio"))
+    codes = lambda k: docs.where(f"source is not null and doc_id % 2 = {k}").groupBy(F.col("source").alias("key")).agg(F.count("*").alias("count"))
+    out = stats.audit_regressions(side(0), side(1), codes(0), codes(1))
+    return out.withColumn("parseable_ratio_delta", F.round("parseable_ratio_delta", 6)).withColumn("new_warning_codes", F.array_join("new_warning_codes", ","))
+
+
 @_query('SELECT \'documents\' AS "table", (SELECT count(*) FROM documents) AS a, (SELECT count(DISTINCT text) FROM documents) AS b, (SELECT count(*) FROM documents) = (SELECT count(DISTINCT text) FROM documents) AS equal UNION ALL SELECT \'labels\', count(*), count(*), true FROM labels')
 def counts_equal(spark, d):
     docs, labels = T.table(spark, d, "documents"), T.table(spark, d, "labels")
@@ -211,7 +255,10 @@ def conversation_digest(spark, d):
     return stats.conversation_digest(_chat(spark, d)[1])
 
 
-@_query()
+_DIGEST = "dg AS (SELECT session_id, sha256(string_agg(sha256(coalesce(sub_type, top_type) || '|' || coalesce(text_content, '')), chr(10) ORDER BY event_id)) AS digest FROM chat WHERE sub_type IN ('user_message', 'message') GROUP BY session_id), dh AS (SELECT sha256(session_id || '|' || digest) AS h FROM dg), ds AS (SELECT count(*) AS sessions, " + ", ".join(f"sum(('0x' || substring(h, {k}, 15))::BIGINT) AS d{k}" for k in (1, 16, 31, 46)) + " FROM dh)"
+
+
+@_query(f"WITH {S.CHAT}, {_DIGEST} SELECT sessions, sha256(concat_ws('|', sessions, d1, d16, d31, d46)) AS digest FROM ds")
 def archive_digest(spark, d):
     return stats.archive_digest(_chat(spark, d)[1])
 
@@ -224,6 +271,13 @@ def index_policy(spark, d):
     return _documents(spark, d).select("event_id", "index_policy", "value_level", "indexed_text")
 
 
+@_query(f"WITH {S.PAGES} SELECT event_id, 'metadata_only' AS index_policy, 'evidence' AS value_level, '[binary or image evidence omitted from search index] type=' || top_type || '/' || sub_type || ' tool=' || tool_name || ' file=' || file_path AS indexed_text FROM pev")
+def binary_policy(spark, d):
+    """Outputs that hold an inline image, one for each page."""
+    events = T.page_events(T.table(spark, d, "pages"), "data:image/png;base64,", "AAAA")
+    return policy.classify_index(events).select("event_id", "index_policy", "value_level", "indexed_text")
+
+
 @_query(f"WITH {S.DOCS} SELECT event_id, CASE WHEN sub_type = 'function_call_output' THEN 'evidence' WHEN sub_type = 'message' THEN 'core' WHEN octet_length(encode(coalesce(text_content, ''))) > 16384 THEN 'evidence' ELSE 'core' END AS storage_class FROM dev")
 def storage_class(spark, d):
     return policy.classify_storage(T.document_events(T.table(spark, d, "documents")), "text_content").select("event_id", "storage_class")
@@ -242,7 +296,10 @@ def distinct_blobs(spark, d):
 @_query("SELECT DISTINCT sha256(text) AS blob_id, octet_length(encode(text)) AS original_bytes FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL)")
 def unreferenced_blobs(spark, d):
     docs = T.table(spark, d, "documents")
-    marked = docs.join(T.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(F.sha2("text", 256).alias("payload_ref"), F.lit("").alias("payload"))
+    marked = docs.join(T.table(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").withColumn("sha", F.sha2("text", 256))
+    # half of the references stand in a column, the others deep in payloads, with white space
+    own, inner = F.col("doc_id") % 2 == 0, F.concat(F.lit('{"parts": [{"k": 1}, {"text_ref" : "'), F.col("sha"), F.lit('"}]}'))
+    marked = marked.select(F.when(own, F.col("sha")).alias("payload_ref"), F.when(~own, inner).otherwise("{}").alias("payload"))
     return blobs.unreferenced_blobs(blobs.blobs(docs, "text"), blobs.referenced(marked)).select("blob_id", "original_bytes")
 
 
@@ -251,7 +308,7 @@ def unreferenced_blobs(spark, d):
 
 @_query(f"WITH {S.POSTINGS} SELECT term, event_id, tf, list_aggregate(positions, 'string_agg', ',') AS positions FROM post")
 def postings(spark, d):
-    return _index(spark, d).select("term", "event_id", "tf", _joined(F.col("positions")).alias("positions"))
+    return search.postings(_texts_to_index(spark, d), ("indexed_text",)).select("term", "event_id", "tf", _joined(F.col("positions")).alias("positions"))
 
 
 _LISTED = ", ".join(f"'{t}'" for t in TERMS)
@@ -290,7 +347,10 @@ def search_filtered(spark, d):
     return search.search(events, _index(spark, d), sessions, " ".join(TERMS), cwd="lang-en", event_type="user_message")
 
 
-@_query()
+_HIT = f"len(list_intersect(regexp_extract_all(lower(w), '{C.TERM}'), [{_LISTED}])) > 0"
+
+
+@_query(f"WITH {S.POSTINGS}, {S.bm25(TERMS)}, top20 AS (SELECT event_id, score FROM scored ORDER BY score DESC, event_id LIMIT 20), sw AS (SELECT event_id, score, string_split({S.flat('text')}, ' ') AS words FROM top20 JOIN documents ON doc_id = event_id), sf AS (SELECT *, greatest(1, coalesce(list_position(list_transform(words, lambda w: {_HIT}), true), 0) - 4) AS f FROM sw) SELECT event_id, score, CASE WHEN f > 1 THEN '...' ELSE '' END || array_to_string(list_transform(list_slice(words, f, f + 11), lambda w: CASE WHEN {_HIT} THEN '[' || w || ']' ELSE w END), ' ') || CASE WHEN len(words) >= f + 12 THEN '...' ELSE '' END AS snippet FROM sf")
 def snippets(spark, d):
     docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("indexed_text"))
     return search.snippets(bm25_top(spark, d), docs, TERMS)
@@ -330,6 +390,20 @@ def agent_rank(spark, d):
     return vectors.agent_rank(bm25_top(spark, d))
 
 
+@_query(f"WITH {S.POSTINGS}, {S.bm25(TERMS)} SELECT event_id, CAST(row_number() OVER (ORDER BY scored.score DESC, event_id) - 1 AS BIGINT) AS place, lang AS session_id FROM scored JOIN documents ON doc_id = event_id ORDER BY scored.score DESC, event_id LIMIT 20")
+def evidence_lookup(spark, d):
+    """The events of the best page of hits, by their ids and in its order."""
+    ids = [r.event_id for r in bm25_top(spark, d).orderBy(F.desc("score"), "event_id").collect()]
+    return export.events_by_id(T.document_events(T.table(spark, d, "documents")), ids).select("event_id", "place", "session_id")
+
+
+@_query("SELECT 'label-' || label AS adapter, len(embedding) AS dimensions, count(*) AS chunk_count, count(DISTINCT vec_id // 10) AS sessions FROM embeddings GROUP BY ALL")
+def vector_status(spark, d):
+    """Vectors by label as an adapter's, ten to a session."""
+    chunks = T.table(spark, d, "embeddings").select(F.concat(F.lit("label-"), "label").alias("adapter"), F.size("embedding").alias("dimensions"), F.expr("vec_id div 10").alias("session_id"))
+    return vectors.vector_status(chunks)
+
+
 # ---- privacy ----
 
 
@@ -348,6 +422,13 @@ def match_offsets(spark, d):
     return privacy.match_offsets(_texts(spark, d), "id", "text")
 
 
+@_query(f"WITH {S.findings()} SELECT id, kind, n, CASE WHEN kind NOT LIKE '%_abs_path' THEN CASE WHEN length(match) > 120 THEN substring(match, 1, 117) || '...' ELSE match END END AS excerpt FROM found")
+def hidden_paths(spark, d):
+    """Findings as they are shown: without paths, in columns or excerpts."""
+    found = privacy.scan(_texts(spark, d), "id", "text").withColumn("raw_path", F.col("id"))
+    return browse.hide_paths(found.drop("match", "severity"))
+
+
 _ALLOW = f"{S.findings()}, f AS (SELECT *, kind = 'email' AND regexp_matches(match, '{RULES[0][2]}') OR match = 'nothing' AS allowlisted FROM found)"
 
 
@@ -367,12 +448,11 @@ def high_risk_documents(spark, d):
 
 def _redact_sql() -> str:
     out = "t"
-    for kind, _, pattern, group in C.DETECTORS:
-        pattern = pattern.replace("'", "''")
-        if group:
-            out = f"regexp_replace({out}, '{pattern.replace('(?:^|[^A-Za-z0-9_.-])(', '(^|[^A-Za-z0-9_.-])(', 1)}', '\\1[REDACTED:{kind}]', 'g')"
-        else:
-            out = f"regexp_replace({out}, '{pattern}', '[REDACTED:{kind}]', 'g')"
+    for kind, _, pattern in C.DETECTORS:
+        spelled, group = for_re2(pattern)
+        kept = "\\1" if group else ""  # what stands before the match stays
+        spelled = spelled.replace("(?:^|", "(^|", 1) if group else spelled
+        out = f"regexp_replace({out}, '{S.quoted(spelled)}', '{kept}[REDACTED:{kind}]', 'g')"
     return out
 
 
@@ -381,9 +461,18 @@ def redact_documents(spark, d):
     return _texts(spark, d).select("id", privacy.redacted(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@_query(f"WITH {S.findings()} SELECT severity, kind, count(*) AS count FROM found GROUP BY ROLLUP (severity, kind)")
+@_query(f"WITH {_ALLOW} SELECT severity, kind, count(*) FILTER (WHERE NOT allowlisted) AS count, count(*) FILTER (WHERE allowlisted) AS allowlisted_count FROM f GROUP BY ROLLUP (severity, kind)")
 def privacy_summary(spark, d):
-    return privacy.privacy_summary(privacy.scan(_texts(spark, d), "id", "text"))
+    return privacy.privacy_summary(_allowed(spark, d))
+
+
+@_query(f"WITH {S.findings()} SELECT id, {_redact_sql()} AS text FROM texts WHERE id IN (SELECT id FROM found)")
+def privacy_gate_redacted(spark, d):
+    """Of the texts with a finding, what the gate lets through when it rewrites."""
+    texts = _texts(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    found = privacy.scan(texts, "id", "text")
+    some = texts.join(found.select("id").distinct(), "id", "left_semi")
+    return privacy.gate(some, found, "id", "text", "redact")[0].select("id", "text")
 
 
 @_query(f"WITH {S.findings()} SELECT id, length(t) AS n_chars FROM texts WHERE id NOT IN (SELECT id FROM found WHERE severity IN ('high', 'critical'))")
@@ -412,7 +501,10 @@ def key_steps(spark, d):
     return summary.key_steps(_chat(spark, d)[1])
 
 
-@_query(f"WITH {S.DOCS}, m AS (SELECT session_id, event_id, unnest(regexp_extract_all(coalesce(text_content, ''), '{C.FILE_PATTERN}')) AS path, generate_subscripts(regexp_extract_all(coalesce(text_content, ''), '{C.FILE_PATTERN}'), 1) AS pos FROM dev), f AS (SELECT session_id, path, min(event_id * 1000000 + pos) AS spot FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM f) SELECT session_id, place, path, spot // 1000000 AS event_id FROM r WHERE place <= 20")
+_FILE = for_re2(C.FILE_PATTERN)[0]
+
+
+@_query(f"WITH {S.DOCS}, m AS (SELECT session_id, event_id, unnest(regexp_extract_all(coalesce(text_content, ''), '{_FILE}')) AS path, generate_subscripts(regexp_extract_all(coalesce(text_content, ''), '{_FILE}'), 1) AS pos FROM dev), f AS (SELECT session_id, path, min(event_id * 1000000 + pos) AS spot FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM f) SELECT session_id, place, path, spot // 1000000 AS event_id FROM r WHERE place <= 20")
 def files_mentioned(spark, d):
     return summary.files_mentioned(T.document_events(T.table(spark, d, "documents")))
 
@@ -422,6 +514,16 @@ def problem_events(spark, d):
     return summary.problem_events(T.document_events(T.table(spark, d, "documents")))
 
 
+@_query(f"WITH {S.PAGES}, m AS (SELECT session_id, event_id, unnest([file_path] || regexp_extract_all(text_content, '{_FILE}')) AS path, generate_subscripts([file_path] || regexp_extract_all(text_content, '{_FILE}'), 1) AS pos FROM pev), f AS (SELECT session_id, path, min(event_id * 1000000 + pos) AS spot FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM f) SELECT session_id, place, path, spot // 1000000 AS event_id FROM r WHERE place <= 20")
+def files_of_pages(spark, d):
+    return summary.files_mentioned(T.page_events(T.table(spark, d, "pages")))
+
+
+@_query(f"WITH {S.PAGES}, p AS (SELECT *, {_FIRST} AS place FROM pev WHERE {S.PROBLEM}) SELECT session_id, place, event_id, {S.short('text_content', 180)} AS text FROM p WHERE place <= 8")
+def problems_of_pages(spark, d):
+    return summary.problem_events(T.page_events(T.table(spark, d, "pages")))
+
+
 @_query(f"WITH {S.CHAT}, p AS (SELECT *, {_FIRST} AS place FROM chat WHERE {S.HAS_TEXT}) SELECT session_id, place, event_id FROM p WHERE place <= 20")
 def evidence_ids(spark, d):
     return summary.evidence_ids(_chat(spark, d)[1])
@@ -437,6 +539,18 @@ def evidence_coverage(spark, d):
     return summary.coverage(_chat(spark, d)[1].select("session_id", F.when(F.col("turn_index") > 0, F.col("event_id")).alias("event_id")))
 
 
+_GROUPED = "gi AS (SELECT session_id, coalesce(sub_type, top_type) AS \"group\", CASE WHEN turn_index > 0 THEN event_id END AS event_id FROM chat), gg AS (SELECT session_id, \"group\", count(*) AS n, count(event_id) AS e FROM gi GROUP BY ALL)"
+
+
+@_query(f"WITH {S.CHAT}, {_GROUPED} SELECT session_id, CAST(sum(n) AS BIGINT) AS total, CAST(sum(e) AS BIGINT) AS with_evidence, round(sum(e)::DOUBLE / sum(n), 6) AS ratio, string_agg(\"group\" || ' ' || n || ' ' || e, ',' ORDER BY \"group\") AS by_group, coalesce(string_agg(\"group\" || ' has ' || (n - e) || ' item(s) without evidence.', ',' ORDER BY \"group\") FILTER (WHERE n > e), '') AS missing FROM gg GROUP BY session_id")
+def grouped_coverage(spark, d):
+    se, ev = _chat(spark, d)
+    items = ev.select("session_id", F.coalesce("sub_type", "top_type").alias("group"), F.when(F.col("turn_index") > 0, F.col("event_id")).alias("event_id"))
+    out = summary.coverage_by_group(se, items)
+    flat = F.transform("by_group", lambda g: F.concat_ws(" ", g["group"], g["total"].cast("string"), g["with_evidence"].cast("string")))
+    return out.withColumn("by_group", F.array_join(flat, ",")).withColumn("missing", F.array_join("missing", ","))
+
+
 _TURNS = f"tc AS (SELECT session_id || ':turn-' || turn_index AS chunk_id, session_id, turn_index, 'Turn: ' || turn_index || chr(10) || string_agg('- Event ' || event_id || ' [' || coalesce(sub_type, top_type) || '/' || role || ']: ' || {S.short('text_content', 240)}, chr(10) ORDER BY event_id) AS text, list(event_id ORDER BY event_id) AS ids FROM chat WHERE {S.CHUNK_TEXT} GROUP BY session_id, turn_index)"
 
 
@@ -481,7 +595,7 @@ def export_pages(spark, d):
     return export.export_plan(export.render_vault(*_chat(spark, d)), "fail")
 
 
-@_query()
+@_query(f"WITH {S.CHAT}, tl AS (SELECT session_id, string_agg('## Event ' || event_id || ' - ' || concat_ws(' / ', coalesce(sub_type, top_type), role) || chr(10) || chr(10) || coalesce(text_content, '') || chr(10), chr(10) ORDER BY event_id) AS body FROM chat GROUP BY session_id) SELECT session_id, session_id || '.md' AS name, '# Session ' || session_id || chr(10) || chr(10) || '- Project: ' || cwd || chr(10) || '- First seen: ' || first_seen_at || chr(10) || '- Updated: ' || updated_at || chr(10) || chr(10) || coalesce(body, '') AS text FROM sess LEFT JOIN tl USING (session_id)")
 def export_timelines(spark, d):
     se, ev = _chat(spark, d)
     return export.render_markdown(se, ev)
@@ -582,9 +696,10 @@ def latest_covering(spark, d):
     return history.latest_covering(_history(spark, d), "archive", "generated_at", "tie").select("archive", "tier", "snapshot_id")
 
 
-@_query(f"WITH {S.CHAT}, {S.CALLS} SELECT (SELECT count(*) FROM sess) AS sessions, (SELECT max(updated_at) FROM sess) AS updated_at, (SELECT count(*) FROM chat) AS events, (SELECT count(*) FROM warn) AS warnings, (SELECT count(DISTINCT text) FROM documents) AS blobs, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT DISTINCT text, octet_length(encode(text)) AS n FROM documents)) AS original_bytes")
+@_query(f"WITH {S.CHAT}, {S.CALLS}, {_FILES} SELECT (SELECT count(*) FROM sess) AS sessions, (SELECT max(updated_at) FROM sess) AS updated_at, (SELECT count(*) FROM chat) AS events, (SELECT count(*) FROM warn) AS warnings, (SELECT count(DISTINCT text) FROM documents) AS blobs, (SELECT CAST(sum(n) AS BIGINT) FROM (SELECT DISTINCT text, octet_length(encode(text)) AS n FROM documents)) AS original_bytes, (SELECT count(*) FROM fl) AS source_files, (SELECT CAST(sum(bytes) AS BIGINT) FROM fl) AS source_bytes, (SELECT strftime(max(mtime), '%Y-%m-%d %H:%M:%S') FROM fl) AS source_latest")
 def fingerprint(spark, d):
-    return history.fingerprint(*_chat(spark, d), _warnings(spark, d), blobs.blobs(T.table(spark, d, "documents"), "text"))
+    one = history.fingerprint(*_chat(spark, d), _warnings(spark, d), blobs.blobs(T.table(spark, d, "documents"), "text"), _files(spark, d)[0])
+    return one.select("*", F.col("source.files").alias("source_files"), F.col("source.bytes").alias("source_bytes"), F.date_format("source.latest_mtime", "yyyy-MM-dd HH:mm:ss").alias("source_latest")).drop("source")
 
 
 def _state(key):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillmill.functions import constants as C
+from quillmill.functions.patterns import for_re2
 
 
 def flat(x: str) -> str:
@@ -62,6 +63,12 @@ pol AS (
               WHEN tool AND length(t) > 2000 THEN {ends("t", 1200, 800)} WHEN NOT tool AND length(t) > 5000 THEN {ends("t", 2500, 1500)} ELSE t END AS indexed_text
   FROM flagged)"""
 
+PAGES = """
+pev AS (
+  SELECT page_id AS event_id, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS session_id, 'response_item' AS top_type, 'function_call_output' AS sub_type,
+         'fetch' AS tool_name, url AS file_path, 'Failed to read out/p' || page_id || '.json; see notes-' || page_id || '.md' AS text_content
+  FROM pages)"""
+
 CALLS = """
 numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS line_no FROM events),
 calls AS (
@@ -97,7 +104,13 @@ scored AS (
 
 def findings() -> str:
     """Every match of every detector in documents and pages."""
-    part = " UNION ALL ".join(
-        f"SELECT id, '{kind}' AS kind, '{severity}' AS severity, CAST(generate_subscripts(regexp_extract_all(t, '{pattern.replace(chr(39), chr(39) * 2)}', {group}), 1) - 1 AS BIGINT) AS n, unnest(regexp_extract_all(t, '{pattern.replace(chr(39), chr(39) * 2)}', {group})) AS match FROM texts" for kind, severity, pattern, group in C.DETECTORS
-    )
-    return f"texts AS (SELECT 'doc-' || doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'page-' || page_id, coalesce(html, '') FROM pages), found AS ({part})"
+    parts = []
+    for kind, severity, pattern in C.DETECTORS:
+        spelled, group = for_re2(pattern)
+        all_of = f"regexp_extract_all(t, '{quoted(spelled)}', {group})"
+        parts.append(f"SELECT id, '{kind}' AS kind, '{severity}' AS severity, CAST(generate_subscripts({all_of}, 1) - 1 AS BIGINT) AS n, unnest({all_of}) AS match FROM texts")
+    return f"texts AS (SELECT 'doc-' || doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'page-' || page_id, coalesce(html, '') FROM pages), found AS ({' UNION ALL '.join(parts)})"
+
+
+def quoted(x: str) -> str:
+    return x.replace("'", "''")

@@ -48,6 +48,21 @@ def document_events(documents: DataFrame) -> DataFrame:
     )
 
 
+def page_events(pages: DataFrame, prefix: str = "Failed to read out/p", suffix: str = ".json; see notes") -> DataFrame:
+    """One tool output for each page, as of a crawl that could not store it: its text names files, its site is the session."""
+    page = F.col("page_id").cast("string")
+    return pages.select(
+        F.col("page_id").alias("event_id"),
+        F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("session_id"),
+        F.lit("response_item").alias("top_type"),
+        F.lit("function_call_output").alias("sub_type"),
+        F.lit(None).cast("string").alias("role"),
+        F.lit("fetch").alias("tool_name"),
+        F.col("url").alias("file_path"),
+        F.concat(F.lit(prefix), page, F.lit(suffix), F.lit("-"), page, F.lit(".md")).alias("text_content"),
+    )
+
+
 def call_events(events: DataFrame) -> DataFrame:
     """Clicks as calls and purchases as outputs, in the order of each user's events."""
     line = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))

@@ -2,38 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+JSONL = {"recursiveFileLookup": True, "pathGlobFilter": "*.jsonl", "ignoreCorruptFiles": True}
+URI = "_metadata.file_path"
+
+
+def file_path() -> Column:
+    """The path of a row's file as it is on storage: Spark's own column of it is encoded as a URI."""
+    return F.coalesce(F.try_url_decode(F.replace(F.col(URI), F.lit("+"), F.lit("%2B"))), F.col(URI))
+
+
+def _only(files: DataFrame, uris: list[str] | None) -> DataFrame:
+    """The files of these URIs alone: Spark leaves the others out when it lists what to read."""
+    return files if uris is None else files.where(F.col(URI).isin(uris))
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path, archived, bytes, mtime of all *.jsonl below sessions/ and archived_sessions/; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
+    """path, uri, archived, bytes, mtime of all *.jsonl below sessions/ and archived_sessions/; contents are not read."""
+    files = spark.read.format("binaryFile").options(**JSONL).load(root)
     archived = F.col("path").contains("/archived_sessions/")
-    return files.select("path", archived.alias("archived"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")).where(F.col("archived") | F.col("path").contains("/sessions/"))
+    return files.select(file_path().alias("path"), F.col(URI).alias("uri"), archived.alias("archived"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")).where(F.col("archived") | F.col("path").contains("/sessions/"))
 
 
-def file_digests(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").load(root)
-    return files.select("path", F.sha2("content", 256).alias("raw_sha256"))
+def file_digests(spark: SparkSession, root: str, uris: list[str] | None = None) -> DataFrame:
+    """path, uri, raw_sha256 of the files; of one of 2 GB or more, which no row can hold, a null hash."""
+    files = _only(spark.read.format("binaryFile").options(**JSONL).load(root), uris)
+    whole = files.where("length < 2147483632").select(file_path().alias("path"), F.col(URI).alias("uri"), F.sha2("content", 256).alias("raw_sha256"))
+    return whole.union(files.where("length >= 2147483632").select(file_path(), F.col(URI), F.lit(None).cast("string")))
 
 
-def scan_lines(spark: SparkSession, root: str) -> DataFrame:
-    """path, line_no (from 1, blank lines counted), value of every line that is not blank.
+def scan_lines(spark: SparkSession, root: str, uris: list[str] | None = None) -> DataFrame:
+    """path, line_no (from 1, blank lines counted), value of every line that is not blank; of all files, or of some.
 
-    Lines are numbered by the place of their split in the file and their place in the split.
+    Lines are numbered by the place of their split in the file and their place in the split. What cannot be read of a
+    broken file is left out.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
+    files = _only(spark.read.options(**JSONL).text(root), uris)
+    lines = files.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
     line = F.row_number().over(W.partitionBy("path").orderBy("split", "place"))
     return lines.select("path", line.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
 
 
 def split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(objects with rec as a VARIANT, warnings): what is no JSON, or no object, becomes a warning."""
-    spark = lines.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts
-    parsed = lines.withColumn("rec", F.try_parse_json("value"))
+    spark, name = lines.sparkSession, "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "true")  # the last of equal keys counts; the plan holds it from here on
+        parsed = lines.withColumn("rec", F.try_parse_json("value"))
+        parsed.schema  # noqa: B018
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
     is_object = F.coalesce(F.schema_of_variant("rec").startswith("OBJECT"), F.lit(False))
     code = F.when(F.col("rec").isNull(), "invalid_json").otherwise("non_object_record")
     return parsed.where(is_object), parsed.where(~is_object).select("path", "line_no", code.alias("code"), F.substring("value", 1, 1000).alias("raw_excerpt"))

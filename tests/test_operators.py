@@ -77,6 +77,48 @@ def test_hybrid_orders_and_degrades(spark):
     assert vectors.hybrid_rank(text, near, "x").count() == 3
 
 
+def test_stored_index_answers_as_postings_do(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    ev = events(spark, [(k, "s", "event_msg", "user_message", None, rng.choice([None, "tool one"]), "a/b.py" if k % 7 == 0 else None, " ".join(rng.choices(["alpha", "beta", "gamma", "Zürich", "x1"], k=rng.randrange(0, 30)))) for k in range(200)])
+    ev = ev.withColumn("indexed_text", F.col("text_content")).repartition(3)
+    index = search.postings(ev)
+    by = {}
+    for r in ev.collect():
+        for field in ("tool_name", "file_path", "indexed_text"):
+            for pos, w in enumerate(re.findall(r"[^\W_]+", (r[field] or "").lower())):
+                by.setdefault((w, r.event_id, field), []).append(pos)
+    lengths = {}
+    for (_, i, _), at in by.items():
+        lengths[i] = lengths.get(i, 0) + len(at)
+    assert rows(index) == sorted(((*k, len(at), at, lengths[k[1]]) for k, at in by.items()), key=repr)
+    search.write_index(ev, str(tmp_path / "index"), buckets=16)
+    stored = search.StoredIndex(spark, str(tmp_path / "index"))
+    for ask in (lambda i: search.match_terms(i, ["alpha", "tool"]), lambda i: search.match_terms(i, ["beta"], False, ["py"]), lambda i: search.match_phrase(i, ["alpha", "beta"]), lambda i: search.bm25(i, ["gamma", "zürich"])):
+        assert rows(ask(index)) == rows(ask(stored)) != []
+    plan = stored.of(["alpha"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "In(term" in plan or "EqualTo(term" in plan
+    read = stored.of(["alpha"]).select(F.input_file_name().alias("f")).distinct().collect()
+    assert all("bucket=" in r.f for r in read) and len({r.f.split("bucket=")[1].split("/")[0] for r in read}) == 1
+    se = spark.createDataFrame([("s", "p")], "session_id string, cwd string")
+    hits = browse.overview_hits(se, ev, stored, "alpha beta", 5, cwd="p").collect()
+    assert [r.event_id for r in hits] == [r.event_id for r in search.search(ev, index, se, "alpha beta", 5).collect()] and {r.cwd for r in hits} == {"p"}
+    assert stats.index_status(ev, stored.postings).first().indexed == len(lengths)
+    assert stats.diagnostics(spark, "postings", "bm25", {"cwd": "p", "tool": None}, search.bm25(stored, ["alpha"])).first().filters == "cwd"
+
+
+def test_agent_modes(spark):
+    near = spark.createDataFrame([("c1", 0.5), ("c2", 0.9)], "chunk_id string, score double")
+    assert [tuple(r) for r in vectors.agent_rank(near, 1, "vector").collect()] == [("vector:chunk:c2", None, 0.9)]
+    both = spark.createDataFrame([("fts:7", "fts", 0.8), ("vector:c1", "vector", 0.9)], "id string, source string, score double")
+    assert [tuple(r) for r in vectors.agent_rank(both, 5, "hybrid").collect()] == [("vector:chunk:c1", None, 0.9), ("fts:event:7", 7, 0.8)]
+    text = spark.createDataFrame([(k, float(k)) for k in range(30)], "event_id long, score double")
+    assert [r.event_id for r in vectors.agent_rank(text, 3).collect()] == [29, 28, 27]
+    with pytest.raises(ValueError):
+        vectors.agent_rank(text, mode="none")
+
+
 TEXT = 'key sk_ABCDEFGHIJKLMNOP1234 and token = "sk_ABCDEFGHIJKLMNOP1234" mail a.b@example.org in /home/me/x and C:\\Users\\me -----BEGIN RSA PRIVATE KEY-----'
 
 
@@ -93,6 +135,37 @@ def test_privacy(spark):
     assert by_span[2] == "nothing" and by_span[3] is None
 
 
+HARD = ["password\u00a0= hunter2hunter2", "token\x0b=abcdefgh12", "secret\u3000:\u2003'x\u00e9yzabcd1'", "é.a@b.co and xé@b.co a.b+c@d-e.org.", ".x@y.zz", "apiſecret: 12345678", "PASSWORD=12345678 toKen=\u212aeyvalue99", "ésk_ABCDEFGHIJKLMNOP1 sk_ABCDEFGHIJKLMNOPé sk_ABCDEFGHIJKLMNOP12-é", "é/home/a /home/b\u00a0c x/tmp/d", "éC:\\a\\b C:\\Users\\mé\\x", "a\x1cpassword\x1f:\x1epppppppp\x1cq"]
+
+
+def test_detectors_equal_python(spark):
+    """Spark's spelling of the patterns finds what Python's re finds, beyond ASCII too."""
+    import random
+
+    from quillmill.functions import constants as C
+
+    rng = random.Random(5)
+    parts = ["sk_", "A" * 16, "é", "_", "-", "\u00a0", "\x0b", "\x1f", " ", "token", "Password", "=", ":", "'", '"', "a@b.co", ".", "@", "x.y", "/home/", "/tmp/", "C:\\", "\\", "-----BEGIN RSA PRIVATE KEY-----", "12345678", "\u2028", "ſecret", "\u212a", "日本"]
+    texts = HARD + ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = sorted((i, kind, n, m[0]) for i, t in enumerate(texts) for kind, _, p in C.DETECTORS for n, m in enumerate(re.finditer(p, t)))
+    assert rows(privacy.scan(docs, "id", "text"), "id", "kind", "n", "match") == sorted(want, key=repr)
+    assert rows(privacy.match_offsets(docs, "id", "text"), "id", "kind", "n", "match") == sorted(want, key=repr)
+    assert {r.id for r in privacy.scan(docs.where("id < 2"), "id", "text").collect()} == {0, 1}
+
+
+def test_rules_keep_matches_from_redaction(spark):
+    docs = spark.createDataFrame([(1, "mail a@ok.org and b@no.org"), (2, "token = abcdefghij"), (3, None)], "id int, text string")
+    rules = spark.createDataFrame([("email", None, "@ok"), (None, "token = abcdefghij", None)], "kind string, text string, pattern string")
+    want = {1: "mail a@ok.org and [REDACTED:email]", 2: "token = abcdefghij", 3: None}
+    assert {r.id: r.text for r in privacy.redact(docs, "id", "text", rules).collect()} == want
+    found = privacy.allowlisted(privacy.scan(docs, "id", "text"), rules)
+    assert {r.id: r.text for r in privacy.gate(docs, found, "id", "text", "redact")[0].collect()} == want
+    assert {r.id: r.text for r in privacy.redact(docs, "id", "text").collect()} == {1: "mail [REDACTED:email] and [REDACTED:email]", 2: "[REDACTED:token_assignment]", 3: None}
+    total = {(r.severity, r.kind): (r["count"], r.allowlisted_count) for r in privacy.privacy_summary(found).collect()}
+    assert total[None, None] == (1, 2) and total["medium", "email"] == (1, 1) and total["high", None] == (0, 1)
+
+
 def test_gate_and_allowlist(spark):
     docs = spark.createDataFrame([(1, 'password = "longsecret"'), (2, "ok a@b.org")], "id int, text string")
     found = privacy.scan(docs, "id", "text")
@@ -123,11 +196,43 @@ def test_slim_and_assets(spark):
     payload = json.dumps({"type": "message", "short": "s", "long": "l" * 300, "content": [{"type": "input_image", "image_url": f"data:image/png;base64,{image}"}, {"type": "input_image", "image_url": "data:image/png;base64,***"}]})
     ev = spark.createDataFrame([(1, payload)], "event_id long, payload string")
     slim = json.loads(blobs.slim_payload(ev).first().slim)
-    assert slim["short"] == "s" and slim["long_chars"] == "300" and "long" not in slim
+    assert slim["short"] == "s" and "long" not in slim
+    ref = hashlib.sha256(b"png bytes").hexdigest()
+    assert slim["content"][0] == {"type": "input_image", "asset_ref": ref, "media_type": "image/png", "bytes": 9}
+    assert slim["content"][1] == {"type": "input_image", "image_url": "data:image/png;base64,***"}
     assets = blobs.extract_assets(ev).collect()
     assert [(a.part, a.media_type, bytes(a.content)) for a in assets] == [(0, "image/png", b"png bytes")]
 
 
+def test_slim_calls_and_messages(spark):
+    import json
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    call = {"type": "function_call", "name": "n" * 300, "call_id": "c", "status": "done", "arguments": "a" * 300, "note": "x" * 257, "n": 1, "f": 1.5, "ok": True, "none": None, "deep": {"a": 1}}
+    message = {"type": "message", "role": "user", "content": [{"type": "t", "text": "héllo"}, "bare", 3, {"type": "other", "k": 1, "long": "l" * 300, "deep": [1]}, {"text": "x"}]}
+    ev = spark.createDataFrame([(1, json.dumps(call)), (2, json.dumps(message)), (3, "[1]"), (4, None), (5, json.dumps({"type": "function_call", "arguments": "short"}))], "event_id long, payload string")
+    got = {r.event_id: json.loads(r.slim) if r.slim else None for r in blobs.slim_payload(ev).collect()}
+    assert got[1] == {k: call[k] for k in ("type", "name", "call_id", "status", "n", "f", "ok", "none")} | {"arguments_chars": 300, "arguments_sha256": sha("a" * 300)}
+    assert got[2]["role"] == "user" and got[2]["content"] == [{"type": "t", "chars": 5, "sha256": sha("héllo")}, {"type": "str"}, {"type": "int"}, {"type": "other", "k": 1}, {"type": "unknown", "chars": 1, "sha256": sha("x")}]
+    assert got[3] is None and got[4] is None and got[5] == {"type": "function_call", "arguments": "short", "arguments_chars": 5, "arguments_sha256": sha("short")}
+
+
+def test_references_are_found_at_any_depth(spark):
+    ids = [c * 64 for c in "abcdef"]
+    payloads = ['{"image_ref": "%s"}' % ids[0], '{"x" : [{"y": {"cold_ref"  :\n "%s"}}]}' % ids[1], '{"a\\u005fref":"%s"}' % ids[2], '{"text": "\\"fake_ref\\": \\"%s\\""}' % ids[3], 'no json "b_ref": "%s"' % ids[4], '{"ref": "%s"}' % ids[5]]
+    refs = blobs.referenced(spark.createDataFrame([(None, p) for p in payloads], "payload_ref string, payload string"))
+    assert rows(refs) == [(i,) for i in (*ids[:3], ids[4])]
+
+
+def test_orphans_and_detail(spark):
+    inventory = spark.createDataFrame([("a",), ("b",)], "path string")
+    assert rows(blobs.orphan_files(inventory, spark.createDataFrame([("a",)], "path string"))) == [("b",)]
+    stored = blobs.blobs(spark.createDataFrame([('{"output": "whole"}',)], "p string"), "p")
+    ev = spark.createDataFrame([(1, "cut", "{}", stored.first().blob_id), (2, "x", "{}", None)], "event_id long, text_content string, payload string, payload_ref string")
+    got = blobs.event_detail(ev, stored, 1).collect()
+    assert [(r.text_content, r.payload) for r in got] == [("whole", '{"output": "whole"}')]
+
+
 def test_manifest(spark):
     man = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 1, "x")], "path string, bytes int, sha256 string")
     files = spark.createDataFrame([("a", 1, "x"), ("b", 2, "x"), ("c", 1, "y")], "path string, bytes int, sha256 string")
@@ -158,6 +263,100 @@ def test_retention_and_due(spark):
         assert got == {"a": want, "b": "bootstrap_evidence"}
 
 
+def test_latest_of_repeated_ids(spark):
+    snaps = spark.createDataFrame([("t1", 7), ("t1", 7), ("t2", 7), ("t3", 8), (None, None), (None, None)], "t string, id int").withColumn("more", F.lit(1))
+    for n in range(1, 8):
+        kept = history.keep_latest(snaps, n, "t", "id")
+        assert kept.count() == 6 and kept.where("keep").count() == min(n, 6)
+    assert rows(history.keep_latest(snaps, 2, "t", "id").where("keep"), "t", "id") == [("t2", 7), ("t3", 8)]
+
+
+def test_fingerprint_and_regressions(spark):
+    one = spark.createDataFrame([("u",)], "updated_at string")
+    blob = spark.createDataFrame([(5,)], "original_bytes long")
+    source = spark.createDataFrame([(10, "m1"), (20, "m2")], "bytes long, mtime string")
+    got = history.fingerprint(one, one, one, blob, source).first()
+    assert (got.sessions, got.blobs, tuple(got.source)) == (1, 1, (2, 30, "m2"))
+    audit = "files long, events long, warnings long, parseable_ratio double"
+    codes = lambda x: spark.createDataFrame(x, "key string, count long")
+    row = stats.audit_regressions(spark.createDataFrame([(1, 5, 1, 1.0)], audit), spark.createDataFrame([(3, 9, 4, 0.5)], audit), codes([("a", 1)]), codes([("a", 2), ("b", 1), ("c", 1)])).first()
+    assert tuple(row) == (2, 4, 3, -0.5, True, True, ["b", "c"])
+
+
+def test_coverage_by_group(spark):
+    from quillmill.operators import summary
+
+    items = spark.createDataFrame([("s", "files", 1), ("s", "files", None), ("s", "key_steps", 2)], "session_id string, group string, event_id long")
+    got = {r.session_id: r for r in summary.coverage_by_group(spark.createDataFrame([("s",), ("t",)], "session_id string"), items).collect()}
+    assert (got["s"].total, got["s"].with_evidence, got["s"].missing) == (3, 2, ["files has 1 item(s) without evidence."])
+    assert [tuple(g) for g in got["s"].by_group] == [("files", 2, 1), ("key_steps", 1, 1)]
+    assert (got["t"].total, got["t"].ratio, got["t"].by_group, got["t"].missing) == (0, 1.0, [], [])
+
+
+def test_small_parts(spark, tmp_path):
+    from quillmill.operators import normalize, summary
+    from quillmill.sources import transcripts
+
+    ev = events(spark, [(1, "s", "response_item", "function_call", None, "sh", None, "sh x"), (2, "t", "event_msg", "user_message", None, None, None, "an Error here in src/a.py")]).withColumn("storage_class", F.lit("core")).withColumn("path", F.col("session_id")).withColumn("shape", F.lit("current"))
+    commands = summary.key_commands(ev.withColumn("payload", F.lit('{"name": "sh", "arguments": "ls  -l"}'))).collect()
+    assert [(r.session_id, r.place, r.command, r.tool) for r in commands] == [("s", 1, "ls -l", "sh")]
+    assert rows(summary.problem_events(ev), "event_id") == [(2,)]
+    assert rows(summary.files_mentioned(ev), "path", "event_id") == [("an Error here in src/a.py", 2)]
+    assert rows(stats.storage_classes(ev, "text_content")) == [("core", 2, 29)]
+    assert rows(browse.get_events(ev, spark.createDataFrame([("t",)], "session_id string")), "event_id") == [(2,)]
+    state = spark.createDataFrame([("s", " # A  title"), ("t", "")], "session_id string, title string")
+    se = spark.createDataFrame([("s", "/x/p"), ("t", "/x/q/"), ("u", None)], "session_id string, cwd string")
+    assert rows(browse.session_titles(se, state), "session_id", "title") == [("s", "A title"), ("t", "q"), ("u", "no project")]
+    wa = spark.createDataFrame([("s", 4, "x", "p1"), ("t", 2, "y", "p2")], "session_id string, line_no int, code string, raw_path string")
+    assert rows(browse.list_warnings(wa, session_id="s"), "code") == [("x",)] and rows(browse.list_warnings(wa, code="y", path="p2"), "line_no") == [(2,)]
+    assert browse.list_warnings(wa, path="none").count() == 0
+    samples = {r.path: r for r in normalize.sample_files(ev, wa.withColumnRenamed("raw_path", "x").withColumn("path", F.col("session_id"))).collect()}
+    assert (samples["s"].events, samples["s"].warnings, samples["s"].classifications, samples["s"].warning_codes) == (1, 1, {"current": 1}, {"x": 1})
+    (tmp_path / "log").write_text('{"a": 2}\nnot\n\n{"a": 1}\n')
+    records, bad = transcripts.read_history(spark, str(tmp_path / "log"), "a int")
+    assert rows(records) == [(1,), (2,)] and rows(bad) == [("not",)]
+    chunks = spark.createDataFrame([("h", 64, "s"), ("h", 64, "t"), ("h", 32, "s")], "adapter string, dimensions int, session_id string")
+    assert rows(vectors.vector_status(chunks)) == [("h", 32, 1, 1), ("h", 64, 2, 2)]
+    docs = spark.createDataFrame([("a/x.md", "one"), ("b/y.md", "two")], "name string, text string")
+    export.write_documents(docs, str(tmp_path / "docs"))
+    assert rows(spark.read.json(str(tmp_path / "docs")), "folder", "name", "text") == [("a", "a/x.md", "one"), ("b", "b/y.md", "two")]
+
+
+def test_last_turns(spark):
+    ev = spark.createDataFrame([("s", k, k // 2) for k in range(10)] + [("t", 99, None), ("u", 5, 0)], "session_id string, event_id int, turn_index int")
+    assert rows(browse.last_turns(ev, 2), "event_id") == [(5,), (6,), (7,), (8,), (9,)]
+
+
+def test_streams(spark, tmp_path):
+    """Pairs and requests live: what comes in three files, one a batch, and a late one that moves the watermark."""
+    import datetime
+    import json
+
+    from quillmill.streaming import ingest as live
+
+    def put(folder, name, records):
+        path = tmp_path / folder / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join(map(json.dumps, records)))
+
+    at = lambda m: (datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)).isoformat()
+    call = lambda cid, line, kind, m: {"path": "p", "call_id": cid, "line_no": line, "kind": kind, "ts": at(m)}
+    put("calls", "1.json", [call("a", 1, "call", 0), call("b", 2, "call", 0), call("c", 3, "output", 0)])
+    put("calls", "2.json", [call("a", 4, "output", 1), call("a", 5, "output", 1)])
+    put("calls", "3.json", [call("z", 6, "call", 500)])
+    put("calls", "4.json", [call("z", 7, "output", 501)])
+    calls = spark.readStream.schema("path string, call_id string, line_no int, kind string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "calls"))
+    live.stream_pairing(calls).writeStream.format("json").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start(str(tmp_path / "pairs")).awaitTermination()
+    got = rows(spark.read.schema(live.OUT).json(str(tmp_path / "pairs")), "call_id", "line_no", "code")
+    assert got == [("a", 5, "duplicate_function_call_output"), ("b", 2, "missing_function_call_output"), ("c", 3, "orphan_function_call_output")]
+    ask = lambda i, home, reason: {"request_id": i, "source": "s", "home": home, "reason": reason, "created_at": at(i)}
+    put("asks", "1.json", [ask(1, None, "r"), ask(2, None, "r"), ask(3, "h", "r")])
+    put("asks", "2.json", [ask(4, None, "r"), ask(5, "h", "q")])
+    asks = spark.readStream.schema("request_id int, source string, home string, reason string, created_at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "asks"))
+    live.stream_requests(asks).writeStream.format("json").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start(str(tmp_path / "firsts")).awaitTermination()
+    assert sorted(r.reason + (r.home or "") for r in spark.read.json(str(tmp_path / "firsts")).collect()) == ["qh", "r", "rh"]
+
+
 def test_freshness(spark):
     inv = spark.createDataFrame([(p, False, 10) for p in "abcd"], "path string, archived boolean, bytes long").withColumn("mtime", F.to_timestamp(F.lit("2026-01-01 00:00:10")))
     log = spark.createDataFrame([("a", "imported", "2026-01-01 00:00:09", 8), ("b", "imported", "2026-01-01 00:00:01", 8), ("c", "imported", "2026-01-01 00:00:20", 7), ("d", "failed", "2026-01-01 00:00:20", 8)], "raw_path string, status string, t string, parse_version int").withColumn("imported_at", F.to_timestamp("t"))

@@ -1,6 +1,7 @@
 """Transcript files: lines, shapes, sessions, warnings, turns, import, stream."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,76 @@ def test_sync_imports_once(spark, home, tmp_path):
     assert ingest.files_to_import(T.file_digests(spark, home), log, 9).count() == 4
 
 
+def put_sessions(root, names, text="hello", folder="sessions"):
+    for name in names:
+        path = root / folder / f"{name}.jsonl"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        lines = [record("session_meta", "2026-02-01T10:00:00Z", id=f"id-{name}"), record("turn_context", "2026-02-01T10:00:01Z", model=f"m-{name}", effort="low"), record("event_msg", "2026-02-01T10:00:02Z", type="user_message", message=f"{text} {name}")]
+        path.write_text("\n".join(map(json.dumps, lines)) + "\n", encoding="utf-8")
+
+
+CONTENT = {"sessions": ("session_id", "event_count", "first_seen_at"), "turns": ("session_id", "turn_index", "event_count", "model", "effort", "approval_policy"), "events": ("session_id", "line_no", "top_type", "text_content", "index_policy"), "warnings": ("session_id", "line_no", "code")}
+
+
+def content(spark, target):
+    return {name: rows(spark.read.parquet(f"{target}/{name}"), *columns) for name, columns in CONTENT.items()}
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_imports_one_after_the_other_equal_one_of_all(spark, tmp_path, stream):
+    root, target = tmp_path / "home", str(tmp_path / "archive")
+    log = spark.createDataFrame([], LOG)
+    for names in (["a b", "c+d", "e%20f", *range(6)], range(6, 9), [99]):
+        put_sessions(root, names)
+        (root / "sessions" / "broken.jsonl").write_text("{not json\n")
+        if stream:
+            stream_import(spark, str(root), target, str(tmp_path / "check"), 50).awaitTermination()
+        else:
+            log, pending = ingest.sync(spark, str(root), target, log, 8)
+            log = spark.createDataFrame(log.collect(), LOG)
+            assert [r.path.rpartition("/")[2] for r in pending.collect()] == ["broken.jsonl"]
+    if not stream:
+        assert {(r.raw_path.rpartition("/")[2], r.status) for r in log.collect() if "broken" in r.raw_path or " " in r.raw_path or "%" in r.raw_path} == {("broken.jsonl", "failed"), ("a b.jsonl", "imported"), ("e%20f.jsonl", "imported")}
+        put_sessions(root, [3], "changed")  # read again, in place of what there was
+        time.sleep(1.1)
+        put_sessions(root, [3], "changed")
+        log, pending = ingest.sync(spark, str(root), target, log, 8)
+        assert pending.count() == 1 and log.where("raw_path like '%/3.jsonl'").count() == 2
+    one = str(tmp_path / "one")
+    ingest.sync(spark, str(root), one, spark.createDataFrame([], LOG), 8)
+    got = content(spark, target)
+    assert got == content(spark, one)
+    assert len(got["events"]) == 13 * 3 and ("id-a b", 0, 3, "m-a b", "low", None) in got["turns"]
+    ids = [r.event_id for r in spark.read.parquet(f"{target}/events").collect()]
+    assert len(set(ids)) == len(ids) == 39
+
+
+def test_only_pending_files_are_read(spark, tmp_path):
+    put_sessions(tmp_path, ["a b", "c", "d"])
+    uris = [r.uri for r in T.inventory(spark, str(tmp_path)).where("path like '%a b.jsonl'").collect()]
+    lines = T.scan_lines(spark, str(tmp_path), uris)
+    assert {r.path.rpartition("/")[2] for r in lines.collect()} == {"a b.jsonl"}
+    scan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in scan and uris[0] in scan
+
+
+def test_the_last_file_of_a_session_has_it(spark, tmp_path):
+    put_sessions(tmp_path, ["x"], "old")
+    put_sessions(tmp_path, ["x"], "new", "archived_sessions")
+    frames = ingest.import_lines(T.scan_lines(spark, str(tmp_path)))
+    assert rows(frames["sessions"], "session_id", "archived") == [("id-x", True)]
+    assert [r.text_content for r in frames["events"].where("sub_type = 'user_message'").collect()] == ["new x"]
+
+
+def test_settings_of_the_session_stay_as_they_were(spark, home):
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = [spark.conf.get(n) for n in (name, "spark.sql.files.ignoreCorruptFiles")]
+    objects, _ = T.split_valid(spark.createDataFrame([("p", 1, '{"a": 1, "a": 2}')], "path string, line_no int, value string"))
+    assert objects.select(F.expr("variant_get(rec, '$.a', 'int') a")).first().a == 2
+    T.scan_lines(spark, home).count()
+    assert [spark.conf.get(n) for n in (name, "spark.sql.files.ignoreCorruptFiles")] == before
+
+
 def test_rebuild_takes_whole_payloads(spark):
     from quillmill.operators import blobs
 
@@ -217,3 +288,6 @@ def test_rebuild_takes_whole_payloads(spark):
     new, checks = ingest.rebuild(ev, stored)
     assert {r.event_id: (r.index_policy, len(r.text_content)) for r in new.collect()} == {1: ("truncated", 3000), 2: ("full", 2)}
     assert all(r.equal for r in checks.collect())
+    lost = new.withColumn("text_content", F.when(F.col("event_id") == 2, "ho").otherwise(F.col("text_content")))
+    assert {r.table: r.equal for r in ingest.rebuild_checks(ev, ev, lost).collect()} == {"events": True, "digest": False}
+    assert {r.table: r.equal for r in ingest.rebuild_checks(ev, ev, new.where("event_id = 1")).collect()} == {"events": False, "digest": False}
