@@ -77,8 +77,10 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(len(texts)), n_words)
     passage = offset[doc] + (np.arange(len(begin)) - first_word[doc]) // PASSAGE
     ends = np.append(begin[1:], len(data))
-    of_byte = np.repeat(passage, ends - begin)
-    counts = np.bincount(of_byte * N_CLASSES + CLASS[data[begin[0] :]], minlength=len(out) * N_CLASSES).reshape(len(out), N_CLASSES)
+    # a word's bytes reach to the next word, or to the end of its text: what neighbours in a batch begin with is theirs
+    own = np.arange(begin[0], len(data)) < np.repeat(doc_of_byte_0[doc + 1], ends - begin)
+    of_byte = np.repeat(passage, ends - begin)[own]
+    counts = np.bincount(of_byte * N_CLASSES + CLASS[data[begin[0] :][own]], minlength=len(out) * N_CLASSES).reshape(len(out), N_CLASSES)
     out[:, :N_CLASSES] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
     place = np.arange(len(data)) - np.repeat(np.concatenate([[0], begin]), np.diff(np.concatenate([[0], begin, [len(data)]])))
     mixed = MIX[place & 15, data]
