@@ -47,6 +47,40 @@ def test_decontamination(spark):
     assert decontaminate.contaminated_regions(docs, benchmark.limit(0)).count() == 0
 
 
+def least_distance(item, text):
+    """Edits of an item against the substring of a text that it is nearest to: all of them are tried at once."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_decontamination_against_a_full_search(spark):
+    """Every document against every item; texts in which an item was edited up to beyond its budget, nulls, repeats."""
+    rng = random.Random(12)
+    items = [(k, prose(rng, rng.randrange(6, 12))) for k in range(6)]
+    docs = []
+    for i in range(90):
+        chars = list(items[i % 6][1])
+        for _ in range(rng.randrange(0, 2 + len(chars) // 8)):
+            k = rng.randrange(len(chars))
+            rng.choice([lambda: chars.__setitem__(k, "#"), lambda: chars.insert(k, "#"), lambda: chars.pop(k)])()
+        docs.append((i, f"{prose(rng, 6)} {''.join(chars)} {prose(rng, 6)}" if i % 5 else prose(rng, 20)))
+    rows = [*docs, docs[1], (None, docs[2][1]), (7, None), (8, "")]
+    got = decontaminate.contaminated_regions(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found, want = sorted(((r.doc_id, r.item_id) for r in got), key=repr), []
+    for i, text in rows:
+        for k, item in items:
+            a, b = decontaminate.normalised(item), decontaminate.normalised(text)
+            budget = min(int(0.1 * len(a)), (len(a) - 8) // 8)  # the largest that the q-gram bound allows
+            if b and least_distance(a, b) <= budget:
+                want.append((i, k))
+    assert found == sorted(want, key=repr) and 40 < len(want) < 90
+    assert decontaminate.contaminated_regions(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

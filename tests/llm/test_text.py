@@ -2,7 +2,9 @@
 
 import hashlib
 import io
+import math
 import random
+import re
 import zipfile
 import zlib
 
@@ -77,6 +79,18 @@ def test_token_counts(spark, rule):
         assert r.section_tokens == want and r.n_tokens == sum(want) and r.n_sections == len(lines) and r.n_chars == len(text)
 
 
+def test_token_counts_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a\nb"), (2, None)], "doc_id long, text string").withColumn("section_tokens", F.lit("clash"))
+    got = sorted(((r.doc_id, r.n_tokens, r.section_tokens) for r in token_counts.section_tokens(docs, PATH).collect()), key=repr)
+    assert got == [(1, 2, [2]), (1, 2, [2]), (2, 0, [0]), (None, 3, [2, 1])]
+    assert token_counts.section_tokens(docs.limit(0), PATH).count() == 0
+
+
+def test_warc_of_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.read_records(warc.write_packages(pages, str(tmp_path / "w")), str(tmp_path / "w")).count() == 0
+
+
 def test_token_counts_refuses_other_rules(spark):
     with pytest.raises(ValueError):
         token_counts.section_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH, "some")
@@ -200,6 +214,44 @@ def test_quality_learns_and_keeps_all_rows(spark):
     assert kept.columns == ["doc_id", "text", "score"] and kept.count() == 405
 
 
+def plain_score(model, text):
+    """One text, passage by passage and word by word."""
+    data = (text or "").encode("utf-8", "replace") + b"\n"
+    spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\t-\r ]+", data)]
+    rows = []
+    for k in range(0, max(1, len(spans)), quality.PASSAGE):
+        some = spans[k : k + quality.PASSAGE]
+        row = [0.0] * quality.N_FEATURES
+        if some:
+            end = spans[k + quality.PASSAGE][0] if k + quality.PASSAGE < len(spans) else len(data)
+            counts = [0] * quality.N_CLASSES
+            for b in data[some[0][0] : end]:
+                counts[quality.CLASS[b]] += 1
+            words = [data[a:b] for a, b in some]
+            sizes, n = [len(w) for w in words], len(words)
+            mean = sum(sizes) / n
+            row = [math.sqrt(c / sum(counts)) for c in counts]
+            row += [mean / 8, math.sqrt(max(0, sum(x * x for x in sizes) / n - mean**2)) / 8, len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, sum(quality.CLASS[w[0]] == 1 for w in words) / n, math.log1p(n) / 4, sum(x > 20 for x in sizes) / n]
+        rows.append(row)
+    p = model.p
+    h = [np.tanh((np.array(r) - model.mean) * model.scale @ p["W"] + p["b"]) for r in rows]
+    e = [float((np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"])))) @ p["w"]) for x in h]
+    a = [math.exp(x - max(e)) for x in e]
+    z = sum(w / sum(a) * x for w, x in zip(a, h))
+    return 1 / (1 + math.exp(-float(z @ p["c"] + p["d"])))
+
+
+def test_scores_equal_a_plain_version(spark):
+    rng = random.Random(3)
+    texts = [None, "", "  \n", "one", " \n leading blanks", "É Ünï \t end  "] + ["".join(rng.choices(["word ", "Again ", "x1-", "  ", "\n", "a" * 25 + " ", "é "], k=rng.randrange(1, 400))) for _ in range(40)]
+    x, n = quality.passages([t or "" for t in texts])
+    model = quality.fit(x.astype(float), n, np.array([k % 2 for k in range(len(texts))], float), steps=20)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all(got[k] == pytest.approx(plain_score(model, t), abs=1e-9) for k, t in enumerate(texts))
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
 def test_long_labelled_documents_leave_the_sample_its_size(spark, monkeypatch):
     fitted = []
     monkeypatch.setattr(quality, "fit", lambda x, n, y: fitted.append(sorted(n.tolist())))
