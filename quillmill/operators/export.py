@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from quillmill.operators import privacy, summary
 
+#: Characters of an evidence page, and sessions on a page of an index (about).
+EVIDENCE_CHARS, PAGE_LINES = 4000, 500
 CSV_COLUMNS = ["session_id", "event_id", "turn_index", "timestamp", "top_type", "sub_type", "role", "tool_name", "file_path", "text_content"]
 
 
@@ -48,18 +51,31 @@ def render_vault(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """name, session_id, text: a page and an evidence page for each session, linked to each other, and an index."""
     texts = summary.session_summaries(sessions, events).withColumn("slug", slug(F.col("session_id"), 63))
     line = F.concat(F.lit("- Event "), F.col("event_id").cast("string"), F.lit(": "), F.substring(F.coalesce("text_content", F.lit("")), 1, 700))
-    proof = _joined(events.where(summary.is_chunk_text()), "session_id", line, "proof")
+    # only the lines that reach into what an evidence page shows are collected
+    lines = events.where(summary.is_chunk_text()).select("session_id", "event_id", line.alias("line"))
+    before = F.sum(F.length("line") + 1).over(W.partitionBy("session_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, -1))
+    proof = _joined(lines.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < EVIDENCE_CHARS), "session_id", F.col("line"), "proof")
     pages = texts.join(proof, "session_id", "left")
     page = pages.select(F.concat(F.lit("sessions/"), "slug", F.lit(".md")).alias("name"), "session_id", F.concat(F.lit("# "), "topic", F.lit("\n\nEvidence: [["), "slug", F.lit("-evidence]]\n\n"), "text").alias("text"))
-    evidence = pages.select(F.concat(F.lit("evidence/"), "slug", F.lit("-evidence.md")).alias("name"), "session_id", F.concat(F.lit("# Evidence\n\nSession: [["), "slug", F.lit("]]\n\n"), F.substring(F.coalesce("proof", F.lit("")), 1, 4000)).alias("text"))
+    evidence = pages.select(F.concat(F.lit("evidence/"), "slug", F.lit("-evidence.md")).alias("name"), "session_id", F.concat(F.lit("# Evidence\n\nSession: [["), "slug", F.lit("]]\n\n"), F.substring(F.coalesce("proof", F.lit("")), 1, EVIDENCE_CHARS)).alias("text"))
     return page.unionByName(evidence).unionByName(_index(texts))
 
 
+def _paged(rows: DataFrame, folder: str, title: str) -> DataFrame:
+    """name, project, text of pages of lines (project, session_id, line): one page for each project of up to PAGE_LINES
+    sessions, more for larger ones, of about as many sessions each, which a hash of their ids deals out."""
+    sizes = rows.groupBy("project").agg(F.ceil(F.count("*") / PAGE_LINES).cast("int").alias("pages")).withColumnRenamed("project", "p")
+    dealt = rows.join(sizes, F.col("project").eqNullSafe(F.col("p"))).withColumn("page", F.pmod(F.xxhash64("session_id"), F.col("pages")).cast("int"))
+    listed = dealt.groupBy("project", "pages", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    name = F.coalesce("project", F.lit("none"))
+    number = F.when(F.col("pages") > 1, F.concat(F.lit("-"), (F.col("page") + 1).cast("string"))).otherwise("")
+    return listed.select(F.concat(F.lit(f"{folder}/"), slug(name), number, F.lit(".md")).alias("name"), "project", F.concat(F.lit(title), name, F.lit("\n\n"), "lines").alias("text"))
+
+
 def _index(texts: DataFrame) -> DataFrame:
     """An index for each project: its sessions and their topics."""
     line = F.concat(F.lit("- [["), F.col("slug"), F.lit("]] "), F.col("topic"))
-    listed = texts.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return listed.select(F.concat(F.lit("index/"), slug(F.coalesce("project", F.lit("none"))), F.lit(".md")).alias("name"), F.lit(None).cast("string").alias("session_id"), F.concat(F.lit("# "), F.coalesce("project", F.lit("none")), F.lit("\n\n"), "lines").alias("text"))
+    return _paged(texts.select("project", "session_id", line.alias("line")), "index", "# ").select("name", F.lit(None).cast("string").alias("session_id"), "text")
 
 
 def render_packet(sessions: DataFrame, events: DataFrame) -> DataFrame:
@@ -74,8 +90,7 @@ def render_project(sessions: DataFrame, events: DataFrame) -> DataFrame:
     ids = summary.evidence_ids(events, 5).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("event_id").cast("string").alias("id")))), lambda x: x["id"]), ", ").alias("ids"))
     some = summary.session_topics(sessions, events).join(sessions.select("session_id", F.col("cwd").alias("project")), "session_id").join(ids, "session_id", "left")
     line = F.concat(F.lit("- "), F.col("session_id"), F.lit(": "), F.col("topic"), F.lit(" (evidence: "), F.coalesce("ids", F.lit("none")), F.lit(")"))
-    listed = some.groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("session_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
-    return listed.select(F.concat(F.lit("projects/"), slug(F.coalesce("project", F.lit("none"))), F.lit(".md")).alias("name"), "project", F.concat(F.lit("# Project "), F.coalesce("project", F.lit("none")), F.lit("\n\n"), "lines").alias("text"))
+    return _paged(some.select("project", "session_id", line.alias("line")), "projects", "# Project ")
 
 
 def export_plan(docs: DataFrame, mode: str) -> DataFrame:

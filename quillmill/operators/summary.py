@@ -11,6 +11,7 @@ from pyspark.sql.window import Window as W
 from quillmill.functions import constants as C
 from quillmill.functions.patterns import for_spark
 from quillmill.functions.text import has_problem, shortened, trimmed
+from quillmill.storage import written
 
 def _is_user() -> Column:
     return F.col("sub_type").eqNullSafe(F.lit("user_message")) | F.col("role").eqNullSafe(F.lit("user"))
@@ -179,7 +180,7 @@ def build_chunks(sessions: DataFrame, events: DataFrame, per_session: int = 12,
     if per_session < 1:
         raise ValueError("per_session must be 1 at least")
     turns = turn_chunks(events).withColumn("turn_index", F.col("turn_index").cast("long"))
-    # read twice below, and a plan of this size is better not planned twice
-    first = cap_chunks(session_chunks(sessions, events).unionByName(turns), per_session).persist()
+    # read twice below
+    first = written(cap_chunks(session_chunks(sessions, events).unionByName(turns), per_session), "chunks")
     cited = first.select(F.explode("evidence_event_ids").alias("event_id"))
     return trim_chunks(cap_chunks(first.unionByName(evidence_chunks(events, cited)), per_session), max_chars)

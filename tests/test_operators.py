@@ -392,6 +392,17 @@ def test_exports(spark, tmp_path):
     assert rows(export.events_by_id(ev, [2, 1]), "place", "event_id") == [(0, 2), (1, 1)]
 
 
+def test_large_projects_have_several_index_pages(spark):
+    se = spark.createDataFrame([(f"s{k}", "p" if k else None, None, None) for k in range(1300)], "session_id string, cwd string, first_seen_at string, updated_at string")
+    ev = events(spark, [(k, "s1", "event_msg", "user_message", "user", None, None, "w" * 600) for k in range(40)]).withColumn("turn_index", F.lit(0))
+    vault = {r["name"]: r.text for r in export.render_vault(se, ev).collect()}
+    pages = [x for x in vault if x.startswith("index/p")]
+    assert sorted(pages) == ["index/p-1.md", "index/p-2.md", "index/p-3.md"] and sum(vault[x].count("[[") for x in pages) == 1299
+    assert vault["index/none.md"].count("[[") == 1
+    proof = vault["evidence/s1-evidence.md"].split("\n\n", 2)[2]
+    assert len(proof) == 4000 and proof.startswith("- Event 0: www") and "- Event 6: w" in proof
+
+
 def test_titles(spark):
     data = [("  # Fix  it # ",), ("x://threads/1",), ("01234567-89ab-cdef-0123-456789abcdef",), ("w" * 60,), (None,)]
     got = [r.t for r in spark.createDataFrame(data, "v string").select(browse.friendly_title(F.col("v")).alias("t")).collect()]
