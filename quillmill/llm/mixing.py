@@ -34,6 +34,8 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[float, ...], c
     The whole mix is ``share`` times all sizes, dealt by weight; no target is above ``cap`` times its source's size,
     and what is above goes to the others by weight. That is a water level: sources in order of cap / weight are
     full up to the first whose cap lies above the level of the rest.
+
+    Windows over the sources take one task, with a row for each source: they serve for some millions of sources.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     by_name = W.orderBy(F.col("source").asc_nulls_last())

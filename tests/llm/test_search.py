@@ -1,5 +1,6 @@
 """Decontamination, near duplicates, nearest neighbours and the pipeline against plain versions."""
 
+import math
 import random
 import re
 
@@ -137,15 +138,37 @@ def near_rows():
     return rows + [(900, None), (901, ""), (902, " \n "), (903, "two words"), (904, "TWO\twords"), (905, "a b c d e"), (906, "a b c d e"), (907, "é é é é é É")]
 
 
-@pytest.mark.parametrize("part_size", [4096, 3])
-def test_near_duplicates(spark, part_size):
+@pytest.mark.parametrize(("part_size", "most_hot"), [(4096, 1), (3, 1000)])
+def test_near_duplicates(spark, part_size, most_hot):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("clash")).withColumn("block", F.lit(1))
-    got = ngram_join.near_duplicates(docs, part_size=part_size).collect()
+    got = ngram_join.near_duplicates(docs, part_size=part_size, most_hot=most_hot).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_classes(rows)
     assert all(r.representative == (r.doc_id == r.component_id) for r in got)
 
 
+def test_blocks_of_frequent_tokens(spark, monkeypatch):
+    """Tokens that many sets hold are dealt into stars: the blocks are the same."""
+    monkeypatch.setattr(ngram_join, "STAR", 2)
+    rng = random.Random(7)
+    held = {t: rng.sample(range(1, 400), rng.choice([1, 2, 3, 60])) for t in range(40)}
+    rows = [(max(0, math.ceil(math.log2(len(sets)))) << 57 | t, half) for t, sets in held.items() for half in sets]
+    up = {}
+
+    def root(i):
+        up.setdefault(i, i)
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for sets in held.values():
+        for half in sets:
+            x, y = root(sets[0]), root(half)
+            up[max(x, y)] = min(x, y)
+    got = {r.half: r.block for r in ngram_join.blocks_of(spark.createDataFrame(rows, "token long, half long")).collect()}
+    assert got == {i: root(i) for i in up if any(i in s and len(s) > 1 for s in held.values())}
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
