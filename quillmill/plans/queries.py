@@ -417,7 +417,7 @@ def privacy_findings(spark, d):
     return privacy.scan(_texts(spark, d), "id", "text").drop("match")
 
 
-@_query()
+@_query(f'WITH {S.findings()}, {S.offsets()} SELECT id, kind, severity, n, match, start, start + length(match) AS "end" FROM placed')
 def match_offsets(spark, d):
     return privacy.match_offsets(_texts(spark, d), "id", "text")
 
@@ -580,7 +580,21 @@ def capped_chunks(spark, d):
     return summary.trim_chunks(summary.cap_chunks(both, 4), 300).select("chunk_id", "session_id", "text", "truncated")
 
 
-@_query()
+_LISTED_LINES = "string_agg('- ' || {0} || ' (evidence: ' || event_id || ')', chr(10) ORDER BY {1}) AS part"
+_SUMMARIES = f"""goal AS (SELECT session_id, arg_min(text_content, event_id) AS user_goal FROM chat WHERE {S.IS_USER} AND {S.HAS_TEXT} GROUP BY session_id),
+steps AS (SELECT session_id, {_LISTED_LINES.format('text', 'list, place')} FROM (SELECT session_id, list, place, event_id, {S.short('text_content', 180)} AS text FROM (SELECT *, 0 AS list, {_FIRST} AS place, 3 AS n FROM chat WHERE {S.IS_USER} UNION ALL SELECT *, 1, {_FIRST}, 5 FROM chat WHERE {S.IS_ASSISTANT}) WHERE place <= n AND {S.HAS_TEXT}) GROUP BY session_id),
+names AS (SELECT session_id, path, min(event_id * 1000000 + pos) AS spot FROM (SELECT session_id, event_id, unnest(regexp_extract_all(coalesce(text_content, ''), '{_FILE}')) AS path, generate_subscripts(regexp_extract_all(coalesce(text_content, ''), '{_FILE}'), 1) AS pos FROM chat) GROUP BY ALL),
+files AS (SELECT session_id, {_LISTED_LINES.format('path', 'spot')} FROM (SELECT *, spot // 1000000 AS event_id, row_number() OVER (PARTITION BY session_id ORDER BY spot) AS place FROM names) WHERE place <= 20 GROUP BY session_id),
+faults AS (SELECT session_id, {_LISTED_LINES.format(S.short('text_content', 180), 'place')} FROM (SELECT *, {_FIRST} AS place FROM chat WHERE {S.PROBLEM}) WHERE place <= 8 GROUP BY session_id),
+proof AS (SELECT session_id, list(event_id ORDER BY event_id) AS ids FROM (SELECT *, {_FIRST} AS place FROM chat WHERE {S.HAS_TEXT}) WHERE place <= 20 AND {S.CHUNK_TEXT} GROUP BY session_id),
+sums AS (SELECT session_id, ids, concat_ws(chr(10), 'Session: ' || session_id, 'Project: ' || coalesce(cwd, ''), 'Topic: ' || {S.short('coalesce(user_goal, cwd, session_id)', 80)}, 'User goal: ' || user_goal, 'Key steps:', coalesce(steps.part, '- None'), 'Files:', coalesce(files.part, '- None'), 'Problems:', coalesce(faults.part, '- None'), 'Next steps:', '- Add more sessions, then re-run search and export to build the archive.') AS text
+  FROM sess JOIN proof USING (session_id) LEFT JOIN goal USING (session_id) LEFT JOIN steps USING (session_id) LEFT JOIN files USING (session_id) LEFT JOIN faults USING (session_id)),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY kind, turn_index) AS place FROM (SELECT session_id || ':session-summary' AS chunk_id, 0 AS kind, session_id, NULL::BIGINT AS turn_index, text, ids, 0 AS o FROM sums UNION ALL SELECT chunk_id, 1, session_id, turn_index, text, ids, 0 FROM tc)) WHERE place <= 12),
+others AS (SELECT session_id || ':evidence-' || event_id AS chunk_id, 2 AS kind, session_id, turn_index, 'Event: ' || event_id || chr(10) || 'Type: ' || coalesce(sub_type, top_type) || chr(10) || 'Timestamp: ' || chr(10) || chr(10) || text_content AS text, event_id AS o FROM chat WHERE {S.CHUNK_TEXT} AND event_id NOT IN (SELECT unnest(ids) FROM firsts)),
+chosen AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY kind, CASE WHEN kind = 1 THEN turn_index END, o) AS place FROM (SELECT chunk_id, kind, session_id, turn_index, text, o FROM firsts UNION ALL SELECT * FROM others))"""
+
+
+@_query(f"WITH {S.CHAT}, {_TURNS}, {_SUMMARIES} SELECT chunk_id, (['session_summary', 'turn_summary', 'evidence'])[kind + 1] AS chunk_type, session_id, turn_index, {S.trim('text', 1200)} AS text, length(text) > 1200 AS truncated, length({S.trim('text', 1200)}) AS text_chars FROM chosen WHERE place <= 12")
 def session_chunks(spark, d):
     return summary.build_chunks(*_chat(spark, d)).drop("evidence_event_ids")
 

@@ -112,5 +112,17 @@ def findings() -> str:
     return f"texts AS (SELECT 'doc-' || doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT 'page-' || page_id, coalesce(html, '') FROM pages), found AS ({' UNION ALL '.join(parts)})"
 
 
+def offsets() -> str:
+    """Every match with its place in the text: the lengths of what lies before it, matches and the pieces between them."""
+    parts = []
+    for kind, severity, pattern in C.DETECTORS:
+        spelled, group = for_re2(pattern)
+        p = f"'{quoted(spelled)}'"
+        parts.append(f"SELECT id, '{kind}' AS kind, '{severity}' AS severity, string_split_regex(t, {p}) AS pieces, regexp_extract_all(t, {p}, 0) AS whole, regexp_extract_all(t, {p}, {group}) AS found FROM texts")
+    return f"""cut AS ({' UNION ALL '.join(parts)}),
+each AS (SELECT *, unnest(range(len(found))) AS n FROM cut),
+placed AS (SELECT id, kind, severity, n, found[n + 1] AS match, CAST(list_sum(list_transform(pieces[1:n + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:n], lambda x: length(x))), 0) + length(whole[n + 1]) - length(found[n + 1]) AS BIGINT) AS start FROM each)"""
+
+
 def quoted(x: str) -> str:
     return x.replace("'", "''")
