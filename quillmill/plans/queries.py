@@ -594,9 +594,9 @@ others AS (SELECT session_id || ':evidence-' || event_id AS chunk_id, 2 AS kind,
 chosen AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY kind, CASE WHEN kind = 1 THEN turn_index END, o) AS place FROM (SELECT chunk_id, kind, session_id, turn_index, text, o FROM firsts UNION ALL SELECT * FROM others))"""
 
 
-@_query(f"WITH {S.CHAT}, {_TURNS}, {_SUMMARIES} SELECT chunk_id, (['session_summary', 'turn_summary', 'evidence'])[kind + 1] AS chunk_type, session_id, turn_index, {S.trim('text', 1200)} AS text, length(text) > 1200 AS truncated, length({S.trim('text', 1200)}) AS text_chars FROM chosen WHERE place <= 12")
+@_query(f"WITH {S.CHAT}, {_TURNS}, {_SUMMARIES} SELECT chunk_id, (['session_summary', 'turn_summary', 'evidence'])[kind + 1] AS chunk_type, session_id, coalesce(turn_index, -1) AS turn_index, {S.trim('text', 1200)} AS text, length(text) > 1200 AS truncated, length({S.trim('text', 1200)}) AS text_chars FROM chosen WHERE place <= 12")
 def session_chunks(spark, d):
-    return summary.build_chunks(*_chat(spark, d)).drop("evidence_event_ids")
+    return summary.build_chunks(*_chat(spark, d)).drop("evidence_event_ids").fillna(-1, ["turn_index"])
 
 
 @_query(f"WITH {S.CHAT}, {_TURNS} SELECT count(*) AS documents, count(DISTINCT session_id) AS sessions, CAST(sum(length(text)) AS BIGINT) AS chars, (SELECT count(DISTINCT id) FROM (SELECT unnest(ids) AS id FROM tc)) AS evidence_events FROM tc")
