@@ -331,6 +331,7 @@ def test_streams(spark, tmp_path):
     """Pairs and requests live: what comes in three files, one a batch, and a late one that moves the watermark."""
     import datetime
     import json
+    import os
 
     from quillmill.streaming import ingest as live
 
@@ -338,6 +339,7 @@ def test_streams(spark, tmp_path):
         path = tmp_path / folder / name
         path.parent.mkdir(exist_ok=True)
         path.write_text("\n".join(map(json.dumps, records)))
+        os.utime(path, (1_800_000_000 + int(name[0]), 1_800_000_000 + int(name[0])))  # files come in the order of their times
 
     at = lambda m: (datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)).isoformat()
     call = lambda cid, line, kind, m: {"path": "p", "call_id": cid, "line_no": line, "kind": kind, "ts": at(m)}
