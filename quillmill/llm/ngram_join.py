@@ -35,11 +35,13 @@ from .scratch import new_path, removed, written, written_at
 KEPT = 28
 #: Bytes of text for each bucket of hashes, as a power of two: some four million n-grams.
 BUCKET_BYTES = 25
-#: Bytes of text in a chunk, a longer text being one of its own: more where there are many buckets, so that a chunk has
-#: some hundreds of n-grams in each.
-CHUNK_BYTES, MORE_BYTES, MOST_BYTES = 1 << 21, 1 << 16, 1 << 24
+#: Bytes of text in a chunk, a longer text being one of its own: as many for each bucket, so that the gaps between a
+#: chunk's n-grams in a bucket are as small where there are many buckets, from a least to a most size.
+LEAST_BYTES, EACH_BYTES, MOST_BYTES = 1 << 21, 1 << 18, 1 << 23
 #: Documents that share an n-gram meet under one of them by as many at once, as a power of two.
 STAR = 12
+#: Members of blocks that are sent to their sets (rows of some 50 bytes); beyond, both sides are shuffled.
+MOST_SENT = 500_000
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256)
@@ -156,7 +158,7 @@ def profile(docs: DataFrame, n: int, bits: int, path: str) -> DataFrame:
     each distinct set; n bytes of lengths and texts), and a chunk's n-grams in a bucket of hashes (n of them)."""
 
     def rows(parts):
-        chunk, most = TaskContext.get().partitionId() << 32, min(MOST_BYTES, max(CHUNK_BYTES, MORE_BYTES << bits))
+        chunk, most = TaskContext.get().partitionId() << 32, min(MOST_BYTES, max(LEAST_BYTES, EACH_BYTES << bits))
         for batch in parts:
             for first, texts in _chunks(batch, most):
                 ids = batch.column(0).slice(first, len(texts))
@@ -290,7 +292,7 @@ def _sets(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in table["tokens"].to_pylist()]
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, part_tokens: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: int = 2048, part_tokens: int = 4_000_000, most_hot: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id, representative, set, text_key and class of docs (doc_id, text), over whole texts.
 
     Words are runs of other characters than ASCII white space, A-Z in lower case. A document's set holds its distinct
@@ -302,6 +304,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     Rows with a null doc_id count for nothing and get a null component_id and class. Of rows that share a doc_id, each
     belongs to the component of its own text. Further columns are ignored; an empty table gives no rows.
     part_size, part_tokens: sets and their n-grams that one task joins at once; a longer set has a part of its own.
+    most_hot: sets that more than one in so many rows hold, so many at most, are sent to those rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key(F.col("text")))
@@ -327,8 +330,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, part_size: i
     linked = joined.join(least, ["root", "salt"]).select("digest", "root", "component_id")
     found = named.join(linked, "digest", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("root", "digest").alias("class"), "copies")
     found = written(found, "ngram-found")
-    # sets of more than a thousandth of all documents are a thousand at most: the documents that hold them stay where they are
-    often = (found.agg(F.sum("copies")).first()[0] or 0) // 1000
+    # there are most_hot of these sets at most: the documents that hold them stay where they are
+    often = (found.agg(F.sum("copies")).first()[0] or 0) // most_hot
     hot = F.broadcast(found.where(F.col("copies") > often).select("digest", F.col("component_id").alias("hot_id"), F.col("class").alias("hot_class")))
     near = known.join(hot, "digest", "left")
     plain = F.col("hot_id").isNull() & F.col("digest").isNotNull()
@@ -355,9 +358,10 @@ def _classes(members: DataFrame, sets: DataFrame, percent: int, part_size: int)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], names=["block", "digest", "root"])
 
     schema = "block long, digest binary, root binary"
-    total = members.agg(F.sum("size")).first()[0] or 0
+    count, total = members.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bundle = F.when(F.col("parts") > 1, F.xxhash64("block", "part")).otherwise(F.pmod(F.xxhash64("block"), F.lit(max(1, total // 500_000))))
-    dealt = members.select("digest", "block", bundle.alias("bundle")).join(sets.select("digest", "tokens"), "digest")
+    placed = members.select("digest", "block", bundle.alias("bundle"))
+    dealt = sets.select("digest", "tokens").join(F.broadcast(placed) if count <= MOST_SENT else placed, "digest")
     local = written(dealt.select("bundle", "block", "digest", "tokens").groupBy("bundle").applyInArrow(within, schema), "ngram-local")
     large = members.where("parts > 1")
     if large.isEmpty():

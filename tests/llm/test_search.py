@@ -139,7 +139,8 @@ def near_rows():
 
 
 @pytest.mark.parametrize(("part_size", "most_hot"), [(4096, 1), (3, 1000)])
-def test_near_duplicates(spark, part_size, most_hot):
+def test_near_duplicates(spark, monkeypatch, part_size, most_hot):
+    monkeypatch.setattr(ngram_join, "MOST_SENT", part_size)  # members sent, or shuffled
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("clash")).withColumn("block", F.lit(1))
     got = ngram_join.near_duplicates(docs, part_size=part_size, most_hot=most_hot).collect()
