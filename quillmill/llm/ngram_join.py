@@ -37,7 +37,7 @@ KEPT = 28
 BUCKET_BYTES = 25
 #: Bytes of text in a chunk, a longer text being one of its own: as many for each bucket, so that the gaps between a
 #: chunk's n-grams in a bucket are as small where there are many buckets, from a least to a most size.
-LEAST_BYTES, EACH_BYTES, MOST_BYTES = 1 << 21, 1 << 18, 1 << 23
+LEAST_BYTES, EACH_BYTES, MOST_BYTES = 1 << 21, 1 << 18, 1 << 22
 #: Documents that share an n-gram meet under one of them by as many at once, as a power of two.
 STAR = 12
 #: Members of blocks that are sent to their sets (rows of some 50 bytes); beyond, both sides are shuffled.
