@@ -79,7 +79,8 @@ def redacted(text: Column) -> Column:
         if kind == "token_assignment":  # what is redacted already is no secret
             place = pattern.rindex("[^")
             pattern = f"{pattern[:place]}(?!\\[REDACTED:){pattern[place:]}"
-        out = F.when(_hinted(kind, out), F.regexp_replace(out, pattern, f"[REDACTED:{kind}]")).otherwise(out)
+        # bound to a name, so that the text so far stands once in the expression
+        out = F.transform(F.array(out), lambda t: F.when(_hinted(kind, t), F.regexp_replace(t, pattern, f"[REDACTED:{kind}]")).otherwise(t))[0]
     return out
 
 
