@@ -32,6 +32,10 @@ LOWER[65:91] += 32
 EACH = 16
 #: Bytes that are cut or counted at once; a longer piece is a run of its own.
 RUN = 1 << 20
+#: Bits of a hash that are counted: two phrases that agree in them may both be let in, and are counted by text then.
+COUNTED = np.uint64((1 << 48) - 1)
+#: Phrases that are summed up before they are sent.
+SUMMED = 1 << 21
 #: Bits of the largest filter (16 MB), as a power of two, and bits for each frequent phrase.
 MOST_BITS, BITS_EACH = 27, 32
 #: Parts into which a language is split to rank its phrases.
@@ -47,12 +51,14 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of STEP and of its inverse modulo 2^64, for a run and, while they last, longer ones."""
-    if size > RUN:
-        return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)])) for base in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
-    if not POWERS:
-        POWERS[RUN] = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(RUN, base, np.uint64)])) for base in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
-    return POWERS[RUN]
+    """Powers of STEP and of its inverse modulo 2^64, kept for what runs are long, and made anew for longer ones."""
+    if size in POWERS or size <= 2 * RUN and 2 * RUN in POWERS:
+        return POWERS.get(size) or POWERS[2 * RUN]
+    many = max(size, 2 * RUN)
+    out = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(many, base, np.uint64)])) for base in (STEP, np.uint64(pow(int(STEP), -1, 1 << 64))))
+    if many == 2 * RUN:
+        POWERS[many] = out
+    return out
 
 
 def _words(data: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,12 +174,12 @@ class Filter:
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Entries of the dictionary, some four million bytes at once."""
+    """Entries of the dictionary, a run at once."""
     some, size = [], 0
     for batch in batches:
         some.append(batch)
         size += batch.column("chunk").nbytes
-        if size > 4 * RUN:
+        if size > RUN:
             yield pa.Table.from_batches(some)
             some, size = [], 0
     if some:
@@ -221,13 +227,36 @@ def _phrases(table: pa.Table, most: int, filters: list, lengths: list[int]):
     return out, data, begin, end
 
 
+def _summed(parts) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.Array]]]:
+    """Parts (hashes, counts, columns), with those of equal hashes summed up as long as they are not too many."""
+
+    def flush(some: list) -> tuple:
+        h, count = (np.concatenate([x[k] for x in some]) for k in (0, 1))
+        order = np.argsort(h)
+        first = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]])) if len(h) else np.zeros(0, np.int64)
+        columns = [pa.concat_arrays([x[2][k] for x in some]).take(pa.array(order[first])) for k in range(len(some[0][2]))]
+        return h[order[first]], np.add.reduceat(count[order], first) if len(first) else count, columns
+
+    some, size = [], 0
+    for part in parts:
+        some.append(part)
+        size += len(part[0])
+        if size > SUMMED:
+            some = [flush(some)]
+            if len(some[0][0]) > SUMMED // 2:
+                yield some.pop()
+            size = len(some[0][0]) if some else 0
+    if some:
+        yield flush(some)
+
+
 def _count_hashes(entries: DataFrame, n: int, filters: list, least: int) -> DataFrame:
     """h: the hashes of phrases of n words that may be frequent and stand ``least`` times or more."""
     shared = entries.sparkSession.sparkContext.broadcast(filters)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _entries(batches):
-            h, count, _, _ = _phrases(table, n, shared.value, [n])[0][n]
+        found = (_phrases(table, n, shared.value, [n])[0][n][:2] for table in _entries(batches))
+        for h, count, _ in _summed((h & COUNTED, count, []) for h, count in found):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
 
     return entries.mapInArrow(step, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
@@ -242,14 +271,16 @@ def frequent_phrases(entries: DataFrame, most: int = 5, least: int = 100) -> Dat
         filters.append(Filter(written_at(_count_hashes(entries, n, filters, least), paths[-1])))
     shared = spark.sparkContext.broadcast(filters)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for table in _entries(batches):
             found, data, begin, end = _phrases(table, most, shared.value, list(range(1, most + 1)))
-            for n, (_, count, first, entry) in found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [table.column("lang").combine_chunks().take(pa.array(entry)), _sliced(data, begin[first], end[first + n - 1]).cast(pa.string()), pa.array(np.full(len(first), n, np.int32)), pa.array(count)],
-                    names=["lang", "phrase", "words", "n"],
-                )
+            langs = table.column("lang").combine_chunks()
+            for n, (h, count, first, entry) in found.items():
+                yield h, count, [langs.take(pa.array(entry)), _sliced(data, begin[first], end[first + n - 1]).cast(pa.string()), pa.array(np.full(len(first), n, np.int32))]
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, count, columns in _summed(texts(batches)):
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count)], names=["lang", "phrase", "words", "n"])
 
     counted = entries.mapInArrow(step, "lang string, phrase string, words int, n long").groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("n").alias("f"))
     out = written_at(counted.where(F.col("f") >= least), new_path(spark, "phrases"))
