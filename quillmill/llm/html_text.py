@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -19,13 +20,29 @@ CONTAINER = frozenset("article main".split())
 SECTION = frozenset("article body center dd div main section td".split())
 #: Words in class, id and role that mark what is no part of an article.
 FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs byline comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain pager pagination popup promo promos promotion recommended related respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar warning widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright dialog disclaimer disqus footer form gdpr legal login masthead menu menubar modal nav navbar navigation newsletter notice notices notification notifications outbrain pager pagination popup promo promos promotion recommended related respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola toolbar warning widget widgets".split()
 )
+#: What may stand beside such a word in one name: "site-footer" is a footer, "footer-design" is a subject.
+BESIDE = frozenset(
+    "site page main top bottom left right first last primary secondary global local inner outer wrapper wrap container holder box block bar list item items link links area section slot unit post posts article articles button buttons panel mobile desktop sticky fixed row col column group zone region header head title label text content body level sub thread form icon icons user reader readers js id the".split()
+)
+#: Elements that group blocks; only these are judged by name within a container, and only these by their id.
+GROUPING = frozenset("center dd details div dl figure li main article ol section span table tbody td tr ul".split())
+#: An id within a container tells of its subject, unless it is one of these.
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
 HEADS = frozenset("header".split())
 UNENDED = re.compile(r"<[a-zA-Z/!?]")
-ANYTHING = re.compile(r"[a-z]+")
-#: A name such as "has-sidebar" tells of something else in the page.
-TELLS = re.compile(r"\b(?:has|with|without|no)[-_][\w-]*")
+PARTS = re.compile(r"[a-z]+")
+
+
+def named(value: str, words: frozenset) -> bool:
+    """Whether one of the names in an attribute is furniture as a whole: a word of these, beside which only such stand
+    as tell of its place. "has-sidebar" tells of something else in the page."""
+    for name in value.lower().split():
+        parts = PARTS.findall(name)
+        if any(x in words for x in parts) and all(x in FURNITURE or x in BESIDE for x in parts):
+            return True
+    return False
 
 
 class Line(NamedTuple):
@@ -45,6 +62,8 @@ class _Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool]] = []  # (element, whether its text is left out)
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each element's open ones the places in the stack
+        self.out_divs = self.out_others = 0  # divs, and elements without text, on the stack that are left out
         self.sections = [0]  # numbers of the open sections
         self.made = 0
         self.links = 0  # open links
@@ -78,16 +97,19 @@ class _Lines(HTMLParser):
             if name == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                 return True
             if name in ("class", "id", "role") and value:
-                words = ANYTHING.findall(TELLS.sub("", value.lower()))
-                if not FURNITURE.isdisjoint(words) or not self.inside and not HEADS.isdisjoint(words):
-                    # a container with a name such as "main-with-sidebar" stays
-                    if tag not in CONTAINER or "comment" in words or "comments" in words:
-                        return True
+                if name == "id" and tag not in GROUPING or self.inside and tag not in GROUPING:
+                    continue  # ids of headings and paragraphs are made of their words
+                words = COMMENTS if self.inside and name == "id" or tag in CONTAINER else FURNITURE if self.inside else FURNITURE | HEADS
+                if named(value, words):
+                    return True
         return False
 
     def _pop(self) -> None:
         tag, out = self.stack.pop()
+        self.places[tag].pop()
         self.out -= out
+        self.out_divs -= out and tag == "div"
+        self.out_others -= out and tag in NO_TEXT
         self.links -= tag == "a"
         if tag in SECTION:
             self.sections.pop()
@@ -105,7 +127,7 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        if tag in CONTAINER and self.out and any(t == "div" and o for t, o in self.stack) and not any(t in NO_TEXT and o for t, o in self.stack):
+        if tag in CONTAINER and self.out_divs and not self.out_others:
             # an article does not stand in an advert: the advert's end is missing
             while self.out:
                 self._pop()
@@ -122,8 +144,11 @@ class _Lines(HTMLParser):
         if tag in SECTION:
             self.made += 1
             self.sections.append(self.made)
+        self.places[tag].append(len(self.stack))
         self.stack.append((tag, out))
         self.out += out
+        self.out_divs += out and tag == "div"
+        self.out_others += out and tag in NO_TEXT
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -135,13 +160,11 @@ class _Lines(HTMLParser):
 
     def _close(self, tag: str, walls) -> None:
         """Ends the innermost open tag, if no wall stands before it."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                while len(self.stack) > k:
+        if self.places[tag]:
+            place = self.places[tag][-1]
+            if all(not self.places[w] or self.places[w][-1] < place for w in walls):
+                while len(self.stack) > place:
                     self._pop()
-                return
-            if self.stack[k][0] in walls:
-                return
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -209,7 +232,9 @@ def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, one line each; empty if there is none.
 
     What elements, classes, ids and roles mark as menus, headers, footers, asides, notices, adverts, forms, scripts and
-    comments is left out; which of the other blocks stay, inside and outside of containers, is decided by content_lines.
+    comments is left out; names count as a whole, and within an article those of groups alone, ids only where they tell
+    of reader comments. Which of the other blocks stay, inside and outside of containers, is decided by content_lines.
+    Work is linear in the page.
     """
     parser = _Lines()
     parser.feed(html or "")

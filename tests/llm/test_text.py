@@ -312,3 +312,51 @@ def test_zip64_directory_is_read():
         for k in range(65_600):
             z.writestr(f"{k}", b"")
     assert len(warc.members(raw, len(raw.getvalue()))) == 65_600
+
+
+@pytest.mark.parametrize("part", ['<h2 id="social-impact">{}</h2>', '<h2 id="comments-on-method">{}</h2>', '<p id="warning-signs">{}</p>', '<p class="legal-history">{}</p>', '<section class="search-algorithms"><p>{}</p></section>', '<section id="search"><p>{}</p></section>', '<p class="warning">{}</p>', '<li id="ad">{}</li>'])
+def test_names_of_subjects_stay(part):
+    """Within an article, and in pages without one where the name is no furniture as a whole."""
+    text = "A line about the subject of the page that says enough of it."
+    want = f"{PROSE.strip()}\n{text}\n{PROSE.strip()}"
+    assert html_text.main_text(f"<body><nav><a href=x>Home</a></nav><article><p>{PROSE}</p>{part.format(text)}<p>{PROSE}</p></article></body>") == want
+    if part.startswith(("<h2", '<p id', '<p class="legal')):
+        assert html_text.main_text(f"<body><nav><a href=x>Home</a></nav><div><p>{PROSE}</p>{part.format(text)}<p>{PROSE}</p></div></body>") == want
+
+
+FURNISHED = [
+    '<div class="ad">{}</div>', '<div class="ad-slot">{}</div>', '<section id="comments"><p>{}</p></section>', '<div class="share-buttons">{}</div>', '<div class="cookie-banner">{}</div>', '<ul class="related-posts"><li>{}</li></ul>',
+    '<aside>{}</aside>', '<form><p>{}</p></form>', '<nav>{}</nav>', '<script>{}</script>', '<style>{}</style>', '<footer>{}</footer>', '<div hidden>{}</div>', '<div style="display: none">{}</div>', '<div class="newsletter box">{}</div>', '<!-- {} -->', '<div class="comment-list"><p>{}</p></div>',
+]
+
+
+@pytest.mark.parametrize("wrap", ["article", "main", "div"])
+def test_pages_equal_what_they_were_made_of(wrap):
+    """Random pages: blocks of an article, written in many ways, with furniture within, before and behind it."""
+    rng = random.Random(len(wrap))
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    for _ in range(120):
+        blocks, html = [], []
+        for k in range(rng.randint(3, 9)):
+            text = words(rng.randint(25, 60))
+            form = rng.choice(["<p>{}</p>", "<p>{}", "<p id=ad-{0:.3}>{0}</p>", "<blockquote>{}</blockquote>", "<p><b>{}</b></p>", "<pre>{}</pre>", "<div>{}</div>" if wrap != "div" else "<p>{}</p>"])
+            blocks.append(text)
+            html.append(form.format(text.replace(" ", rng.choice([" ", "\n", " \t", "&nbsp;"]) if form != "<pre>{}</pre>" else " ", 1)))
+            if rng.random() < 0.4:
+                html.append(rng.choice(FURNISHED).format(words(rng.randint(1, 30))))
+        before, after = ("".join(rng.choice(FURNISHED).format(words(rng.randint(1, 30))) for _ in range(rng.randint(0, 3))) for _ in range(2))
+        page = f"<html><head><title>{words(4)}</title></head><body><header><p>{words(5)}</p></header>{before}<{wrap}>{''.join(html)}</{wrap}>{after}<footer>{words(9)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(blocks), page
+
+
+def test_unmatched_tags_cost_no_more_than_their_number():
+    import time
+
+    def seconds(n: int) -> float:
+        page = "<body><article><p>Text.</p>" + "<div>" * n + "</section>" * n + "<b><div>" + "<i>" * n + "</b>" * n + "<div class=ad>" + "<article>" * n
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(32_000) < 40 * seconds(4_000)
