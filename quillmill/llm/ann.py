@@ -161,7 +161,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
     block of candidates. ``rerank`` candidates by table scan set the score that others must be able to reach; it decides
     cost alone, never a result.
 
-    Ties go to the smaller vec_id; a query's own vec_id is no candidate of its. Rows with a null id, and vectors that
+    Each distinct query row is asked once and ranked by itself: rows that repeat count once, and rows of one id with
+    other vectors give k rows each. Ties go to the smaller vec_id; a query's own vec_id is no candidate of its. Rows with a null id, and vectors that
     are null, empty, zero, hold null or non-finite components, or have another length than most, take no part. Rows
     that repeat a vec_id are candidates each. Further columns are ignored; empty tables give no rows.
     """
@@ -186,7 +187,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
 
     index = written(ready.mapInArrow(encode, "vec_id long, vec binary, code binary"), "vector-index")
     asked = queries.where("vec_id is not null").where(valid("embedding")).where(F.size("embedding") == dim)
-    asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
+    asked = asked.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q")).distinct().withColumn("q_key", F.xxhash64("q"))
     n_queries = asked.count()
     cores = spark.sparkContext.defaultParallelism
     # a table of few blocks is cut finer, so that all cores have some, into twice as many blocks as there are cores at most
@@ -198,7 +199,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
     right = asked.withColumn("qb", of("query_id", query_blocks)).withColumn("b", every(blocks))
 
     def pair(candidates: pa.Table, some: pa.Table) -> pa.Table:
-        out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        out = pa.schema([("query_id", pa.int64()), ("q_key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not candidates.num_rows or not some.num_rows:
             return out.empty_table()
         ids = candidates["vec_id"].to_numpy()
@@ -206,10 +207,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 1
         joined = lambda column, kind: np.frombuffer(b"".join(candidates[column].to_pylist()), kind).reshape(len(ids), -1)[order]
         q = np.array(some["q"].to_pylist(), float)
         found = list(scan(fitted, ids[order], joined("vec", kind), joined("code", np.uint8), some["query_id"].to_numpy(), q, k, rerank))
-        return pa.table([np.concatenate(c) for c in zip(*found)], schema=out)
+        keys = np.repeat(some["q_key"].to_numpy(), [len(x[0]) for x in found])
+        query_ids, ids, scores = (np.concatenate(c) for c in zip(*found))
+        return pa.table([query_ids, keys, ids, scores], schema=out)
 
-    best = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(pair, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(pair, "query_id long, q_key long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -296,3 +296,21 @@ def test_pipeline(spark, tmp_path):
     assert second == first - set(range(300, 310))
     assert third == second - set(range(400, 405))
     assert fourth == last <= third and len(ids[3]) == len(ids[4]) and max(ids[3].count(i) for i in fourth) <= 2
+
+
+def test_queries_that_repeat_are_asked_once_and_ranked_apart(spark):
+    rng = np.random.default_rng(8)
+    data = rng.normal(size=(60, 8)).round(3)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(data)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    other = [float(x) for x in data[1]]
+    queries = spark.createDataFrame([rows[0], rows[0], (0, other), rows[5]], "vec_id long, embedding array<float>")
+    got = ann.nearest(vectors, queries, k=5).collect()
+    assert len(got) == 15
+    want = []
+    exact = np.array([r[1] for r in rows], np.float32).astype(float)
+    for q_id, q in ((0, exact[0]), (0, exact[1]), (5, exact[5])):
+        scores = exact @ q
+        best = sorted((j for j in range(60) if j != q_id), key=lambda j: (-(exact[j] * q).sum(), j))[:5]
+        want += [(q_id, rank + 1, j, round(scores[j], 9)) for rank, j in enumerate(best)]
+    assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(want)
