@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,24 +72,61 @@ def high_risk(findings: DataFrame, key: str) -> DataFrame:
     return effective(findings).where(F.col("severity").isin(HIGH)).select(key).distinct()
 
 
-def redacted(text: Column) -> Column:
-    """Text with each match as [REDACTED:kind]; where matches overlap, the more severe kind stays."""
-    out = text
+RANKS = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+#: Rules that people write; more are no allowlist.
+MOST_RULES = 10_000
+
+
+def redact_text(text: str, rules: list[tuple] = (), allowed: frozenset = frozenset()) -> str:
+    """Text with its matches as [REDACTED:kind]. Overlapping matches are one, named by the most severe of them, the
+    longest where severities tie. What a rule (kind, text, pattern) covers stays, and so do ``allowed`` (kind, n)."""
+    spans = []
+    for kind, severity, pattern in C.DETECTORS:
+        if not any(hint in text for hint in C.DETECTOR_HINTS[kind]):
+            continue
+        for n, m in enumerate(re.finditer(pattern, text)):
+            if (kind, n) in allowed or any((k is None or k == kind) and (t == m[0] or p is not None and re.search(p, m[0])) for k, t, p in rules):
+                continue
+            spans.append((m.start(), m.end(), (RANKS[severity], m.start() - m.end(), kind)))
+    out, at, start, best = [], 0, None, None
+    for first, last, name in sorted(spans):
+        if start is not None and first < at:
+            at, best = max(at, last), min(best, name)
+            continue
+        if start is not None:
+            out.append(f"[REDACTED:{best[2]}]")
+        out.append(text[at:first])
+        start, at, best = first, last, name
+    if start is not None:
+        out.append(f"[REDACTED:{best[2]}]")
+    return "".join([*out, text[at:]])
+
+
+def redacted(text: Column, rules: list[tuple] = (), allowed: Column | None = None) -> Column:
+    """Text with each match as [REDACTED:kind], in one pass over the row: see redact_text. Only texts with a match leave
+    the JVM. allowed: structs (kind, n) of matches that stay."""
+    any_match = F.lit(False)
     for kind, _, pattern in C.DETECTORS:
-        pattern = for_spark(pattern)
-        if kind == "token_assignment":  # what is redacted already is no secret
-            place = pattern.rindex("[^")
-            pattern = f"{pattern[:place]}(?!\\[REDACTED:){pattern[place:]}"
-        # bound to a name, so that the text so far stands once in the expression
-        out = F.transform(F.array(out), lambda t: F.when(_hinted(kind, t), F.regexp_replace(t, pattern, f"[REDACTED:{kind}]")).otherwise(t))[0]
-    return out
+        any_match = any_match | (_hinted(kind, text) & text.rlike(for_spark(pattern)))
+    rules = [tuple(r) for r in rules]
+
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series, kept: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else redact_text(t, rules, frozenset((x["kind"], x["n"]) for x in k) if k is not None else frozenset()) for t, k in zip(texts, kept)], dtype=object)
+
+    none = F.lit(None).cast("array<struct<kind:string,n:int>>")
+    return F.coalesce(rewrite(F.when(any_match, text), none if allowed is None else allowed), text)
 
 
 def redact(df: DataFrame, key: str, text: str, rules: DataFrame | None = None) -> DataFrame:
-    """df with its text redacted; with rules, matches that one of them allows stay. key: a row's own."""
-    if rules is None:
-        return df.withColumn(text, redacted(F.col(text)))
-    return redact_spans(df, effective(allowlisted(match_offsets(df, key, text), rules)), key, text)
+    """df with its text redacted; with rules, matches that one of them allows stay. A pass over the rows, without a join.
+
+    Rules are a handful of rows that people write: they go to every task, MOST_RULES at most.
+    """
+    some = [] if rules is None else [(r.kind, r.text, r.pattern) for r in rules.select("kind", "text", "pattern").limit(MOST_RULES + 1).collect()]
+    if len(some) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return df.withColumn(text, redacted(F.col(text), some))
 
 
 def redact_spans(df: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
@@ -125,8 +163,11 @@ def gate(docs: DataFrame, findings: DataFrame, key: str, text: str, mode: str) -
     if mode == "warn":
         return docs, none
     if mode == "redact":
-        spans = match_offsets(docs, key, text).join(effective(findings).select(key, "kind", "n").distinct(), [key, "kind", "n"], "left_semi")
-        return redact_spans(docs, spans, key, text), none
+        if "allowlisted" not in findings.columns:
+            return docs.withColumn(text, redacted(F.col(text))), none
+        allowed = findings.where("allowlisted").groupBy(F.col(key).alias("_key")).agg(F.collect_set(F.struct("kind", F.col("n").cast("int").alias("n"))).alias("_allowed"))
+        marked = docs.join(allowed, F.col(key) == F.col("_key"), "left")
+        return marked.withColumn(text, redacted(F.col(text), (), F.col("_allowed"))).drop("_key", "_allowed"), none
     if mode == "fail":
         return docs.join(risky, key, "left_anti"), docs.select(key).join(risky, key, "left_semi")
     raise ValueError(f"no such mode: {mode}")

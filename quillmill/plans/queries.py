@@ -446,27 +446,28 @@ def high_risk_documents(spark, d):
     return privacy.high_risk(_allowed(spark, d), "id")
 
 
-def _redact_sql() -> str:
-    out = "t"
-    for kind, _, pattern in C.DETECTORS:
-        spelled, group = for_re2(pattern)
-        kept = "\\1" if group else ""  # what stands before the match stays
-        spelled = spelled.replace("(?:^|", "(^|", 1) if group else spelled
-        out = f"regexp_replace({out}, '{S.quoted(spelled)}', '{kept}[REDACTED:{kind}]', 'g')"
-    return out
-
-
-@_query(f"WITH {S.findings()} SELECT id, {_redact_sql()} AS text FROM texts")
+@_query(f"WITH {S.findings()}, {S.offsets()}, {S.redacted()} SELECT id, text FROM redacted")
 def redact_documents(spark, d):
     return _texts(spark, d).select("id", privacy.redacted(F.coalesce("text", F.lit(""))).alias("text"))
 
 
+#: Texts in which detectors' matches overlap: a mail address in paths, a key in an assignment, assignments in a path.
+_OVERLAPS = "concat('see C:\\\\Users\\\\u', doc_id, '@y.com\\\\plan\\\\x: and /home/', source, '@y', doc_id, '.org/secret=abcdefgh', doc_id, ' token=sk_ABCDEFGHIJKLMNOP', doc_id, ' ', coalesce(text, ''))"
+
+
+@_query(f"WITH texts AS (SELECT doc_id AS id, {_OVERLAPS.replace(chr(92) * 2, chr(92))} AS t FROM documents), {S.offsets()}, {S.redacted()} SELECT id, text FROM redacted")
+def redact_overlaps(spark, d):
+    """Matches of several kinds that overlap become one, named by the most severe."""
+    docs = T.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.expr(_OVERLAPS).alias("text"))
+    return privacy.redact(docs, "id", "text")
+
+
 @_query(f"WITH {_ALLOW} SELECT severity, kind, count(*) FILTER (WHERE NOT allowlisted) AS count, count(*) FILTER (WHERE allowlisted) AS allowlisted_count FROM f GROUP BY ROLLUP (severity, kind)")
 def privacy_summary(spark, d):
     return privacy.privacy_summary(_allowed(spark, d))
 
 
-@_query(f"WITH {S.findings()} SELECT id, {_redact_sql()} AS text FROM texts WHERE id IN (SELECT id FROM found)")
+@_query(f"WITH {S.findings()}, {S.offsets()}, {S.redacted()} SELECT id, text FROM redacted WHERE id IN (SELECT id FROM found)")
 def privacy_gate_redacted(spark, d):
     """Of the texts with a finding, what the gate lets through when it rewrites."""
     texts = _texts(spark, d).withColumn("text", F.coalesce("text", F.lit("")))

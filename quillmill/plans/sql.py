@@ -124,5 +124,16 @@ each AS (SELECT *, unnest(range(len(found))) AS n FROM cut),
 placed AS (SELECT id, kind, severity, n, found[n + 1] AS match, CAST(list_sum(list_transform(pieces[1:n + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(whole[1:n], lambda x: length(x))), 0) + length(whole[n + 1]) - length(found[n + 1]) AS BIGINT) AS start FROM each)"""
 
 
+def redacted() -> str:
+    """Texts with overlapping matches, as offsets() places them, in one: named by the most severe, then the longest."""
+    return """spans AS (SELECT id, start AS s, start + length(match) AS e, kind, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS rank FROM placed),
+marked AS (SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY id ORDER BY s, e, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM spans),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY s, e, kind ROWS UNBOUNDED PRECEDING) AS g FROM marked),
+merged AS (SELECT id, g, min(s) AS s, max(e) AS e, arg_min(kind, {'rank': rank, 'size': s - e, 'kind': kind}) AS kind FROM numbered GROUP BY id, g),
+between AS (SELECT id, s, e, kind, coalesce(lag(e) OVER (PARTITION BY id ORDER BY s), 0) AS f FROM merged),
+written AS (SELECT b.id, string_agg(substring(t, f + 1, s - f) || '[REDACTED:' || kind || ']', '' ORDER BY s) AS head, max(e) AS last FROM between b JOIN texts x ON x.id = b.id GROUP BY b.id),
+redacted AS (SELECT x.id, coalesce(head, '') || substring(t, coalesce(last, 0) + 1) AS text FROM texts x LEFT JOIN written w ON w.id = x.id)"""
+
+
 def quoted(x: str) -> str:
     return x.replace("'", "''")

@@ -166,6 +166,44 @@ def test_rules_keep_matches_from_redaction(spark):
     assert total[None, None] == (1, 2) and total["medium", "email"] == (1, 1) and total["high", None] == (0, 1)
 
 
+def test_redaction_equals_a_plain_version_where_matches_overlap(spark):
+    """Both ways, and every pair of detectors, against marked characters."""
+    import random
+
+    from quillmill.functions import constants as C
+
+    rng = random.Random(6)
+    parts = ["sk_" + "A" * 16, "token=", "secret: ", "x@y.com", "@y.org", "/home/", "/tmp/a", "C:\\", "\\b", "-----BEGIN RSA PRIVATE KEY-----", "12345678", " ", ".", "'", "é", "plan"]
+    texts = ["C:\\Users\\x@y.com\\secret\\plan", "/home/x@y.com/secret", "api_key=sk_ABCDEFGHIJKLMNOP12", *("".join(rng.choices(parts, k=rng.randrange(2, 12))) for _ in range(800))]
+
+    def plain(text):
+        rank = {"critical": 0, "high": 1, "medium": 2, "low": 3}
+        found = [(m.start(), m.end(), rank[sev], kind) for kind, sev, p in C.DETECTORS for m in re.finditer(p, text)]
+        joint = [[x] for x in sorted(found)]
+        merged = []
+        for x in joint:
+            if merged and x[0][0] < max(y[1] for y in merged[-1]):
+                merged[-1] += x
+            else:
+                merged.append(x)
+        for group in reversed(merged):
+            name = min((r, a - b, kind) for a, b, r, kind in group)[2]
+            text = f"{text[: group[0][0]]}[REDACTED:{name}]{text[max(y[1] for y in group) :]}"
+        return text
+
+    pairs = {tuple(sorted({k for k, s, e in f if s < e2 and s2 < e} | {k2})) for t in texts for f in [[(kind, *m.span()) for kind, _, p in C.DETECTORS for m in re.finditer(p, t)]] for k2, s2, e2 in f}
+    assert sum(len(p) > 1 for p in pairs) >= 8
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {i: plain(t) for i, t in enumerate(texts)}
+    assert want[0] == "[REDACTED:email]" and want[1] == "[REDACTED:email]" and want[2].startswith("[REDACTED:api_key]")
+    no_rules = spark.createDataFrame([], "kind string, text string, pattern string")
+    found = privacy.scan(docs, "id", "text")
+    for got in (privacy.redact(docs, "id", "text"), privacy.redact(docs, "id", "text", no_rules), privacy.redact_spans(docs, privacy.match_offsets(docs, "id", "text"), "id", "text"), privacy.gate(docs, found, "id", "text", "redact")[0], privacy.gate(docs, privacy.allowlisted(found, no_rules), "id", "text", "redact")[0]):
+        assert {r.id: r.text for r in got.collect()} == want
+    plan = privacy.redact(docs, "id", "text", no_rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_gate_and_allowlist(spark):
     docs = spark.createDataFrame([(1, 'password = "longsecret"'), (2, "ok a@b.org")], "id int, text string")
     found = privacy.scan(docs, "id", "text")
