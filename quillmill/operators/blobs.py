@@ -131,3 +131,18 @@ def verify_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     have = files.select("path", F.col("bytes").alias("have_bytes"), F.col("sha256").alias("have_sha256"), F.lit(True).alias("there"))
     error = F.when(F.col("there").isNull(), "missing").when(F.col("bytes") != F.col("have_bytes"), "size_mismatch").when(F.col("sha256") != F.col("have_sha256"), "hash_mismatch")
     return manifest.join(have, "path", "left").withColumn("error", error).where("error is not null").select("path", "error")
+
+
+#: Bits of a Bloom filter for each hash, and how many of them a hash sets: one in a hundred others seems to be there.
+BLOOM_BITS, BLOOM_HASHES = 10, 7
+
+
+def bloom_places(ids: DataFrame, bits: Column) -> DataFrame:
+    """ids (blob_id) with word and bit of each of a hash's places in a filter of ``bits`` bits."""
+    place = lambda k: F.pmod(F.xxhash64(F.lit(k), F.col("blob_id")), bits)
+    return ids.withColumn("p", F.explode(F.array(*[place(k) for k in range(BLOOM_HASHES)]))).withColumn("word", F.expr("p div 64")).withColumn("bit", F.expr("shiftleft(1L, cast(p % 64 as int))")).drop("p")
+
+
+def bloom(ids: DataFrame, size: int) -> DataFrame:
+    """word, bits: a Bloom filter of hashes (blob_id) in ``size`` bits, the words without a bit left out."""
+    return bloom_places(ids.select("blob_id"), F.lit(size).cast("long")).groupBy("word").agg(F.bit_or("bit").alias("bits"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,11 +10,14 @@ from pyspark.sql.window import Window as W
 
 from quillmill.operators import normalize as N
 from quillmill.operators import pairing
-from quillmill.operators.blobs import hydrate
-from quillmill.operators.policy import classify_index, classify_storage, dedupe_bodies, without_bodies
+from quillmill.operators.archive import Archive
+from quillmill.operators.blobs import hydrate, referenced, verify_blobs
+from quillmill.operators.hot import cold_blobs, new_blobs, to_hot
+from quillmill.operators.policy import classify_index, dedupe_bodies, without_bodies
 from quillmill.operators.stats import archive_digest, counts_equal
 from quillmill.operators.turns import SETTINGS, assign_turns, roll_up_turns, with_settings
 from quillmill.sources import transcripts as T
+from quillmill.storage import Stage, written
 
 
 def freshness(inventory: DataFrame, log: DataFrame, version: int, archive_there: bool = True) -> DataFrame:
@@ -61,8 +63,8 @@ def import_lines(lines: DataFrame, state: DataFrame | None = None, after: int =
     return import_events(*parse_lines(lines), state, after)
 
 
-def import_events(events: DataFrame, broken: DataFrame, state: DataFrame | None = None, after: int = 0) -> dict[str, DataFrame]:
-    """The frames of parsed events, which several of them read."""
+def import_events(events: DataFrame, broken: DataFrame, state: DataFrame | None = None, after: int = 0, stage=lambda df, name: df) -> dict[str, DataFrame]:
+    """The frames of parsed events, which several of them read. stage(df, name): what is computed once for all of them."""
     events, unnamed = N.assign_sessions(events)
     warnings = broken.unionByName(unnamed)
     pairs = pairing.pairing_warnings(pairing.calls_of(events)).select("path", "line_no", "code", F.col("call_id").alias("raw_excerpt"))
@@ -70,16 +72,15 @@ def import_events(events: DataFrame, broken: DataFrame, state: DataFrame | None
     sessions = N.roll_up_sessions(events, warnings)
     if state is not None:
         sessions = N.enrich(sessions, state)
-    sessions = N.last_files(sessions)
+    sessions = stage(N.last_files(sessions), "sessions")
     names = sessions.select("path", F.col("session_id").alias("final"))
     events = N.assign_event_ids(events.join(names, "path").withColumn("session_id", F.col("final")).drop("final"), after)
     # a file without a single record has no session: its warnings stay under a null one
     warnings = warnings.join(names.withColumnRenamed("final", "session_id"), "path", "left")
-    stored = classify_storage(assign_turns(events))
-    # the storage policy acts first: noise comes to the index without a text
-    hot = stored.withColumn("text_content", F.when(F.col("storage_class") != "noise", F.col("text_content")))
-    whole = without_bodies(dedupe_bodies(classify_index(hot)))
-    return {"sessions": sessions, "turns": roll_up_turns(with_settings(stored), SETTINGS), "events": whole, "warnings": warnings}
+    whole = stage(assign_turns(events), "events")
+    # the storage policy acts first: the index sees the text as it is stored
+    stored = without_bodies(dedupe_bodies(classify_index(to_hot(whole))))
+    return {"sessions": sessions, "turns": roll_up_turns(with_settings(whole), SETTINGS), "events": stored, "warnings": warnings, "blobs": cold_blobs(whole)}
 
 
 def replace_sessions(target: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
@@ -87,69 +88,16 @@ def replace_sessions(target: DataFrame, new: DataFrame, key: str = "session_id")
     return target.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def _files(spark, path: str):
-    """The Hadoop path of a folder, and its file system."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _buckets(spark, path: str) -> list[str]:
-    """The names of a table's bucket folders."""
-    at, fs = _files(spark, path)
-    return [x.getPath().getName() for x in fs.listStatus(at) if x.getPath().getName().startswith("bucket=")] if fs.exists(at) else []
-
-
 def read_archive(spark, path: str, name: str) -> DataFrame | None:
-    """A table of an archive; None if it is not there, or has no rows."""
-    return spark.read.parquet(f"{path}/{name}") if _buckets(spark, f"{path}/{name}") else None
-
+    """A table of an archive's last version; None if it is not there."""
+    return Archive(spark, path).read(name)
 
-def last_event_id(spark, path: str) -> int:
-    """The largest event id of an archive; 0 if there is none."""
-    events = read_archive(spark, path, "events")
-    return 0 if events is None else events.agg(F.max("event_id")).first()[0] or 0
 
-
-def write_archive(frames: dict[str, DataFrame], path: str, buckets: int = 32) -> None:
-    """Writes tables by bucket of session. Of an archive that is there, the sessions in frames["sessions"] are replaced,
-    all others stay, and only the buckets with new sessions are rewritten.
-
-    New buckets, old rows included, are written beside the archive, and take the old ones' places when all tables are
-    written: a run that fails can be run again. frames["sessions"] names what is replaced, also where a table has no new
-    rows of it. Rows without a session (warnings of files without one) belong to their path.
-    """
-    spark = next(iter(frames.values())).sparkSession
-    aside = f"{path}/_new-{uuid.uuid4().hex}"
-
-    def put(df: DataFrame, at: str) -> str:
-        df.repartition("bucket").sortWithinPartitions("bucket", "session_id").write.partitionBy("bucket").parquet(at)
-        return at
-
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int")
-    ready = {name: put(df.withColumn("bucket", bucket), f"{aside}/rows/{name}") for name, df in frames.items()}
-    new = {name: spark.read.schema(frames[name].schema.add("bucket", "integer")).parquet(at) for name, at in ready.items()}
-    gone = new["sessions"].select("session_id", "bucket").distinct() if "sessions" in new else None
-    touched = {}
-    for name, df in new.items():
-        replaced = df.select("session_id", "bucket").distinct() if gone is None else gone.union(df.select("session_id", "bucket")).distinct()
-        touched[name] = [r[0] for r in replaced.select("bucket").distinct().collect()]  # as many as there are buckets at most
-        old = read_archive(spark, path, name)
-        if old is not None:
-            kept = old.where(F.col("bucket").isin(touched[name])).join(replaced.select("session_id"), "session_id", "left_anti")
-            if "path" in df.columns:
-                kept = kept.join(df.where("session_id is null").select("path").distinct(), "path", "left_anti")
-            ready[name] = put(kept.unionByName(df, allowMissingColumns=True), f"{aside}/whole/{name}")
-    for name, at in ready.items():
-        here, fs = _files(spark, f"{path}/{name}")
-        fs.mkdirs(here)
-        written = _buckets(spark, at)
-        for folder in {*written, *(f"bucket={b}" for b in touched[name])}:
-            old, _ = _files(spark, f"{path}/{name}/{folder}")
-            fs.delete(old, True)
-            if folder in written and not fs.rename(_files(spark, f"{at}/{folder}")[0], old):
-                raise OSError(f"{at}/{folder} cannot be moved")
-    folder, fs = _files(spark, aside)
-    fs.delete(folder, True)
+def write_archive(frames: dict[str, DataFrame], path: str) -> int:
+    """Adds tables to an archive, where their sessions replace what it holds of them, and returns the version. A run that
+    is cut off leaves the archive as it was, and can be run again. Blobs that the archive has are not stored again."""
+    archive = Archive(next(iter(frames.values())).sparkSession, path)
+    return archive.write(frames | ({"blobs": new_blobs(frames["blobs"], archive)} if "blobs" in frames else {}))
 
 
 def dedupe_requests(requests: DataFrame) -> DataFrame:
@@ -190,39 +138,62 @@ def queue_step(requests: DataFrame, results: DataFrame, limit: int = 100) -> Dat
     return joined.withColumn("status", status).withColumn("attempts", F.col("attempts") + took.cast("long")).withColumn("message", F.when(took & over, F.col("new_message")).otherwise(F.col("message"))).drop("taken", "failed", "new_message", "has_result")
 
 
-def import_files(spark, root: str, target: str, log: DataFrame, version: int, state: DataFrame | None = None) -> DataFrame:
-    """Imports the files below root that are pending into an archive; returns the new rows of the log.
+LOG = "raw_path string, raw_sha256 string, session_id string, status string, imported_at timestamp, parse_version int"
+#: Files that one import reads, and commits, together: their names are constants of its plan.
+SLICE = 10_000
+
+
+def import_log(spark, target: str) -> DataFrame:
+    """The import log of an archive."""
+    log = read_archive(spark, target, "log")
+    return spark.createDataFrame([], LOG) if log is None else log
 
-    Only files that are new, changed since their import, or imported by another parser are read; of these, only those
-    whose content the log does not have by this version are imported: the others are logged again. A file that cannot
-    be read, or holds nothing, is logged as failed and does not stop the others. The list of pending files, and what the
-    log says of each, passes through the driver, as the listing of the folder does.
+
+def import_uris(spark, root: str, target: str, uris: list[str], version: int, state: DataFrame | None = None, log: DataFrame | None = None) -> list[tuple]:
+    """Imports files into an archive and logs them there, in one version; returns the rows of the log.
+
+    Files whose content the log (the archive's own, if none is given) has by this version are logged again, not read
+    again. A file that cannot be read, or holds nothing, is logged as failed and does not stop the others.
     """
-    pending = freshness(T.inventory(spark, root), log, version).where("reason is not null")
-    found = T.file_digests(spark, root, [r.uri for r in pending.select("uri").collect()])
-    new = files_to_import(found, log, version)
-    uris = {r.path: (r.uri, r.raw_sha256) for r in found.collect()}
-    todo = [r.path for r in new.select("path").collect()]
-    schema = "raw_path string, raw_sha256 string, session_id string, status string, imported_at timestamp, parse_version int"
+    known = import_log(spark, target) if log is None else log
+    found = T.file_digests(spark, root, uris).collect()  # a row for each file of the slice
+    files = spark.createDataFrame([(r.path, r.raw_sha256) for r in found], "path string, raw_sha256 string")
+    todo = {r.path for r in files_to_import(files, known, version).select("path").collect()}
     now = datetime.datetime.now(datetime.timezone.utc)
-    sessions = {}
-    if todo:
-        events, broken = parse_lines(T.scan_lines(spark, root, [uris[p][0] for p in todo]))
-        events = events.persist()  # every frame reads the parsed events; what an executor loses is parsed again
-        try:
-            named = N.assign_sessions(events)[0].select("path", "session_id").distinct()
-            named = N.enrich(N.roll_up_sessions(N.assign_sessions(events)[0], broken), state).select("path", "session_id") if state is not None else named
-            sessions = {r.path: r.session_id for r in named.collect()}
-            write_archive(import_events(events, broken, state, last_event_id(spark, target)), target)
-        finally:
-            events.unpersist()
-    rows = [(p, sha, sessions.get(p), "imported" if p not in todo or p in sessions else "failed", now, version) for p, (_, sha) in uris.items()]
-    return spark.createDataFrame(rows, schema)
-
-
-def sync(spark, root: str, target: str, log: DataFrame, version: int, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    logged = lambda sessions: [(r.path, r.raw_sha256, sessions.get(r.path), "imported" if r.path not in todo or r.path in sessions else "failed", now, version) for r in found]
+    if not todo:
+        if found:
+            write_archive({"log": spark.createDataFrame(logged({}), LOG)}, target)
+        return logged({})
+    with Stage(spark) as stage:
+        lines = T.scan_lines(spark, root, [r.uri for r in found if r.path in todo])
+        events, broken = (stage(x, name) for x, name in zip(parse_lines(lines), ("parsed", "broken")))
+        frames = import_events(events, broken, state, Archive(spark, target).last_event_id, stage)
+        named = N.assign_sessions(events)[0].select("path", "session_id").distinct()
+        named = N.enrich(N.roll_up_sessions(N.assign_sessions(events)[0], broken), state).select("path", "session_id") if state is not None else named
+        rows = logged({r.path: r.session_id for r in named.collect()})
+        write_archive(frames | {"log": spark.createDataFrame(rows, LOG)}, target)
+    return rows
+
+
+def import_files(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None) -> DataFrame:
+    """Imports the files below root that are pending into an archive; returns the new rows of the log, which the archive
+    keeps too. log: the archive's own, if None.
+
+    Only files that are new, changed since their import, or imported by another parser are read. The list of pending
+    files passes through the driver, as the listing of the folder does; they are imported in slices, each a version.
+    """
+    known = import_log(spark, target) if log is None else log
+    pending = freshness(T.inventory(spark, root), known, version).where("reason is not null").orderBy("archived", "path")
+    uris = [r.uri for r in pending.select("uri").collect()]
+    rows = [r for k in range(0, len(uris), SLICE) for r in import_uris(spark, root, target, uris[k : k + SLICE], version, state, log)]
+    return spark.createDataFrame(rows, LOG)
+
+
+def sync(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(log with the new rows, what is still to do): imports what is pending into an archive, and plans again."""
-    whole = log.unionByName(import_files(spark, root, target, log, version, state))
+    before = import_log(spark, target) if log is None else log
+    whole = before.unionByName(import_files(spark, root, target, log, version, state))
     return whole, freshness(T.inventory(spark, root), whole, version).where("reason is not null")
 
 
@@ -232,13 +203,45 @@ def rebuild(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]
     The digests are of the messages of the whole payloads, and of those of the rebuilt events. A rebuilt archive is
     written beside the old one and takes its place only where every check is true.
     """
-    whole = hydrate(events.drop("storage_class", "index_policy", "value_level", "indexed_text", "duplicate", "payload_stub"), stored)
-    hot = classify_storage(whole)
-    hot = hot.withColumn("text_content", F.when(F.col("storage_class") != "noise", F.col("text_content")))
+    plain = events.drop("storage_class", "index_policy", "value_level", "indexed_text", "content_flags")
+    marks = [c for c in ("duplicate", "payload_stub") if c in plain.columns]
+    plain = plain.withColumnsRenamed({c: f"was_{c}" for c in marks})
+    sizes = [c for c in ("payload_original_bytes", "text_original_chars") if c in plain.columns]
+    whole = hydrate(plain.withColumnsRenamed({c: f"was_{c}" for c in sizes}), stored)
+    hot = to_hot(whole.drop("payload_ref"))
+    for c in sizes:  # what was cut before keeps the size that it had
+        hot = hot.withColumn(c, F.coalesce(f"was_{c}", c)).drop(f"was_{c}")
     new = without_bodies(dedupe_bodies(classify_index(hot)))
+    if len(marks) == 2:  # a body that went as a duplicate stays one: its text is in the message that it repeats
+        for c, value in (("index_policy", F.lit("skip_duplicate")), ("value_level", F.lit("noise")), ("payload_stub", F.col("was_payload_stub")), ("duplicate", F.lit(True))):
+            new = new.withColumn(c, F.when(F.coalesce("was_duplicate", F.lit(False)), value).otherwise(F.col(c)))
+        new = new.drop("was_duplicate", "was_payload_stub")
     return new, rebuild_checks(events, whole, new)
 
 
+def rebuild_archive(spark, source: str, target: str) -> DataFrame:
+    """table, equal: the checks of an archive that is rebuilt at a new path; it is there only if all of them are true.
+
+    The whole payloads come from the source's blobs, of which the target keeps those that the rebuilt events refer to;
+    that these are all there is one of the checks.
+    """
+    old = Archive(spark, source)
+    if Archive(spark, target).version:
+        raise ValueError(f"{target} is not empty")
+    frames = {name: old.read(name) for name in ("sessions", "turns", "events", "warnings", "log") if old.segments(name)}
+    stored = old.read("blobs")
+    new, checks = rebuild(frames["events"], stored)
+    new = written(new, "rebuilt-events")
+    refs = referenced(new)
+    kept = stored.join(refs, "blob_id", "left_semi")
+    own = refs.join(new.select(F.col("payload_ref").alias("blob_id")).distinct(), "blob_id", "left_semi")
+    missing = verify_blobs(own, kept, deep=False).agg(F.lit("blobs").alias("table"), (F.count("*") == 0).alias("equal"))
+    checks = written(checks.unionByName(missing), "checks")
+    if checks.where("not equal").isEmpty():
+        Archive(spark, target).write(frames | {"events": new, "blobs": kept})
+    return checks
+
+
 def rebuild_checks(events: DataFrame, whole: DataFrame, new: DataFrame) -> DataFrame:
     """table, equal: whether rebuilt events are as many as before, and say in their messages what the whole ones say."""
     before, after = archive_digest(whole), archive_digest(new)

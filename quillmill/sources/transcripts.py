@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -28,23 +32,63 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.select(file_path().alias("path"), F.col(URI).alias("uri"), archived.alias("archived"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime")).where(F.col("archived") | F.col("path").contains("/sessions/"))
 
 
-def file_digests(spark: SparkSession, root: str, uris: list[str] | None = None) -> DataFrame:
-    """path, uri, raw_sha256 of the files; of one of 2 GB or more, which no row can hold, a null hash."""
+#: From so many bytes on, a file is no value of a row.
+LARGE = 2147483632
+
+
+def file_digests(spark: SparkSession, root: str, uris: list[str] | None = None, large: int = LARGE) -> DataFrame:
+    """path, uri, raw_sha256 of the files. One of ``large`` bytes or more is read in splits: its digest is that of the
+    sums of the hashes of its numbered lines, and begins with `lines:`."""
     files = _only(spark.read.format("binaryFile").options(**JSONL).load(root), uris)
-    whole = files.where("length < 2147483632").select(file_path().alias("path"), F.col(URI).alias("uri"), F.sha2("content", 256).alias("raw_sha256"))
-    return whole.union(files.where("length >= 2147483632").select(file_path(), F.col(URI), F.lit(None).cast("string")))
+    names = [file_path().alias("path"), F.col(URI).alias("uri")]
+    whole = files.where(F.col("length") < large).select(*names, F.sha2("content", 256).alias("raw_sha256"))
+    wide = [r.uri for r in files.where(F.col("length") >= large).select(*names).collect()]
+    if not wide:
+        return whole
+    line = F.sha2(F.concat_ws("|", "line_no", "value"), 256)
+    parts = [F.sum(F.conv(F.substring(line, k, 15), 16, 10).cast("decimal(38,0)")).alias(f"d{k}") for k in (1, 16, 31, 46)]
+    sums = scan_lines(spark, root, wide).groupBy("path").agg(F.count("*").alias("n"), *parts)
+    digest = F.concat(F.lit("lines:"), F.sha2(F.concat_ws("|", F.coalesce("n", F.lit(0)), "d1", "d16", "d31", "d46"), 256))
+    listed = files.where(F.col("length") >= large).select(*names)
+    return whole.union(listed.join(sums, "path", "left").select("path", "uri", digest))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, split, value), as a scan gives them, with each line's place in its split, from 1."""
+    last, n = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [column.dictionary_encode().indices.to_numpy(zero_copy_only=False) for column in batch.columns[:2]]
+        new = np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+        first = np.flatnonzero(new)
+        place = np.arange(batch.num_rows) - np.repeat(first, np.diff(np.append(first, batch.num_rows))) + 1
+        key = lambda k: (batch.column(0)[k].as_py(), batch.column(1)[k].as_py())  # noqa: B023, E731
+        if key(0) == last:
+            place[: first[1] if len(first) > 1 else batch.num_rows] += n
+        last, n = key(batch.num_rows - 1), int(place[-1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place, pa.int64()), batch.column(2)], names=["path", "split", "place", "value"])
 
 
 def scan_lines(spark: SparkSession, root: str, uris: list[str] | None = None) -> DataFrame:
     """path, line_no (from 1, blank lines counted), value of every line that is not blank; of all files, or of some.
 
-    Lines are numbered by the place of their split in the file and their place in the split. What cannot be read of a
-    broken file is left out.
+    Lines are numbered where they are read, by their place in their split; of files in several splits, the lines of the
+    splits before are counted in a pass of its own, which holds no text. The table of splits that do not begin a file
+    (one for each spark.sql.files.maxPartitionBytes of input at most, 24 bytes each) is sent to all tasks, so that no
+    text is shuffled. What cannot be read of a broken file is left out.
     """
     files = _only(spark.read.options(**JSONL).text(root), uris)
-    lines = files.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
-    line = F.row_number().over(W.partitionBy("path").orderBy("split", "place"))
-    return lines.select("path", line.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    lines = files.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("split"), "value")
+    # of all files, small ones too: which files are read decides how Spark splits them
+    counts = files.groupBy(file_path().alias("path"), F.col("_metadata.file_block_start").alias("split")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.withColumn("before", before).where("split > 0").select(F.xxhash64("path").alias("file"), "split", "before")
+    numbered = lines.mapInArrow(_numbered, "path string, split long, place long, value string")
+    found = numbered.withColumn("file", F.xxhash64("path")).join(F.broadcast(starts), ["file", "split"], "left")
+    changed = F.raise_error(F.concat(F.lit("a file was changed while it was read; run again: "), F.col("path"))).cast("long")
+    line = (F.col("place") + F.when(F.col("split") == 0, 0).otherwise(F.coalesce("before", changed))).cast("int")
+    return found.select("path", line.alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value")).where(F.trim(F.regexp_replace("value", r"\s", "")) != "")
 
 
 def split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -9,28 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillmill.operators.ingest import import_events, last_event_id, parse_lines, write_archive
+from quillmill.operators.ingest import import_uris
 from quillmill.sources import transcripts as T
 
 
-def stream_import(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 1000):
+def stream_import(spark: SparkSession, root: str, target: str, checkpoint: str, files_per_batch: int = 1000, version: int = 1):
     """Imports new transcript files as they come, whole files at a time; runs over what is there and stops.
 
-    Each batch is a set of files, which alone are read, as a batch job: a file's sessions replace what the archive holds
-    of them, all others stay, so that a batch that is run again adds nothing. Event ids follow the archive's last one.
+    Each batch is a set of files, which alone are read, as a batch job, and makes one version of the archive: a file's
+    sessions replace what the archive holds of them, all others stay. Files whose content the archive's log has by this
+    parser version are logged again and not read, so that a batch that is run again adds nothing.
     """
     files = spark.readStream.format("binaryFile").options(**T.JSONL).option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(root)
 
     def apply(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        uris = [r.uri for r in batch.select("uri").distinct().collect()]
+        uris = [r.uri for r in batch.select("uri").distinct().collect()]  # files_per_batch at most
         if uris:
-            events, broken = parse_lines(T.scan_lines(spark, root, uris))
-            events = events.persist()
-            try:
-                write_archive(import_events(events, broken, None, last_event_id(spark, target)), target)
-            finally:
-                events.unpersist()
+            import_uris(spark, root, target, uris, version)
 
     return files.select(F.col(T.URI).alias("uri")).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -195,7 +195,7 @@ def test_stream_import_equals_batch(spark, home, tmp_path, frames):
     for _ in range(2):  # the second run finds nothing new
         stream_import(spark, home, target, str(tmp_path / "check")).awaitTermination()
     columns = ("session_id", "line_no", "top_type", "text_content", "turn_index")
-    assert rows(spark.read.parquet(f"{target}/events"), *columns) == rows(frames["events"], *columns)
+    assert rows(ingest.read_archive(spark, target, "events"), *columns) == rows(frames["events"], *columns)
 
 
 LOG = "raw_path string, raw_sha256 string, session_id string, status string, imported_at timestamp, parse_version int"
@@ -220,7 +220,7 @@ CONTENT = {"sessions": ("session_id", "event_count", "first_seen_at"), "turns":
 
 
 def content(spark, target):
-    return {name: rows(spark.read.parquet(f"{target}/{name}"), *columns) for name, columns in CONTENT.items()}
+    return {name: rows(ingest.read_archive(spark, target, name), *columns) for name, columns in CONTENT.items()}
 
 
 @pytest.mark.parametrize("stream", [False, True])
@@ -248,7 +248,7 @@ def test_imports_one_after_the_other_equal_one_of_all(spark, tmp_path, stream):
     got = content(spark, target)
     assert got == content(spark, one)
     assert len(got["events"]) == 13 * 3 and ("id-a b", 0, 3, "m-a b", "low", None) in got["turns"]
-    ids = [r.event_id for r in spark.read.parquet(f"{target}/events").collect()]
+    ids = [r.event_id for r in ingest.read_archive(spark, target, "events").collect()]
     assert len(set(ids)) == len(ids) == 39
 
 
@@ -286,7 +286,7 @@ def test_rebuild_takes_whole_payloads(spark):
     ref = stored.first().blob_id
     ev = spark.createDataFrame([(1, "s", "response_item", "function_call_output", None, None, None, "cut", "{}", ref), (2, "s", "event_msg", "user_message", None, None, None, "hi", "{}", None)], "event_id long, session_id string, top_type string, sub_type string, role string, tool_name string, file_path string, text_content string, payload string, payload_ref string")
     new, checks = ingest.rebuild(ev, stored)
-    assert {r.event_id: (r.index_policy, len(r.text_content)) for r in new.collect()} == {1: ("truncated", 3000), 2: ("full", 2)}
+    assert {r.event_id: (r.index_policy, len(r.text_content)) for r in new.collect()} == {1: ("truncated", 2046), 2: ("full", 2)}
     assert all(r.equal for r in checks.collect())
     lost = new.withColumn("text_content", F.when(F.col("event_id") == 2, "ho").otherwise(F.col("text_content")))
     assert {r.table: r.equal for r in ingest.rebuild_checks(ev, ev, lost).collect()} == {"events": True, "digest": False}
