@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quillmill.storage import estimated_bytes
+
 from .blobs import BLOOM_BITS, bloom
 
 #: Tables whose rows belong to no session: they are never dead.
@@ -94,8 +96,9 @@ class Archive:
     """The archive below ``path``. ``version``: one to read, the last one if None; it stays so for this object's life,
     so that its tables belong together."""
 
-    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
-        self.spark, self.path, self.files = spark, path.rstrip("/"), Files(spark, path)
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None, layout: dict[str, tuple[str, ...]] | None = None):
+        """layout: of some tables the columns by which they are dealt to files in ranges, and sorted."""
+        self.spark, self.path, self.files, self.layout = spark, path.rstrip("/"), Files(spark, path), layout or {}
         known = self.versions()
         if version is not None and version not in known:
             raise ValueError(f"no such version: {version}")
@@ -152,7 +155,11 @@ class Archive:
         """Writes one table of a segment: as many files as its size asks for, each sorted by session."""
         at = f"{self.path}/{name}/seg={seg}"
         by = "session_id" if "session_id" in df.columns else "blob_id" if "blob_id" in df.columns else None
-        rows = df.hint("rebalance", by).sortWithinPartitions(by) if by else df
+        if name in self.layout:
+            by = self.layout[name]
+            rows = df.repartitionByRange(max(1, min(estimated_bytes(df) >> 26, 1 << 16)), *by).sortWithinPartitions(*by)
+        else:
+            rows = df.hint("rebalance", by).sortWithinPartitions(by) if by else df
         rows.write.option("compression", "zstd").parquet(at)
         return {"bytes": self.files.size(at), "schema": df.schema.jsonValue()}
 
@@ -215,7 +222,7 @@ class Archive:
                 self._commit(manifest)
                 break
             except Conflict:
-                self.__init__(self.spark, self.path)
+                self.__init__(self.spark, self.path, None, self.layout)
                 again = True
         self.merge_segments()
         return self.version
@@ -258,7 +265,7 @@ class Archive:
             self._commit(manifest)
             return True
         except Conflict:
-            self.__init__(self.spark, self.path)
+            self.__init__(self.spark, self.path, None, self.layout)
             return False
 
     def vacuum(self, keep: int = 2, seconds: float = 86_400) -> list[str]:

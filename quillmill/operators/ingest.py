@@ -13,6 +13,7 @@ from quillmill.operators import pairing
 from quillmill.operators.archive import Archive
 from quillmill.operators.blobs import hydrate, referenced, verify_blobs
 from quillmill.operators.hot import cold_blobs, new_blobs, to_hot
+from quillmill.operators.index import update_index
 from quillmill.operators.policy import classify_index, dedupe_bodies, without_bodies
 from quillmill.operators.stats import archive_digest, counts_equal
 from quillmill.operators.turns import SETTINGS, assign_turns, roll_up_turns, with_settings
@@ -149,11 +150,12 @@ def import_log(spark, target: str) -> DataFrame:
     return spark.createDataFrame([], LOG) if log is None else log
 
 
-def import_uris(spark, root: str, target: str, uris: list[str], version: int, state: DataFrame | None = None, log: DataFrame | None = None) -> list[tuple]:
+def import_uris(spark, root: str, target: str, uris: list[str], version: int, state: DataFrame | None = None, log: DataFrame | None = None, index: str | None = None) -> list[tuple]:
     """Imports files into an archive and logs them there, in one version; returns the rows of the log.
 
     Files whose content the log (the archive's own, if none is given) has by this version are logged again, not read
-    again. A file that cannot be read, or holds nothing, is logged as failed and does not stop the others.
+    again. A file that cannot be read, or holds nothing, is logged as failed and does not stop the others. index: the
+    path of a search index that takes in the same sessions; catch_up mends one that an import was cut off from.
     """
     known = import_log(spark, target) if log is None else log
     found = T.file_digests(spark, root, uris).collect()  # a row for each file of the slice
@@ -173,10 +175,12 @@ def import_uris(spark, root: str, target: str, uris: list[str], version: int, st
         named = N.enrich(N.roll_up_sessions(N.assign_sessions(events)[0], broken), state).select("path", "session_id") if state is not None else named
         rows = logged({r.path: r.session_id for r in named.collect()})
         write_archive(frames | {"log": spark.createDataFrame(rows, LOG)}, target)
+        if index is not None:
+            update_index(frames["events"], index)
     return rows
 
 
-def import_files(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None) -> DataFrame:
+def import_files(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None, index: str | None = None) -> DataFrame:
     """Imports the files below root that are pending into an archive; returns the new rows of the log, which the archive
     keeps too. log: the archive's own, if None.
 
@@ -186,14 +190,14 @@ def import_files(spark, root: str, target: str, log: DataFrame | None, version:
     known = import_log(spark, target) if log is None else log
     pending = freshness(T.inventory(spark, root), known, version).where("reason is not null").orderBy("archived", "path")
     uris = [r.uri for r in pending.select("uri").collect()]
-    rows = [r for k in range(0, len(uris), SLICE) for r in import_uris(spark, root, target, uris[k : k + SLICE], version, state, log)]
+    rows = [r for k in range(0, len(uris), SLICE) for r in import_uris(spark, root, target, uris[k : k + SLICE], version, state, log, index)]
     return spark.createDataFrame(rows, LOG)
 
 
-def sync(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def sync(spark, root: str, target: str, log: DataFrame | None, version: int, state: DataFrame | None = None, index: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(log with the new rows, what is still to do): imports what is pending into an archive, and plans again."""
     before = import_log(spark, target) if log is None else log
-    whole = before.unionByName(import_files(spark, root, target, log, version, state))
+    whole = before.unionByName(import_files(spark, root, target, log, version, state, index))
     return whole, freshness(T.inventory(spark, root), whole, version).where("reason is not null")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import constants as C
+from quillmill.storage import estimated_bytes
 
 K1, B = 1.2, 0.75
 
@@ -56,15 +57,18 @@ def _bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_index(events: DataFrame, path: str, buckets: int = 64, fields: tuple[str, ...] = ("tool_name", "file_path", "indexed_text"), key: str = "event_id") -> None:
+def write_index(events: DataFrame, path: str, buckets: int | None = None, fields: tuple[str, ...] = ("tool_name", "file_path", "indexed_text"), key: str = "event_id") -> None:
     """Writes the postings of events, and one row of totals, below ``path``: shuffled once, by bucket of term, and sorted
     by term, so that a query reads its terms' buckets alone, and of these the row groups that hold the terms.
 
-    A frequent term may hold a large share of all postings: buckets are written in several files, dealt by key.
+    There is a bucket for each 32 MB of events, 16 at least. A frequent term may hold a large share of all postings:
+    buckets are written in several files, dealt by key, one for each 512 MB of events.
     """
-    spark = events.sparkSession
+    spark, size = events.sparkSession, estimated_bytes(events)
+    buckets = buckets or max(16, min(1 << 16, 1 << (size >> 25).bit_length()))
+    parts = max(1, min(1 << 12, size >> 29))
     rows = postings(events, fields, key).withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     totals(spark.read.parquet(f"{path}/postings"), key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 

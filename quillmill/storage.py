@@ -51,6 +51,12 @@ class Stage:
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of a table's bytes; 0 where it has none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 55 else 0
+
+
 def _files(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of a table's files."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
