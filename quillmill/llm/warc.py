@@ -36,7 +36,8 @@ def revisits(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     """(page_id, digest, refers_to) of each page whose payload of at least ``min_bytes`` a smaller page_id has too."""
     payloads = pages.where(F.octet_length("payload") >= min_bytes).select("page_id", F.sha2("payload", 256).alias("digest"))
     first = payloads.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to")
-    return payloads.join(first.drop("last"), "digest").where("page_id > refers_to").distinct()
+    # a table of its own, so that Spark may split a digest that a large share of the pages has
+    return payloads.join(written(first.drop("last"), "warc-first"), "digest").where("page_id > refers_to").distinct()
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
