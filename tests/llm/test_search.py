@@ -249,6 +249,7 @@ def test_rows_are_judged_by_their_texts(spark):
     a, b, c, item = prose(rng, 60), prose(rng, 60), prose(rng, 60), prose(rng, 25)
     rows = [(1, a, "x"), (1, b, "y"), (1, b, "w"), (2, a, "z"), (None, a, "n"), (None, None, "m"), (3, "", "e"), (3, "", "e"), (4, f"{c} {item}", "k"), (4, c, "l"), (None, f"{item} {c}", "o")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({x: F.col("source") for x in ("score", "time", "times", "key", "row", "class", "set", "text_key", "found", "first")})
+    docs = docs.withColumn("more", F.create_map(F.col("source"), F.lit(1)))
     tags = lambda df: sorted(r.time for r in df.collect())
     one = corpus_pipeline.one_of_each(spark, docs, None)
     assert one.columns == docs.columns and tags(one) == sorted("xwnmeeklo")
