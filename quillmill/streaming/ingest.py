@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quillmill.operators.ingest import import_uris
 from quillmill.sources import transcripts as T
@@ -70,7 +71,62 @@ def stream_pairing(calls: DataFrame, delay: str = "10 minutes", wait_ms: int = 6
     return calls.withWatermark("ts", delay).groupBy("path", "call_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first request of each (source, home, reason) within the watermark; a null home equals a null home."""
-    keyed = requests.withColumn("home", F.coalesce("home", F.lit("")))
-    return keyed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["source", "home", "reason"])
+ACTIVE = ("pending", "processing")
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _ActiveRequest(StatefulProcessor):
+    """Of each (source, home, reason) the active request, until a record says that it is over, or its time has passed."""
+
+    def __init__(self, wait_ms: int, columns: list[str]):
+        self.wait_ms, self.columns = wait_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.active = handle.getValueState("active", "request_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        some = pd.concat(list(rows)).sort_values(["created_at", "request_id"], kind="stable")
+        now = self.active.get()[0] if self.active.exists() else None
+        before, kept, latest = now, [], None
+        for place, (request_id, status, created_at) in enumerate(zip(some["request_id"], some["status"], some["created_at"])):
+            if status not in ACTIVE:
+                now = None if now == request_id else now
+            elif now is None:
+                now, latest = int(request_id), created_at
+                kept.append(place)
+        if now != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if now is None:
+                self.active.clear()
+            else:
+                self.active.update((now,))
+                self.handle.registerTimer(max(int(latest.timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + self.wait_ms)
+        if kept:
+            yield some.iloc[kept][self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.active.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_requests(requests: DataFrame, delay: str = "1 hour", wait_ms: int = 86_400_000) -> DataFrame:
+    """Of a stream of requests (request_id, source, home, reason, status, created_at), those that become active: a pending
+    (or, without a status, any) or processing one, if no other of its source, home and reason is active; a null home equals a null home.
+
+    Records of status completed or failed with the active request's id end it, so that the next one passes; a request of
+    which no end is heard is over when the watermark has passed its time by ``wait_ms``. Within a batch records count in
+    the order of created_at and request_id. State is a number for each active request, in RocksDB, which this sets as the
+    session's state store.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    columns = ["request_id", "source", "home", "reason", "status", "created_at"]
+    requests = requests if "status" in requests.columns else requests.withColumn("status", F.lit("pending"))
+    keyed = requests.select(*columns, F.coalesce("home", F.lit("")).alias("home_key")).withWatermark("created_at", delay)
+    grouped = keyed.groupBy("source", "home_key", "reason")
+    schema = requests.select(*columns).schema
+    return grouped.transformWithStateInPandas(_ActiveRequest(wait_ms, columns), schema, "Append", "EventTime")

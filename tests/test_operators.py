@@ -397,6 +397,40 @@ def test_streams(spark, tmp_path):
     assert sorted(r.reason + (r.home or "") for r in spark.read.json(str(tmp_path / "firsts")).collect()) == ["qh", "r", "rh"]
 
 
+def test_requests_are_active_until_they_end(spark, tmp_path):
+    """In micro-batches, one a file: a repeat is dropped, one behind the end passes, an old one is over by its time."""
+    import datetime
+    import json
+    import os
+
+    from quillmill.streaming import ingest as live
+
+    at = lambda m: (datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=m)).isoformat()
+    row = lambda i, m, status="pending", home=None, source="s": {"request_id": i, "source": source, "home": home, "reason": "r", "status": status, "created_at": at(m)}
+    batches = [
+        [row(1, 0), row(2, 1), row(3, 0, home="h")],
+        [row(4, 2, "processing"), row(1, 3, "completed"), row(3, 3, "failed", "h"), row(5, 4, home="h"), row(6, 5, home="h")],
+        [row(7, 6), row(8, 7), row(2, 7, "completed")],  # the end of one that never was active ends nothing
+        [row(9, 8), row(10, 3000, source="other")],  # moves the watermark
+        [row(11, 3001), row(12, 3001, source="other")],
+        [row(13, 3002), row(14, 3002, source="other")],
+    ]
+    (tmp_path / "asks").mkdir()
+    for k, records in enumerate(batches):
+        path = tmp_path / "asks" / f"{k}.json"
+        path.write_text("\n".join(map(json.dumps, records)))
+        os.utime(path, (1_800_000_000 + k, 1_800_000_000 + k))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    asks = spark.readStream.schema("request_id int, source string, home string, reason string, status string, created_at timestamp").option("maxFilesPerTrigger", 1).json(str(tmp_path / "asks"))
+    try:
+        live.stream_requests(asks, "10 minutes", 86_400_000).writeStream.format("json").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = sorted(r.request_id for r in spark.read.json(str(tmp_path / "out")).collect())
+    assert got[:4] == [1, 3, 5, 7] and 10 in got and 9 not in got and 12 not in got and 14 not in got
+    assert len({11, 13} & set(got)) == 1  # request 7 is over by its time
+
+
 def test_freshness(spark):
     inv = spark.createDataFrame([(p, False, 10) for p in "abcd"], "path string, archived boolean, bytes long").withColumn("mtime", F.to_timestamp(F.lit("2026-01-01 00:00:10")))
     log = spark.createDataFrame([("a", "imported", "2026-01-01 00:00:09", 8), ("b", "imported", "2026-01-01 00:00:01", 8), ("c", "imported", "2026-01-01 00:00:20", 7), ("d", "failed", "2026-01-01 00:00:20", 8)], "raw_path string, status string, t string, parse_version int").withColumn("imported_at", F.to_timestamp("t"))
