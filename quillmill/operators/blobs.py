@@ -70,7 +70,8 @@ def slim_payload(events: DataFrame, payload: str = "payload", chars: int = 256)
     content = F.when((kind == "message") & F.expr("schema_of_variant(try_variant_get(rec, '$.content', 'variant')) like 'ARRAY%'"), F.transform(F.expr("try_variant_get(rec, '$.content', 'array<variant>')"), lambda p: _slim_part(p, chars)))
     listed = F.when(F.size(content) > 0, F.map_from_entries(F.array(F.struct(F.lit("content"), F.parse_json(F.concat(F.lit("["), F.array_join(content, ","), F.lit("]")))))))
     none = F.expr("cast(map() as map<string, variant>)")
-    merged = F.map_concat(F.map_filter(small, lambda k, v: ~k.isin("content") | listed.isNull()), *[F.coalesce(m, none) for m in measured], F.coalesce(listed, none))
+    taken = lambda k: ((k == "content") & listed.isNotNull()) | F.array_contains(F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(m), F.array().cast("array<string>")) for m in measured]))), k)
+    merged = F.map_concat(F.map_filter(small, lambda k, v: ~taken(k)), *[F.coalesce(m, none) for m in measured], F.coalesce(listed, none))
     slim = F.when(F.col("top").isNotNull(), F.to_json(F.parse_json(F.to_json(merged))))
     return rows.withColumn("slim", slim).drop("rec", "top")
 

@@ -12,6 +12,8 @@ from pyspark.sql.window import Window as W
 
 from quillmill.functions import constants as C
 
+from .archive import Archive
+
 
 def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """key, vector: each token adds or takes one at a slot that its SHA-256 names; unit length, zero stays zero.
@@ -52,6 +54,75 @@ def vector_topk(vectors: DataFrame, query: list[float], key: str, vector: str =
     return vectors.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
+#: Components of the queries that one pass over the vectors answers (8 MB), and rows of vectors that are scored at once.
+QUERY_COMPONENTS, SCORED = 1 << 20, 2048
+
+
+def vector_topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "vector", k: int = 10) -> DataFrame:
+    """query_key, rank (from 1), key, score of the k vectors of the largest positive dot product with each of many queries
+    (query_key, vector): scores rounded to 6 places, ties to the smaller key. Queries have keys of their own.
+
+    Each task keeps the k best so far of each query, and sends no more than these; queries go to the tasks in blocks of a
+    bounded size, with a pass over the vectors for each. Vectors that are null or of another length take no part.
+    """
+    spark = vectors.sparkSession
+    whole = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
+    dim = whole.agg(F.max(F.size(vector))).first()[0]
+    kinds = {c: t for df, c in ((queries, query_key), (vectors, key)) for n, t in df.dtypes if n == c}
+    schema = f"`{query_key}` {kinds[query_key]}, `{key}` {kinds[key]}, score double"
+    if not dim:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    blocks = max(1, -(-whole.count() * dim // QUERY_COMPONENTS))
+    numbered = whole.withColumn("block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
+
+    def nearest(some: list):
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in some]), np.array([r[1] for r in some], float)))
+
+        def step(parts):
+            names, q = shared.value
+            best = np.full((len(q), 0), -1.0)
+            ids = None
+            for batch in parts:
+                for at in range(0, batch.num_rows, SCORED):
+                    part = batch.slice(at, SCORED)
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, dim)
+                    own = np.array(part.column(0).to_pylist(), object if pa.types.is_string(part.column(0).type) else None)
+                    scores = np.concatenate([best, np.round(q @ x.T, 6)], axis=1)
+                    keys = np.concatenate([ids, np.broadcast_to(own, (len(q), len(own)))], axis=1) if ids is not None else np.broadcast_to(own, (len(q), len(own)))
+                    # by key first, so that of equal scores the smaller key comes first
+                    order = np.argsort(keys, axis=1, kind="stable")
+                    scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                    best, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+            if ids is not None:
+                row, place = np.nonzero(best > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids[row, place].tolist()), pa.array(best[row, place])], [query_key, key, "score"])
+
+        return vectors.where(F.size(vector) == dim).select(key, vector).mapInArrow(step, schema)
+
+    found = [nearest(numbered.where((F.col("block") == b) & (F.size(vector) == dim)).select(query_key, vector).collect()) for b in range(blocks)]
+    whole = found[0]
+    for x in found[1:]:
+        whole = whole.union(x)
+    place = F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), key))
+    return whole.withColumn("rank", place).where(F.col("rank") <= k).select(query_key, "rank", key, "score")
+
+
+def store_chunks(chunks: DataFrame, path: str, adapter: str) -> int:
+    """Stores chunks (session_id, chunk_id, text, vector, ...) of some sessions in place of those that the table below
+    ``path`` has of them, for this adapter and their dimension, and returns its version."""
+    dims = [r[0] for r in chunks.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(dims) > 1:
+        raise ValueError("chunks of one store have one dimension")
+    return Archive(chunks.sparkSession, f"{path}/{adapter}-{dims[0]}").write({"chunks": chunks}) if dims else 0
+
+
+def stored_chunks(spark, path: str, adapter: str, dimensions: int) -> DataFrame | None:
+    """The chunks of an adapter and dimension; None if there are none."""
+    found = Archive(spark, f"{path}/{adapter}-{dimensions}").read("chunks")
+    return None if found is None else found.withColumn("adapter", F.lit(adapter)).withColumn("dimensions", F.lit(dimensions))
+
+
 def replace_chunks(target: DataFrame, new: DataFrame) -> DataFrame:
     """A vector table with the chunks of the new sessions in place of the old ones, for their adapter and dimension."""
     touched = new.select("session_id", "adapter", "dimensions").distinct()
