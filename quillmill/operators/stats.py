@@ -88,7 +88,8 @@ def audit_regressions(before: DataFrame, after: DataFrame, codes_before: DataFra
 
 def audit_history(reports: DataFrame, fields: tuple[str, ...] = ("files", "events", "warnings")) -> DataFrame:
     """The last report and its differences to the one before; status not_enough_reports where there is none."""
-    ranked = reports.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("generated_at")))).where("rank <= 2")
+    two = reports.orderBy(F.desc("generated_at")).limit(2)
+    ranked = two.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("generated_at"))))
     last, before = ranked.where("rank = 1"), ranked.where("rank = 2").select(*[F.col(f).alias(f"before_{f}") for f in fields], F.lit(True).alias("two"))
     return last.join(before, how="left").select("generated_at", *[F.col(f) for f in fields], *[(F.col(f) - F.col(f"before_{f}")).alias(f"delta_{f}") for f in fields], F.when(F.col("two"), "ok").otherwise("not_enough_reports").alias("status"))
 
