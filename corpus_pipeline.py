@@ -35,12 +35,11 @@ def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "set", "text_key")).alias("first"))
     keys = [F.col("doc_id"), ngram_join.text_key(F.col("text"))]
     wanted = first.select(F.col("first.doc_id").alias("w_id"), F.col("first.text_key").alias("w_key"))
-    # rows of one id and text are told apart by the other columns; maps have no order, their JSON has
-    others = [F.to_json(F.col(f"`{c}`")) if "map<" in kind or "variant" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text")]
-    order = F.struct(F.lit(0), *others)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), keys[0].alias("id"), keys[1].alias("key"), order.alias("order"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), keys[0].alias("id"), keys[1].alias("key"))
     kept = rows.join(wanted, (F.col("id") == F.col("w_id")) & (F.col("key") == F.col("w_key")), "left_semi")
-    kept = kept.groupBy("id", "key").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    # maps have no order, their JSON has
+    first_row = F.min_by("row", F.to_json("row")) if any("map<" in kind or "variant" in kind for _, kind in docs.dtypes) else F.min("row")
+    kept = kept.groupBy("id", "key").agg(first_row.alias("row")).select("row.*")
     return kept.unionByName(docs.where(F.col("doc_id").isNull() | (mixing.word_count(F.col("text")) == 0)))
 
 
