@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from quillmill.functions import constants as C
@@ -76,13 +77,14 @@ def vector_topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key
     numbered = whole.withColumn("block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
 
     def nearest(some: list):
-        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in some]), np.array([r[1] for r in some], float)))
+        shared = spark.sparkContext.broadcast((pa.array([r[0] for r in some], to_arrow_type(queries.schema[query_key].dataType)), np.array([r[1] for r in some], float)))
 
         def step(parts):
             names, q = shared.value
             best = np.full((len(q), 0), -1.0)
-            ids = None
+            ids = kind = None
             for batch in parts:
+                kind = batch.schema.types[0]
                 for at in range(0, batch.num_rows, SCORED):
                     part = batch.slice(at, SCORED)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, dim)
@@ -96,7 +98,7 @@ def vector_topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key
                     best, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
             if ids is not None:
                 row, place = np.nonzero(best > 0)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids[row, place].tolist()), pa.array(best[row, place])], [query_key, key, "score"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids[row, place].tolist(), kind), pa.array(best[row, place])], [query_key, key, "score"])
 
         return vectors.where(F.size(vector) == dim).select(key, vector).mapInArrow(step, schema)
 

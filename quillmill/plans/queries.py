@@ -84,12 +84,13 @@ def warning_summary(spark, d):
 
 
 def _wanted(spark, d):
-    """The ids of all conversations, doubled: some are there and some are not; the largest first."""
+    """The ids of all conversations, and as many that are not there; the largest first."""
     talk = T.table(spark, d, "conversations").select("conv_id").distinct()
-    return talk.select(F.concat(F.lit("conv-"), F.col("conv_id") * 2).alias("session_id"), (-F.col("conv_id")).alias("ordinal"))
+    there = talk.select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), (-2 * F.col("conv_id")).alias("ordinal"))
+    return there.union(talk.select(F.concat(F.lit("none-"), "conv_id"), -2 * F.col("conv_id") - 1))
 
 
-_WANTED = "want AS (SELECT DISTINCT 'conv-' || (conv_id * 2) AS session_id, -conv_id AS ordinal FROM conversations)"
+_WANTED = "want AS (SELECT DISTINCT 'conv-' || conv_id AS session_id, -2 * conv_id AS ordinal FROM conversations UNION ALL SELECT DISTINCT 'none-' || conv_id, -2 * conv_id - 1 FROM conversations)"
 
 
 @_query(f"WITH {S.CHAT}, {_WANTED} SELECT w.session_id, w.ordinal, s.cwd, s.updated_at, s.session_id IS NOT NULL AS found FROM want w LEFT JOIN sess s USING (session_id)")

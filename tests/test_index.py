@@ -64,3 +64,45 @@ def test_an_index_that_misses_an_import_catches_up(spark, tmp_path):
     hits = search.search(rows, index, Archive(spark, target).read("sessions"), "hello").collect()
     assert {r.session_id for r in hits} == {f"id-{k}" for k in range(5)}
     assert index.totals.first().n == rows.where(F.col("indexed_text").isNotNull()).count()
+
+
+def test_many_vector_queries_equal_single_ones(spark, tmp_path):
+    from quillmill.operators import vectors
+
+    rng = random.Random(3)
+    data = [(f"c{k % 97:03d}-{k}", f"s{k % 9}", [float(rng.randrange(-4, 5)) for _ in range(6)]) for k in range(300)] + [("null", "s1", None), ("short", "s1", [1.0])]
+    chunks = spark.createDataFrame(data, "chunk_id string, session_id string, vector array<double>")
+    asked = spark.createDataFrame([(k, data[7 * k][2]) for k in range(12)] + [(99, None), (98, [0.0] * 6)], "q int, vector array<double>")
+    got = sorted((r.q, r["rank"], r.chunk_id, r.score) for r in vectors.vector_topk_many(chunks, asked, "chunk_id", "q", "vector", 5).collect())
+    want = []
+    for k in range(12):
+        best = sorted((-sum(a * b for a, b in zip(v, data[7 * k][2])), c) for c, _, v in data[:300])
+        want += [(k, place + 1, c, -s) for place, (s, c) in enumerate(best[:5]) if s < 0]
+    assert got == want
+    plan = vectors.vector_topk_many(chunks, asked, "chunk_id", "q", "vector", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert vectors.vector_topk_many(chunks, asked.limit(0), "chunk_id", "q").count() == 0
+    path = str(tmp_path / "vectors")
+    good = chunks.where("size(vector) = 6")
+    vectors.store_chunks(good, path, "hash")
+    vectors.store_chunks(good.where("session_id = 's3'").limit(2), path, "hash")
+    assert vectors.stored_chunks(spark, path, "hash", 6).groupBy("session_id").count().where("session_id = 's3'").first()["count"] == 2
+    assert vectors.stored_chunks(spark, path, "hash", 6).count() == 300 - good.where("session_id = 's3'").count() + 2
+    assert vectors.stored_chunks(spark, path, "other", 6) is None
+
+
+def test_slim_payloads_stay_slim(spark):
+    from quillmill.operators.hot import to_hot
+
+    rows = [("response_item", "function_call", '{"type":"function_call","name":"x","call_id":"c","arguments":"short"}'), ("compacted", None, '{"message":"m","replacement_history":[1,2],"k":"v"}'), ("response_item", "message", '{"type":"message","role":"user","content":[{"type":"t","text":"hello"},{"type":"u","n":1},"s"]}'), ("novel", None, '{"a":[1,2],"b":null,"c":1.5}'), ("event_msg", "token_count", "{}"), ("event_msg", "other", "no json"), ("legacy", "message", None)]
+    events = spark.createDataFrame([(k, *r, "text") for k, r in enumerate(rows)], "event_id int, top_type string, sub_type string, payload string, text_content string")
+    once = to_hot(events)
+    twice = to_hot(once.select(*events.columns))
+    a, b = ({r.event_id: r.payload for r in df.collect()} for df in (once, twice))
+    assert {k: a[k] for k in (0, 2, 4, 5, 6)} == {k: b[k] for k in (0, 2, 4, 5, 6)}
+    import json
+
+    assert json.loads(a[0]) == {"type": "function_call", "name": "x", "call_id": "c", "arguments": "short", "arguments_chars": 5, "arguments_sha256": json.loads(a[0])["arguments_sha256"]}
+    assert json.loads(a[1])["k"] == "v" and "message" not in json.loads(a[1]) and json.loads(a[1])["replacement_history_count"] == 2
+    assert [set(x) for x in json.loads(a[2])["content"]] == [{"type", "chars", "sha256"}, {"type", "n"}, {"type"}]
+    assert {k: json.loads(a[3])[k] for k in ("b", "c")} == {"b": None, "c": 1.5} and "a" not in json.loads(a[3])
