@@ -21,8 +21,8 @@ NUMBER = "0-9²³¹¼-¾"
 SPACE = "\\t-\\r \\x85\\xa0"
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 PLAIN = re.compile("[\\x00-\\x1b\\x20-ɏ]*")
-#: Words kept by a worker; beyond, the first half of them stays, which holds the frequent ones. Some 150 MB.
-MOST_WORDS = 700_000
+#: Words kept by a worker; beyond, the first half of them stays, which holds the frequent ones. Some 75 MB.
+MOST_WORDS = 350_000
 
 
 def _alphabet() -> dict[int, str]:
