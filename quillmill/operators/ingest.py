@@ -15,7 +15,7 @@ from quillmill.operators.blobs import hydrate, referenced, verify_blobs
 from quillmill.operators.hot import cold_blobs, new_blobs, to_hot
 from quillmill.operators.index import update_index
 from quillmill.operators.policy import classify_index, dedupe_bodies, without_bodies
-from quillmill.operators.stats import archive_digest, counts_equal
+from quillmill.operators.stats import archive_digest, counts_equal, session_statistics
 from quillmill.operators.turns import SETTINGS, assign_turns, roll_up_turns, with_settings
 from quillmill.sources import transcripts as T
 from quillmill.storage import Stage, written
@@ -80,8 +80,8 @@ def import_events(events: DataFrame, broken: DataFrame, state: DataFrame | None
     warnings = warnings.join(names.withColumnRenamed("final", "session_id"), "path", "left")
     whole = stage(assign_turns(events), "events")
     # the storage policy acts first: the index sees the text as it is stored
-    stored = without_bodies(dedupe_bodies(classify_index(to_hot(whole))))
-    return {"sessions": sessions, "turns": roll_up_turns(with_settings(whole), SETTINGS), "events": stored, "warnings": warnings, "blobs": cold_blobs(whole)}
+    stored = stage(without_bodies(dedupe_bodies(classify_index(to_hot(whole)))), "stored")
+    return {"sessions": sessions, "turns": roll_up_turns(with_settings(whole), SETTINGS), "events": stored, "warnings": warnings, "blobs": cold_blobs(whole), "statistics": session_statistics(stored)}
 
 
 def replace_sessions(target: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
@@ -242,7 +242,7 @@ def rebuild_archive(spark, source: str, target: str) -> DataFrame:
     missing = verify_blobs(own, kept, deep=False).agg(F.lit("blobs").alias("table"), (F.count("*") == 0).alias("equal"))
     checks = written(checks.unionByName(missing), "checks")
     if checks.where("not equal").isEmpty():
-        Archive(spark, target).write(frames | {"events": new, "blobs": kept})
+        Archive(spark, target).write(frames | {"events": new, "blobs": kept, "statistics": session_statistics(new)})
     return checks
 
 

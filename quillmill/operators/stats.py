@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quillmill.functions.text import has_problem  # noqa: F401  (part of the health report's vocabulary)
-
 
 def _beside(frames: list[DataFrame]) -> DataFrame:
     """One-row frames as one row."""
@@ -110,7 +108,36 @@ def conversation_digest(events: DataFrame) -> DataFrame:
     return some.select("session_id", "messages", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), 256).alias("digest"))
 
 
-def archive_digest(events: DataFrame) -> DataFrame:
-    """One row: a digest that the order of sessions does not change. Sums of hashes, so that no task holds all of them."""
+def digest_of(sessions: DataFrame) -> DataFrame:
+    """One row (sessions, digest) on session_id, digest: a sum of hashes, so that neither an order nor one task is needed."""
     parts = [F.sum(F.conv(F.substring("digest", k, 15), 16, 10).cast("decimal(38,0)")).alias(f"d{k}") for k in (1, 16, 31, 46)]
-    return conversation_digest(events).withColumn("digest", F.sha2(F.concat_ws("|", "session_id", "digest"), 256)).agg(F.count("*").alias("sessions"), *parts).select("sessions", F.sha2(F.concat_ws("|", "sessions", "d1", "d16", "d31", "d46"), 256).alias("digest"))
+    return sessions.withColumn("digest", F.sha2(F.concat_ws("|", "session_id", "digest"), 256)).agg(F.count("*").alias("sessions"), *parts).select("sessions", F.sha2(F.concat_ws("|", "sessions", "d1", "d16", "d31", "d46"), 256).alias("digest"))
+
+
+def archive_digest(events: DataFrame) -> DataFrame:
+    """One row: a digest that the order of sessions does not change."""
+    return digest_of(conversation_digest(events))
+
+
+def session_statistics(events: DataFrame) -> DataFrame:
+    """A row for each session, kept beside its events in an archive: session_id, events, turns, tool_calls, searchable,
+    raw_chars, indexed_chars, files (an HLL sketch of 2^12 registers), and messages and digest of its conversation."""
+    counted = events.groupBy("session_id").agg(
+        F.count("*").alias("events"),
+        F.count_distinct("turn_index").alias("turns"),
+        F.count_if(F.col("sub_type") == "function_call").alias("tool_calls"),
+        F.count_if(F.col("indexed_text").isNotNull()).alias("searchable"),
+        F.coalesce(F.sum(F.length("text_content")), F.lit(0)).alias("raw_chars"),
+        F.coalesce(F.sum(F.length("indexed_text")), F.lit(0)).alias("indexed_chars"),
+        F.hll_sketch_agg("file_path", F.lit(12)).alias("files"),
+    )
+    return counted.join(conversation_digest(events), "session_id", "left")
+
+
+def stored_statistics(rows: DataFrame) -> DataFrame:
+    """One row on an archive from its sessions' statistics, without its events: sums, files (an estimate, some 2 % off),
+    and the digest, which is exactly that of the events. Sessions that come anew bring their own rows, so that an import
+    costs what it brings."""
+    names = ("events", "turns", "tool_calls", "searchable", "raw_chars", "indexed_chars")
+    totals = rows.agg(F.count("*").alias("sessions"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("files")), F.lit(0)).alias("files"))
+    return _beside([totals, digest_of(rows.where("digest is not null").select("session_id", "digest")).select("digest")])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillmill import storage
-from quillmill.operators import archive, blobs, hot, ingest, normalize, vectors
+from quillmill.operators import archive, blobs, hot, ingest, normalize, stats, vectors
 from quillmill.plans.queries import _query
 from quillmill.sources import tables as T
 from quillmill.sources import transcripts
@@ -231,6 +231,14 @@ def import_log(spark, d):
     return log.groupBy(F.regexp_extract("raw_path", r"([^/]+)\.jsonl$", 1).cast("long").alias("file"), "status").agg(F.count("*").alias("times"))
 
 
+@_query(f"WITH {_HOT} SELECT count(DISTINCT session_id) AS sessions, count(*) AS events, count(*) FILTER (WHERE k = 2) AS tool_calls, count(DISTINCT CASE WHEN k = -1 THEN file END) AS files, coalesce(sum(length(text_content)), 0)::BIGINT AS raw_chars, true AS digest_holds FROM stored")
+def imported_statistics(spark, d):
+    """Counts of the archive from its sessions' own statistics, and whether their digest is that of its events."""
+    now = archive.Archive(spark, _archive(spark, d))
+    whole = stats.archive_digest(now.read("events")).select(F.col("digest").alias("exact"))
+    return stats.stored_statistics(now.read("statistics")).join(F.broadcast(whole)).select("sessions", "events", "tool_calls", "files", "raw_chars", (F.col("digest") == F.col("exact")).alias("digest_holds"))
+
+
 @_query("SELECT t.name AS table_name, true AS equal FROM (VALUES ('events'), ('digest'), ('blobs')) t(name) WHERE EXISTS (SELECT 1 FROM conversations)")
 def rebuild_checks(spark, d):
     """The checks of the archive, rebuilt at a new path from its blobs."""

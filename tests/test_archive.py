@@ -196,6 +196,24 @@ def test_known_blobs_are_not_stored_again_and_a_rebuild_holds(spark, tmp_path):
     assert [r.error for r in blobs.verify_blobs(blobs.referenced(now.read("events")), lost).collect()] == ["missing_blob"]
 
 
+def test_statistics_follow_the_imports(spark, tmp_path):
+    """Sums, digests and sketches of the sessions' rows are those of the events, also where sessions came anew."""
+    from quillmill.operators import stats
+
+    root, target = tmp_path / "home", str(tmp_path / "archive")
+    put(root, "a")
+    put(root, "b")
+    ingest.sync(spark, str(root), target, None, 3)
+    path = root / "sessions" / "a.jsonl"
+    path.write_text(path.read_text() + json.dumps(record("event_msg", "2026-02-01T10:01:00Z", type="user_message", message="more")) + "\n")
+    ingest.import_uris(spark, str(root), target, [r.uri for r in T.inventory(spark, str(root)).where("path like '%/a.jsonl'").collect()], 3)
+    now = A.Archive(spark, target)
+    got, events = stats.stored_statistics(now.read("statistics")).first(), now.read("events")
+    want = stats.archive_stats(now.read("sessions"), events, now.read("warnings")).first()
+    assert (got.sessions, got.events, got.turns, got.tool_calls, got.files) == (want.sessions, want.events, want.turns, want.tool_calls, want.files) == (2, 21, got.turns, 2, 1)
+    assert got.digest == stats.archive_digest(events).first().digest
+
+
 def test_lines_of_files_in_many_splits(spark, tmp_path):
     """The same numbers whatever the splits, and no exchange of texts."""
     sizes = [0, 1, 700, 3]
