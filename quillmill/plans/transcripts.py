@@ -37,12 +37,15 @@ def _lines(spark, d) -> DataFrame:
         .otherwise(record("event_msg", type=F.lit("token_count"), info=F.struct(F.lit(1).alias("n"))))
     )
     f = F.col("f")
-    meta = talk.select("f").distinct().select(
-        "f", F.lit(1).alias("line_no"),
+    meta = (
         F.when(f % 4 != 3, F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("t").alias("timestamp"), F.struct(F.concat(F.lit("s-"), f).alias("id"), F.concat(F.lit("/w/"), f).alias("cwd")).alias("payload"))))
-        .otherwise(F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("t").alias("timestamp"), F.struct(F.concat(F.lit("/w/"), f).alias("cwd")).alias("payload")))).alias("value"),
+        .otherwise(F.to_json(F.struct(F.lit("session_meta").alias("type"), F.lit("t").alias("timestamp"), F.struct(F.concat(F.lit("/w/"), f).alias("cwd")).alias("payload"))))
     )
-    return talk.select("f", "line_no", value.alias("value")).union(meta)
+    # the metadata comes with the first turn, not by a union: Spark 4.1 takes a union of two sides that are dealt by f as
+    # dealt by f, leaves out a later repartition("f"), and yet may read the sides in partitions of their own
+    line = lambda number, text: F.struct(number.cast("int").alias("line_no"), text.alias("value"))
+    own = line(F.col("line_no"), value)
+    return talk.select("f", F.inline(F.when(F.col("line_no") == 2, F.array(line(F.lit(1), meta), own)).otherwise(F.array(own))))
 
 
 def _paths(lines: DataFrame) -> DataFrame:
@@ -201,7 +204,7 @@ def _archive(spark, d) -> str:
                     at = f"{root}/{'archived_sessions' if f % 5 == 0 else 'sessions'}"
                     files.fs.mkdirs(files.at(at))
                     files.delete(f"{at}/{f}.jsonl")
-                    name = next(x for x in files.names(f"{aside}/{folder}") if x.startswith("part-"))
+                    (name,) = (x for x in files.names(f"{aside}/{folder}") if x.startswith("part-"))  # a file that came in parts is an error
                     files.fs.rename(files.at(f"{aside}/{folder}/{name}"), files.at(f"{at}/{f}.jsonl"))
                     if part:  # written again, and so with a later time than its import, whatever the clock
                         files.fs.setTimes(files.at(f"{at}/{f}.jsonl"), 4_000_000_000_000, -1)

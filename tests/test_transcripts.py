@@ -291,3 +291,27 @@ def test_rebuild_takes_whole_payloads(spark):
     lost = new.withColumn("text_content", F.when(F.col("event_id") == 2, "ho").otherwise(F.col("text_content")))
     assert {r.table: r.equal for r in ingest.rebuild_checks(ev, ev, lost).collect()} == {"events": True, "digest": False}
     assert {r.table: r.equal for r in ingest.rebuild_checks(ev, ev, new.where("event_id = 1")).collect()} == {"events": False, "digest": False}
+
+
+def test_lines_of_a_file_stay_in_one_part(spark, tmp_path):
+    """Of a union, Spark 4.1 may leave out the shuffle by file and yet write a file's lines from several tasks."""
+    from quillmill.plans.transcripts import FILES, _lines
+
+    talk = spark.range(400).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("turn"), F.lit("user").alias("role"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    talk.repartition(6).write.parquet(f"{tmp_path}/conversations.parquet")
+    small = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        lines = _lines(spark, str(tmp_path))
+        lines.repartition("f").sortWithinPartitions("f", "line_no").select("f", "value").write.partitionBy("f").text(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    parts = {x.name: sorted(x.glob("part-*")) for x in (tmp_path / "out").glob("f=*")}
+    assert len(parts) == FILES and all(len(x) == 1 for x in parts.values())
+    assert all(x[0].read_text().startswith('{"type":"session_meta"') and len(x[0].read_text().splitlines()) == 31 for x in parts.values())
+    # number, type and value of the lines are those of the SQL
+    assert lines.dtypes == [("f", "bigint"), ("line_no", "int"), ("value", "string")]
+    assert {(r.n, r.low, r.high) for r in lines.groupBy("f").agg(F.count("*").alias("n"), F.min("line_no").alias("low"), F.max("line_no").alias("high")).collect()} == {(31, 1, 31)}
