@@ -12,21 +12,26 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window as W
 
 from quillmill.functions import constants as C
+from quillmill.functions.batches import pieces
 
 from .archive import Archive
 
 
+#: Tokens that a Python worker takes at a time, and one row more.
+PIECE_TOKENS = 1 << 18
+
+
 def embed(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
     """key, vector: each token adds or takes one at a slot that its SHA-256 names; unit length, zero stays zero.
 
-    A row's vector comes from the row alone; of each batch of rows, every distinct token is hashed once.
+    A row's vector comes from the row alone; of each piece of a batch of rows, every distinct token is hashed once.
     """
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(C.EMBEDDING_TOKEN), 0)
     listed = df.select(F.col(key).alias("key"), tokens.alias("tokens"))
     kind = listed.schema["key"].dataType.simpleString()
 
     def hashed(parts):
-        for batch in parts:
+        for batch in (x for whole in parts for x in pieces(whole, whole.column(1).value_lengths().to_numpy(zero_copy_only=False), PIECE_TOKENS)):
             words = batch.column(1).flatten().dictionary_encode()
             sums = np.zeros((batch.num_rows, dim))
             if len(words):
@@ -55,8 +60,8 @@ def vector_topk(vectors: DataFrame, query: list[float], key: str, vector: str =
     return vectors.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
-#: Components of the queries that one pass over the vectors answers (8 MB), and rows of vectors that are scored at once.
-QUERY_COMPONENTS, SCORED = 1 << 20, 2048
+#: Components of the queries that one pass over the vectors answers (8 MB), and rows of vectors and queries that are scored at once.
+QUERY_COMPONENTS, SCORED, ASKED = 1 << 20, 2048, 256
 
 
 def vector_topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "vector", k: int = 10) -> DataFrame:
@@ -81,21 +86,24 @@ def vector_topk_many(vectors: DataFrame, queries: DataFrame, key: str, query_key
 
         def step(parts):
             names, q = shared.value
-            best = np.full((len(q), 0), -1.0)
-            ids = kind = None
+            best, ids, kind = np.full((len(q), k), -np.inf), None, None
             for batch in parts:
                 kind = batch.schema.types[0]
                 for at in range(0, batch.num_rows, SCORED):
                     part = batch.slice(at, SCORED)
                     x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, dim)
                     own = np.array(part.column(0).to_pylist(), object if pa.types.is_string(part.column(0).type) else None)
-                    scores = np.concatenate([best, np.round(q @ x.T, 6)], axis=1)
-                    keys = np.concatenate([ids, np.broadcast_to(own, (len(q), len(own)))], axis=1) if ids is not None else np.broadcast_to(own, (len(q), len(own)))
-                    # by key first, so that of equal scores the smaller key comes first
-                    order = np.argsort(keys, axis=1, kind="stable")
-                    scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
-                    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                    best, ids = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+                    if ids is None:  # places without a score yet hold some key
+                        ids = np.full((len(q), k), own[0], own.dtype)
+                    for lo in range(0, len(q), ASKED):  # what is compared at once does not grow with the queries
+                        some = slice(lo, lo + ASKED)
+                        scores = np.concatenate([best[some], np.round(q[some] @ x.T, 6)], axis=1)
+                        keys = np.concatenate([ids[some], np.broadcast_to(own, (len(scores), len(own)))], axis=1)
+                        # by key first, so that of equal scores the smaller key comes first
+                        order = np.argsort(keys, axis=1, kind="stable")
+                        scores, keys = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
+                        order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                        best[some], ids[some] = np.take_along_axis(scores, order, 1), np.take_along_axis(keys, order, 1)
             if ids is not None:
                 row, place = np.nonzero(best > 0)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(ids[row, place].tolist(), kind), pa.array(best[row, place])], [query_key, key, "score"])

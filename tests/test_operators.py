@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -487,3 +488,39 @@ def test_paths_are_hidden(spark):
     df = spark.createDataFrame([("/home/me", "posix_abs_path", "/home/me/x")], "raw_path string, kind string, excerpt string")
     assert browse.hide_paths(df).first().asDict() == {"kind": "posix_abs_path", "excerpt": None}
     assert df.select(privacy.hide_known_paths(F.lit("a C:\\x\\y b C:/x/y"), ["C:\\x", "C:\\x\\y"]).alias("t")).first().t == "a [path] b [path]"
+
+
+def test_rows_that_are_no_candidates_are_not_dealt_by_session(spark):
+    """Most rows of a session have no body to look up; they must not meet in one task, and lose nothing."""
+    kind = F.when(F.col("id") % 4 == 0, "agent_message").when(F.col("id") % 4 == 1, "message").otherwise("user_message")
+    text = F.when(F.col("id") % 8 < 2, F.lit("same")).when(F.col("id") % 8 > 5, F.lit(None)).otherwise(F.col("id").cast("string"))
+    ev = spark.range(4000).select(F.col("id").alias("event_id"), F.lit("s").alias("session_id"), F.when(F.col("id") % 4 == 1, "response_item").otherwise("event_msg").alias("top_type"), kind.alias("sub_type"), F.lit("assistant").alias("role"), text.alias("text_content"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        marked = policy.dedupe_bodies(ev)
+        dealt = [r["count"] for r in marked.where("sub_type = 'user_message'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(dealt) < 1000 and sum(dealt) == 2000
+    rows = marked.collect()
+    assert len(rows) == 4000 and all(r.duplicate == (r.event_id % 8 == 0) for r in rows)
+
+
+def test_many_queries_are_asked_in_parts(spark, monkeypatch):
+    """What is compared at once is bounded, and the answers are the same with the last part a short one."""
+    assert vectors.SCORED * vectors.ASKED <= 1 << 20
+    monkeypatch.setattr(vectors, "ASKED", 7)
+    monkeypatch.setattr(vectors, "SCORED", 11)
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(k, [float(x) for x in rng.integers(-3, 4, 4)]) for k in range(120)], "vec_id long, embedding array<double>").repartition(3)
+    queries = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    ask = lambda: sorted(tuple(r) for r in vectors.vector_topk_many(table, queries, "vec_id", "query_id", "embedding", 7).collect())
+    whole = {r.vec_id: np.array(r.embedding) for r in table.collect()}
+    want = []
+    for q, e in whole.items():
+        best = sorted(((-round(float(e @ x), 6), k) for k, x in whole.items() if e @ x > 0))[:7]
+        want += [(q, n, k, -s) for n, (s, k) in enumerate(best, 1)]
+    assert ask() == sorted(want)
