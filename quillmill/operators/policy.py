@@ -60,12 +60,15 @@ def drop_stub(payload: Column, reason: str) -> Column:
 def dedupe_bodies(events: DataFrame) -> DataFrame:
     """events with duplicate: an agent message whose text a message of the assistant in the same session has too.
 
-    Bodies meet as hashes; the side that is looked up holds each hash of a session once.
+    Bodies meet as hashes; the side that is looked up holds each hash of a session once. A row that is no candidate has
+    a hash of its own columns in place of a body, which equals none: such rows are most of a session, and a null would
+    bring all of them to one task.
     """
     body = F.sha2("text_content", 256)
     canonical = events.where((F.col("top_type") == "response_item") & (F.col("sub_type") == "message") & F.col("role").isin("assistant", "developer") & F.col("text_content").isNotNull()).select("session_id", body.alias("body")).distinct().withColumn("known", F.lit(True))
-    candidate = (F.col("top_type") == "event_msg") & F.col("sub_type").eqNullSafe(F.lit("agent_message"))
-    keyed = events.withColumn("body", F.when(candidate, body))
+    candidate = (F.col("top_type") == "event_msg") & F.col("sub_type").eqNullSafe(F.lit("agent_message")) & F.col("text_content").isNotNull()
+    plain = [c for c, kind in events.dtypes if kind in ("string", "bigint", "int")]
+    keyed = events.withColumn("body", F.when(candidate, body).otherwise(F.concat(F.lit("-"), F.xxhash64(*plain).cast("string"))))
     return keyed.join(canonical, ["session_id", "body"], "left").withColumn("duplicate", F.coalesce("known", F.lit(False))).drop("known", "body")
 
 
