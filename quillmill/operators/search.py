@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions import constants as C
+from quillmill.functions.batches import pieces
 from quillmill.storage import estimated_bytes
 
 K1, B = 1.2, 0.75
+#: Terms that a Python worker takes at a time, and one event more: all that it holds beside Spark's batch is in proportion.
+PIECE_TERMS = 1 << 18
 
 
 def terms(text: Column) -> Column:
@@ -29,26 +32,28 @@ def postings(events: DataFrame, fields: tuple[str, ...] = ("tool_name", "file_pa
     kind = listed.schema["key"].dataType.simpleString()
 
     def invert(parts):
-        for batch in parts:
-            lists = [batch.column(k + 1) for k in range(len(fields))]
-            sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
-            length = np.sum(sizes, axis=0)
-            for name, column, size in zip(fields, lists, sizes):
-                words = column.flatten().dictionary_encode()
-                if not len(words):
-                    continue
-                row = np.repeat(np.arange(len(size)), size)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-                code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                order = np.argsort(row * len(words.dictionary) + code, kind="stable")
-                row, code, place = row[order], code[order], place[order]
-                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
-                ends = np.append(first, len(row))
-                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), pa.array([name] * len(first)), pa.array(np.diff(ends), pa.int64()), positions, pa.array(length[row[first]], pa.int64())],
-                    ["term", "key", "field", "tf", "positions", "length"],
-                )
+        for whole in parts:
+            size = sum(whole.column(k + 1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(fields)))
+            for batch in pieces(whole, size, PIECE_TERMS):
+                lists = [batch.column(k + 1) for k in range(len(fields))]
+                sizes = [x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+                length = np.sum(sizes, axis=0)
+                for name, column, size in zip(fields, lists, sizes):
+                    words = column.flatten().dictionary_encode()
+                    if not len(words):
+                        continue
+                    row = np.repeat(np.arange(len(size)), size)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                    order = np.argsort(row * len(words.dictionary) + code, kind="stable")
+                    row, code, place = row[order], code[order], place[order]
+                    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])]))
+                    ends = np.append(first, len(row))
+                    positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+                    yield pa.RecordBatch.from_arrays(
+                        [words.dictionary.take(pa.array(code[first])), batch.column(0).take(pa.array(row[first])), pa.array([name] * len(first)), pa.array(np.diff(ends), pa.int64()), positions, pa.array(length[row[first]], pa.int64())],
+                        ["term", "key", "field", "tf", "positions", "length"],
+                    )
 
     return listed.mapInArrow(invert, f"term string, key {kind}, field string, tf long, positions array<int>, length long").withColumnRenamed("key", key)
 
