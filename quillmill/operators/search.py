@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -66,14 +67,16 @@ def write_index(events: DataFrame, path: str, buckets: int | None = None, fields
     """Writes the postings of events, and one row of totals, below ``path``: shuffled once, by bucket of term, and sorted
     by term, so that a query reads its terms' buckets alone, and of these the row groups that hold the terms.
 
-    There is a bucket for each 32 MB of events, 16 at least. A frequent term may hold a large share of all postings:
-    buckets are written in several files, dealt by key, one for each 512 MB of events.
+    There is a file for each MB of events or so, 16 at least. A frequent term may hold a large share of all postings: as
+    the events grow, buckets of terms and the parts of each, dealt by key, both grow with the root of them. A task writes
+    one file: a share of one bucket.
     """
-    spark, size = events.sparkSession, estimated_bytes(events)
-    buckets = buckets or max(16, min(1 << 16, 1 << (size >> 25).bit_length()))
-    parts = max(1, min(1 << 12, size >> 29))
+    spark, files = events.sparkSession, max(16, min(1 << 20, estimated_bytes(events) >> 20))
+    buckets = buckets or max(16, 1 << (files.bit_length() // 2))
+    parts = -(-files // buckets)
     rows = postings(events, fields, key).withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(parts))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    place = F.col("bucket") * parts + F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    rows.repartitionById(buckets * parts, place).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     totals(spark.read.parquet(f"{path}/postings"), key).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/totals")
 
 
@@ -132,11 +135,15 @@ def match_terms(index: DataFrame | StoredIndex, wanted: list[str], every: bool =
 
 def match_phrase(index: DataFrame | StoredIndex, phrase: list[str], key: str = "event_id") -> DataFrame:
     """Keys of events that hold the terms one after the other, in one field: each position less its term's place in the
-    phrase must be the same for all of them."""
-    places = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for k, t in enumerate(phrase)])
-    wanted = of_terms(index, phrase).withColumn("place", F.explode(places)).where("place.t = term")
-    starts = wanted.select(key, "field", "place.k", F.explode("positions").alias("pos")).select(key, "field", "k", (F.col("pos") - F.col("k")).alias("start"))
-    return starts.groupBy(key, "field", "start").agg(F.count("*").alias("n")).where(F.col("n") == len(phrase)).select(key).distinct()
+    phrase must be the same for all of them. The postings of a field meet as lists; no position is a row of its own."""
+    wanted = of_terms(index, phrase).select(key, "field", F.struct("term", "positions").alias("posting"))
+    if not phrase:
+        return wanted.select(key)
+    # dealt before they are grouped: what is collected is a task's share, and not what a task of the scan has read
+    found = wanted.repartition(key, "field").groupBy(key, "field").agg(F.collect_list("posting").alias("postings"))
+    at = lambda t, k: F.transform(F.flatten(F.filter("postings", lambda x: x["term"] == t)["positions"]), lambda p: p - k)
+    starts = reduce(F.array_intersect, [at(t, k) for k, t in enumerate(phrase)])
+    return found.where(F.size(starts) > 0).select(key).distinct()
 
 
 def match_like(events: DataFrame, part: str, key: str = "event_id") -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillmill.functions.batches import pieces
 from quillmill.operators import ingest, search
 from quillmill.operators.archive import Archive
 from quillmill.operators.index import SearchIndex, catch_up, index_gap, update_index
@@ -106,3 +109,20 @@ def test_slim_payloads_stay_slim(spark):
     assert json.loads(a[1])["k"] == "v" and "message" not in json.loads(a[1]) and json.loads(a[1])["replacement_history_count"] == 2
     assert [set(x) for x in json.loads(a[2])["content"]] == [{"type", "chars", "sha256"}, {"type", "n"}, {"type"}]
     assert {k: json.loads(a[3])[k] for k in ("b", "c")} == {"b": None, "c": 1.5} and "a" not in json.loads(a[3])
+
+
+def test_tasks_of_an_index_and_pieces_of_a_batch_are_bounded(spark, tmp_path, monkeypatch):
+    """One frequent term, and texts of more terms than a worker takes at once."""
+    cut = list(pieces(pa.RecordBatch.from_pydict({"a": [0, 1, 2, 3, 4]}), np.array([3, 3, 9, 0, 1]), 4))
+    assert [x.column(0).to_pylist() for x in cut] == [[0, 1], [2], [3, 4]] and not list(pieces(pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64())}), np.array([], int), 4))
+    monkeypatch.setattr(search, "PIECE_TERMS", 5)
+    monkeypatch.setattr(search, "estimated_bytes", lambda df: 256 << 20)
+    ev = spark.range(400).select(F.col("id").alias("event_id"), F.concat(F.lit("the same, the same "), F.col("id") % 3, F.lit(" x"), F.col("id")).alias("indexed_text"))
+    search.write_index(ev, str(tmp_path), fields=("indexed_text",))
+    stored = search.StoredIndex(spark, str(tmp_path))
+    of_the = stored.of(["the"]).groupBy(F.input_file_name()).count().collect()
+    assert len(of_the) == 16 and max(r["count"] for r in of_the) < 60  # a share of the most frequent term each
+    assert stored.postings.count() == 400 * 4
+    assert [tuple(r) for r in stored.of(["same"]).select("tf", "positions", "length").distinct().collect()] == [(2, [1, 3], 6)]
+    keys = lambda phrase: sorted(r.event_id for r in search.match_phrase(stored, phrase).collect())
+    assert keys(["same", "the", "same", "1"]) == list(range(1, 400, 3)) and keys(["the", "the"]) == [] and keys([]) == [] and keys(["x7"]) == [7]
