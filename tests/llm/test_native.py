@@ -4,6 +4,7 @@ import hashlib
 import math
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,24 @@ def test_small_sources_meet_their_targets(spark):
 def test_mixing_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert mixing.op9_mix_sources(spark, str(tmp_path)).count() == 0
+
+
+def test_components_need_few_rounds(spark, monkeypatch):
+    """Tasks link their own edges first: a path that one task holds needs no round but the one that finds no change."""
+    from quillmill.llm import graph
+
+    path = [(k, k + 1) for k in range(100, 400)] + [(7, 5), (5, 7), (3, 3)]
+    edges = spark.createDataFrame(path, "a long, b long").repartition(7)
+    found = lambda df, rounds=50: {(r.node, r.root) for r in graph.components(df, rounds).collect()}
+    want = {(k, 100) for k in range(100, 401)} | {(5, 5), (7, 5)}
+    assert found(edges, 1) == want
+    assert found(spark.createDataFrame([], "a long, b long")) == set()
+    named = edges.select(F.encode(F.lpad(F.col("a").cast("string"), 5, "0"), "utf-8").alias("a"), F.encode(F.lpad(F.col("b").cast("string"), 5, "0"), "utf-8").alias("b"))
+    assert {(int(a), int(b)) for a, b in found(named, 1)} == want
+    # several tasks, and several stars of each
+    monkeypatch.setattr(graph, "TASK_EDGES", 30)
+    assert found(edges) == want
+    cut = [(5, 6), (9, 6), (9, 1), (2, 3)]
+    batch = pa.RecordBatch.from_pydict({"a": [a for a, _ in cut], "b": [b for _, b in cut]})
+    monkeypatch.setattr(graph, "TASK_NODES", 3)
+    assert [(x.column(0).to_pylist(), x.column(1).to_pylist()) for x in graph._stars(iter([batch]))] == [([6, 9], [5, 5]), ([9, 3], [1, 2])]
