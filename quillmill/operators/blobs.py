@@ -102,10 +102,11 @@ def referenced(events: DataFrame, payload: str = "payload") -> DataFrame:
     """blob_id of all references: payload_ref, and hashes under keys that end in _ref, at any depth of payloads.
 
     Payloads are parsed and written anew, so that neither white space nor escapes hide a key; what is no JSON is
-    searched as it is.
+    searched as it is. A key is read from its last quote or backslash on, which is enough to tell that it is one: Java's
+    engine would call itself for each character of a string that is read in alternatives, and run out of stack.
     """
     plain = F.coalesce(F.to_json(F.try_parse_json(payload)), F.col(payload), F.lit(""))
-    inner = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*_ref"\s*:\s*"([0-9a-fA-F]{64})"'), 1)
+    inner = F.regexp_extract_all(plain, F.lit(r'["\\][^"\\]*_ref"\s*:\s*"([0-9a-fA-F]{64})"'), 1)
     own = F.when(F.col("payload_ref").isNotNull(), F.array("payload_ref")).otherwise(F.array().cast("array<string>"))
     return events.select(F.explode(F.concat(own, inner)).alias("blob_id")).distinct()
 

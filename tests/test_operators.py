@@ -263,6 +263,18 @@ def test_references_are_found_at_any_depth(spark):
     assert rows(refs) == [(i,) for i in (*ids[:3], ids[4])]
 
 
+def test_references_stand_beside_long_strings(spark):
+    """Strings of any length, whatever their escapes: the stack holds, and the work is in proportion to them."""
+    import json
+
+    ids = [c * 64 for c in "abcde"]
+    texts = ["x" * 1_000_000, '"' * 200_000 + "\\" * 200_000, '{"fake_ref": "%s"} ' % ids[4] * 5000]
+    payloads = [json.dumps({"message": text, "cold_ref": ids[k]}) for k, text in enumerate(texts)]
+    payloads.append('no json "%s", "a%s\\n_ref": "%s"' % (texts[0], texts[0], ids[3]))
+    refs = blobs.referenced(spark.createDataFrame([(None, p) for p in payloads], "payload_ref string, payload string"))
+    assert rows(refs) == [(i,) for i in ids[:4]]
+
+
 def test_orphans_and_detail(spark):
     inventory = spark.createDataFrame([("a",), ("b",)], "path string")
     assert rows(blobs.orphan_files(inventory, spark.createDataFrame([("a",)], "path string"))) == [("b",)]
