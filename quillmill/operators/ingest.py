@@ -201,17 +201,18 @@ def sync(spark, root: str, target: str, log: DataFrame | None, version: int, sta
     return whole, freshness(T.inventory(spark, root), whole, version).where("reason is not null")
 
 
-def rebuild(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rebuild(events: DataFrame, stored: DataFrame, stage=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
     """(events, checks): all policies applied anew to whole payloads, and whether counts and digest hold.
 
     The digests are of the messages of the whole payloads, and of those of the rebuilt events. A rebuilt archive is
-    written beside the old one and takes its place only where every check is true.
+    written beside the old one and takes its place only where every check is true. stage(df, name): what is computed
+    once for events and checks.
     """
     plain = events.drop("storage_class", "index_policy", "value_level", "indexed_text", "content_flags")
     marks = [c for c in ("duplicate", "payload_stub") if c in plain.columns]
     plain = plain.withColumnsRenamed({c: f"was_{c}" for c in marks})
     sizes = [c for c in ("payload_original_bytes", "text_original_chars") if c in plain.columns]
-    whole = hydrate(plain.withColumnsRenamed({c: f"was_{c}" for c in sizes}), stored)
+    whole = stage(hydrate(plain.withColumnsRenamed({c: f"was_{c}" for c in sizes}), stored), "whole")
     hot = to_hot(whole.drop("payload_ref"))
     for c in sizes:  # what was cut before keeps the size that it had
         hot = hot.withColumn(c, F.coalesce(f"was_{c}", c)).drop(f"was_{c}")
@@ -220,6 +221,7 @@ def rebuild(events: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]
         for c, value in (("index_policy", F.lit("skip_duplicate")), ("value_level", F.lit("noise")), ("payload_stub", F.col("was_payload_stub")), ("duplicate", F.lit(True))):
             new = new.withColumn(c, F.when(F.coalesce("was_duplicate", F.lit(False)), value).otherwise(F.col(c)))
         new = new.drop("was_duplicate", "was_payload_stub")
+    new = stage(new, "rebuilt")
     return new, rebuild_checks(events, whole, new)
 
 
@@ -234,15 +236,15 @@ def rebuild_archive(spark, source: str, target: str) -> DataFrame:
         raise ValueError(f"{target} is not empty")
     frames = {name: old.read(name) for name in ("sessions", "turns", "events", "warnings", "log") if old.segments(name)}
     stored = old.read("blobs")
-    new, checks = rebuild(frames["events"], stored)
-    new = written(new, "rebuilt-events")
-    refs = referenced(new)
-    kept = stored.join(refs, "blob_id", "left_semi")
-    own = refs.join(new.select(F.col("payload_ref").alias("blob_id")).distinct(), "blob_id", "left_semi")
-    missing = verify_blobs(own, kept, deep=False).agg(F.lit("blobs").alias("table"), (F.count("*") == 0).alias("equal"))
-    checks = written(checks.unionByName(missing), "checks")
-    if checks.where("not equal").isEmpty():
-        Archive(spark, target).write(frames | {"events": new, "blobs": kept, "statistics": session_statistics(new)})
+    with Stage(spark) as stage:
+        new, checks = rebuild(frames["events"], stored, stage)
+        refs = stage(referenced(new), "references")
+        kept = stored.join(refs, "blob_id", "left_semi")
+        own = refs.join(new.select(F.col("payload_ref").alias("blob_id")).distinct(), "blob_id", "left_semi")
+        missing = verify_blobs(own, kept, deep=False).agg(F.lit("blobs").alias("table"), (F.count("*") == 0).alias("equal"))
+        checks = written(checks.unionByName(missing), "checks")
+        if checks.where("not equal").isEmpty():
+            Archive(spark, target).write(frames | {"events": new, "blobs": kept, "statistics": session_statistics(new)})
     return checks
 
 

@@ -196,6 +196,26 @@ def test_known_blobs_are_not_stored_again_and_a_rebuild_holds(spark, tmp_path):
     assert [r.error for r in blobs.verify_blobs(blobs.referenced(now.read("events")), lost).collect()] == ["missing_blob"]
 
 
+def test_a_rebuild_computes_its_events_once(spark, tmp_path, monkeypatch):
+    """The checks are those of the events that are written, without the policies again; no scratch table stays."""
+    from quillmill.storage import shared_folder, written
+
+    root, target, plans = tmp_path / "home", str(tmp_path / "archive"), {}
+    put(root, "a")
+    ingest.sync(spark, str(root), target, None, 3)
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(ingest, "written", noted)
+    files = A.Files(spark, shared_folder(spark))
+    before = set(files.names(shared_folder(spark)))
+    assert all(r.equal for r in ingest.rebuild_archive(spark, target, str(tmp_path / "new")).collect())
+    assert list(plans) == ["checks"] and "json" not in plans["checks"]
+    assert {x.partition("-")[0] for x in set(files.names(shared_folder(spark))) - before} == {"checks"}
+
+
 def test_statistics_follow_the_imports(spark, tmp_path):
     """Sums, digests and sketches of the sessions' rows are those of the events, also where sessions came anew."""
     from quillmill.operators import stats
